@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Character classes that give the same answer as Python's str methods.
 SPACE = r"[\s\x1C-\x1F]"
@@ -39,7 +40,7 @@ def blank(text: Column | str) -> Column:
     return F.coalesce(strip(text) == "", F.lit(True))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(values: pd.Series) -> pd.Series:
     """Compatibility composition; the one text step Spark has no expression for."""
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
