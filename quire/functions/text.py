@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -158,3 +158,13 @@ def first_reason(tests: list[tuple[Column, str]], otherwise: Column | str | None
 def int_or_null(value: Column | str) -> Column:
     """Whole number from an int-like string, else null (ANSI-safe)."""
     return _col(value).cast("string").try_cast("int")
+
+
+def pinned(df: DataFrame, keep: list[str], columns: dict[str, Column]) -> DataFrame:
+    """Add costly columns so that later filters and expressions read them instead of repeating them.
+
+    The optimiser copies a projected expression into each filter above it; it does not
+    copy through a generator, so one row per row is exploded.
+    """
+    packed = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select(*keep, F.explode(F.array(packed)).alias("__pin")).select(*keep, *[F.col(f"__pin.{n}").alias(n) for n in columns])

@@ -52,6 +52,25 @@ def finding(
     )
 
 
+def rule_findings(df: DataFrame, key: str, rules: list[tuple[Column, str, str, str]]) -> DataFrame:
+    """Findings of several (condition, check, severity, code) rules in one pass over the rows."""
+    fired = F.filter(
+        F.array(
+            *[
+                F.when(
+                    F.coalesce(condition, F.lit(False)),
+                    F.struct(F.lit(check).alias("check"), F.lit(severity).alias("severity"), F.lit(code).alias("code")),
+                )
+                for condition, check, severity, code in rules
+            ]
+        ),
+        lambda r: r.isNotNull(),
+    )
+    return df.select(F.col(key).cast("string").alias("key"), F.explode(fired).alias("e")).select(
+        "e.check", "e.severity", "key", "e.code", F.lit("").alias("detail"), F.lit(True).alias("fixable")
+    )
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 

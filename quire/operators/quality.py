@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.functions.ordered import Scan, first_per_key, ordered_scan, salted_join, tile_of_integer, top_n
-from quire.operators.findings import finding, union_all
+from quire.operators.findings import finding, rule_findings, union_all
 
 # ---------------------------------------------------------------------------
 # Fixed values
@@ -41,6 +41,7 @@ SOLVER_AGREEMENT = 3
 REQUIRED_LISTS = ["learning_goals", "techniques", "worked_examples", "common_mistakes", "mastery_checklist"]
 # ---------------------------------------------------------------------------
 
+HALF_UP = 1e-9  # halves round up whatever their binary form
 VOWELS, CONSONANTS = "aeiouy", "b-df-hj-np-tv-xz"
 
 
@@ -106,7 +107,7 @@ def grade_of(sentences: Column, words: Column, syllables: Column) -> Column:
 
 def readability(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """Grade and its parts per text; null grade where there is too little prose (Q1)."""
-    measured = docs.select(*keep, *[c.alias(n) for n, c in text_measures(text).items()])
+    measured = T.pinned(docs, keep, text_measures(text))
     return measured.withColumn("grade", grade_of(F.col("sentences"), F.col("words"), F.col("syllables")))
 
 
@@ -153,50 +154,83 @@ def _under(text: str, words: int) -> Column:
     return F.coalesce(T.word_count(text) < words, F.lit(True))
 
 
-def priming_findings(lessons: DataFrame) -> DataFrame:
-    """lessons: (id, about, will_be_able_to, common_pitfalls) (Q3)."""
+def priming_rules() -> list[tuple[Column, str, str, str]]:
     none = lambda c: F.coalesce(F.size(c), F.lit(0)) <= 0
-    f = lambda cond, severity, code: finding(lessons.filter(cond), "lesson_priming", severity, "id", code)
-    return union_all([
-        f(_under("about", 4), "reject", "NO_ABOUT"), f(none("will_be_able_to"), "reject", "NO_OUTCOMES"),
-        f(none("common_pitfalls"), "warn", "NO_PITFALLS"),
-    ])
+    check = "lesson_priming"
+    return [
+        (_under("about", 4), check, "reject", "NO_ABOUT"),
+        (none("will_be_able_to"), check, "reject", "NO_OUTCOMES"),
+        (none("common_pitfalls"), check, "warn", "NO_PITFALLS"),
+    ]
 
 
-def teaching_findings(skills: DataFrame) -> DataFrame:
-    """skills: (id, kind, name, explanation, steps, examples, common_mistake) (Q3)."""
+def teaching_rules() -> list[tuple[Column, str, str, str]]:
     procedure = F.col("kind") == "procedure"
     n = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
-    f = lambda cond, severity, code: finding(skills.filter(cond), "skill_teaching", severity, "id", code)
     mistake = F.when(procedure, _under("common_mistake", 3)).otherwise(_under("common_mistake", 1))
-    return union_all([
-        f(_under("explanation", 4), "reject", "NO_EXPLANATION"), f(n("examples") == 0, "reject", "NO_EXAMPLE"),
-        f(procedure & (n("steps") < 2), "reject", "NO_STEPS"), f(mistake, "warn", "NO_MISTAKE"),
-    ])
+    check = "skill_teaching"
+    return [
+        (_under("explanation", 4), check, "reject", "NO_EXPLANATION"),
+        (n("examples") == 0, check, "reject", "NO_EXAMPLE"),
+        (procedure & (n("steps") < 2), check, "reject", "NO_STEPS"),
+        (mistake, check, "warn", "NO_MISTAKE"),
+    ]
 
 
 def _stem(name: Column) -> Column:
     """Leading letters of a name that any of its forms share."""
-    low = F.lower(T.strip(name))
-    return F.substring(low, F.lit(1), F.greatest(F.lit(4), F.length(name) - 2))
+    return F.substring(F.lower(T.strip(name)), F.lit(1), F.greatest(F.lit(4), F.length(name) - 2))
 
 
-def circular_findings(skills: DataFrame) -> DataFrame:
-    """A name explained by itself and little else (Q4)."""
+def circular_rules() -> list[tuple[Column, str, str, str]]:
     name = F.lower(T.strip("name"))
     said = F.regexp_extract_all(F.lower(F.coalesce("explanation", F.lit(""))), F.lit("[a-z']+"), F.lit(0))
     prefix = F.substring(name, F.lit(1), F.greatest(F.lit(4), F.length(name) - 2))
     rest = F.filter(said, lambda w: (w != name) & ~F.startswith(w, prefix))
     hit = (F.length(name) >= 3) & F.array_contains(said, name) & (F.size(rest) < 4)
-    return finding(skills.filter(hit), "circular_definition", "reject", "id", "CIRCULAR")
+    return [(hit, "circular_definition", "reject", "CIRCULAR")]
 
 
-def example_use_findings(skills: DataFrame) -> DataFrame:
-    """Items whose examples never use them (Q5)."""
+def example_use_rules() -> list[tuple[Column, str, str, str]]:
     stem = _stem(F.col("name"))
     used = F.exists(F.coalesce("examples", F.array().cast("array<string>")), lambda e: F.contains(F.lower(e), stem))
     hit = (F.col("kind") == "item") & (F.coalesce(stem, F.lit("")) != "") & ~F.coalesce(used, F.lit(False))
-    return finding(skills.filter(hit), "example_uses_the_thing", "reject", "id", "NOT_USED")
+    return [(hit, "example_uses_the_thing", "reject", "NOT_USED")]
+
+
+def terse_step_rules() -> list[tuple[Column, str, str, str]]:
+    hit = (F.col("kind") == "procedure") & (F.size("steps") > 0) & F.forall("steps", lambda s: T.word_count(s) < 3)
+    return [(hit, "worked_example_shows_work", "warn", "TERSE_STEPS")]
+
+
+def priming_findings(lessons: DataFrame) -> DataFrame:
+    """What a lesson lacks to open a session (Q3). lessons: (id, about, will_be_able_to, common_pitfalls)."""
+    return rule_findings(lessons, "id", priming_rules())
+
+
+def teaching_findings(skills: DataFrame) -> DataFrame:
+    """What a skill lacks to be taught (Q3). skills: (id, kind, name, explanation, steps, examples, common_mistake)."""
+    return rule_findings(skills, "id", teaching_rules())
+
+
+def circular_findings(skills: DataFrame) -> DataFrame:
+    """A name explained by itself and little else (Q4)."""
+    return rule_findings(skills, "id", circular_rules())
+
+
+def example_use_findings(skills: DataFrame) -> DataFrame:
+    """Items whose examples never use them (Q5)."""
+    return rule_findings(skills, "id", example_use_rules())
+
+
+def terse_step_findings(skills: DataFrame) -> DataFrame:
+    """Procedures whose every step is under three words (Q7)."""
+    return rule_findings(skills, "id", terse_step_rules())
+
+
+def skill_findings(skills: DataFrame) -> DataFrame:
+    """All row-local checks on skills in one pass (Q3-Q5, Q7)."""
+    return rule_findings(skills, "id", teaching_rules() + circular_rules() + example_use_rules() + terse_step_rules())
 
 
 def skeleton(text: Column, name: Column) -> Column:
@@ -221,24 +255,17 @@ def templated_examples(examples: DataFrame, order: list[str], reuse: int = TEMPL
     return first_per_key(flagged.select("id", "skeleton", "skills", "first_seen"), ["id"], ["first_seen", "skeleton"]).drop("first_seen")
 
 
-def terse_step_findings(skills: DataFrame) -> DataFrame:
-    """Procedures whose every step is under three words (Q7)."""
-    hit = (F.col("kind") == "procedure") & (F.size("steps") > 0) & F.forall("steps", lambda s: T.word_count(s) < 3)
-    return finding(skills.filter(hit), "worked_example_shows_work", "warn", "id", "TERSE_STEPS")
-
-
 def contract_rollup(lessons: DataFrame, skills: DataFrame, findings: DataFrame) -> DataFrame:
     """One row: lessons and skills rejected, each counted alone (Q8)."""
     rejected = findings.filter(F.col("severity") == "reject").select(F.col("key").alias("id")).distinct()
-    ids = lambda df: df.select(F.col("id").cast("string").alias("id")).distinct()
-    bad = lambda df, name: ids(df).join(rejected, "id", "left_semi").agg(F.count(F.lit(1)).alias(name))
-    total = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    row = total(lessons, "lessons").crossJoin(total(skills, "skills")).crossJoin(bad(skills, "rejected_skills"))
-    row = row.crossJoin(bad(lessons, "rejected_lessons")).crossJoin(rejected.agg(F.count(F.lit(1)).alias("__r")))
-    return row.select(
-        "lessons", "skills", (F.col("skills") - F.col("rejected_skills")).alias("teachable"), "rejected_skills",
-        "rejected_lessons", (F.col("__r") == 0).alias("accepted"),
+    ids = lambda df, skill: df.select(F.col("id").cast("string").alias("id"), F.lit(skill).alias("is_skill"))
+    both = ids(lessons, False).unionByName(ids(skills, True)).join(rejected.withColumn("bad", F.lit(True)), "id", "left")
+    skill, bad = F.col("is_skill"), F.coalesce("bad", F.lit(False))
+    row = both.agg(
+        F.count_if(~skill).alias("lessons"), F.count_if(skill).alias("skills"), F.count_if(skill & ~bad).alias("teachable"),
+        F.count_if(skill & bad).alias("rejected_skills"), F.count_if(~skill & bad).alias("rejected_lessons"),
     )
+    return row.withColumn("accepted", F.col("rejected_skills") + F.col("rejected_lessons") == 0)
 
 
 def findings_by_check(findings: DataFrame) -> DataFrame:
@@ -247,10 +274,6 @@ def findings_by_check(findings: DataFrame) -> DataFrame:
 
 # -- equations (Q9) -------------------------------------------------------------------
 
-NUMBER = r"-?\d{1,9}(?:\.\d{1,6})?"
-OPERAND = rf"{NUMBER}(?:/\d{{1,9}})?"
-
-
 def equation_chains(leaves: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """Distinct ``a = b`` chains in the math spans of asserted fields (Q9)."""
     spans = F.transform(
@@ -268,40 +291,45 @@ def equation_chains(leaves: DataFrame, keep: list[str], text: str = "text") -> D
     return leaves.select(*keep, F.explode(chains).alias("chain"))
 
 
-def _side_value(side: Column) -> Column:
-    """Exact (num, den) of an integer, decimal, fraction or one-operator side; null when it is none."""
-    s = F.regexp_replace(side, r"\\[dt]?frac\{(-?\d+)\}\{(\d+)\}", "$1/$2")
-    s = F.regexp_replace(F.regexp_replace(s, r"\\times|×|\\cdot", "*"), r"\\div|÷", ":")
-    s = F.regexp_replace(s, r"(?U)\s|\{,\}", "")
-    dec = lambda v: v.cast("decimal(38,0)")
-
-    def operand(v: Column) -> tuple[Column, Column]:
-        top = F.regexp_extract(v, r"^(-?\d+)(?:\.(\d+))?(?:/(\d+))?$", 1)
-        part = F.regexp_extract(v, r"^(-?\d+)(?:\.(\d+))?(?:/(\d+))?$", 2)
-        under = F.regexp_extract(v, r"^(-?\d+)(?:\.(\d+))?(?:/(\d+))?$", 3)
-        n = F.concat(top, part).try_cast("decimal(38,0)")
-        d = F.concat(F.lit("1"), F.repeat(F.lit("0"), F.length(part))).try_cast("decimal(38,0)")
-        u = F.when(under == "", F.lit("1")).otherwise(under).try_cast("decimal(38,0)")
-        return n, (d * u).cast("decimal(38,0)")
-
-    single = s.rlike(rf"^{OPERAND}$")
-    pair = rf"^({OPERAND})([-+*:])({OPERAND})$"
-    left, op, right = (F.regexp_extract(s, pair, i) for i in (1, 2, 3))
-    n, d = operand(s)
-    a, b = operand(left)
-    c, e = operand(right)
-    num = F.when(op == "+", a * e + c * b).when(op == "-", a * e - c * b).when(op == "*", a * c).when(op == ":", a * e)
-    den = F.when(op == ":", b * c).otherwise(b * e)
-    value = F.when(single & (d != 0), F.struct(dec(n).alias("n"), dec(d).alias("d"))).when(
-        s.rlike(pair) & (den != 0), F.struct(dec(num).alias("n"), dec(den).alias("d"))
-    )
-    return value
+def _side_values(sides: Column) -> Column:
+    """Exact (n, d) of integer, decimal, fraction and one-operator sides; null for others.
+
+    Done in steps over the array, so that each text is matched once: clean, take the
+    parts, make fractions, apply the operator.
+    """
+    part = r"(-?\d{1,9})(?:\.(\d{1,6}))?(?:/(\d{1,9}))?"
+    pattern = rf"^{part}(?:([-+*:]){part})?$"
+
+    def clean(v: Column) -> Column:
+        v = F.regexp_replace(v, r"\\[dt]?frac\{(-?\d+)\}\{(\d+)\}", "$1/$2")
+        v = F.regexp_replace(F.regexp_replace(v, r"\\times|×|\\cdot", "*"), r"\\div|÷", ":")
+        return F.regexp_replace(v, r"(?U)\s|\{,\}", "")
+
+    group = lambda v, i: F.regexp_extract(v, pattern, i)
+    number = lambda v: v.try_cast("decimal(38,0)")
+
+    def fraction(whole: Column, decimals: Column, under: Column) -> list[Column]:
+        zeros = F.concat(F.lit("1"), F.repeat(F.lit("0"), F.length(decimals)))
+        bottom = number(F.when(under == "", F.lit("1")).otherwise(under)) * number(zeros)
+        return [number(F.concat(whole, decimals)), bottom.cast("decimal(38,0)")]
+
+    def parts(v: Column) -> Column:
+        (a, b), (c, e) = fraction(group(v, 1), group(v, 2), group(v, 3)), fraction(group(v, 5), group(v, 6), group(v, 7))
+        return F.when(v.rlike(pattern), F.struct(a.alias("a"), b.alias("b"), group(v, 4).alias("op"), c.alias("c"), e.alias("e")))
+
+    def value(p: Column) -> Column:
+        a, b, op, c, e = (p[k] for k in "a b op c e".split())
+        n = F.when(op == "", a).when(op == "+", a * e + c * b).when(op == "-", a * e - c * b).when(op == "*", a * c).when(op == ":", a * e)
+        d = F.when(op == "", b).when(op == ":", b * c).otherwise(b * e)
+        return F.struct(n.cast("decimal(38,0)").alias("n"), d.cast("decimal(38,0)").alias("d"))
+
+    values = F.transform(F.transform(F.transform(sides, clean), parts), value)
+    return F.filter(values, lambda v: v["n"].isNotNull() & (v["d"] != 0))
 
 
 def check_chains(chains: DataFrame) -> DataFrame:
     """Verdict per chain: ``true``, ``false`` or ``unchecked`` (Q9). Fractions are compared by cross products."""
-    values = F.filter(F.transform(F.split("chain", "="), lambda s: _side_value(s)), lambda v: v.isNotNull())
-    rows = chains.withColumn("__v", values)
+    rows = T.pinned(chains, chains.columns, {"__v": _side_values(F.split("chain", "="))})
     first = F.col("__v")[0]
     equal = F.forall("__v", lambda v: v["n"] * first["d"] == first["n"] * v["d"])
     verdict = F.when(F.size("__v") < 2, "unchecked").when(equal, "true").otherwise("false")
@@ -564,7 +592,7 @@ def repeatability(scores: DataFrame, keys: list[str], value: str = "score") -> D
     v = F.col(value)
     return scores.groupBy(*keys).agg(
         F.count(v).alias("runs"), F.min(v).alias("min"), F.max(v).alias("max"), (F.max(v) - F.min(v)).alias("range"),
-        F.round(F.avg(v), 2).alias("mean"), F.round(F.stddev_pop(v), 2).alias("stdev"),
+        F.round(F.avg(v) + HALF_UP, 2).alias("mean"), F.round(F.stddev_pop(v) + HALF_UP, 2).alias("stdev"),
     )
 
 

@@ -21,6 +21,16 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread a table that came in fewer splits than there are cores, before CPU-heavy work.
+
+    One small file is one split, so one core would do all the text work. A table with
+    enough splits is left as it is: nothing is shuffled at size.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the cluster names (``spark.checkpoint.dir``).
 
