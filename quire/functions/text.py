@@ -49,9 +49,10 @@ def nfkc(values: pd.Series) -> pd.Series:
 def contract_text(text: Column | str) -> Column:
     """NFKC, then squash: the form in which quotes and sources are compared.
 
-    ASCII text is its own NFKC form, so only other rows pay for the Python step.
+    ASCII text is its own NFKC form, so only other rows' text crosses to Python.
     """
-    return squash(nfkc(_col(text)))
+    column = _col(text)
+    return squash(F.coalesce(nfkc(F.when(column.rlike(r"[^\x00-\x7F]"), column)), column))
 
 
 def match_text(text: Column | str) -> Column:
