@@ -3,7 +3,7 @@
 A plain window puts a whole group in one task. Here a group is cut into tiles by
 its order column; each tile is scanned alone, one summary row per tile carries the
 state over, and the two are joined on (group, tile), the partitioning the tile
-scan already has. A group of n rows costs tasks of at most ``width`` rows plus one
+scan already has: one shuffle of the rows, read by scan and summary alike. A group of n rows costs tasks of at most ``width`` rows plus one
 scan of n/width summary rows.
 """
 
@@ -13,11 +13,23 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 TILE_WIDTH = 65536
 TILE = "__tile"
 
 
+def read_once(df: DataFrame, *keys: str | Column) -> DataFrame:
+    """Shuffle by ``keys`` such that several uses of the result share one computation.
+
+    Spark reuses an exchange only where both uses need the same columns; pruning would
+    make them differ and run everything below twice. The always-true filter names every
+    column and is not deterministic, so it stays above the exchange and keeps it whole.
+    """
+    flat = [F.map_entries(f.name) if isinstance(f.dataType, MapType) else F.col(f.name) for f in df.schema.fields]
+    return df.repartition(*keys).filter((F.xxhash64(*flat) >= F.lit(-(2**63))) & (F.rand(0) >= 0))
+
+
 @dataclass(frozen=True)
 class Scan:
     """One output column of an ordered scan.
@@ -51,7 +63,7 @@ def ordered_scan(
     scans: dict[str, Scan],
 ) -> DataFrame:
     """Add the scan columns; ``tile`` must not decrease along ``order``."""
-    tiled = df.withColumn(TILE, tile)
+    tiled = read_once(df.withColumn(TILE, tile), *keys, TILE)
     by_order = Window.partitionBy(*keys, TILE).orderBy(*order)
     upto, before = (
         by_order.rowsBetween(Window.unboundedPreceding, 0),

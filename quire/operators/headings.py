@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.functions.ordered import Scan, first_per_key, ordered_scan, tile_of_integer
+from quire.functions.ordered import Scan, first_per_key, ordered_scan, read_once, tile_of_integer
 from quire.operators.lines import line_table, near
 
 # ---------------------------------------------------------------------------
@@ -101,13 +101,8 @@ def heading_candidates(chunks: DataFrame, id: str = "id", keep: list[str] | None
     around = F.concat(
         near(F.col("before"), F.col("line_no"), 2), F.array(line), near(F.col("after"), F.col("line_no"), 2)
     )
-    return table.select(
-        *keep,
-        "line_no",
-        "line",
-        T.first_reason(tests).alias("rule"),
-        F.left(F.array_join(around, " "), F.lit(500)).alias("preview"),
-    ).filter(F.col("rule").isNotNull())
+    judged = T.pinned(table, table.columns, {"rule": T.first_reason(tests)}).filter(F.col("rule").isNotNull())
+    return judged.select(*keep, "line_no", "line", "rule", F.left(F.array_join(around, " "), F.lit(500)).alias("preview"))
 
 
 def _first_passing(rows: DataFrame, keys: list[str], order: list[str], passes: Column) -> DataFrame:
@@ -143,7 +138,7 @@ def outline_reduction(
             F.regexp_replace(original, r"\s*(?:\.\s*){3,}\s*\d+\s*$", ""),
         ).otherwise(original)
     )
-    rows = candidates.withColumn("__orig", original).withColumn("heading", heading)
+    rows = T.pinned(candidates, candidates.columns, {"__orig": original, "heading": heading})
     h, o = F.col("heading"), F.col("__orig")
     compact = F.regexp_replace(h, r"(?U)\s+", "")
     allowed = HIGH_RULES + MEDIUM_RULES + (LOW_RULES if include_low_confidence else [])
@@ -181,7 +176,8 @@ def outline_reduction(
             (~rule_ok, "rule_specific_noise"),
         ]
     )
-    kept = rows.filter(reason.isNull()).withColumn("__key", F.lower(h))
+    judged = T.pinned(rows, rows.columns, {"__reason": reason})
+    kept = judged.filter(F.col("__reason").isNull()).drop("__reason").withColumn("__key", F.lower(h))
     firsts = first_per_key(kept, [doc, "__key"], order)
     placed = ordered_scan(
         firsts, [doc], order, tile_of_integer(order[0], 1024), {"position": Scan("sum", F.lit(1))}
@@ -253,7 +249,9 @@ def section_candidates(
     if not include_front_matter and "is_front_matter" in chunks.columns:
         chunks = chunks.filter(~F.coalesce("is_front_matter", F.lit(False)))
     table = line_table(chunks.select(*keep, "text"), reach=3, keep=keep)
-    table = table.withColumn("line", T.squash("line")).withColumn("next_line", T.squash("next_line"))
+    table = T.pinned(
+        table, [*keep, "line_no", "before", "after"], {"line": T.squash("line"), "next_line": T.squash("next_line")}
+    )
     line, nxt = F.col("line"), F.col("next_line")
     named = F.endswith(F.lower(line), F.lit(".pdf"))
     if "source_pdf" in keep:
@@ -320,7 +318,7 @@ def section_candidates(
             F.col("candidate_type") == "numbered_heading",
             F.when(~decimal, "low").when(title != "", "high").otherwise("medium"),
         )
-        .when(F.col("candidate_type") == "question_heading", F.when(body_next, "high").otherwise("medium"))
+        .when(F.col("candidate_type") == "question_heading", F.when(F.col("__body"), "high").otherwise("medium"))
         .when(F.col("candidate_type") == "weak_title_like_line", "low")
         .otherwise("medium")
     )
@@ -328,11 +326,11 @@ def section_candidates(
         F.array_join(F.transform(near(F.col(name), F.col("line_no"), 3), T.squash), " "), F.lit(350)
     )
     wanted = [c for c, r in CONFIDENCE_RANK.items() if r >= CONFIDENCE_RANK[min_confidence]]
+    typed = T.pinned(table, table.columns, {"candidate_type": F.when(clean, kind), "__body": body_next}).filter(
+        F.col("candidate_type").isNotNull()
+    )
     return (
-        table.filter(clean)
-        .withColumn("candidate_type", kind)
-        .filter(F.col("candidate_type").isNotNull())
-        .withColumn("confidence", confidence)
+        typed.withColumn("confidence", confidence)
         .filter(F.col("confidence").isin(wanted))
         .select(
             *keep,
@@ -390,6 +388,7 @@ def _apply_duplicates_and_cap(
     the row's own reason, else it is judged last.
     """
     passes = F.col("__reason").isNull()
+    rows = read_once(rows, *keys, *order)
     rows = _first_passing(rows, [*keys, "__key"], order, passes)
     repeat = F.coalesce(F.struct(*order) > F.col("__first"), F.lit(False))
     reason = (
@@ -509,7 +508,7 @@ def section_outline(
         .otherwise("section_or_topic")
     )
     judged = (
-        base.withColumn("__reason", reason)
+        T.pinned(base, base.columns, {"__reason": reason})
         .withColumn("__keep_reason", F.lit("kept"))
         .withColumn("outline_level", level)
         .drop("__repeats", "__chapter_first", "__after")
@@ -589,7 +588,7 @@ def strict_section_outline(
         kind,
         F.when(conf == "high", "").when(numbered, "_with_title").otherwise("_with_body"),
     )
-    judged = base.withColumn("__reason", reason).withColumn("__keep_reason", keep_reason)
+    judged = T.pinned(base, base.columns, {"__reason": reason}).withColumn("__keep_reason", keep_reason)
     return _apply_duplicates_and_cap(judged, keys, order, max_per_chapter, "max_per_chapter_reached", True)
 
 
@@ -716,7 +715,7 @@ def topic_outline(
         .otherwise("section_or_topic")
     )
     judged = (
-        base.withColumn("__reason", F.coalesce(early, F.when(refused, type_reason), late))
+        T.pinned(base, base.columns, {"__reason": F.coalesce(early, F.when(refused, type_reason), late)})
         .withColumn("__keep_reason", type_reason)
         .withColumn("outline_level", level)
         .drop("__source_chunk")

@@ -80,22 +80,21 @@ def _plain(text: Column | str) -> Column:
 def text_measures(text: Column | str) -> dict[str, Column]:
     """Sentences, words and syllables of a text, each as one regex count over it (Q1).
 
-    Syllables are vowel groups, less one for a final e that closes a later group, and one
-    for a word without any: three counts over the text instead of a pass per word.
+    Syllables are vowel groups, less one for a final e that is not in the word's only
+    group, and one for a word without any: counts over the text instead of a pass per word.
     """
     plain = _plain(text)
     bare = F.replace(plain, F.lit("'"), F.lit(""))
     token = r"[^.!?\s\x1C-\x1F]+"
     gap = r"[\s\x1C-\x1F]+"
     groups = F.regexp_count(bare, F.lit(f"(?i)[{VOWELS}]+"))
-    silent = F.regexp_count(
-        bare, F.lit(f"(?i)(?<![a-z])[a-z]*[{VOWELS}][a-z]*[{CONSONANTS}][{VOWELS}]*e(?![a-z])")
-    )
-    mute = F.regexp_count(bare, F.lit(f"(?i)(?<![a-z])[{CONSONANTS}]+(?![a-z])"))
+    final_e = F.regexp_count(bare, F.lit("(?i)e(?![a-z])"))
+    only_e = F.regexp_count(bare, F.lit(f"(?i)(?<![a-z])[{CONSONANTS}]*+[{VOWELS}]*e(?![a-z])"))
+    mute = F.regexp_count(bare, F.lit(f"(?i)(?<![a-z])[{CONSONANTS}]++(?![a-z])"))
     return {
         "sentences": F.regexp_count(plain, F.lit(f"(?U){token}{gap}{token}{gap}{token}[^.!?]*")),
         "words": F.regexp_count(plain, F.lit("[A-Za-z']+")),
-        "syllables": groups - silent + mute,
+        "syllables": groups - (final_e - only_e) + mute,
     }
 
 

@@ -460,10 +460,11 @@ def _trim_refusal(original: Column, cleaned: Column, min_length: int, heading: C
             ),
             (much & (F.length(cleaned) < 300), "trim_skipped_removed_more_than_90_percent"),
             (
-                much & heading_offset(cleaned, heading).isNull(),
+                much & heading_offset(F.when(much, cleaned), heading).isNull(),
                 "trim_skipped_removed_more_than_90_percent_without_heading",
             ),
-        ]
+        ],
+        "ok",
     )
 
 
@@ -508,30 +509,26 @@ def trim_boundaries(chunks: DataFrame, sections: DataFrame, min_cleaned_length:
         .withColumn("__info", F.coalesce("__exact", "__any"))
         .withColumn("__text", F.coalesce("text", F.lit("")))
     )
-    section = F.coalesce("section", F.lit(""))
     body = ~F.coalesce("is_front_matter", F.lit(False))
-    known = F.col("__info").isNotNull() & (section != "")
+    known = F.col("__info").isNotNull() & (F.coalesce("section", F.lit("")) != "")
     attempt = known & (F.col("__text") != "") & body & (
         (F.col("id") == F.col("__first_id"))
         | F.col("page_start").eqNullSafe(F.col("section_page_start"))
     )
-    rows = rows.withColumn("__attempt", F.coalesce(attempt, F.lit(False)))
-    rows = rows.withColumn("__at", F.when(F.col("__attempt"), heading_offset(F.col("__text"), F.col("section"))))
-    cut = F.substring(F.col("__text"), F.col("__at") + 1, F.length("__text"))
-    rows = rows.withColumn(
-        "__why1",
-        F.when(F.col("__at") > 0, F.coalesce(_trim_refusal(F.col("__text"), cut, min_cleaned_length, F.col("section")), F.lit("ok"))),
-    )
-    rows = rows.withColumn("__t1", F.when(F.col("__why1") == "ok", cut).otherwise(F.col("__text")))
-    end = F.when(known & body & F.col("chapter_number").isNotNull() & (F.col("__t1") != ""), F.col("__info.next_section"))
-    rows = rows.withColumn("__end", F.when(end != "", end))
-    rows = rows.withColumn("__stop", heading_offset(F.col("__t1"), F.col("__end"), 1))
-    kept = T.rstrip(F.substring(F.col("__t1"), F.lit(1), F.col("__stop")))
-    rows = rows.withColumn(
-        "__why2",
-        F.when(F.col("__stop").isNotNull(), F.coalesce(_trim_refusal(F.col("__t1"), kept, min_cleaned_length, F.col("section")), F.lit("ok"))),
-    )
-    rows = rows.withColumn("__t2", F.when(F.col("__why2") == "ok", kept).otherwise(F.col("__t1")))
+    add = lambda df, **columns: T.pinned(df, df.columns, columns)
+    text, section = F.col("__text"), F.col("section")
+    rows = add(rows, __attempt=F.coalesce(attempt, F.lit(False)), __known=F.coalesce(known & body, F.lit(False)))
+    rows = add(rows, __at=heading_offset(F.when(F.col("__attempt"), text), section))
+    rows = add(rows, __cut=F.when(F.col("__at") > 0, F.substring(text, F.col("__at") + 1, F.length(text))))
+    rows = add(rows, __why1=F.when(F.col("__at") > 0, _trim_refusal(text, F.col("__cut"), min_cleaned_length, section)))
+    rows = add(rows, __t1=F.when(F.col("__why1") == "ok", F.col("__cut")).otherwise(text))
+    end = F.when(F.col("__known") & F.col("chapter_number").isNotNull() & (F.col("__t1") != ""), F.col("__info.next_section"))
+    rows = add(rows, __end=F.when(end != "", end))
+    rows = add(rows, __stop=heading_offset(F.col("__t1"), F.col("__end"), 1))
+    rows = add(rows, __kept=F.when(F.col("__stop").isNotNull(), T.rstrip(F.substring(F.col("__t1"), F.lit(1), F.col("__stop")))))
+    refusal = _trim_refusal(F.col("__t1"), F.col("__kept"), min_cleaned_length, section)
+    rows = add(rows, __why2=F.when(F.col("__stop").isNotNull(), refusal))
+    rows = add(rows, __t2=F.when(F.col("__why2") == "ok", F.col("__kept")).otherwise(F.col("__t1")))
     warnings = F.filter(
         F.array(
             F.when(F.col("__attempt") & F.col("__at").isNull(), F.concat(F.lit("start_heading_not_found:"), F.col("section"))),

@@ -14,7 +14,7 @@ derive(
 derive(
     "chapter_marks",
     """SELECT source AS doc, 'c' || CAST(doc_id AS STRING) AS id,
-       CASE WHEN doc_id % 91 = 0 THEN 'Interlude' ELSE 'CHAPTER ' || CAST(1 + n_chars % 40 AS STRING) END AS heading,
+       CASE WHEN doc_id % 19 = 0 THEN 'Interlude' ELSE 'CHAPTER ' || CAST(1 + n_chars % 40 AS STRING) END AS heading,
        doc_id * 2 AS position, CAST(floor(doc_id / 3) AS INT) + 1 AS page_start
        FROM documents WHERE n_chars % 7 = 3
        UNION ALL
@@ -41,7 +41,7 @@ _CASE = """CASE (doc_id * 7 + ({i})) % 16
   WHEN 0 THEN 'CHAPTER ' || CAST(1 + doc_id % 9 AS STRING)
   WHEN 1 THEN CAST(1 + doc_id % 9 AS STRING) || '.' || CAST(1 + ({i}) % 7 AS STRING) || ' ' || substr(l, 1, 34)
   WHEN 2 THEN 'What is ' || substr(l, 1, 24) || ' now?'
-  WHEN 3 THEN upper(substr(l, 1, 30))
+  WHEN 3 THEN upper(replace(substr(l, 1, 30), 'ß', 'ss'))
   WHEN 4 THEN substr(l, 1, 25)
   WHEN 5 THEN CAST(1 + ({i}) % 30 AS STRING) || '. ' || substr(l, 1, 20) || ' . . . . ' || CAST(doc_id % 300 AS STRING)
   WHEN 6 THEN 'www.' || substr(l, 1, 12)

@@ -260,7 +260,7 @@ def _shown(df):
 
 @query(
     "section_outline",
-    rf"""WITH s AS (SELECT *, {_KEY} AS key, lower(heading) AS lo, preview_after AS af, lower(heading || ' ' || preview_after) AS both FROM seccand),
+    rf"""WITH s AS (SELECT *, {_KEY} AS key, lower(heading) AS lo, preview_after AS af, lower(heading || ' ' || preview_after) AS bth FROM seccand),
        r AS (SELECT *, count(*) OVER (PARTITION BY doc, chapter_number, key) AS reps, min((ord, line_number)) OVER (PARTITION BY doc, chapter_number) AS cf, trim(lo, ':. ') AS bare,
          confidence = 'high' AND candidate_type IN ('numbered_heading', 'question_heading') AS sure FROM s),
        b AS (SELECT *, CASE
@@ -268,7 +268,7 @@ def _shown(df):
          WHEN {m(_HD, PAGE_NO)} OR {m(_HD, BAR)} THEN 'page_label' WHEN {m(_HD, FOOT)} OR {m(_HD, RUNNING)} THEN 'header_or_footer' WHEN {m(_HD, r'(?i)^chapter\s+\d+$')} THEN 'repeated_chapter_marker'
          WHEN {_item(r'(?:\.\d{1,2})*\s+')} THEN 'exercise_or_list_fragment' WHEN {m(_HD, r'^[\-\*•◦▪–—\s]+$')} THEN 'bullet_or_marker'
          WHEN {m(_HD, r'[<>{}\[\]`]')} OR {_CROWD} THEN 'too_much_punctuation' WHEN {_CODE} THEN 'code_fragment'
-         WHEN {m(_HD, r'(?i)^figure\s+\d|^fig\.\s*\d|^table\s+\d|^source:|\bcaption\b')} OR {holds('both', TERMS)} OR (contains(heading, ',') AND NOT {m(_HD, r'(?i)^factor\s+\d+:')})
+         WHEN {m(_HD, r'(?i)^figure\s+\d|^fig\.\s*\d|^table\s+\d|^source:|\bcaption\b')} OR {holds('bth', TERMS)} OR (contains(heading, ',') AND NOT {m(_HD, r'(?i)^factor\s+\d+:')})
            OR ({m(_HD, r'(?i)\b(?:human|model|input|output|prompt|label|response)\b')} AND NOT {m(_AF, '[.!?]')}) OR ({dig(_HD)} >= 3 AND NOT starts_with(lo, 'factor ') AND NOT starts_with(lo, 'step ')) OR contains(heading, '%') THEN 'caption_or_table_noise'
          WHEN {m(_HD, '[=×*/]|' + METRICS)} THEN 'formula_or_metric_noise'
          WHEN bare IN ('answer','answers','example','examples','note','notes','question','questions','tip','tips') OR ({m('bare', r'^(example|answer|note|tip)\s*\d*[:.]?\s*(.*)$')} AND trim(regexp_extract(bare, '^(example|answer|note|tip)\s*\d*[:.]?\s*(.*)$', 2)) = '') THEN 'generic_heading'
@@ -284,7 +284,7 @@ def section_outline(t: Tables):
 
 
 _GEN = r"^(activity|answer|example|exercise|note|question|review|summary|tip)\s*\d*[:.]?\s*(.*)$"
-_STRICT_BASE = rf"""s AS (SELECT *, {_KEY} AS key, lower(heading) AS lo, preview_after AS af, lower(heading || ' ' || preview_after) AS both, trim(lower(heading), ':. ') AS bare,
+_STRICT_BASE = rf"""s AS (SELECT *, {_KEY} AS key, lower(heading) AS lo, preview_after AS af, lower(heading || ' ' || preview_after) AS bth, trim(lower(heading), ':. ') AS bare,
          trim(regexp_extract(trim(lower(heading), ':. '), '{_GEN}', 2)) AS gt, {squashed("regexp_extract(heading, '^\\d{1,2}\\.\\d{1,2}(?:\\.\\d{1,2})*\\.?\\s+(.+)$', 1)")} AS st FROM seccand),
        b AS (SELECT *, CASE
          WHEN len(heading) < 8 THEN 'too_short' WHEN len(heading) > 140 THEN 'too_long' WHEN {m(_HD, URL)} THEN 'url_or_email'
@@ -293,12 +293,12 @@ _STRICT_BASE = rf"""s AS (SELECT *, {_KEY} AS key, lower(heading) AS lo, preview
          WHEN {_item(r'(?:\.\d{1,2})*\s+\S+')} THEN 'exercise_or_numbered_question'
          WHEN bare IN ('activity','answer','answers','example','examples','exercise','exercises','note','notes','question','questions','review','summary','tip','tips') OR ({m('bare', _GEN)} AND (len(gt) < 5 OR {let('gt')} < 3)) THEN 'generic_heading'
          WHEN {m(_HD, '[=×*/%]|' + METRICS)} OR ({dig(_HD)} >= 3 AND {let(_HD)} <= 12) THEN 'formula_or_numeric_noise'
-         WHEN {m(_HD, r'(?i)^(figure|fig\.|table)\s+\d')} OR {holds('both', TERMS + ['caption', 'source:'])} THEN 'caption_or_table_noise'
+         WHEN {m(_HD, r'(?i)^(figure|fig\.|table)\s+\d')} OR {holds('bth', TERMS + ['caption', 'source:'])} THEN 'caption_or_table_noise'
          WHEN candidate_type IN ('short_title_like_line', 'weak_title_like_line') THEN 'weak_short_title_like'
          WHEN candidate_type = 'mostly_uppercase_short_line' AND NOT ({wrd(_HD)} BETWEEN 2 AND 8 AND {_BODY}) THEN 'mostly_uppercase_non_title'
          WHEN candidate_type = 'numbered_heading' THEN CASE WHEN NOT (len(st) >= 5 AND {let('st')} >= 3 AND NOT {m('st', r'^\p{Ll}')}) THEN 'numbered_heading_without_meaningful_title' WHEN confidence <> 'high' THEN 'numbered_heading_confidence_not_allowed' END
          WHEN candidate_type = 'question_heading' THEN CASE WHEN NOT (heading LIKE '%?' AND {m(_HD, r'^\p{Lu}')} AND {wrd(_HD)} BETWEEN 3 AND 18 AND {starts('lo', STARTERS)}) THEN 'invalid_question_heading'
-           WHEN {holds('both', ['animal', 'cats', 'dogs', 'dolphins', 'sharks'])} THEN 'question_example_noise' WHEN confidence <> 'high' THEN 'question_heading_confidence_not_allowed' END
+           WHEN {holds('bth', ['animal', 'cats', 'dogs', 'dolphins', 'sharks'])} THEN 'question_example_noise' WHEN confidence <> 'high' THEN 'question_heading_confidence_not_allowed' END
          ELSE 'candidate_type_not_allowed' END AS r0 FROM s)"""
 
 
@@ -310,7 +310,7 @@ def strict_section_outline(t: Tables):
 @query(
     "topic_outline",
     rf"""WITH src AS (SELECT doc, chapter_number, arg_min(id, ord) AS source_chunk FROM structured GROUP BY doc, chapter_number),
-       s AS (SELECT c.*, lower(heading) AS key, lower(heading) AS lo, preview_after AS af, lower(heading || ' ' || preview_after) AS both, src.source_chunk = c.id AS opening FROM seccand c JOIN src USING (doc, chapter_number)),
+       s AS (SELECT c.*, lower(heading) AS key, lower(heading) AS lo, preview_after AS af, lower(heading || ' ' || preview_after) AS bth, src.source_chunk = c.id AS opening FROM seccand c JOIN src USING (doc, chapter_number)),
        k AS (SELECT *, CASE WHEN candidate_type IN ('numbered_heading', 'question_heading', 'heading_followed_by_body') THEN 'allowed_candidate_type' WHEN candidate_type = 'mostly_uppercase_short_line' THEN 'uppercase_heading_excluded'
            WHEN candidate_type = 'short_title_like_line' THEN CASE WHEN opening THEN 'chapter_opening_title' ELSE 'short_title_like_excluded' END ELSE 'candidate_type_not_allowed' END AS tr FROM s),
        b AS (SELECT *, CASE
@@ -324,7 +324,7 @@ def strict_section_outline(t: Tables):
          WHEN tr NOT IN ('allowed_candidate_type', 'chapter_opening_title') THEN tr
          WHEN tr <> 'chapter_opening_title' AND ({wrd(_HD)} > 16 OR {m(_HD, r'[.,;]$')}) THEN 'sentence_like_noise'
          WHEN contains(lo, ' and others') OR ({m('lo', r'\b(?:billion|trillion|million)\b')} AND {dig(_HD)} > 0) OR (contains(heading, ',') AND {wrd(_HD)} > 8) THEN 'table_row_sentence_noise'
-         WHEN {holds('both', ['figure ', 'table ', 'source:', '% exposure', 'pop.', 'rank ', 'score ', 'benchmark', 'dataset', 'accuracy'])} OR ({wrd(_HD)} >= 4 AND len(list_filter(string_split(heading, ' '), lambda x: regexp_matches(x, '^\p{{Lu}}'))) = {wrd(_HD)}
+         WHEN {holds('bth', ['figure ', 'table ', 'source:', '% exposure', 'pop.', 'rank ', 'score ', 'benchmark', 'dataset', 'accuracy'])} OR ({wrd(_HD)} >= 4 AND len(list_filter(string_split(heading, ' '), lambda x: regexp_matches(x, '^\p{{Lu}}'))) = {wrd(_HD)}
            AND len(list_filter(string_split(heading, ' '), lambda x: len(x) <= 3)) >= 2) THEN 'table_or_figure_noise' END AS r0 FROM k),
        {_final('b', 'tr', 25, 'max_entries_per_chapter_reached', False)}""",
 )
@@ -426,8 +426,8 @@ derive(
     "section_asof",
     """WITH p AS (SELECT * FROM placed), b AS (SELECT *, NOT is_front_matter AND page_start IS NOT NULL AS body FROM p),
        f AS (SELECT doc, chapter_number, page_start, arg_min(section, position) AS first, arg_max(section, position) AS last FROM sections GROUP BY doc, chapter_number, page_start),
-       a AS (SELECT b.id, arg_max(f.last, f.page_start) AS asof, max(CASE WHEN f.page_start = b.page_start THEN f.first END) AS same FROM b JOIN f ON f.doc = b.doc AND f.chapter_number = b.chapter_number AND f.page_start <= b.page_start WHERE body GROUP BY b.id)
-       SELECT b.id, coalesce(same, asof) AS section FROM b LEFT JOIN a USING (id)""",
+       a AS (SELECT b.id, arg_max(f.last, f.page_start) AS aof, max(CASE WHEN f.page_start = b.page_start THEN f.first END) AS same FROM b JOIN f ON f.doc = b.doc AND f.chapter_number = b.chapter_number AND f.page_start <= b.page_start WHERE body GROUP BY b.id)
+       SELECT b.id, coalesce(same, aof) AS section FROM b LEFT JOIN a USING (id)""",
 )
 def section_asof(t: Tables):
     return S.assign_sections(t.placed.drop("section", "text"), t.sections).select("id", "section")
@@ -450,9 +450,9 @@ derive(
 @query(
     "boundary_trim",
     r"""WITH n AS (SELECT *, lead(section) OVER (PARTITION BY doc, chapter_number ORDER BY doc_id) AS nxt FROM bounded),
-       a AS (SELECT *, lead || head || body || CASE WHEN nxt IS NULL THEN '' ELSE chr(10) || nxt || chr(10) || 'tail' END AS text, CASE WHEN head <> '' THEN len(lead) + 2 END AS at FROM n),
-       b AS (SELECT *, substr(text, at + 1) AS cut FROM a),
-       c AS (SELECT *, CASE WHEN at > 0 THEN CASE WHEN trim(cut, ' ' || chr(10)) = '' THEN 'trim_skipped_empty_text' WHEN len(cut) < 200 AND len(text) > 500 THEN 'trim_skipped_below_min_cleaned_length'
+       a AS (SELECT *, lead || head || body || CASE WHEN nxt IS NULL THEN '' ELSE chr(10) || nxt || chr(10) || 'tail' END AS text, CASE WHEN head <> '' THEN len(lead) + 2 END AS hat FROM n),
+       b AS (SELECT *, substr(text, hat + 1) AS cut FROM a),
+       c AS (SELECT *, CASE WHEN hat > 0 THEN CASE WHEN trim(cut, ' ' || chr(10)) = '' THEN 'trim_skipped_empty_text' WHEN len(cut) < 200 AND len(text) > 500 THEN 'trim_skipped_below_min_cleaned_length'
            WHEN len(cut) < len(text) * 0.1 AND len(cut) < 300 THEN 'trim_skipped_removed_more_than_90_percent' ELSE 'ok' END END AS w1 FROM b),
        d AS (SELECT *, CASE WHEN w1 = 'ok' THEN cut ELSE text END AS t1 FROM c),
        e AS (SELECT *, CASE WHEN nxt IS NOT NULL THEN rtrim(substr(t1, 1, len(t1) - len(nxt) - 6), ' ' || chr(10)) END AS kept FROM d),
