@@ -427,6 +427,7 @@ def section_outline(
         .withColumn("__key", T.heading_key("heading"))
         .withColumn("__after", T.squash(F.coalesce("preview_after", F.lit(""))))
     )
+    base = read_once(base, *keys, *order)
     counts = base.groupBy(*keys, "__key").agg(F.count(F.lit(1)).alias("__repeats"))
     firsts = base.groupBy(*keys).agg(F.min(F.struct(*order)).alias("__chapter_first"))
     base = base.join(counts, [*keys, "__key"]).join(firsts, keys)

@@ -383,49 +383,63 @@ def _generic_title(title: Column) -> Column:
     return (F.length(folded) <= 12) | folded.isin(SHORT_TITLES)
 
 
-def heading_offset(text: Column, title: Column, min_start: int = 0) -> Column:
-    """0-based offset at which ``title`` stands as a heading in ``text``, else null.
+def with_heading_offset(df: DataFrame, text: str, title: str, name: str, min_start: int = 0) -> DataFrame:
+    """Add the 0-based offset at which ``title`` stands as a heading in ``text``, else null.
 
-    First a line that is the title, or begins with it; then a title broken over lines.
-    The title is always escaped before it is used as a pattern.
+    First a line that is the title, or begins with it; then a title broken over lines. The
+    title is always escaped before it is used as a pattern. What depends on the row alone
+    is pinned before the lines are walked, so no line works it out again.
     """
-    t = F.lower(_soft(title))
-    n = F.length(_soft(title))
-    generic = _generic_title(title)
-    regex = _title_regex(title)
+    usable = (F.coalesce(F.col(text), F.lit("")) != "") & (F.coalesce(F.col(title), F.lit("")) != "")
+    pieces = F.regexp_extract_all(F.col(text), F.lit(rf"(?s)(.*?)({T.LINE_BREAK}|\z)"), F.lit(0))
+    rows = T.pinned(
+        df,
+        df.columns,
+        {
+            "__h": F.when(usable, F.lower(_soft(F.col(title)))),
+            "__n": F.length(_soft(F.col(title))),
+            "__g": _generic_title(F.col(title)),
+            "__r": _title_regex(F.col(title)),
+            "__p": F.when(usable, pieces),
+        },
+    )
+    t, n, generic, regex = F.col("__h"), F.col("__n"), F.col("__g"), F.col("__r")
     wide = F.greatest(F.lit(120), n + 80)
-    pieces = F.regexp_extract_all(text, F.lit(rf"(?s)(.*?)({T.LINE_BREAK}|\z)"), F.lit(0))
-    spaces = lambda v: F.length(F.regexp_extract(v, rf"(?U)\A({T.SPACE}*)", 1))
-
-    def shift(v: Column) -> Column:
-        """Offset of the heading inside line ``v``, or null."""
-        bare = T.strip(v)
-        norm = _soft(bare)
-        low = F.lower(norm)
-        extra = F.trim(F.substring(norm, n + 1, F.length(norm)))
+    # lines short enough to be headings, each cleaned once
+    lines = F.filter(
+        F.transform(F.col("__p"), lambda v, i: F.struct(v.alias("v"), i.alias("i"), _soft(v).alias("s"))),
+        lambda z: (z["s"] != "") & (F.length(z["s"]) <= wide),
+    )
+    rows = T.pinned(rows, rows.columns, {"__l": lines})
+
+    def place(z: Column) -> Column:
+        """Characters before the heading inside the line, or null."""
+        low = F.lower(z["s"])
+        lead = F.length(F.regexp_extract(z["v"], rf"(?U)\A({T.SPACE}*)", 1))
+        extra = F.trim(F.substring(z["s"], n + 1, F.length(z["s"])))
         begins = (
-            F.startswith(low, t) & (F.length(norm) <= F.greatest(F.lit(80), n + 40)) & ((extra == "") | extra.rlike(r"^[:\-|]"))
+            F.startswith(low, t) & (F.length(z["s"]) <= F.greatest(F.lit(80), n + 40)) & ((extra == "") | extra.rlike(r"^[:\-|]"))
         )
-        at = F.regexp_instr(bare, F.concat(F.lit("(?iu)"), regex)) - 1
-        inside = ~generic & (F.length(norm) <= wide) & at.between(0, 4)
-        return F.when(norm != "", F.when((low == t) | begins, spaces(v)).when(inside, spaces(v) + at))
+        at = F.regexp_instr(T.strip(z["v"]), F.concat(F.lit("(?iu)"), regex)) - 1
+        return F.when((low == t) | begins, lead).when(~generic & at.between(0, 4), lead + at)
 
-    found = F.filter(
-        F.transform(
-            F.filter(F.transform(pieces, lambda v, i: F.struct(v.alias("v"), i.alias("i"))), lambda s: shift(s["v"]).isNotNull()),
-            lambda s: F.struct(
-                F.length(F.array_join(F.slice(pieces, 1, s["i"]), "")).alias("start"), shift(s["v"]).alias("shift")
-            ),
-        ),
-        lambda s: s["start"] >= min_start,
+    placed = F.filter(
+        F.transform("__l", lambda z: F.struct(z["i"].alias("i"), place(z).alias("at"))), lambda z: z["at"].isNotNull()
     )
-    on_line = F.get(found, 0)["start"] + F.get(found, 0)["shift"]
+    rows = T.pinned(rows, rows.columns, {"__w": placed})
+    starts = F.filter(
+        F.transform("__w", lambda z: F.struct(F.length(F.array_join(F.slice("__p", F.lit(1), z["i"]), "")).alias("start"), z["at"].alias("at"))),
+        lambda z: z["start"] >= min_start,
+    )
+    rows = T.pinned(rows, rows.columns, {"__o": F.get(starts, 0)["start"] + F.get(starts, 0)["at"]})
 
-    # a title broken over lines: (line start)(prefix)(title)(rest of line)
-    broken_regex = F.concat(F.lit(r"(?iu)(?:\A|\n)([^\n]*?)("), regex, F.lit(r")([^\n]*)"))
-    whole = F.regexp_extract_all(text, broken_regex, F.lit(0))
-    prefix = F.regexp_extract_all(text, broken_regex, F.lit(1))
-    both = F.arrays_zip(whole.alias("w"), prefix.alias("p"))
+    # a title broken over lines: (line start)(prefix)(title)(rest of line); looked for only where no line was found
+    broken = F.concat(F.lit(r"(?iu)(?:\A|\n)([^\n]*?)("), regex, F.lit(r")([^\n]*)"))
+    looked = F.when(F.col("__o").isNull() & t.isNotNull(), F.col(text))
+    both = F.arrays_zip(
+        F.regexp_extract_all(looked, broken, F.lit(0)).alias("w"), F.regexp_extract_all(looked, broken, F.lit(1)).alias("p")
+    )
+    rows = T.pinned(rows, rows.columns, {"__b": both})
 
     def is_heading(m: Column) -> Column:
         norm = _soft(m["w"])
@@ -434,38 +448,35 @@ def heading_offset(text: Column, title: Column, min_start: int = 0) -> Column:
             generic, F.startswith(low, t) & (F.length(norm) <= F.greatest(F.lit(80), n + 30))
         ).otherwise((F.length(norm) <= wide) & (F.length(_soft(m["p"])) <= 4))
 
-    starts = F.filter(
+    found = F.filter(
         F.transform(
-            F.filter(both, is_heading),
-            lambda m: _locate(m["w"], text) + F.startswith(m["w"], F.lit("\n")).cast("int") + F.length(m["p"]),
+            F.filter("__b", is_heading),
+            lambda m: _locate(m["w"], F.col(text)) + F.startswith(m["w"], F.lit("\n")).cast("int") + F.length(m["p"]),
         ),
-        lambda s: s >= min_start,
+        lambda v: v >= min_start,
     )
-    usable = (F.coalesce(text, F.lit("")) != "") & (F.coalesce(title, F.lit("")) != "")
-    return F.when(usable, F.coalesce(on_line, F.get(starts, 0)))
+    return rows.select(*df.columns, F.coalesce("__o", F.get(found, 0)).alias(name))
 
 
 def _locate(part: Column, text: Column) -> Column:
     return F.position(part, text) - 1
 
 
-def _trim_refusal(original: Column, cleaned: Column, min_length: int, heading: Column) -> Column:
-    much = F.length(cleaned) < F.length(original) * F.lit(0.10).cast("double")
-    return T.first_reason(
+def _with_refusal(df: DataFrame, original: str, cleaned: str, heading: str, min_length: int, name: str) -> DataFrame:
+    """Add why a cut is not safe, ``ok`` when it is, null where nothing was cut."""
+    o, c = F.col(original), F.col(cleaned)
+    much = F.length(c) < F.length(o) * F.lit(0.10).cast("double")
+    rows = with_heading_offset(df.withColumn("__much", F.when(much, c)), "__much", heading, "__kept_heading")
+    reason = T.first_reason(
         [
-            (T.blank(cleaned), "trim_skipped_empty_text"),
-            (
-                (F.length(cleaned) < min_length) & (F.length(original) > 500),
-                "trim_skipped_below_min_cleaned_length",
-            ),
-            (much & (F.length(cleaned) < 300), "trim_skipped_removed_more_than_90_percent"),
-            (
-                much & heading_offset(F.when(much, cleaned), heading).isNull(),
-                "trim_skipped_removed_more_than_90_percent_without_heading",
-            ),
+            (T.blank(c), "trim_skipped_empty_text"),
+            ((F.length(c) < min_length) & (F.length(o) > 500), "trim_skipped_below_min_cleaned_length"),
+            (much & (F.length(c) < 300), "trim_skipped_removed_more_than_90_percent"),
+            (much & F.col("__kept_heading").isNull(), "trim_skipped_removed_more_than_90_percent_without_heading"),
         ],
         "ok",
     )
+    return T.pinned(rows, df.columns, {name: F.when(c.isNotNull(), reason)})
 
 
 def section_neighbours(sections: DataFrame, doc: str = "doc") -> DataFrame:
@@ -518,16 +529,16 @@ def trim_boundaries(chunks: DataFrame, sections: DataFrame, min_cleaned_length:
     add = lambda df, **columns: T.pinned(df, df.columns, columns)
     text, section = F.col("__text"), F.col("section")
     rows = add(rows, __attempt=F.coalesce(attempt, F.lit(False)), __known=F.coalesce(known & body, F.lit(False)))
-    rows = add(rows, __at=heading_offset(F.when(F.col("__attempt"), text), section))
+    rows = add(rows, __try=F.when(F.col("__attempt"), text))
+    rows = with_heading_offset(rows, "__try", "section", "__at")
     rows = add(rows, __cut=F.when(F.col("__at") > 0, F.substring(text, F.col("__at") + 1, F.length(text))))
-    rows = add(rows, __why1=F.when(F.col("__at") > 0, _trim_refusal(text, F.col("__cut"), min_cleaned_length, section)))
+    rows = _with_refusal(rows, "__text", "__cut", "section", min_cleaned_length, "__why1")
     rows = add(rows, __t1=F.when(F.col("__why1") == "ok", F.col("__cut")).otherwise(text))
     end = F.when(F.col("__known") & F.col("chapter_number").isNotNull() & (F.col("__t1") != ""), F.col("__info.next_section"))
     rows = add(rows, __end=F.when(end != "", end))
-    rows = add(rows, __stop=heading_offset(F.col("__t1"), F.col("__end"), 1))
+    rows = with_heading_offset(rows, "__t1", "__end", "__stop", 1)
     rows = add(rows, __kept=F.when(F.col("__stop").isNotNull(), T.rstrip(F.substring(F.col("__t1"), F.lit(1), F.col("__stop")))))
-    refusal = _trim_refusal(F.col("__t1"), F.col("__kept"), min_cleaned_length, section)
-    rows = add(rows, __why2=F.when(F.col("__stop").isNotNull(), refusal))
+    rows = _with_refusal(rows, "__t1", "__kept", "section", min_cleaned_length, "__why2")
     rows = add(rows, __t2=F.when(F.col("__why2") == "ok", F.col("__kept")).otherwise(F.col("__t1")))
     warnings = F.filter(
         F.array(
@@ -659,34 +670,34 @@ def lesson_marker(text: Column | str) -> Column:
     return F.when(hit.isNotNull(), F.concat(prefix, number))
 
 
-def marker_runs(rows: DataFrame, keys: list[str], order: list[str], tile: Column, marker: str = "marker") -> DataFrame:
+def marker_runs(
+    rows: DataFrame, keys: list[str], order: list[str], tile: Column, marker: str = "marker", opened: list[str] | None = None
+) -> DataFrame:
     """A marker unlike the current one opens the next run (D19); rows before any marker have run 0.
 
-    Two scans: the previous marker, then the running count of changes.
+    Two scans: the previous marker, then the running count of changes with what the
+    opening row held (``opened`` columns, as ``opened_by``).
     """
     seen = ordered_scan(rows, keys, order, tile, {"__prev": Scan("last_before", F.col(marker))})
     change = F.col(marker).isNotNull() & ~F.col(marker).eqNullSafe(F.col("__prev"))
     flagged = seen.withColumn("__change", change.cast("int"))
-    return ordered_scan(
-        flagged, keys, order, tile,
-        {"run": Scan("sum", F.col("__change")), "current": Scan("last", F.col(marker))},
-    ).drop("__prev", "__change")
+    scans = {"run": Scan("sum", F.col("__change")), "current": Scan("last", F.col(marker))}
+    if opened:
+        scans["opened_by"] = Scan("last", F.when(F.col("__change") == 1, F.struct(*opened)))
+    return ordered_scan(flagged, keys, order, tile, scans).drop("__prev", "__change")
 
 
 def lesson_chapters(chunks: DataFrame, doc: str = "doc") -> DataFrame:
     """Chapters from lesson markers, for documents without any other structure."""
-    rows = chunks.withColumn("__marker", lesson_marker(F.col("text")))
-    runs = marker_runs(rows, [doc], ["ord"], tile_of_integer("ord"), "__marker")
-    started = runs.groupBy(doc, "run").agg(
-        F.min_by(F.struct(F.col("id").alias("chapter_source_chunk_id"), F.col("page_start").alias("chapter_source_page")), "ord").alias("__s")
-    )
+    rows = T.pinned(chunks, chunks.columns, {"__marker": lesson_marker(F.col("text"))})
+    runs = marker_runs(rows, [doc], ["ord"], tile_of_integer("ord"), "__marker", ["id", "page_start"])
     front = F.col("run") == 0
-    return runs.join(started, [doc, "run"]).select(
+    return runs.select(
         *chunks.columns,
         F.when(~front, F.col("current")).alias("chapter"),
         F.when(~front, F.col("run")).alias("chapter_number"),
-        F.when(~front, F.col("__s.chapter_source_chunk_id")).alias("chapter_source_chunk_id"),
-        F.when(~front, F.col("__s.chapter_source_page")).alias("chapter_source_page"),
+        F.col("opened_by.id").alias("chapter_source_chunk_id"),
+        F.col("opened_by.page_start").alias("chapter_source_page"),
         front.alias("is_front_matter"),
         F.when(~front, F.col("current")).alias("section"),
     )

@@ -246,7 +246,7 @@ def test_heading_offset(spark):
     df = spark.createDataFrame([(i, t, h) for i, (t, h, _, _) in enumerate(cases)], "i int, t string, h string")
     got = {}
     for m in (0, 1):
-        for r in df.select("i", S.heading_offset(F.col("t"), F.col("h"), m).alias("o")).collect():
+        for r in S.with_heading_offset(df, "t", "h", "o", m).collect():
             got[(r.i, m)] = r.o
     for i, (_, _, m, want) in enumerate(cases):
         assert got[(i, m)] == want, cases[i]
