@@ -38,7 +38,7 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
-QUERY_BATCH = 256
+QUERY_PACKS = 16
 
 
 def similarity_top_k(
@@ -46,28 +46,31 @@ def similarity_top_k(
     queries: DataFrame,
     k: int = 5,
     scope: list[str] | None = None,
+    packs: int = QUERY_PACKS,
 ) -> DataFrame:
     """Top ``k`` nodes per query, metadata filter first.
 
     nodes: (node_id, embedding, *scope); queries: (query_id, query_vector, *scope).
-    Queries are packed into arrays of at most ``QUERY_BATCH`` vectors; each node meets
-    each pack once, keeps a row per query in its pack, and every partition is cut to k
-    rows per query before the shuffle. With a scope the packs meet only their own
-    nodes, on an equi join. Exact: each node is scored against each query of its scope.
+    Queries are packed into ``packs`` arrays per scope; each node meets each pack of its
+    scope in an equi join, keeps one row per query, and every partition is cut to k rows
+    per query before the shuffle. Exact: each node is scored against each query of its
+    scope. Raise ``packs`` with the number of queries.
     """
     scope = scope or []
-    pack = F.pmod(F.xxhash64("query_id"), F.lit(QUERY_BATCH))
-    packs = queries.groupBy(*scope, pack.alias("__pack")).agg(
+    pack = F.pmod(F.xxhash64("query_id"), F.lit(packs)).cast("int")
+    packed = queries.groupBy(*scope, pack.alias("__pack")).agg(
         F.collect_list(F.struct("query_id", "query_vector")).alias("__queries")
     )
-    paired = nodes.join(packs, scope) if scope else nodes.join(packs, F.lit(True))
-    scored = paired.select(
-        "node_id", *scope, F.col("embedding"), F.explode("__queries").alias("q")
-    ).select(
-        F.col("q.query_id").alias("query_id"),
-        "node_id",
-        *scope,
-        cosine(F.col("embedding"), F.col("q.query_vector")).alias("score"),
+    fanned = nodes.withColumn("__pack", F.explode(F.sequence(F.lit(0), F.lit(packs - 1))))
+    scored = (
+        fanned.join(packed, [*scope, "__pack"])
+        .select("node_id", *scope, "embedding", F.explode("__queries").alias("q"))
+        .select(
+            F.col("q.query_id").alias("query_id"),
+            "node_id",
+            *scope,
+            cosine(F.col("embedding"), F.col("q.query_vector")).alias("score"),
+        )
     )
     ranked = [F.desc_nulls_last(F.round("score", SCORE_DIGITS)), F.asc("node_id")]
     return top_n(scored, ["query_id"], ranked, k)
