@@ -146,9 +146,9 @@ def _field_claims(number: int, field: str, sub: str | None, kind: str, inherits:
             kind, text, context, origin, ids, parts["origin"], parts["kind"],
         )
 
-    objects_only = sub is not None
-    rows = F.transform(F.coalesce(items, F.array().cast("array<string>")), one)
-    if objects_only:
+    items = F.coalesce(items, F.array().cast("array<string>"))
+    rows = F.transform(items, one)
+    if sub is not None:
         rows = F.zip_with(rows, items, lambda r, item: F.when(_is_object(item), r))
     return rows
 

@@ -135,13 +135,16 @@ def _inner_pairs(norm: Column) -> Column:
     stand as whole words in any text that contains it. Four words give at least one pair.
     """
     w = F.split(norm, " ")
-    inner = F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0)))
-    return F.array_distinct(F.zip_with(inner, F.slice(inner, 2, F.greatest(F.size(inner) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))
+    return _pairs(F.slice(w, F.lit(2), F.greatest(F.size(w) - 2, F.lit(0))))
 
 
 def _all_pairs(norm: Column) -> Column:
-    w = F.split(norm, " ")
-    return F.array_distinct(F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))
+    return _pairs(F.split(norm, " "))
+
+
+def _pairs(w: Column) -> Column:
+    n = F.greatest(F.size(w) - 1, F.lit(0))
+    return F.array_distinct(F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b)))
 
 
 def locate_quotes(quotes: DataFrame, chunks: DataFrame, scope: list[str], order: str = "ord") -> DataFrame:

@@ -7,7 +7,12 @@ from quire.plans.registry import Tables, derive, query
 
 _COS = "list_cosine_similarity(CAST(n.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
 derive("vectors", "SELECT vec_id, embedding, label FROM embeddings")
-derive("asked", "SELECT vec_id AS query_id, embedding, label FROM embeddings WHERE vec_id % 25 = 0")
+# one question per label: its first vector
+derive(
+    "asked",
+    "SELECT min(vec_id) AS query_id, min_by(embedding, vec_id) AS embedding, label FROM embeddings GROUP BY label",
+    "SELECT min(vec_id) AS query_id, arg_min(embedding, vec_id) AS embedding, label FROM embeddings GROUP BY label",
+)
 
 
 def _asked(t: Tables):
