@@ -65,10 +65,7 @@ def words(text: Column | str) -> Column:
 
 
 def word_count(text: Column | str) -> Column:
-    clean = squash(text)
-    return F.when(F.coalesce(clean, F.lit("")) == "", F.lit(0)).otherwise(
-        F.regexp_count(clean, F.lit(" ")) + 1
-    )
+    return F.coalesce(F.regexp_count(_col(text), F.lit(r"(?U)[^\s\x1C-\x1F]+")), F.lit(0))
 
 
 def count_chars(text: Column | str, char_class: str) -> Column:

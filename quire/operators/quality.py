@@ -51,17 +51,19 @@ VOWELS, CONSONANTS = "aeiouy", "b-df-hj-np-tv-xz"
 def extraction_damage(chunks: DataFrame, keep: list[str], text: str = "text", snippets: int = 3) -> DataFrame:
     """Empty chunks and runs of spaces inside words, with a few snippets (P5)."""
     t = F.coalesce(F.col(text), F.lit(""))
-    gaps = F.regexp_count(t, F.lit(T.GAP))
+    gaps = F.when(F.contains(t, F.lit("  ")), F.regexp_count(t, F.lit(T.GAP))).otherwise(0)
     around = F.regexp_extract_all(t, F.lit(rf"(?s).{{0,{GAP_CONTEXT}}}{T.GAP}.{{0,{GAP_CONTEXT}}}"), F.lit(0))
     shown = F.transform(F.slice(around, 1, snippets), lambda s: F.trim(F.replace(s, F.lit("\n"), F.lit("\\n"))))
-    code = F.when(T.blank(text), "EMPTY").when(gaps > 0, "SUSPECTED_GAP")
-    return chunks.select(
+    none = F.array().cast("array<string>")
+    found = T.pinned(chunks, list(dict.fromkeys([*keep, text])), {"__blank": T.blank(text), "__gaps": gaps})
+    found = found.filter(F.col("__blank") | (F.col("__gaps") > 0))
+    return found.select(
         *keep,
-        code.alias("code"),
-        F.when(code == "EMPTY", "error").otherwise("warning").alias("severity"),
-        F.when(code == "SUSPECTED_GAP", gaps).otherwise(0).alias("gap_count"),
-        F.when(code == "SUSPECTED_GAP", shown).otherwise(F.array().cast("array<string>")).alias("snippets"),
-    ).filter(F.col("code").isNotNull())
+        F.when(F.col("__blank"), "EMPTY").otherwise("SUSPECTED_GAP").alias("code"),
+        F.when(F.col("__blank"), "error").otherwise("warning").alias("severity"),
+        F.when(F.col("__blank"), 0).otherwise(F.col("__gaps")).alias("gap_count"),
+        F.when(F.col("__blank"), none).otherwise(shown).alias("snippets"),
+    )
 
 
 def strip_citation_artifacts(text: Column | str) -> Column:
@@ -128,10 +130,16 @@ def syllables_of(word: Column) -> Column:
 
 
 def long_words(docs: DataFrame, keys: list[str], order: str, n: int = 6, text: str = "text") -> DataFrame:
-    """Commonest words of three or more syllables per group, first seen first on ties (Q2)."""
+    """Commonest words of three or more syllables per group, first seen first on ties (Q2).
+
+    Words are counted first, so syllables are counted once per distinct word.
+    """
     tokens = docs.select(*keys, order, F.posexplode(F.regexp_extract_all(_plain(text), F.lit("[A-Za-z']+"), F.lit(0))).alias("i", "w"))
-    heavy = tokens.withColumn("word", F.lower("w")).filter(syllables_of(F.col("word")) >= 3)
-    counted = heavy.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(order, "i")).alias("seen"))
+    counted = (
+        tokens.groupBy(*keys, F.lower("w").alias("word"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(order, "i")).alias("seen"))
+        .filter(syllables_of(F.col("word")) >= 3)
+    )
     return top_n(counted, keys, [F.desc("n"), F.asc("seen")], n).drop("seen")
 
 
@@ -234,10 +242,13 @@ def skill_findings(skills: DataFrame) -> DataFrame:
 
 def skeleton(text: Column, name: Column) -> Column:
     """A sentence with the thing it teaches taken out."""
-    escaped = F.regexp_replace(_stem(name), r"([^\p{L}\p{N}_])", r"\\$1")
+    stem = _stem(name)
+    escaped = F.regexp_replace(stem, r"([^\p{L}\p{N}_])", r"\\$1")
     pattern = F.concat(F.lit(T.WORD_BEFORE), escaped, F.lit(r"[\p{L}\p{N}_]*"))
     low = F.lower(F.coalesce(text, F.lit("")))
-    return T.strip(F.when(F.coalesce(name, F.lit("")) == "", low).otherwise(F.regexp_replace(low, pattern, F.lit("___"))))
+    # most lines do not hold the stem; only those that do meet the regex
+    held = (F.coalesce(name, F.lit("")) != "") & F.contains(low, stem)
+    return T.strip(F.when(held, F.regexp_replace(low, pattern, F.lit("___"))).otherwise(low))
 
 
 def templated_examples(examples: DataFrame, order: list[str], reuse: int = TEMPLATE_REUSE) -> DataFrame:
@@ -246,7 +257,7 @@ def templated_examples(examples: DataFrame, order: list[str], reuse: int = TEMPL
     examples: (id, name, example, *order). Skills are counted per skeleton on the distinct
     pairs; the way back is salted, as one template may fill a third of the table.
     """
-    rows = examples.select("id", *order, skeleton(F.col("example"), F.col("name")).alias("skeleton"))
+    rows = T.pinned(examples, ["id", *order], {"skeleton": skeleton(F.col("example"), F.col("name"))})
     rows = rows.filter(T.word_count("skeleton") >= 4)
     pairs = rows.groupBy("skeleton", "id").agg(F.min(F.struct(*order)).alias("seen"))
     shared = pairs.groupBy("skeleton").agg(F.count(F.lit(1)).alias("skills"), F.min("seen").alias("first_seen")).filter(F.col("skills") >= reuse)
@@ -300,9 +311,10 @@ def _side_values(sides: Column) -> Column:
     pattern = rf"^{part}(?:([-+*:]){part})?$"
 
     def clean(v: Column) -> Column:
+        v = F.regexp_replace(v, r"(\d)\s*(?=\\[dt]?frac)", "$1_")  # a mixed number is not read
         v = F.regexp_replace(v, r"\\[dt]?frac\{(-?\d+)\}\{(\d+)\}", "$1/$2")
         v = F.regexp_replace(F.regexp_replace(v, r"\\times|×|\\cdot", "*"), r"\\div|÷", ":")
-        return F.regexp_replace(v, r"(?U)\s|\{,\}", "")
+        return F.regexp_replace(v, r"(?U)\s|\{,\}|,|\.$", "")
 
     group = lambda v, i: F.regexp_extract(v, pattern, i)
     number = lambda v: v.try_cast("decimal(38,0)")
