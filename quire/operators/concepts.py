@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.functions.ordered import Scan, ordered_scan, tile_of_integer
+from quire.functions.ordered import Scan, ordered_scan, tile_of_integer, top_n
 
 # ---------------------------------------------------------------------------
 # Fixed values
@@ -180,30 +180,28 @@ def review_coverage(sentences: DataFrame, chapters: DataFrame, scope: list[str]
     return found.groupBy(*scope, "key").agg(F.count(F.lit(1)).alias("sentences"), F.max("score").alias("best"))
 
 
-def key_terms(terms: DataFrame, keys: list[str], order: list[str], n: int = GLOBAL_TERMS) -> DataFrame:
-    """Commonest key terms with first meaning, chapters and ids in order of first use.
+def key_terms(terms: DataFrame, keys: list[str], order: list[str], n: int = GLOBAL_TERMS) -> tuple[DataFrame, DataFrame]:
+    """(commonest key terms with first meaning, their sources).
 
-    terms: (keys, *order, term, meaning, chapter_number, source_chunk_ids). Chapters and ids are made distinct
-    with their first place before they are gathered, and only for the ``n`` terms that are kept.
+    terms: (keys, *order, term, meaning, chapter_number, source_chunk_ids). Sources are
+    rows (keys, rank, kind, value, first_place), one per distinct chapter and chunk id of a
+    kept term: a term may come from a third of the corpus, so they are not gathered.
     """
-    from quire.functions.ordered import top_n
-
     rows = terms.withColumn("term", T.squash("term")).filter(F.col("term") != "").withColumn("__k", F.lower("term"))
     place = F.struct(*order)
     counted = rows.groupBy(*keys, "__k").agg(
         F.count(F.lit(1)).alias("n"), F.min(place).alias("__seen"), F.min_by(F.struct("term", "meaning"), place).alias("__first")
     )
     best = top_n(counted, keys, [F.desc("n"), F.asc("__seen")], n)
-    kept = rows.join(best.select(*keys, "__k"), [*keys, "__k"], "left_semi")
-    in_order = lambda df, c, name: df.groupBy(*keys, "__k", c).agg(F.min(place).alias("__p")).groupBy(*keys, "__k").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("__p", c))), lambda s: s[c]).alias(name)
-    )
-    chapters = in_order(kept, "chapter_number", "chapter_numbers")
-    ids = in_order(kept.select(*keys, *order, "__k", F.explode("source_chunk_ids").alias("node_id")).filter(~T.blank("node_id")), "node_id", "source_chunk_ids")
-    return best.join(chapters, [*keys, "__k"], "left").join(ids, [*keys, "__k"], "left").select(
-        *keys, "rank", F.col("__first.term").alias("term"), T.preview(F.coalesce("__first.meaning", F.lit("")), 220).alias("meaning"),
-        "n", "chapter_numbers", F.coalesce("source_chunk_ids", F.array().cast("array<string>")).alias("source_chunk_ids"),
+    kept = rows.join(best.select(*keys, "__k", "rank"), [*keys, "__k"])
+    one = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value"))
+    ids = F.transform(F.filter("source_chunk_ids", lambda v: ~T.blank(v)), lambda v: one("source_chunk_id", v))
+    named = kept.select(*keys, "rank", *order, F.explode(F.concat(F.array(one("chapter", F.col("chapter_number"))), ids)).alias("s"))
+    sources = named.groupBy(*keys, "rank", F.col("s.kind").alias("kind"), F.col("s.value").alias("value")).agg(F.min(place).alias("first_place"))
+    shown = best.select(
+        *keys, "rank", F.col("__first.term").alias("term"), T.preview(F.coalesce("__first.meaning", F.lit("")), 220).alias("meaning"), "n"
     )
+    return shown, sources
 
 
 def study_plan(chapters: DataFrame, keys: list[str], order: str) -> DataFrame:

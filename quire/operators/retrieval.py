@@ -82,57 +82,75 @@ def merge_scoped(results: DataFrame, k: int) -> DataFrame:
     return top_n(best, ["query_id"], [F.desc_nulls_last(F.round("score", SCORE_DIGITS)), F.asc("node_id")], k)
 
 
+MAX_LEVEL = 9
+
+
+def scope_ends(outline: DataFrame, doc: str = "doc") -> DataFrame:
+    """Outline with, per section, its place ``n`` in the chapter and where its scope ends.
+
+    Ends hold for every request alike, so they come from two ordered scans of the outline:
+    forward for the place, backward for the next section of each level and the next that
+    is no flat descendant. Levels run from 0 to ``MAX_LEVEL``.
+    """
+    keys = [doc, "chapter_number"]
+    named = outline.filter(F.col("section").isNotNull())
+    placed = ordered_scan(named, keys, ["position"], tile_of_integer("position"), {"n": Scan("sum", F.lit(1))})
+    first_word = F.lower(F.element_at(T.words(F.concat(F.col("section"), F.lit(" x"))), 1))
+    back = T.pinned(
+        placed, placed.columns, {"__back": -F.col("n"), "__foreign": ~first_word.isin(FLAT_DESCENDANT_WORDS)}
+    )
+    level = F.coalesce("level", F.lit(-1))
+    scans = {f"__u{v}": Scan("last_before", F.when(level <= v, F.col("n"))) for v in range(MAX_LEVEL + 1)}
+    # a section without a level ends level scopes only
+    scans |= {f"__s{v}": Scan("last_before", F.when(F.col("level") < v, F.col("n"))) for v in range(MAX_LEVEL + 1)}
+    scans |= {
+        "__next": Scan("last_before", F.col("n")),
+        "__stranger": Scan("last_before", F.when(F.col("__foreign"), F.col("n"))),
+    }
+    seen = ordered_scan(back, keys, ["__back"], tile_of_integer("__back"), scans)
+    far = F.lit(2**62)
+    own = F.least(F.greatest("level", F.lit(0)), F.lit(MAX_LEVEL)) + 1
+    at = lambda p: F.when(F.col("level").isNotNull(), F.element_at(F.array(*[F.col(f"__{p}{v}") for v in range(MAX_LEVEL + 1)]), own))
+    parent = T.any_contains(F.lower(F.trim("section")), FLAT_PARENT_PHRASES)
+    level_end = F.when(F.col("level").isNull(), F.col("n") + 1).otherwise(F.coalesce(at("u"), far))
+    flat_end = F.when(~parent, F.col("n") + 1).otherwise(F.least(F.coalesce(at("s"), far), F.coalesce("__stranger", far)))
+    end = F.when(level_end > F.coalesce("__next", far), level_end).otherwise(flat_end)
+    last = placed.groupBy(*keys).agg(F.max("n").alias("__size"))
+    return seen.join(last, keys).select(*outline.columns, "n", F.least(end, F.col("__size") + 1).alias("end"))
+
+
 def section_scope(outline: DataFrame, requests: DataFrame, doc: str = "doc") -> tuple[DataFrame, DataFrame]:
     """(expanded titles, problems) per request.
 
     outline: (doc, chapter_number, position, section, level);
     requests: (request_id, doc, section, chapter_number or null, include_descendants).
-    The end of a scope is a minimum over the following sections, combined map-side.
+    A scope is a run of places, so it is unrolled and met on (doc, chapter, place): only
+    the sections of the answer are formed.
     """
+    ends = scope_ends(outline, doc)
     req = requests.select(
         "request_id", doc, F.col("section").alias("__want"), F.col("chapter_number").alias("__chapter"), "include_descendants"
     )
-    o = outline.filter(F.col("section").isNotNull())
-    match = req.join(o.withColumnRenamed("section", "__want"), [doc, "__want"], "left").filter(
+    match = req.join(ends.withColumnRenamed("section", "__want"), [doc, "__want"], "left").filter(
         F.col("__chapter").isNull() | F.col("chapter_number").isNull() | (F.col("chapter_number") == F.col("__chapter"))
     )
     summary = match.groupBy("request_id").agg(
-        F.count("position").alias("n"), F.count_distinct("chapter_number").alias("chapters")
+        F.count("position").alias("matches"), F.count_distinct("chapter_number").alias("chapters")
     )
     code = T.first_reason(
         [
-            (F.coalesce("n", F.lit(0)) == 0, "section_not_found"),
+            (F.coalesce("matches", F.lit(0)) == 0, "section_not_found"),
             (F.col("__chapter").isNull() & (F.col("chapters") > 1), "section_in_several_chapters"),
-            (F.col("n") > 1, "section_repeated"),
+            (F.col("matches") > 1, "section_repeated"),
         ]
     )
     judged = req.join(summary, "request_id", "left").withColumn("code", code)
     problems = judged.filter(F.col("code").isNotNull()).select("request_id", "code")
-    found = match.join(judged.filter(F.col("code").isNull()).select("request_id"), "request_id").select(
-        "request_id", doc, "chapter_number", F.col("position").alias("__pos"), F.col("level").alias("__lvl"),
-        F.col("__want").alias("__title"), "include_descendants",
-    )
-    later = found.filter("include_descendants").join(o, [doc, "chapter_number"]).filter(F.col("position") > F.col("__pos"))
-    by_level_stop = F.col("__lvl").isNull() | F.col("level").isNull() | (F.col("level") <= F.col("__lvl"))
-    parent = T.any_contains(F.lower(F.trim("__title")), FLAT_PARENT_PHRASES)
-    first_word = F.lower(F.element_at(T.words(F.concat(F.col("section"), F.lit(" x"))), 1))
-    flat_stop = ~parent | (F.col("level") < F.col("__lvl")) | ~first_word.isin(FLAT_DESCENDANT_WORDS)
-    far = F.lit(2**31 - 1)
-    stops = later.groupBy("request_id").agg(
-        F.min(F.when(by_level_stop, F.col("position"))).alias("__stop_level"),
-        F.min(F.when(F.coalesce(flat_stop, F.lit(False)), F.col("position"))).alias("__stop_flat"),
-        F.min("position").alias("__next"),
-    )
-    scoped = found.join(stops, "request_id", "left")
-    level_grows = F.coalesce("__stop_level", far) > F.col("__next")
-    stop = F.when(level_grows, F.coalesce("__stop_level", far)).otherwise(F.coalesce("__stop_flat", far))
-    bounds = scoped.withColumn("__stop", F.when(F.col("__next").isNull(), F.col("__pos") + 1).otherwise(stop))
-    expanded = bounds.join(o, [doc, "chapter_number"]).filter(
-        (F.col("position") == F.col("__pos"))
-        | (F.col("include_descendants") & (F.col("position") > F.col("__pos")) & (F.col("position") < F.col("__stop")))
-    )
-    titles = expanded.groupBy("request_id", doc, "chapter_number", "section").agg(F.min("position").alias("position"))
-    return titles, problems
+    found = match.join(judged.filter(F.col("code").isNull()).select("request_id"), "request_id")
+    last = F.when(F.col("include_descendants"), F.greatest(F.col("n"), F.col("end") - 1)).otherwise(F.col("n"))
+    places = found.select("request_id", doc, "chapter_number", F.explode(F.sequence(F.col("n"), last)).alias("n"))
+    titles = places.join(ends.select(doc, "chapter_number", "n", "section", "position"), [doc, "chapter_number", "n"])
+    return titles.groupBy("request_id", doc, "chapter_number", "section").agg(F.min("position").alias("position")), problems
 
 
 def document_order(nodes: DataFrame, positions: DataFrame, doc: str = "doc") -> DataFrame:
@@ -149,21 +167,17 @@ def order_columns(id: str = "node_id") -> list[Column]:
     return [number("chapter_number"), number("section_position"), number("page_start"), number("page_end"), F.asc(id)]
 
 
-def section_coverage(titles: DataFrame, retrieved: DataFrame, keys: list[str]) -> DataFrame:
-    """Covered and missing titles per request."""
-    seen = retrieved.select(*keys, "section").distinct().withColumn("__hit", F.lit(True))
+def section_coverage(titles: DataFrame, retrieved: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(counts per request, titles with ``covered``) (R5). Titles stay rows, in ``position`` order."""
+    seen = retrieved.select(*keys, "section").distinct().withColumn("covered", F.lit(True))
     wanted = titles.groupBy(*keys, "section").agg(F.min("position").alias("position"))
-    joined = wanted.join(seen, [*keys, "section"], "left").withColumn("__hit", F.coalesce("__hit", F.lit(False)))
-    in_order = lambda cond: F.transform(
-        F.array_sort(F.collect_list(F.when(cond, F.struct("position", "section")))), lambda s: s["section"]
-    )
-    return joined.groupBy(*keys).agg(
+    joined = wanted.join(seen, [*keys, "section"], "left").withColumn("covered", F.coalesce("covered", F.lit(False)))
+    counts = joined.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("expanded_section_count"),
-        F.count_if(F.col("__hit")).alias("covered_section_count"),
-        F.count_if(~F.col("__hit")).alias("missing_section_count"),
-        in_order(F.col("__hit")).alias("covered_section_titles"),
-        in_order(~F.col("__hit")).alias("missing_section_titles"),
+        F.count_if("covered").alias("covered_section_count"),
+        F.count_if(~F.col("covered")).alias("missing_section_count"),
     )
+    return counts, joined
 
 
 def lookup_by_id(requests: DataFrame, chunks: DataFrame, require_text: bool = True) -> DataFrame:

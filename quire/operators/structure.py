@@ -572,7 +572,8 @@ def trim_boundaries(chunks: DataFrame, sections: DataFrame, min_cleaned_length:
 def page_offset(contents: DataFrame, page_lines: DataFrame, doc: str = "doc") -> DataFrame:
     """Printed minus actual page per document, from the first contents entry found as a heading.
 
-    ``contents``: (doc, position, title, printed); ``page_lines``: (doc, page, line_no, line).
+    ``contents``: (doc, position, title, printed), the entries of a contents page, so few per
+    document; ``page_lines``: (doc, page, line_no, line).
     """
     heads = page_lines.filter(F.startswith("line", F.lit("#")))
     hit = contents.join(heads, doc).filter(F.contains(F.lower("line"), F.lower(F.trim("title"))))

@@ -108,15 +108,26 @@ def required_forms(t: Tables):
 derive("term_rows", "SELECT source AS book, doc_id AS ord, split_part(text, ' ', 1) || '  ' AS term, split_part(text, chr(10), 1) AS meaning, CAST(doc_id % 9 AS INT) AS chapter_number, lang FROM documents")
 
 
+_TERMS = r"""k AS (SELECT *, trim(regexp_replace(term, '[ \n]+', ' ', 'g')) AS tt FROM term_rows), g AS (SELECT book, lower(tt) AS f, count(*) AS n, min(ord) AS seen, arg_min(tt, ord) AS term FROM k WHERE tt <> '' GROUP BY book, lower(tt)),
+       r AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY n DESC, seen) AS rk FROM g)"""
+
+
+def _terms(t: Tables):
+    return C.key_terms(t.term_rows.withColumn("source_chunk_ids", F.array("lang")), ["book"], ["ord"])
+
+
+@query("key_terms", f"WITH {_TERMS} SELECT book, CAST(rk AS INT) AS rank, term, n FROM r WHERE rk <= 30")
+def key_terms(t: Tables):
+    return _terms(t)[0].drop("meaning")
+
+
 @query(
-    "key_terms",
-    r"""WITH k AS (SELECT *, trim(regexp_replace(term, '[ \n]+', ' ', 'g')) AS tt FROM term_rows), g AS (SELECT book, lower(tt) AS f, count(*) AS n, min(ord) AS seen, arg_min(tt, ord) AS term FROM k WHERE tt <> '' GROUP BY book, lower(tt)),
-       r AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY n DESC, seen) AS rk FROM g), c AS (SELECT book, f, string_agg(CAST(chapter_number AS STRING), ',' ORDER BY s) AS chapters FROM (SELECT book, lower(tt) AS f, chapter_number, min(ord) AS s FROM k GROUP BY book, lower(tt), chapter_number) GROUP BY book, f)
-       SELECT r.book, CAST(rk AS INT) AS rank, term, n, chapters FROM r JOIN c ON c.book = r.book AND c.f = r.f WHERE rk <= 30""",
+    "key_term_sources",
+    f"""WITH {_TERMS}, j AS (SELECT k.*, r.rk FROM k JOIN r ON r.book = k.book AND r.f = lower(k.tt) WHERE r.rk <= 30)
+       SELECT book, CAST(rk AS INT) AS rank, 'chapter' AS kind, CAST(chapter_number AS STRING) AS value, min(ord) AS first_ord FROM j GROUP BY book, rk, chapter_number UNION ALL SELECT book, CAST(rk AS INT), 'source_chunk_id', lang, min(ord) FROM j GROUP BY book, rk, lang""",
 )
-def key_terms(t: Tables):
-    k = C.key_terms(t.term_rows.withColumn("source_chunk_ids", F.array("lang")), ["book"], ["ord"])
-    return k.select("book", "rank", "term", "n", F.array_join(F.transform("chapter_numbers", lambda v: v.cast("string")), ",").alias("chapters"))
+def key_term_sources(t: Tables):
+    return _terms(t)[1].withColumn("first_ord", F.col("first_place.ord")).drop("first_place")
 
 
 @query(

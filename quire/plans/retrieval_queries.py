@@ -101,19 +101,25 @@ def section_scope_problems(t: Tables):
 derive("retrieved", "SELECT doc_id AS request_id, source AS doc, CASE WHEN n_chars % 2 = 0 THEN 'Item ' ELSE 'Test part ' END || CAST(doc_id AS STRING) AS section FROM documents")
 
 
+_COVERED = "j AS (SELECT s.request_id, s.section, s.position, r.section IS NOT NULL AS covered FROM scopes s LEFT JOIN (SELECT DISTINCT request_id, section FROM retrieved) r USING (request_id, section))"
+
+
+def _coverage(t: Tables):
+    titles, _ = R.section_scope(t.outline_sections, t.scope_requests)
+    return R.section_coverage(titles, t.retrieved, ["request_id"])
+
+
 @query(
     "scope_coverage",
-    """WITH j AS (SELECT s.request_id, s.section, s.position, r.section IS NOT NULL AS hit FROM scopes s LEFT JOIN (SELECT DISTINCT request_id, section FROM retrieved) r USING (request_id, section))
-       SELECT request_id, count(*) AS expanded_section_count, count(*) FILTER (WHERE hit) AS covered_section_count, count(*) FILTER (WHERE NOT hit) AS missing_section_count,
-       coalesce(string_agg(section, ';' ORDER BY position) FILTER (WHERE hit), '') AS covered, coalesce(string_agg(section, ';' ORDER BY position) FILTER (WHERE NOT hit), '') AS missing FROM j GROUP BY request_id""",
+    f"WITH {_COVERED} SELECT request_id, count(*) AS expanded_section_count, count(*) FILTER (WHERE covered) AS covered_section_count, count(*) FILTER (WHERE NOT covered) AS missing_section_count FROM j GROUP BY request_id",
 )
 def scope_coverage(t: Tables):
-    titles, _ = R.section_scope(t.outline_sections, t.scope_requests)
-    c = R.section_coverage(titles, t.retrieved, ["request_id"])
-    return c.select(
-        "request_id", "expanded_section_count", "covered_section_count", "missing_section_count",
-        F.array_join("covered_section_titles", ";").alias("covered"), F.array_join("missing_section_titles", ";").alias("missing"),
-    )
+    return _coverage(t)[0]
+
+
+@query("scope_coverage_titles", f"WITH {_COVERED} SELECT request_id, section, position, covered FROM j")
+def scope_coverage_titles(t: Tables):
+    return _coverage(t)[1]
 
 
 @query(

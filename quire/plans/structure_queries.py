@@ -513,7 +513,8 @@ def pages_by_chapter(t: Tables):
     return S.pages_in_ranges(pages, marks).groupBy("doc", "chapter").agg(F.count(F.lit(1)).alias("pages"))
 
 
-derive("contents_entries", "SELECT source AS doc, doc_id AS position, split_part(text, ' ', 1) AS title, CAST(n_chars % 500 AS INT) AS printed FROM documents")
+# a contents page of one entry per language
+derive("contents_entries", "SELECT source AS doc, min(doc_id) AS position, min(split_part(text, ' ', 1)) AS title, CAST(min(n_chars) % 500 AS INT) AS printed FROM documents GROUP BY source, lang")
 derive("page_heads", "SELECT source AS doc, CAST(floor(doc_id / 3) AS INT) + 1 AS page, doc_id AS line_no, CASE WHEN doc_id % 2 = 0 THEN '# ' ELSE '' END || split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) AS line FROM documents")
 
 
