@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.functions.ordered import Scan, ordered_scan, tile_of_integer
 from quire.operators.findings import broken_rules, finding, rule, union_all
+from quire.operators.grounding import verify_spans
 
 # ---------------------------------------------------------------------------
 # Fixed values
@@ -33,6 +34,15 @@ PROBE_ALIASES = {
     "highlight_correct_summary": ([], ["highlight correct summary", "correct summary", "summary task"]),
     "essay_timing": (["essay"], ["time", "timing", "minute", "minutes", "time limit"]),
 }
+IMPORTANCES = ["HIGH", "MEDIUM", "LOW"]
+CONCEPT_TYPES = [
+    "official_rule", "task_format", "definition", "strategy", "language_rule", "practice_skill", "source_topic", "other",
+]
+SOURCE_CONDITIONS = ["CLEAR", "AMBIGUOUS", "DAMAGED"]
+CONCEPTS_PER_CHAPTER = (4, 15)
+SEMANTIC = ["SUPPORTED", "PARTIALLY_SUPPORTED", "UNSUPPORTED", "CONTRADICTED", "SOURCE_DAMAGED", "NOT_APPLICABLE"]
+PEDAGOGICAL = ["USABLE", "NEEDS_REVISION", "MISLEADING", "NOT_APPLICABLE"]
+ABSTENTION = ["JUSTIFIED", "OVERCAUTIOUS", "MISALIGNED", "NOT_APPLICABLE"]
 # ---------------------------------------------------------------------------
 
 
@@ -379,3 +389,69 @@ def source_noise(concepts: DataFrame) -> DataFrame:
         lambda p: p.isNotNull(),
     )
     return concepts.select("concept_id", F.coalesce(damaged, F.lit(False)).alias("damaged_notation"), probes.alias("probes"))
+
+
+def inventory_problems(concepts: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Faults of concept inventories (G27): (chapter_number, concept_id, code).
+
+    concepts: (chapter_number, i from 1, concept_id, importance, concept_type, source_condition, title, description,
+    source_chunk_ids, evidence_spans array<struct<node_id, quote>>); chunks: (chapter_number, node_id, text).
+    """
+    among = lambda c, values: F.coalesce(F.col(c).isin(values), F.lit(False))
+    wanted = F.format_string("chapter_%02d.concept_%02d", F.col("chapter_number").cast("int"), F.col("i").cast("int"))
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    rules = [
+        rule(~F.col("concept_id").eqNullSafe(wanted), "WRONG_CONCEPT_ID", "", ""),
+        rule(~among("importance", IMPORTANCES), "INVALID_IMPORTANCE", "", ""),
+        rule(~among("concept_type", CONCEPT_TYPES), "INVALID_CONCEPT_TYPE", "", ""),
+        rule(~among("source_condition", SOURCE_CONDITIONS), "INVALID_SOURCE_CONDITION", "", ""),
+        rule(T.blank("title"), "BLANK_TITLE", "", ""),
+        rule(T.blank("description"), "BLANK_DESCRIPTION", "", ""),
+        rule(size("source_chunk_ids") <= 0, "NO_SOURCE_IDS", "", ""),
+        rule(size("evidence_spans") <= 0, "NO_EVIDENCE_SPAN", "", ""),
+    ]
+    keys = ["chapter_number", "concept_id"]
+    shape = broken_rules(concepts, rules, keys).select(*keys, "code")
+    low, high = CONCEPTS_PER_CHAPTER
+    counts = concepts.groupBy("chapter_number").agg(F.count(F.lit(1)).alias("n")).filter(~F.col("n").between(low, high))
+    counted = counts.select("chapter_number", F.lit(None).cast("string").alias("concept_id"), F.lit("CONCEPT_COUNT").alias("code"))
+    ids = concepts.select(*keys, F.explode("source_chunk_ids").alias("raw")).withColumn("node_id", T.strip("raw"))
+    outside = ids.join(chunks.select("chapter_number", "node_id").distinct(), ["chapter_number", "node_id"], "left_anti")
+    spans = concepts.select(
+        F.struct(*keys).alias("claim_id"), F.posexplode("evidence_spans").alias("i", "s"), F.col("source_chunk_ids").alias("source_ids")
+    ).select("claim_id", "i", F.col("s.node_id").alias("node_id"), F.col("s.quote").alias("quote"), "source_ids")
+    faults = verify_spans(spans, chunks.select("node_id", "text")).select("claim_id.*", F.explode("codes").alias("code"))
+    return union_all([shape, counted, outside.select(*keys, F.lit("SOURCE_ID_OUTSIDE_CHAPTER").alias("code")), faults.select(*keys, "code")])
+
+
+def evaluation_problems(records: DataFrame, evaluations: DataFrame) -> DataFrame:
+    """First fault per record of a chapter evaluation (G27): (record_id, code).
+
+    records: (record_id, origin, allowed_ids); evaluations: (record_id, semantic, pedagogical, abstention, severity,
+    confidence, rationale, evidence_ids). Each record is judged exactly once, on the one scale its origin has.
+    """
+    times = evaluations.groupBy("record_id").agg(F.count(F.lit(1)).alias("__times"))
+    joined = evaluations.join(times, "record_id").join(records.withColumn("__known", F.lit(True)), "record_id", "full_outer")
+    among = lambda c, values: F.coalesce(F.col(c).isin(values), F.lit(False))
+    na = lambda c: F.col(c) == "NOT_APPLICABLE"
+    s, p, a = na("semantic"), na("pedagogical"), na("abstention")
+    fits = (
+        F.when(F.col("origin") == "source_grounded", ~s & p & a)
+        .when(F.col("origin") == "pedagogical_generation", s & ~p & a)
+        .otherwise(s & p & ~a)
+    )
+    none = F.array().cast("array<string>")
+    code = T.first_reason(
+        [
+            (F.col("__times").isNull(), "MISSING_EVALUATION"),
+            (F.col("__known").isNull(), "UNKNOWN_RECORD"),
+            (F.col("__times") > 1, "DUPLICATE_EVALUATION"),
+            (~(among("semantic", SEMANTIC) & among("pedagogical", PEDAGOGICAL) & among("abstention", ABSTENTION)), "INVALID_STATUS"),
+            (~fits, "STATUS_DOES_NOT_FIT_ORIGIN"),
+            (~among("severity", IMPORTANCES), "INVALID_SEVERITY"),
+            (~among("confidence", IMPORTANCES), "INVALID_CONFIDENCE"),
+            (T.blank("rationale"), "BLANK_RATIONALE"),
+            (F.size(F.array_except(F.coalesce("evidence_ids", none), F.coalesce("allowed_ids", none))) > 0, "EVIDENCE_NOT_ALLOWED"),
+        ]
+    )
+    return joined.select("record_id", code.alias("code")).filter(F.col("code").isNotNull()).distinct()

@@ -547,3 +547,43 @@ derive("noisy_concepts", "SELECT doc_id AS concept_id, CASE WHEN doc_id % 3 = 0
 def source_noise(t: Tables):
     n = A.source_noise(t.noisy_concepts.select("concept_id", "title", "description", F.array("quote").alias("quotes")))
     return n.select("concept_id", "damaged_notation", F.array_contains("probes", "essay_timing").alias("timing"), F.array_contains("probes", "spelling_zero_score").alias("spelling"))
+
+
+derive(
+    "inventory",
+    """SELECT CAST(n_chars % 90 AS INT) AS chapter_number, doc_id AS i, 'c' || CAST(doc_id AS STRING) AS node_id, text, CASE WHEN doc_id % 6 = 0 THEN 'chapter_x' ELSE NULL END AS wrong_id, CASE WHEN doc_id % 5 = 0 THEN 'topic' ELSE 'definition' END AS concept_type,
+       CASE WHEN doc_id % 8 = 0 THEN ' ' ELSE lang END AS title, CASE WHEN doc_id % 7 = 0 THEN 'c-1' ELSE 'c' || CAST(doc_id AS STRING) END AS source_id, split_part(text, chr(10), 1) AS quote FROM documents""",
+)
+
+
+@query(
+    "inventory_rules",
+    rf"""WITH v AS (SELECT *, {flat('quote')} AS nq, {flat('text')} AS nt FROM inventory), w AS (SELECT *, CASE WHEN nq = '' THEN 0 ELSE len(string_split(nq, ' ')) END AS n FROM v)
+       SELECT code, count(*) AS n FROM (SELECT 'WRONG_CONCEPT_ID' AS code FROM w WHERE i % 6 = 0 UNION ALL SELECT 'INVALID_CONCEPT_TYPE' FROM w WHERE i % 5 = 0 UNION ALL SELECT 'BLANK_TITLE' FROM w WHERE i % 8 = 0 UNION ALL SELECT 'SOURCE_ID_OUTSIDE_CHAPTER' FROM w WHERE i % 7 = 0
+         UNION ALL SELECT 'CONCEPT_COUNT' FROM w GROUP BY chapter_number HAVING count(*) NOT BETWEEN 4 AND 15 UNION ALL SELECT 'EVIDENCE_SPAN_NODE_NOT_CITED' FROM w WHERE i % 7 = 0 AND nq <> '' UNION ALL SELECT 'EVIDENCE_SPAN_QUOTE_TOO_SHORT' FROM w WHERE n < 4
+         UNION ALL SELECT 'EVIDENCE_SPAN_QUOTE_TOO_LONG' FROM w WHERE n > 80) GROUP BY code""",
+)
+def inventory_rules(t: Tables):
+    i = t.inventory
+    right = F.format_string("chapter_%02d.concept_%02d", F.col("chapter_number"), F.col("i").cast("int"))
+    concepts = i.select(
+        "chapter_number", "i", F.coalesce("wrong_id", right).alias("concept_id"), F.lit("HIGH").alias("importance"), "concept_type", F.lit("CLEAR").alias("source_condition"), "title", F.lit("d").alias("description"),
+        F.array("source_id").alias("source_chunk_ids"), F.array(F.struct("node_id", "quote")).alias("evidence_spans"),
+    )
+    return A.inventory_problems(concepts, i.select("chapter_number", "node_id", "text")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "evaluation_rules",
+    """WITH n AS (SELECT event_id % 20000 AS id, count(*) AS k FROM events GROUP BY 1), e AS (SELECT event_id % 20000 AS id, event_type, user_id FROM events)
+       SELECT code, count(*) AS n FROM (SELECT DISTINCT coalesce(n.id, o.o_orderkey) AS id, CASE WHEN n.id IS NULL THEN 'MISSING_EVALUATION' WHEN o.o_orderkey IS NULL THEN 'UNKNOWN_RECORD' WHEN n.k > 1 THEN 'DUPLICATE_EVALUATION' WHEN e.event_type = 'error' THEN 'INVALID_STATUS'
+         WHEN o.o_orderstatus <> 'O' THEN 'STATUS_DOES_NOT_FIT_ORIGIN' WHEN e.user_id % 9 = 0 THEN 'BLANK_RATIONALE' WHEN e.user_id % 5 = 0 THEN 'EVIDENCE_NOT_ALLOWED' END AS code FROM n FULL JOIN orders o ON o.o_orderkey = n.id LEFT JOIN e ON e.id = n.id) WHERE code IS NOT NULL GROUP BY code""",
+)
+def evaluation_rules(t: Tables):
+    records = t.orders.select(F.col("o_orderkey").alias("record_id"), F.when(F.col("o_orderstatus") == "O", "source_grounded").when(F.col("o_orderstatus") == "F", "pedagogical_generation").otherwise("insufficient_source_evidence").alias("origin"), F.array(F.lit("a")).alias("allowed_ids"))
+    e = t.events
+    evaluations = e.select(
+        (F.col("event_id") % 20000).alias("record_id"), F.when(F.col("event_type") == "error", "odd").otherwise("SUPPORTED").alias("semantic"), F.lit("NOT_APPLICABLE").alias("pedagogical"), F.lit("NOT_APPLICABLE").alias("abstention"), F.lit("LOW").alias("severity"), F.lit("HIGH").alias("confidence"),
+        F.when(F.col("user_id") % 9 == 0, " ").otherwise("why").alias("rationale"), F.when(F.col("user_id") % 5 == 0, F.array(F.lit("b"))).otherwise(F.array(F.lit("a"))).alias("evidence_ids"),
+    )
+    return A.evaluation_problems(records, evaluations).groupBy("code").agg(F.count(F.lit(1)).alias("n"))

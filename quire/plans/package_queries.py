@@ -301,17 +301,17 @@ def catalog_counts(t: Tables):
     return counts.join(index.groupBy("book_slug").agg(F.count_if("has_enrichment").alias("enriched")), "book_slug")
 
 
-derive("coach_docs", "SELECT doc_id, text, lang, n_chars FROM documents")
+derive("teaching_docs", "SELECT doc_id, text, lang, n_chars FROM documents")
 
 
 @query(
     "teaching_blocks",
-    """WITH d AS (SELECT doc_id, CASE WHEN text = '' THEN [''] ELSE string_split(text, chr(10)) END AS l FROM coach_docs WHERE n_chars % 10 <> 0) SELECT doc_id, count(*) AS blocks, CAST(max(p) AS BIGINT) AS last_position FROM (
+    """WITH d AS (SELECT doc_id, CASE WHEN text = '' THEN [''] ELSE string_split(text, chr(10)) END AS l FROM teaching_docs WHERE n_chars % 10 <> 0) SELECT doc_id, count(*) AS blocks, CAST(max(p) AS BIGINT) AS last_position FROM (
          SELECT doc_id, 0 AS p FROM d UNION ALL SELECT doc_id, 1 FROM d UNION ALL SELECT doc_id, 2 FROM d UNION ALL SELECT doc_id, 2 + i FROM d, UNNEST(range(1, len(l) + 1)) AS u(i) UNION ALL SELECT doc_id, 2 + len(l) + j FROM d, UNNEST(range(1, 6)) AS u(j)) GROUP BY doc_id""",
 )
 def teaching_blocks(t: Tables):
     """Lines of a text as its techniques, one picture-free document each; some lack their goals and are refused."""
-    d = t.coach_docs
+    d = t.teaching_docs
     lines = F.split("text", "\n")
     none = F.lit(None).cast("array<string>")
     whole = lambda s: F.struct(F.lit(s).alias("section"), none.alias("items"), F.lit("x").alias("content"))
