@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.functions.ordered import Scan, ordered_scan, tile_of_integer, top_n
+from quire.functions.ordered import Scan, ordered_scan, read_once, tile_of_integer, top_n
 
 # ---------------------------------------------------------------------------
 # Fixed values
@@ -74,6 +74,7 @@ def match_concepts(
     never joined on; each formed pair is then scored on its whole vocabularies.
     """
     scope = scope or []
+    sentences = read_once(sentences.select("sentence_id", *scope, "vocab"), "sentence_id")
     postings = candidates.select("key", *scope, F.explode("vocab").alias("word"))
     spread = postings.groupBy(*scope, "word").agg(F.count(F.lit(1)).alias("__spread"))
     words = sentences.select("sentence_id", *scope, F.explode("vocab").alias("word")).join(spread, [*scope, "word"])

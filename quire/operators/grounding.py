@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.functions.ordered import first_per_key
+from quire.functions.ordered import first_per_key, read_once
 from quire.operators.findings import union_all
 
 # ---------------------------------------------------------------------------
@@ -160,9 +160,8 @@ def locate_quotes(quotes: DataFrame, chunks: DataFrame, scope: list[str], order:
 
     A quote one of whose pairs is nowhere in the scope is nowhere itself.
     """
-    texts = first_per_key(
-        chunks.select(*scope, order, "node_id", "norm").withColumn("__h", F.xxhash64("norm")), [*scope, "__h", "norm"], [order]
-    )
+    hashed = chunks.select(*scope, order, "node_id", "norm").withColumn("__h", F.xxhash64("norm"))
+    texts = read_once(first_per_key(hashed, [*scope, "__h", "norm"], [order]), "node_id")
     grams = quotes.select("quote_id", *scope, "norm", F.explode(_inner_pairs(F.col("norm"))).alias("pair"))
     needed = grams.select(*scope, "pair").distinct()
     postings = texts.select(*scope, "node_id", F.explode(_all_pairs(F.col("norm"))).alias("pair")).join(needed, [*scope, "pair"], "left_semi")

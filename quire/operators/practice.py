@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.functions.ordered import Scan, ordered_scan, tile_of_integer, top_n
+from quire.functions.ordered import Scan, ordered_scan, read_once, tile_of_integer, top_n
 from quire.operators.quality import sentence_count
 
 # ---------------------------------------------------------------------------
@@ -320,7 +320,7 @@ def next_item(states: DataFrame, bank: DataFrame, learners: DataFrame) -> DataFr
     introduced; else the soonest unmastered. Mastered items never come back. The first new item is the first gap in
     the learner's introduced positions, so learners and bank are never crossed.
     """
-    live = states.join(bank, "item_id").join(learners, "learner")
+    live = read_once(states.join(bank, "item_id").join(learners, "learner"), "learner", "item_id")
     rank = lambda *cols: F.struct((F.col("item_id").eqNullSafe(F.col("avoid"))).cast("int").alias("avoided"), *cols)
     open_ = F.col("mastered_at").isNull()
     introduced = F.col("introduced_at").isNotNull()

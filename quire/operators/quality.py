@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.functions.ordered import Scan, first_per_key, ordered_scan, salted_join, tile_of_integer, top_n
+from quire.functions.ordered import Scan, first_per_key, ordered_scan, read_once, salted_join, tile_of_integer, top_n
 from quire.operators.findings import finding, rule_findings, union_all
 
 # ---------------------------------------------------------------------------
@@ -259,7 +259,7 @@ def templated_examples(examples: DataFrame, order: list[str], reuse: int = TEMPL
     """
     rows = T.pinned(examples, ["id", *order], {"skeleton": skeleton(F.col("example"), F.col("name"))})
     rows = rows.filter(T.word_count("skeleton") >= 4)
-    pairs = rows.groupBy("skeleton", "id").agg(F.min(F.struct(*order)).alias("seen"))
+    pairs = read_once(rows.groupBy("skeleton", "id").agg(F.min(F.struct(*order)).alias("seen")), "id")
     shared = pairs.groupBy("skeleton").agg(F.count(F.lit(1)).alias("skills"), F.min("seen").alias("first_seen")).filter(F.col("skills") >= reuse)
     flagged = salted_join(pairs.select("skeleton", "id"), shared, ["skeleton"], "inner", F.col("id"))
     return first_per_key(flagged.select("id", "skeleton", "skills", "first_seen"), ["id"], ["first_seen", "skeleton"]).drop("first_seen")
