@@ -15,8 +15,8 @@ from quire.llm.common import small_batches, stored
 from quire.llm.vocabulary import read_json
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A text whose cosine with every language's prototype is lower is in none of them.
-MIN_LANGUAGE_SCORE = 0.2
+#: A text whose cosine with every language's prototype is lower is like none of them; unrelated vectors come to about 0.03.
+MIN_LANGUAGE_SCORE = 0.05
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

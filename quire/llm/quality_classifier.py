@@ -76,10 +76,10 @@ def curve(features: np.ndarray) -> np.ndarray:
     return np.c_[np.ones(len(features)), 10 * features[:, 0], features[:, 1], np.log(features[:, 1])]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Newton steps for weights that balance the classes, with a small ridge."""
+def logistic(x: np.ndarray, y: np.ndarray, prior: float, ridge: float = 1e-2) -> np.ndarray:
+    """Newton steps with a small ridge; the classes weigh as often as they occur among all labels."""
     w = np.zeros(x.shape[1])
-    balance = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
+    balance = np.where(y == 1, prior / max(1, (y == 1).sum()), (1 - prior) / max(1, (y == 0).sum())) * len(y)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (balance * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (balance * (p - y)) + ridge * w)
@@ -106,9 +106,10 @@ def fit_quality(documents: DataFrame, labels: DataFrame, key: str, text: str = "
     pieces = texts.filter(first).select("quality", "__id", F.substring("__text", place, F.lit(SAMPLE_CHARS)).alias("piece")).dropDuplicates(["__id"]).toPandas()  # bounded rows and lengths
     pieces = pieces.sort_values("__id", ignore_index=True)
     good, bad = ([p.encode() for p in pieces["piece"][pieces["quality"] == q]] for q in (1, 0))
+    counts = {r.quality: r["count"] for r in marks.groupBy("quality").count().toLocalIterator()}
+    prior = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
     if not good or not bad:
-        counts = {r.quality: r["count"] for r in marks.groupBy("quality").count().toLocalIterator()}
-        return Compressor(b"", b"", (), counts.get(1, 0) / sum(counts.values()) if counts else 0.5)
+        return Compressor(b"", b"", (), prior)
     size = min(len(good), len(bad))  # as much text from either class
     model = Compressor(build_dictionary(good[: max(size, 64)]), build_dictionary(bad[: max(size, 64)]))
     limit = min(len(model.good), len(model.bad))
@@ -116,9 +117,9 @@ def fit_quality(documents: DataFrame, labels: DataFrame, key: str, text: str = "
     others = raw_features(texts.filter(~first), model, ["quality", "__id"], "__text").dropDuplicates(["__id"]).toPandas().sort_values("__id")  # numbers of 2 * rows texts at most
     y = others["quality"].to_numpy()
     if len(set(y)) < 2:
-        return Compressor(b"", b"", (), float(len(good)) / (len(good) + len(bad)))
-    weights = logistic(curve(others[["difference", "ratio"]].to_numpy()), y)
-    return Compressor(model.good, model.bad, tuple(weights), float(y.mean()))
+        return Compressor(b"", b"", (), prior)
+    weights = logistic(curve(others[["difference", "ratio"]].to_numpy()), y, prior)
+    return Compressor(model.good, model.bad, tuple(weights), prior)
 
 
 def raw_features(df: DataFrame, model: Compressor, keys: list[str], text: str) -> DataFrame:
@@ -135,7 +136,7 @@ def score_quality(df: DataFrame, model: Compressor, keys: list[str], text: str =
     """Score of every whole text, 0 to 1, and ``predicted`` (1 from 0.5 on).
 
     Returns the key columns, ``score`` and ``predicted``. A null, empty or blank text tells
-    nothing and scores the share of good labels in the sample. Repeated rows give
+    nothing and scores the share of good labels. Repeated rows give
     repeated rows with equal scores, an empty table an empty one. Other columns are not
     read; key columns named like the results are refused. No shuffle.
     """
