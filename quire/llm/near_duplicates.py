@@ -10,22 +10,21 @@ full sets.
 
 At similarity 0.85 a pair exceeds MAX_DISTANCE with a chance of about 4e-6.
 
-Equal sets are one node from the start. Documents that share a key are first compared with
-the key's smallest node only, a star that is linear in their number. Only where a key
-still holds nodes of different components are its nodes compared with those of other
-components, by signature distance, inside a join that gives out close pairs alone.
+Equal sets are one node from the start. Nodes that share a key, or are linked so through
+others, form a family. In a large family every key's nodes are first confirmed against the
+key's smallest node, a star that is linear in their number and joins most of them. What
+is still apart is compared on full sets in pairs of blocks, each a task of bounded size,
+and a task gives out only as many links as join what it found.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-from operator import add
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import keyed_texts, map_texts, stored
@@ -39,10 +38,10 @@ CHUNKS = 10
 MAX_DISTANCE = 2 * CHUNKS - 1
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Star rounds before the exact join of what is left.
-STARS = 2
-_WORDS = HASHES * BITS // 64
-_LANES = 64 // BITS
+#: Nodes of a block in which full sets are compared, hashes held as columns at a time, tasks that small families share.
+BLOCK = 512
+COLUMNS = 4096
+SMALL_TASKS = 256
 _FACTORS = np.random.default_rng(5).integers(0, 2**64, (2, HASHES), np.uint64) | np.uint64(1)
 _PLACE = np.random.default_rng(6).integers(0, 2**64, SHINGLE, np.uint64) | np.uint64(1)
 
@@ -93,40 +92,91 @@ def _features(texts: list[str]) -> list:
     held = [i for i, s in enumerate(sets) if len(s)]
     marks = np.array([signature(sets[i]) for i in held], np.uint64).reshape(-1, HASHES)
     keys = dict(zip(held, chunk_keys(marks).astype(np.int64).tolist(), strict=True))
-    lanes = reduce(np.bitwise_or, [marks[:, i::_LANES] << np.uint64(BITS * i) for i in range(_LANES)]).astype(np.int64)
-    packed = dict(zip(held, lanes.tolist(), strict=True))
-    node = [int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())))) if len(s) else None for s in sets]
-    return [[len(s) for s in sets], node, [packed.get(i) for i in range(len(sets))], [keys.get(i) for i in range(len(sets))]]
-
-
-def distance(a: Column, b: Column) -> Column:
-    """Places in which two packed signatures differ: lanes of the exclusive or that are not 0, each folded onto one bit."""
-    terms = []
-    for i in range(_WORDS):
-        x = a[i].bitwiseXOR(b[i])
-        width = BITS
-        while width > 1:  # fold each lane onto its lowest bit
-            width //= 2
-            mask = sum(((1 << width) - 1) << (BITS * lane) for lane in range(_LANES))
-            x = x.bitwiseOR(F.shiftrightunsigned(x, width)).bitwiseAND(F.lit(mask))
-        terms.append(F.bit_count(x))
-    return reduce(add, terms)
-
-
-def confirmed(pairs: DataFrame, documents: DataFrame, nodes: DataFrame, key: str, text: str, percent: int) -> DataFrame:
-    """Those pairs (a, b) of nodes whose full sets are similar enough.
-
-    Sets are worked out anew from the texts of the documents that stand for the nodes, one each.
-    """
-    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    chosen = asked.join(nodes.select("node", "doc"), "node").select(F.col("doc").alias("__doc")).distinct()
+    return [[len(s) for s in sets], [node_of(s) for s in sets], [keys.get(i) for i in range(len(sets))]]
+
+
+def node_of(hashes: np.ndarray) -> int | None:
+    """64-bit hash that stands for a whole set."""
+    return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63) if len(hashes) else None
+
+
+def node_sets(nodes: DataFrame, documents: DataFrame, key: str, text: str) -> DataFrame:
+    """Full sets (node, set) of the nodes of a table (node, doc), worked out anew from one document of each."""
+    chosen = nodes.select(F.col("doc").alias("__doc")).distinct()
     rows = documents.select(F.col(key), F.col(text)).join(chosen, F.col(key).eqNullSafe(F.col("__doc")), "left_semi")
 
     def work(texts: list[str]) -> list:
         sets = [shingle_set(t) for t in texts]
-        return [[int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())))) for s in sets], [s.tobytes() for s in sets]]
-
-    sets = map_texts(rows, [], text, {"node": "long", "set": "binary"}, lambda: work).dropDuplicates(["node"])
+        return [[node_of(s) for s in sets], [s.tobytes() for s in sets]]
+
+    # a key may be repeated with other texts, whose nodes stand elsewhere
+    return map_texts(rows, [], text, {"node": "long", "set": "binary"}, lambda: work).join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of sorted sets, as a matrix; hashes are taken COLUMNS at a time."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    if len(left) * len(right) <= 4:
+        for i, x in enumerate(left):
+            for j, y in enumerate(right):
+                out[i, j] = np.intersect1d(x, y, assume_unique=True).size
+        return out
+    sides = [(np.concatenate(s), np.repeat(np.arange(len(s)), [len(x) for x in s])) for s in (left, right)]
+    both = np.intersect1d(sides[0][0], sides[1][0])
+    placed = []
+    for values, rows in sides:
+        at = np.minimum(np.searchsorted(both, values), max(0, len(both) - 1))
+        held = both[at] == values if len(both) else np.zeros(len(values), bool)
+        order = np.argsort(at[held], kind="stable")
+        placed.append((at[held][order], rows[held][order]))
+    for k in range(0, len(both), COLUMNS):
+        made = []
+        for (at, rows), side in zip(placed, (left, right), strict=True):
+            a, b = np.searchsorted(at, [k, k + COLUMNS])
+            flags = np.zeros((len(side), COLUMNS), np.float32)
+            flags[rows[a:b], at[a:b] - k] = 1
+            made.append(flags)
+        out += made[0] @ made[1].T
+    return out
+
+
+def _joined(parent: dict[int, int], a: int, b: int) -> bool:
+    """Union of two roots; whether they were apart."""
+    found = []
+    for x in (a, b):
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        found.append(x)
+    parent[max(found)] = min(found)
+    return found[0] != found[1]
+
+
+def block_links(percent: int):
+    """For the rows (family, node, root, side, set) of a task: links between different roots of a family, as few as join them."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        family, node, root, side = (rows.column(n).to_numpy() for n in ("family", "node", "root", "side"))
+        sets = [np.frombuffer(s, np.uint64) for s in rows.column("set").to_pylist()]
+        out: tuple[list[int], list[int]] = ([], [])
+        order = np.argsort(family, kind="stable")
+        for group in np.split(order, np.flatnonzero(np.diff(family[order])) + 1):
+            one = group[side[group] == 0]
+            two = group[side[group] == 1] if (side[group] == 1).any() else one
+            common = common_counts([sets[i] for i in one], [sets[i] for i in two])
+            sizes = [np.array([len(sets[i]) for i in x]) for x in (one, two)]
+            near = 100 * common >= percent * (sizes[0][:, None] + sizes[1] - common)
+            parent: dict[int, int] = {}
+            for i, j in zip(*np.nonzero(near & (root[one][:, None] != root[two])), strict=True):
+                if _joined(parent, int(root[one[i]]), int(root[two[j]])):
+                    out[0].append(int(node[one[i]]))
+                    out[1].append(int(node[two[j]]))
+        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+
+    return run
+
+
+def star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b) of nodes whose full sets are similar enough."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,6 +191,39 @@ def confirmed(pairs: DataFrame, documents: DataFrame, nodes: DataFrame, key: str
     return both.select("a", "b", "sa", "sb").mapInArrow(close, "a long, b long")
 
 
+def family_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different roots inside families, from rows (family, node, root).
+
+    A family is cut into blocks of about BLOCK nodes; a root with many nodes has blocks of
+    its own, and two blocks of one such root are never compared. Tasks are pairs of blocks;
+    small families share tasks.
+    """
+    large = F.col("n") > BLOCK // 4
+    by_root = members.groupBy("family", "root").agg(F.count(F.lit(1)).alias("n"))
+    mixed = by_root.groupBy("family").agg(F.count(F.lit(1)).alias("roots"), F.sum("n").alias("nodes")).filter("roots > 1")
+    whole = F.col("nodes") <= BLOCK
+    major = F.when(~whole & large, F.col("root"))
+    parts = by_root.join(mixed.select("family", "nodes"), "family").withColumn("major", major)
+    blocks = parts.groupBy("family", "nodes", "major").agg(F.sum("n").alias("n")).withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
+    placed = (
+        members.join(parts.select("family", "root", "major"), ["family", "root"])
+        .join(blocks.select("family", F.col("major").alias("__major"), "parts", "nodes"), "family")
+        .filter(F.col("major").eqNullSafe(F.col("__major")))
+        .withColumn("block", F.xxhash64("major", F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("parts"))))
+    )
+    labels = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("family", "major", "nodes", F.xxhash64("major", F.col("part").cast("long")).alias("block"))
+    other = labels.select("family", F.col("major").alias("major2"), F.col("block").alias("block2"))
+    # pairs of blocks, not of documents: few a family
+    deals = labels.join(other, "family").filter((F.col("block") <= F.col("block2")) & (F.col("major").isNull() | F.col("major2").isNull() | (F.col("major") != F.col("major2"))))
+    bins = F.lit(SMALL_TASKS)
+    task = F.when(whole, F.pmod(F.xxhash64("family"), bins)).otherwise(F.xxhash64("family", "block", "block2"))
+    deals = deals.select("family", "block", "block2", task.alias("task"))
+    one = deals.select("family", "block", "task", F.lit(0).alias("side"))
+    two = deals.filter("block <> block2").select("family", F.col("block2").alias("block"), "task", F.lit(1).alias("side"))
+    rows = placed.select("family", "node", "root", "block").join(one.unionByName(two), ["family", "block"]).join(sets, "node")
+    return rows.select("task", "family", "node", "root", "side", "set").groupBy("task").applyInArrow(block_links(percent), "a long, b long")
+
+
 def near_duplicates(df: DataFrame, key: str, text: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row for each row of ``df``: key, ``n_shingles`` (long), ``component_id`` and ``kept``.
 
@@ -152,33 +235,24 @@ def near_duplicates(df: DataFrame, key: str, text: str = "text", percent: int =
     empty table gives an empty one. Other columns are not read; keys named like results are
     refused. Nodes are 64-bit hashes of whole sets.
     """
-    keyed_texts(df, [key], text, ["n_shingles", "component_id", "kept", "node", "doc", "sig", "chunks"])
-    features = stored(map_texts(df, [key], text, {"n_shingles": "long", "node": "long", "sig": "array<long>", "chunks": "array<long>"}, lambda: _features))
+    keyed_texts(df, [key], text, ["n_shingles", "component_id", "kept", "node", "doc", "chunks"])
+    features = stored(map_texts(df, [key], text, {"n_shingles": "long", "node": "long", "chunks": "array<long>"}, lambda: _features))
     filled = features.filter("node IS NOT NULL")
     nodes = stored(filled.groupBy("node").agg(F.min(key).alias("doc")))
-    alike = filled.groupBy("node").agg(F.first("sig").alias("sig"), F.first("chunks").alias("chunks"))
-    rows = alike.select(F.explode("chunks").alias("key"), "node")
-    pivots = rows.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot <> last")
-    shared = stored(rows.join(pivots.select("key", "pivot"), "key"))  # only keys of several nodes
-
-    tried = stored(shared.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
-    links = stored(confirmed(tried, df, nodes, key, text, percent))
-    roots = components(links)
-    for star in range(STARS):
-        left = _unsettled(shared, roots)
-        if star + 1 < STARS:  # again from another node: the smallest outside the pivot's component
-            second = left.filter("root <> pivot_root").groupBy("key").agg(F.min("node").alias("second"))
-            pairs = left.join(second, "key").join(roots.select(F.col("node").alias("second"), F.col("root").alias("second_root")), "second", "left")
-            pairs = pairs.filter("root <> coalesce(second_root, second)").select(F.least("second", "node").alias("a"), F.greatest("second", "node").alias("b")).distinct()
-        else:
-            marked = left.join(alike.select("node", "sig"), "node").select("key", "node", "root", "sig")
-            other = marked.select("key", *[F.col(c).alias(f"{c}2") for c in ("node", "root", "sig")])
-            close = (F.col("node") < F.col("node2")) & (F.col("root") != F.col("root2")) & (distance(F.col("sig"), F.col("sig2")) <= MAX_DISTANCE)
-            pairs = marked.alias("x").join(other.alias("y"), (F.col("x.key") == F.col("y.key")) & close).select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
-        pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = tried.unionByName(pairs)
-        links = links.unionByName(stored(confirmed(pairs, df, nodes, key, text, percent)))
-        roots = components(links)
+    alike = filled.groupBy("node").agg(F.first("chunks").alias("chunks"))
+    rows = stored(alike.select(F.explode("chunks").alias("key"), "node"))
+    pivots = rows.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot <> last").select("key", "pivot")
+    stars = stored(rows.join(pivots, "key").filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
+
+    families = stored(components(stars).withColumnRenamed("root", "family"))
+    sets = stored(node_sets(families.join(nodes, "node").select("node", "doc"), df, key, text))
+    sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
+    large = families.join(sizes.filter(F.col("size") > BLOCK), "family").select(F.col("node").alias("a"))
+    first = stored(star_links(stars.join(large, "a"), sets, percent))
+    roots = components(first)
+    members = stored(families.join(roots, "node", "left").select("family", "node", F.coalesce("root", "node").alias("root")))
+    rest = stored(family_links(members, sets, percent))
+    roots = components(first.unionByName(rest))
     named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("doc").alias("component_id"))
     ids = stored(named.join(smallest, "root").select("node", "component_id"))
@@ -186,9 +260,3 @@ def near_duplicates(df: DataFrame, key: str, text: str = "text", percent: int =
     component = F.when(F.col("node").isNull(), F.col(key)).otherwise(F.col("component_id"))
     return out.select(key, "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col(key)).alias("kept"))
 
-
-def _unsettled(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows (key, node, pivot, root, pivot_root) of the keys that still hold nodes of different components."""
-    rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("node").alias("pivot"), F.min_by("root", "node").alias("pivot_root")).filter("low <> high")
-    return stored(rooted.select("key", "node", "root").join(mixed.select("key", "pivot", "pivot_root"), "key"))
