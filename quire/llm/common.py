@@ -92,8 +92,13 @@ def stored(df: DataFrame) -> DataFrame:
 def smallest_hashes(rows: DataFrame, group: str, order: list[str | Column], limit: int) -> DataFrame:
     """Per group the ``limit`` rows of smallest seeded hash, with their ``__rank`` (from 1): a bounded, repeatable sample.
 
-    Each partition is cut to ``limit`` rows a group before the shuffle.
+    Groups are few. Only rows whose hash lies in the lowest 4 * limit / rows of its group are
+    ranked (a share that holds fewer than ``limit`` of them does not occur in practice), so one task
+    sees a bounded number of rows however large the group.
     """
     hashed = rows.withColumn("__hash", F.xxhash64(F.lit("sample"), *order))
-    w = Window.partitionBy(group).orderBy("__hash", *order)
-    return hashed.withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") <= limit).drop("__hash")
+    sizes = rows.groupBy(F.col(group).alias("__group")).agg(F.count(F.lit(1)).alias("__size"))
+    low = F.shiftrightunsigned("__hash", 11) / float(1 << 53) < 4.0 * (limit + 16) / F.col("__size")
+    drawn = hashed.join(F.broadcast(sizes), F.col(group) == F.col("__group")).filter(low)  # one row a group
+    w = Window.partitionBy(group).orderBy(F.shiftrightunsigned("__hash", 11), *order)
+    return drawn.withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") <= limit).drop("__hash", "__group", "__size")
