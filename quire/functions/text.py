@@ -101,10 +101,11 @@ def preview(text: Column | str, limit: int, right_trim: bool = True) -> Column:
 
 
 def natural_key(value: Column | str) -> Column:
-    """Sortable array in which digit runs compare as numbers."""
+    """Sortable array in which digit runs of any length compare as numbers: their length in ten digits, then they without leading zeros."""
     parts = F.regexp_extract_all(_col(value), F.lit(r"(\d+|\D+)"), F.lit(1))
+    number = lambda p: F.regexp_replace(p, r"^0+(?=\d)", "")
     padded = F.transform(
-        parts, lambda p: F.when(p.rlike(r"^\d") & (F.length(p) < 38), F.lpad(p, 38, "0")).otherwise(p)
+        parts, lambda p: F.when(p.rlike(r"^\d"), F.concat(F.lpad(F.length(number(p)).cast("string"), 10, "0"), number(p))).otherwise(p)
     )
     return F.when(_col(value).rlike(r"^\d"), F.concat(F.array(F.lit("")), padded)).otherwise(padded)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
@@ -21,7 +21,6 @@ COUNTING_LIMIT = 12
 NUMBER_TOKEN = r"\d+\s+\d+\s*/\s*\d+|\d+\s*/\s*\d+|\d+\.\d+|\d+"
 # ---------------------------------------------------------------------------
 
-DIGITS = 18  # longest digit run that is read; longer input counts as unreadable
 
 
 def _dec(value: Column) -> Column:
@@ -38,7 +37,7 @@ def gcd(a: Column, b: Column) -> Column:
 
 
 def parse_number(text: Column) -> Column:
-    """Exact (num, den) of a typed answer: integer, a/b, w a/b or decimal; null when unreadable (L1).
+    """Exact (num, den) of a number in shown working: integer, a/b, w a/b or decimal up to 18 digits; null when unreadable.
 
     A leading minus of a mixed number covers the fraction too.
     """
@@ -60,42 +59,94 @@ def parse_number(text: Column) -> Column:
     )
 
 
+def _plain(digits: Column) -> Column:
+    return F.regexp_replace(digits, r"^0+(?=\d)", "")
+
+
+def _times(digits: Column, factor: Column) -> Column:
+    """Digits of any length times a whole number under 2**63, as digits: nine at a time from the right, with a carry."""
+    padded = F.lpad(digits, (F.ceil(F.length(digits) / 9) * 9).cast("int"), "0")
+    limbs = F.reverse(F.regexp_extract_all(padded, F.lit(r"\d{9}"), F.lit(0)))
+    wide = lambda c: c.cast("decimal(38,0)")
+
+    def step(s: Column, limb: Column) -> Column:
+        amount = wide(wide(limb) * wide(factor) + s["carry"])
+        low = wide(amount % 1_000_000_000)
+        return F.struct(wide((amount - low) / 1_000_000_000).alias("carry"), F.concat(F.lpad(low.cast("string"), 9, "0"), s["out"]).alias("out"))
+
+    done = F.aggregate(limbs, F.struct(F.lit(0).cast("decimal(38,0)").alias("carry"), F.lit("").alias("out")), step)
+    return _plain(F.concat(done["carry"].cast("string"), done["out"]))
+
+
+def _same_products(a: Column, x: Column, b: Column, y: Column) -> Column:
+    """a * x == b * y for digits a, b of any length and whole x, y >= 0."""
+    short = (F.length(a) <= 18) & (F.length(b) <= 18)
+    return F.when(short, _dec(a) * x == _dec(b) * y).otherwise(_times(a, x) == _times(b, y))
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
+TYPED_NUMBER = r"^(-?)(?:(\d+)\s+(?=\d+\s*/))?(\d+)(?:\s*/\s*(\d+)|\.(\d+))?$"
+
+
 def mark_number(typed: Column, num: Column, den: Column) -> Column:
-    """correct, equal, not_simplest, readable (L1).
+    """correct, equal, not_simplest, readable, for answers of any length (L1).
 
-    The simplest-form test reads the text as typed, so a fraction written with commas or
-    a typographic minus is never found unreduced.
+    One match splits the text into sign, whole part, digits, denominator and decimals. The
+    accepted answer num / den is below 2**63, so a typed number is held against it by
+    multiplying digits with it. An equal fraction is in simplest form where its denominator
+    is that of the reduced answer. That test reads the text as typed, so a fraction written
+    with commas or a typographic minus is never found unreduced.
     """
-    value = parse_number(typed)
-    n, d = _dec(num), _dec(den)
-    equal = F.coalesce(value["n"] * d == n * value["d"], F.lit(False))
-    raw = T.strip(typed)
-    shape = r"^(?:-?\d{1,18}\s+)?(-?\d{1,18})\s*/\s*(\d{1,18})$"
-    top, bottom = _dec(F.regexp_extract(raw, shape, 1)), _dec(F.regexp_extract(raw, shape, 2))
-    written = equal & raw.rlike(shape) & (bottom > 1)
-    simplest = F.when(written, gcd(top, bottom) == 1).otherwise(F.lit(True))
-    return F.struct(
-        (equal & simplest).alias("correct"), equal.alias("equal"), (equal & ~simplest).alias("not_simplest"),
-        value.isNotNull().alias("readable"),
-    )
+    s = F.replace(F.replace(T.strip(typed), F.lit("−"), F.lit("-")), F.lit(","), F.lit(""))
+    split = F.when(s.rlike(TYPED_NUMBER), F.split(F.regexp_replace(s, TYPED_NUMBER, r"$1|$2|$3|$4|$5"), r"\|"))
+    p = F.abs(_dec(num))
+    p, q, negative = _dec(p), _dec(F.abs(_dec(den))), (_dec(num) < 0) != (_dec(den) < 0)
+    zeros = lambda d: F.concat(F.lit("1"), F.repeat(F.lit("0"), F.length(d)))
+    parts = _let(split, lambda v: F.struct(
+        v[0].alias("sign"), _plain(F.when(v[1] == "", "0").otherwise(v[1])).alias("whole"), _plain(F.concat(v[2], v[4])).alias("top"),
+        _plain(F.when(v[3] != "", v[3]).otherwise(zeros(v[4]))).alias("bottom"), (v[3] != "").alias("fraction"),
+    ))
+
+    def marked(v: Column) -> Column:
+        readable = F.coalesce(v["bottom"] != "0", F.lit(False))
+        # a whole part beyond 19 digits exceeds any accepted answer
+        rest = F.when(F.length(v["whole"]) <= 19, p - F.when(v["whole"] == "0", F.lit(0).cast("decimal(38,0)")).otherwise(F.try_multiply(_dec(v["whole"]), q)))
+        nothing = (v["whole"] == "0") & (v["top"] == "0")
+        # a minus on a zero whole part of a mixed number is not a minus: int("-0") is 0
+        minus = (v["sign"] == "-") & ~(v["mixed_zero"])
+        agrees = F.when(nothing | (p == 0), nothing & (p == 0)).otherwise((minus == negative) & (rest >= 0) & _same_products(v["top"], q, v["bottom"], _dec(F.greatest(rest, F.lit(0)))))
+        equal = readable & F.coalesce(agrees, F.lit(False))
+        raw = T.strip(typed)
+        written = equal & v["fraction"] & raw.rlike(r"^(?:-?\d+\s+)?-?\d+\s*/\s*\d+$") & (v["bottom"] != "1")
+        simplest = F.when(written, v["bottom"] == (q / gcd(p, q)).cast("decimal(38,0)").cast("string")).otherwise(F.lit(True))
+        return F.struct((equal & simplest).alias("correct"), equal.alias("equal"), (equal & ~simplest).alias("not_simplest"), readable.alias("readable"))
+
+    mixed_zero = s.rlike(r"^-0+\s+\d")
+    return _let(parts.withField("mixed_zero", mixed_zero), marked)
+
+
+TYPED_RATIO = r"(?i)^(\d+)(?:\s*:\s*|\s+to\s+)(\d+)$"
 
 
-def parse_ratio(text: Column) -> Column:
-    s = F.replace(T.strip(text), F.lit(","), F.lit(""))
-    pattern = r"(?i)^(\d{1,18})(?:\s*:\s*|\s+to\s+)(\d{1,18})$"
-    a, b = _dec(F.regexp_extract(s, pattern, 1)), _dec(F.regexp_extract(s, pattern, 2))
-    return F.when(s.rlike(pattern) & (a != 0) & (b != 0), F.struct(a.alias("a"), b.alias("b")))
+def mark_ratio(typed: Column, left: Column, right: Column) -> Column:
+    """Equal after reduction, correct only when written reduced; numbers of any length (L2)."""
+    s = F.replace(T.strip(typed), F.lit(","), F.lit(""))
+    split = F.when(s.rlike(TYPED_RATIO), F.split(F.regexp_replace(s, TYPED_RATIO, "$1|$2"), r"\|"))
+    x, y = _dec(left), _dec(right)
 
+    def marked(v: Column) -> Column:
+        a, b = _plain(v[0]), _plain(v[1])
+        readable = F.coalesce((a != "0") & (b != "0"), F.lit(False))
+        equal = readable & F.coalesce((x >= 0) & (y >= 0) & _same_products(a, y, b, x), F.lit(False))
+        part = lambda n: (n / gcd(x, y)).cast("decimal(38,0)").cast("string")
+        simplest = F.when(equal, (a == part(x)) & (b == part(y))).otherwise(F.lit(False))
+        return F.struct((equal & simplest).alias("correct"), equal.alias("equal"), (equal & ~simplest).alias("not_simplest"), readable.alias("readable"))
 
-def mark_ratio(typed: Column, left: Column, right: Column) -> Column:
-    """Equal after reduction, correct only when written reduced (L2)."""
-    got = parse_ratio(typed)
-    equal = F.coalesce(got["a"] * _dec(right) == got["b"] * _dec(left), F.lit(False))
-    simplest = F.when(equal, gcd(got["a"], got["b"]) == 1).otherwise(F.lit(False))
-    return F.struct(
-        (equal & simplest).alias("correct"), equal.alias("equal"), (equal & ~simplest).alias("not_simplest"),
-        got.isNotNull().alias("readable"),
-    )
+    return _let(split, marked)
 
 
 def mark_choice(mode: Column, chosen: Column, correct: Column, keys: Column) -> Column:
@@ -222,22 +273,22 @@ def stated_numbers(texts: DataFrame, keep: list[str], text: str = "text") -> Dat
 def allowed_numbers(points: DataFrame, items: DataFrame, key: str = "item_id") -> DataFrame:
     """Figures a description may state: values, total, gap, ratio, numbers in labels and title, pie top-k sums.
 
-    points: (key, i, label, value), at most eight per item by the shape rule; items: (key, title, chart_type).
+    points: (key, i, label, value), any number per item; items: (key, title, chart_type). Points stay rows; only a
+    pie's running sums need them in order.
     """
     v = F.col("value")
     numbers = lambda c: F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"\d+(?:\.\d+)?"), F.lit(0)), lambda s: s.cast("double"))
-    per = points.groupBy(key).agg(
-        F.collect_list(v.cast("double")).alias("vs"), F.flatten(F.collect_list(numbers(F.col("label")))).alias("ls"),
-    ).join(items, key)
-    down = F.reverse(F.array_sort("vs"))
-    add = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    hi, lo = F.array_max("vs"), F.array_min("vs")
-    pies = F.when(F.col("chart_type") == "pie", F.transform(F.sequence(F.lit(2), F.greatest(F.size("vs"), F.lit(2))), lambda k: add(F.slice(down, F.lit(1), k))))
-    everything = F.concat(
-        F.col("vs"), F.array(add(F.col("vs")), hi - lo), F.when(lo != 0, F.array(F.round(hi / lo, 1))).otherwise(F.array().cast("array<double>")),
-        F.col("ls"), numbers(F.col("title")), F.coalesce(pies, F.array().cast("array<double>")),
-    )
-    return per.select(key, F.explode(F.array_distinct(everything)).alias("number"))
+    value = points.select(key, v.cast("double").alias("number"))
+    per = value.groupBy(key).agg(F.sum("number").alias("total"), F.max("number").alias("hi"), F.min("number").alias("lo"))
+    ratio = F.when(F.col("lo") != 0, F.round(F.col("hi") / F.col("lo"), 1))
+    derived = per.select(key, F.explode(F.array("total", F.col("hi") - F.col("lo"), ratio)).alias("number")).filter("number IS NOT NULL")
+    labels = points.join(items.select(key), key, "left_semi").select(key, F.explode(numbers(F.col("label"))).alias("number"))
+    titles = items.join(per.select(key), key, "left_semi").select(key, F.explode(numbers(F.col("title"))).alias("number"))
+    pies = value.join(items.filter("chart_type = 'pie'").select(key), key, "left_semi")
+    largest = Window.partitionBy(key).orderBy(F.desc("number")).rowsBetween(Window.unboundedPreceding, 0)
+    sums = pies.select(key, F.sum("number").over(largest).alias("number"), F.count(F.lit(1)).over(largest).alias("__k")).filter("__k > 1").drop("__k")
+    known = value.unionByName(derived).join(items.select(key), key, "left_semi")
+    return known.unionByName(labels).unionByName(titles).unionByName(sums).distinct()
 
 
 def unsupported_numbers(said: DataFrame, allowed: DataFrame, keys: list[str]) -> DataFrame:

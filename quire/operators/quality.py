@@ -52,8 +52,14 @@ def extraction_damage(chunks: DataFrame, keep: list[str], text: str = "text", sn
     """Empty chunks and runs of spaces inside words, with a few snippets (P5)."""
     t = F.coalesce(F.col(text), F.lit(""))
     gaps = F.when(F.contains(t, F.lit("  ")), F.regexp_count(t, F.lit(T.GAP))).otherwise(0)
-    around = F.regexp_extract_all(t, F.lit(rf"(?s).{{0,{GAP_CONTEXT}}}{T.GAP}.{{0,{GAP_CONTEXT}}}"), F.lit(0))
-    shown = F.transform(F.slice(around, 1, snippets), lambda s: F.trim(F.replace(s, F.lit("\n"), F.lit("\\n"))))
+    # a gap starts after the pieces and gaps before it; its context may overlap its neighbours'
+    before, gap = F.transform(F.split(t, T.GAP, snippets + 1), F.length), F.regexp_extract_all(t, F.lit(T.GAP), F.lit(0))
+    total = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda s, x: s + x)
+    spans = F.transform(
+        F.slice(gap, 1, snippets), lambda g, i: F.struct((total(before, i + 1) + total(F.transform(gap, F.length), i)).alias("at"), F.length(g).alias("size"))
+    )
+    cut = F.transform(spans, lambda s: F.struct(F.greatest(s["at"] - GAP_CONTEXT, F.lit(0)).alias("a"), (s["at"] + s["size"] + GAP_CONTEXT).alias("b")))
+    shown = F.transform(cut, lambda s: F.trim(F.replace(F.substring(t, s["a"] + 1, s["b"] - s["a"]), F.lit("\n"), F.lit("\\n"))))
     none = F.array().cast("array<string>")
     found = T.pinned(chunks, list(dict.fromkeys([*keep, text])), {"__blank": T.blank(text), "__gaps": gaps})
     found = found.filter(F.col("__blank") | (F.col("__gaps") > 0))

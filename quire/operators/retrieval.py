@@ -39,6 +39,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 QUERY_PACKS = 16
+SALTS = 32
 
 
 def similarity_top_k(
@@ -54,16 +55,18 @@ def similarity_top_k(
     Queries are packed into ``packs`` arrays per scope; each node meets each pack of its
     scope in an equi join, keeps one row per query, and every partition is cut to k rows
     per query before the shuffle. Exact: each node is scored against each query of its
-    scope. Raise ``packs`` with the number of queries.
+    scope. Raise ``packs`` with the number of queries. The nodes that meet a pack spread
+    over ``SALTS`` tasks, each with a copy of the pack.
     """
     scope = scope or []
     pack = F.pmod(F.xxhash64("query_id"), F.lit(packs)).cast("int")
     packed = queries.groupBy(*scope, pack.alias("__pack")).agg(
         F.collect_list(F.struct("query_id", "query_vector")).alias("__queries")
-    )
-    fanned = nodes.withColumn("__pack", F.explode(F.sequence(F.lit(0), F.lit(packs - 1))))
+    ).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = nodes.withColumn("__salt", F.pmod(F.xxhash64("node_id"), F.lit(SALTS)).cast("int"))
+    fanned = salted.withColumn("__pack", F.explode(F.sequence(F.lit(0), F.lit(packs - 1))))
     scored = (
-        fanned.join(packed, [*scope, "__pack"])
+        fanned.join(packed, [*scope, "__pack", "__salt"])
         .select("node_id", *scope, "embedding", F.explode("__queries").alias("q"))
         .select(
             F.col("q.query_id").alias("query_id"),

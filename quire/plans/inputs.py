@@ -36,19 +36,19 @@ derive(
        FROM documents""",
 )
 
-# Lines rewritten by their place so that headings, questions, list items and noise occur.
+# Whole lines marked by their place so that headings, questions, list items and noise occur.
 _CASE = """CASE (doc_id * 7 + ({i})) % 16
   WHEN 0 THEN 'CHAPTER ' || CAST(1 + doc_id % 9 AS STRING)
-  WHEN 1 THEN CAST(1 + doc_id % 9 AS STRING) || '.' || CAST(1 + ({i}) % 7 AS STRING) || ' ' || substr(l, 1, 34)
-  WHEN 2 THEN 'What is ' || substr(l, 1, 24) || ' now?'
-  WHEN 3 THEN upper(replace(substr(l, 1, 30), 'ß', 'ss'))
-  WHEN 4 THEN substr(l, 1, 25)
-  WHEN 5 THEN CAST(1 + ({i}) % 30 AS STRING) || '. ' || substr(l, 1, 20) || ' . . . . ' || CAST(doc_id % 300 AS STRING)
-  WHEN 6 THEN 'www.' || substr(l, 1, 12)
-  WHEN 7 THEN 'Chapter ' || CAST(1 + ({i}) % 12 AS STRING) || ': ' || substr(l, 1, 18)
-  WHEN 8 THEN CAST(({i}) AS STRING) || ') ' || substr(l, 1, 16)
+  WHEN 1 THEN CAST(1 + doc_id % 9 AS STRING) || '.' || CAST(1 + ({i}) % 7 AS STRING) || ' ' || l
+  WHEN 2 THEN 'What is ' || l || ' now?'
+  WHEN 3 THEN upper(replace(l, 'ß', 'ss'))
+  WHEN 4 THEN l
+  WHEN 5 THEN CAST(1 + ({i}) % 30 AS STRING) || '. ' || l || ' . . . . ' || CAST(doc_id % 300 AS STRING)
+  WHEN 6 THEN 'www.' || l
+  WHEN 7 THEN 'Chapter ' || CAST(1 + ({i}) % 12 AS STRING) || ': ' || l
+  WHEN 8 THEN CAST(({i}) AS STRING) || ') ' || l
   WHEN 9 THEN 'Table of Contents'
-  WHEN 10 THEN substr(l, 1, 14) || ' ' || CAST(doc_id % 90 AS STRING)
+  WHEN 10 THEN l || ' ' || CAST(doc_id % 90 AS STRING)
   ELSE l END"""
 derive(
     "structured",

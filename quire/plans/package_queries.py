@@ -153,12 +153,13 @@ def lesson_chapter_map(t: Tables):
 
 @query(
     "uncovered_skills",
-    """SELECT p_brand AS skill, count(*) AS exercises_in_bank, arg_min(p_name, p_partkey) AS sample_question, 'no learning goal in this chapter''s enrichment matched it' AS why FROM part WHERE p_brand NOT IN (SELECT DISTINCT p_brand FROM part WHERE p_size = 50 AND p_type = 'ECONOMY') GROUP BY p_brand""",
+    """SELECT p_brand AS skill, count(*) AS exercises_in_bank, arg_min(p_name, p_partkey) AS sample_question, coalesce('passed over for ' || min(p_name) FILTER (WHERE p_size = 49), 'no learning goal in this chapter''s enrichment matched it') AS why FROM part WHERE p_brand NOT IN (SELECT DISTINCT p_brand FROM part WHERE p_size = 50 AND p_type = 'ECONOMY') GROUP BY p_brand""",
 )
 def uncovered_skills(t: Tables):
     items = t.part.select(F.col("p_brand").alias("skill"), F.col("p_name").alias("prompt"), F.col("p_partkey").alias("ord"))
     declared = t.part.filter((F.col("p_size") == 50) & (F.col("p_type") == "ECONOMY")).select(F.col("p_brand").alias("skill"))
-    return C.uncovered_skills(items, declared, items.limit(0).select("skill", F.col("prompt").alias("reason")))
+    reasons = t.part.filter("p_size = 49").groupBy(F.col("p_brand").alias("skill")).agg(F.concat(F.lit("passed over for "), F.min("p_name")).alias("reason"))
+    return C.uncovered_skills(items, declared, reasons)
 
 
 @query("work_queue", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")

@@ -541,7 +541,7 @@ def assignment_counts(t: Tables):
 )
 def chapter_natural_order(t: Tables):
     ordered = S.chapter_order(t.placed.drop("text"))
-    return ordered.select("id", "chapter_number", F.element_at(T.natural_key("id"), 2).cast("long").alias("n"))
+    return ordered.select("id", "chapter_number", F.substring(F.element_at(T.natural_key("id"), 2), 11, 40).cast("long").alias("n"))
 
 
 @query(

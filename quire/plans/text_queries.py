@@ -89,12 +89,14 @@ derive("gapped", "SELECT doc_id, lang, CASE WHEN doc_id % 97 = 0 THEN '  ' ELSE
 @query(
     "gap_damage",
     r"""WITH a AS (SELECT doc_id, text, regexp_replace(regexp_replace(text, '[^\p{L}\p{N}\x00-\x7F]', '-', 'g'), '[^\x00-\x7F]', 'Z', 'g') AS x FROM gapped),
-       n AS (SELECT doc_id, trim(text) = '' AS blank, len(regexp_extract_all(x, '\b[a-z]{1,6}\b {2,}\b[a-z]{1,6}\b')) AS g FROM a)
+       m AS (SELECT doc_id, text, trim(text) = '' AS blank, regexp_extract_all(x, '\b[a-z]{1,6}\b {2,}\b[a-z]{1,6}\b') AS m, list_transform(regexp_split_to_array(x, '\b[a-z]{1,6}\b {2,}\b[a-z]{1,6}\b'), lambda y: len(y)) AS p FROM a),
+       o AS (SELECT *, list_transform(range(1, least(3, len(m)) + 1), lambda i: list_sum(p[1:i]) + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: len(y))), 0)) AS places FROM m),
+       n AS (SELECT doc_id, blank, len(m) AS g, array_to_string(list_transform(places, lambda s, i: trim(replace(substr(text, CAST(greatest(s - 18, 0) + 1 AS BIGINT), CAST(s + len(m[i]) + 18 - greatest(s - 18, 0) AS BIGINT)), chr(10), '\n'))), '|') AS snippets FROM o)
        SELECT doc_id, CASE WHEN blank THEN 'EMPTY' ELSE 'SUSPECTED_GAP' END AS code, CASE WHEN blank THEN 'error' ELSE 'warning' END AS severity,
-       CASE WHEN blank THEN 0 ELSE g END AS gap_count FROM n WHERE blank OR g > 0""",
+       CASE WHEN blank THEN 0 ELSE g END AS gap_count, CASE WHEN blank THEN '' ELSE snippets END AS snippets FROM n WHERE blank OR g > 0""",
 )
 def gap_damage(t: Tables):
-    return Q.extraction_damage(t.gapped, ["doc_id"]).select("doc_id", "code", "severity", F.col("gap_count").cast("long").alias("gap_count"))
+    return Q.extraction_damage(t.gapped, ["doc_id"]).select("doc_id", "code", "severity", F.col("gap_count").cast("long").alias("gap_count"), F.array_join("snippets", "|").alias("snippets"))
 
 
 @query(
@@ -450,11 +452,7 @@ derive(
        SELECT id, CASE WHEN n NOT BETWEEN 4 AND 8 THEN 'point_count' WHEN neg THEN 'negative_value' WHEN ct = 'pie' AND s NOT BETWEEN 99 AND 101 THEN 'pie_total' WHEN d = 1 THEN 'all_equal' END AS code FROM c""",
 )
 def chart_shape(t: Tables):
-    """Points per chart are gathered only up to one more than a chart may hold."""
-    from quire.functions.ordered import top_n
-
-    few = top_n(t.charts, ["id"], [F.asc("k")], 9)
-    items = few.groupBy("id").agg(F.max("chart_type").alias("chart_type"), F.array_sort(F.collect_list(F.struct("label", "value"))).alias("points"))
+    items = t.charts.groupBy("id").agg(F.max("chart_type").alias("chart_type"), F.array_sort(F.collect_list(F.struct("label", "value"))).alias("points"))
     named = items.select("id", "chart_type", "points", F.lit("t").alias("title"), F.lit("s").alias("subject"), F.lit("u").alias("unit"))
     return named.select("id", Q.chart_reason().alias("code"))
 

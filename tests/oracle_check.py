@@ -30,7 +30,7 @@ def main():
     sf, wanted = sys.argv[1], sys.argv[2:]
     folder = f"/root/testdata/sf{sf}"
     spark = (
-        SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
+        SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

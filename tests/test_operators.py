@@ -2,6 +2,8 @@
 
 import json
 import random
+import re
+from fractions import Fraction
 from math import gcd
 
 import pytest
@@ -238,6 +240,36 @@ def test_number_marks_match_exact_fractions(spark):
     assert not got[9].readable and got[0].readable
 
 
+def test_numbers_of_any_length(spark):
+    """Typed numbers beyond 18 digits and 6 decimals, against Python's fractions."""
+    big = "1" + "0" * 40
+    cases = [
+        ("1234567890123456789", 1234567890123456789, 1), ("0.12345678", 12345678, 100000000), ("0.12345678", 6172839, 50000000),
+        (f"{big}/{big}", 1, 1), (f"3{'0' * 30}/4{'0' * 30}", 3, 4), ("0.5" + "0" * 60, 1, 2), ("0" * 50 + "7", 7, 1), (f"{big}", 1, 1), ("-0.25000000000000000000001", -1, 4),
+        ("-3 1/2", -7, 2), ("-0 1/2", 1, 2), ("-0 1/2", -1, 2), ("2 2/4", 5, 2), ("0/5", 0, 1), ("5/0", 5, 1), ("1 2", 12, 1), ("1 2.5", 5, 2), ("9" * 25 + " 1/2", 3, 2), ("-3/4", -3, 4), ("3/4", -3, 4), ("-0", 0, 1), (None, 1, 1),
+    ]
+    df = spark.createDataFrame([(i, t, n, d) for i, (t, n, d) in enumerate(cases)], "i int, t string, n long, d long")
+    got = {r.i: r.m for r in df.select("i", M.mark_number(F.col("t"), F.col("n"), F.col("d")).alias("m")).collect()}
+    for i, (t, n, d) in enumerate(cases):
+        m = re.fullmatch(r"(-?)(?:(\d+)\s+(?=\d+/))?(\d+)(?:/(\d+)|\.(\d+))?", t or "x")
+        value = None
+        if m and m[4] is None or m and int(m[4]):
+            whole, top = int(m[2] or 0), Fraction(int(m[3] + (m[5] or "")), int(m[4] or 10 ** len(m[5] or "")))
+            value = (whole + top) * (-1 if m[1] and not (m[2] and not whole) else 1)
+        equal = value == Fraction(n, d) if value is not None else False
+        unreduced = bool(equal and m[4] and int(m[4]) > 1 and gcd(int(m[3]), int(m[4])) > 1)
+        assert (got[i].readable, got[i].equal, got[i].correct, got[i].not_simplest) == (value is not None, equal, equal and not unreduced, unreduced), t
+    ratio = spark.createDataFrame([(f"5{'0' * 30}:4{'0' * 30}",), ("0" * 30 + "5 to 4",), ("1" * 40 + ":4",)], "t string").select(M.mark_ratio(F.col("t"), F.lit(5), F.lit(4)).alias("m")).collect()
+    assert [(r.m.equal, r.m.correct, r.m.readable) for r in ratio] == [(True, False, True), (True, True, True), (False, False, True)]
+
+
+def test_overlapping_damage_snippets(spark):
+    text = "an  ox is on  it and  so it  was"
+    row = Q.extraction_damage(spark.createDataFrame([(1, text)], "id int, text string"), ["id"]).first()
+    want = [text[max(0, m.start() - 18) : m.end() + 18].strip() for m in re.finditer(r"\b[a-z]{1,6}\b {2,}\b[a-z]{1,6}\b", text)]
+    assert row.gap_count == len(want) == 4 and row.snippets == want[:3]
+
+
 def test_gcd_and_ratio(spark):
     pairs = [(random.Random(i).randint(1, 10**17), random.Random(i + 99).randint(1, 10**17)) for i in range(20)]
     df = spark.createDataFrame([(str(a), str(b)) for a, b in pairs], "a string, b string").select(M.gcd(M._dec(F.col("a")), M._dec(F.col("b"))).alias("g"), "a", "b")

@@ -6,11 +6,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from quire.plans.registry import BASE
+from quire.plans.registry import BASE, QUERIES
 from tests.oracle_check import norm
 
 FOLDER = "/root/testdata/sf0.001"
-NAMES = sorted(entry.queries())
+NAMES = sorted(QUERIES)  # those of the corpus operators have tests of their own
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables are not here")
 
 
@@ -29,7 +29,7 @@ def test_query_matches_oracle(spark, duck, name):
     mine = sorted("|".join(norm(r[c]) for c in cols) for r in rows.collect())
     sql = entry.oracle_sql().get(name)
     if sql is None:
-        return
+        pytest.skip("no oracle: rows only")
     cursor = duck.execute(sql)
     names = [d[0] for d in cursor.description]
     assert sorted(names) == cols
