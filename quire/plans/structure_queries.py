@@ -6,7 +6,7 @@ from quire.functions import text as T
 from quire.functions.ordered import tile_of_integer, tile_of_time
 from quire.operators import headings as H
 from quire.operators import structure as S
-from quire.plans.registry import Tables, derive, query
+from quire.plans.registry import ORACLES, Tables, derive, query
 from quire.sources import chunks as C
 
 _LET = r"len(regexp_extract_all({c}, '\p{{L}}'))"
@@ -379,18 +379,24 @@ def contents_outline(t: Tables):
     return c.select("doc", F.col("entry").cast("long").alias("entry"), "entry_type", "title", "page_text", "page_start", F.col("chapter_position").cast("long").alias("chapter_position"), "chapter_number")
 
 
-@query(
-    "structure_signals",
-    """SELECT doc, count(*) FILTER (WHERE entry_type = 'chapter') AS chapter_count, count(*) FILTER (WHERE entry_type = 'section') AS section_count,
-       CASE WHEN count(*) FILTER (WHERE entry_type = 'chapter') >= 5 AND count(*) FILTER (WHERE entry_type = 'section') >= 20 THEN 'high' WHEN count(*) FILTER (WHERE entry_type = 'chapter') >= 3 THEN 'medium' ELSE 'low' END AS confidence, 'toc' AS source
-       FROM toc GROUP BY doc
-       UNION ALL SELECT doc, count(DISTINCT chapter_number), count(*), CASE WHEN count(*) BETWEEN 50 AND 500 THEN 'medium' ELSE 'low' END, 'section_candidates' FROM seccand GROUP BY doc
-       UNION ALL SELECT doc, count(DISTINCT chapter_number), 0, 'medium', 'chapter_only' FROM structured GROUP BY doc
-       UNION ALL SELECT DISTINCT doc, 0, 0, 'low', 'flat_chunks' FROM structured""",
-)
+# The seven signals, from the oracles of the inputs they measure.
+_SIGNALS_SQL = rf"""
+  SELECT doc, 'toc' AS source, chapter_count, section_count, CASE WHEN chapter_count >= 5 AND section_count >= 20 THEN 'high' WHEN chapter_count >= 3 THEN 'medium' ELSE 'low' END AS confidence
+    FROM (SELECT doc, count(*) FILTER (WHERE entry_type = 'chapter') AS chapter_count, count(*) FILTER (WHERE entry_type = 'section') AS section_count FROM toc GROUP BY doc)
+  UNION ALL SELECT doc, 'body_outline', n, 0, CASE WHEN n >= 5 THEN 'high' ELSE 'medium' END
+    FROM (SELECT b.doc, count(*) FILTER (WHERE regexp_matches(l.line, '\bCHAPTER\s+\d+\b')) AS n FROM ({ORACLES["body_outline"]}) b JOIN structured_lines l ON l.id = b.id AND l.line_no = b.line_no WHERE NOT b.is_toc GROUP BY b.doc)
+  UNION ALL SELECT doc, 'section_candidates', count(DISTINCT chapter_number), count(*), CASE WHEN count(*) BETWEEN 50 AND 500 THEN 'medium' ELSE 'low' END FROM seccand GROUP BY doc
+  UNION ALL SELECT doc, 'section_outline', c, k, CASE WHEN k BETWEEN 40 AND 200 THEN 'medium' ELSE 'low' END
+    FROM (SELECT s.doc, count(DISTINCT s.chapter_number) AS c, count(*) FILTER (WHERE o.kept) AS k FROM ({ORACLES["section_outline"]}) o JOIN structured s USING (id) GROUP BY s.doc)
+  UNION ALL SELECT doc, 'strict_section_outline', c, k, CASE WHEN k >= 20 AND c >= 5 THEN 'medium' ELSE 'low' END
+    FROM (SELECT s.doc, count(DISTINCT s.chapter_number) FILTER (WHERE o.kept) AS c, count(*) FILTER (WHERE o.kept) AS k FROM ({ORACLES["strict_section_outline"]}) o JOIN structured s USING (id) GROUP BY s.doc)
+  UNION ALL SELECT doc, 'chapter_only', count(DISTINCT chapter_number), 0, 'medium' FROM structured GROUP BY doc
+  UNION ALL SELECT DISTINCT doc, 'flat_chunks', 0, 0, 'low' FROM structured"""
+
+
+@query("structure_signals", _SIGNALS_SQL)
 def structure_signals(t: Tables):
-    s = _signals(t).filter(F.col("source").isin("toc", "section_candidates", "chapter_only", "flat_chunks") & F.col("available"))
-    return s.select("doc", "source", "chapter_count", "section_count", "confidence")
+    return _signals(t).filter("available").select("doc", "source", "chapter_count", "section_count", "confidence")
 
 
 def _signals(t: Tables):
@@ -403,15 +409,14 @@ def _signals(t: Tables):
 
 @query(
     "structure_source",
-    """WITH a AS (SELECT doc, count(*) FILTER (WHERE entry_type = 'chapter') AS c, count(*) FILTER (WHERE entry_type = 'section') AS s FROM toc GROUP BY doc)
-       SELECT d.doc, CASE WHEN c >= 5 AND s >= 20 THEN 'toc' ELSE 'chapter_only' END AS selected_source, CASE WHEN c >= 5 AND s >= 20 THEN 'contents' ELSE 'chapters' END AS outline
-       FROM (SELECT DISTINCT doc FROM structured) d LEFT JOIN a USING (doc)""",
+    f"""WITH g AS ({_SIGNALS_SQL}),
+       p AS (SELECT doc, bool_or(source = 'toc' AND chapter_count >= 5 AND section_count >= 20) AS toc, bool_or(source = 'body_outline' AND chapter_count >= 5) AS body FROM g GROUP BY doc)
+       SELECT doc, CASE WHEN toc THEN 'toc' WHEN body THEN 'body_outline' WHEN strict THEN 'strict_section_outline' ELSE 'chapter_only' END AS selected_source,
+         CASE WHEN toc THEN 'contents' WHEN body THEN 'chapters' WHEN strict THEN 'empty' ELSE 'chapters' END AS outline
+       FROM p JOIN (SELECT doc, bool_or(source = 'strict_section_outline' AND section_count >= 20 AND chapter_count >= 5) AS strict FROM g GROUP BY doc) USING (doc)""",
 )
 def structure_source(t: Tables):
-    chunks, found = t.structured, _candidates(t)
-    none = found.limit(0).withColumn("kept", F.lit(False))
-    body = _outline(t).limit(0)
-    return S.select_source(S.structure_signals(chunks.drop("text"), _contents(t), body, found, none, none))
+    return S.select_source(_signals(t))
 
 
 # -- sections ------------------------------------------------------------------------------------------
