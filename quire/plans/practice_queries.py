@@ -163,7 +163,7 @@ def description_coverage(t: Tables):
 derive(
     "schedule",
     "SELECT 1 AS unused",
-    """WITH o AS (SELECT learner, item_id, list(correct ORDER BY ts, attempt_id) AS c, list(epoch_us(ts) / 1e6 ORDER BY ts, attempt_id) AS tt FROM attempts GROUP BY learner, item_id),
+    """WITH o AS (SELECT learner, item_id, list(correct ORDER BY attempt_id) AS c, list(epoch_us(ts) / 1e6 ORDER BY attempt_id) AS tt FROM attempts GROUP BY learner, item_id),
        l AS (SELECT *, list_reduce(list_transform(c, lambda x: CASE WHEN x THEN 1 ELSE -1 END), lambda a, x: least(6, greatest(0, a + x)), 0) AS level, len(c) - coalesce(list_position(list_reverse(c), false), len(c) + 1) AS tl FROM o),
        m AS (SELECT *, CASE WHEN list_position(list_reverse(c), false) IS NULL THEN len(c) ELSE list_position(list_reverse(c), false) - 1 END AS streak FROM l),
        b AS (SELECT *, list_reduce(list_transform(c[1:len(c) - streak], lambda x: CASE WHEN x THEN 1 ELSE -1 END), lambda a, x: least(6, greatest(0, a + x)), 0) AS base FROM m)
@@ -187,7 +187,7 @@ def _queue(t: Tables):
     states = _states(t)
     bank = t.attempts.select("item_id").distinct().withColumn("position", F.substring("item_id", 2, 9).cast("int") + 1)
     now = t.attempts.agg((F.unix_micros(F.max(F.col("ts").cast("timestamp"))) / 1e6).alias("now"))
-    learners = t.attempts.groupBy("learner").agg(F.max_by("item_id", F.struct("ts", "attempt_id")).alias("avoid")).crossJoin(F.broadcast(now))
+    learners = t.attempts.groupBy("learner").agg(F.max_by("item_id", "attempt_id").alias("avoid")).crossJoin(F.broadcast(now))
     return states, bank, learners
 
 

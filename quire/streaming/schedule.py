@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------
@@ -64,34 +65,31 @@ def _joined(a: Column, b: Column) -> Column:
     )
 
 
-def _fold(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def _fold(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Compose the parts of each group in order; groups are tiles, so they are small."""
-    gathered = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, "part"))).alias("__p"))
+    gathered = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, "part"))).alias("__p"))
     rest = F.slice("__p", 2, F.greatest(F.size("__p"), F.lit(1)))
     return gathered.select(
         *keys, F.aggregate(rest, F.col("__p")[0]["part"].cast(PART), lambda acc, x: _joined(acc, x["part"])).alias("part")
     )
 
 
-def fold_schedule(
-    attempts: DataFrame, keys: list[str] | None = None, tiles: tuple[int, ...] = (60, 86400)
-) -> DataFrame:
-    """State of every (learner, item) after all its answers.
+def fold_schedule(attempts: DataFrame, keys: list[str] | None = None, tile_bits: tuple[int, ...] = (10, 20)) -> DataFrame:
+    """State of every (learner, item) after all its answers, in the order they arrived.
 
-    attempts: (learner, item_id, time double, attempt_id, correct). Answers are composed
-    minute by minute, then day by day, then over days, so one pair holding a third of the
-    table never meets in one task: each step gathers at most the answers of a minute, the
-    minutes of a day, the days of the history.
+    attempts: (learner, item_id, time double, attempt_id long, correct). Ids are unique and
+    grow with arrival; an answer whose time lies before an earlier one's counts where it arrived. Answers
+    are composed by tiles of ids: 2^10 ids, then 2^20, then the rest, so one pair holding
+    a third of the table never meets in one task and equal times gather nothing.
     """
     keys = keys or ["learner", "item_id"]
-    rows = attempts.select(*keys, "time", "attempt_id", _one(F.col("time"), F.col("correct")).alias("part"))
-    bins = [F.floor(F.col("time") / t).cast("long").alias(f"__t{i}") for i, t in enumerate(tiles)]
-    rows = rows.select("*", *bins)
-    names = [f"__t{i}" for i in range(len(tiles))]
-    folded = _fold(rows, [*keys, *names], ["time", "attempt_id"])
-    for i in range(len(names)):
-        folded = _fold(folded, [*keys, *names[i + 1 :]], [names[i]])
-    return folded.select(*keys, *_state(F.col("part")))
+    rows = attempts.select(*keys, "attempt_id", _one(F.col("time"), F.col("correct")).alias("part"))
+    names = [f"__t{b}" for b in tile_bits]
+    rows = rows.select("*", *[F.shiftright("attempt_id", b).alias(n) for b, n in zip(tile_bits, names)])
+    order = "attempt_id"
+    for i, name in enumerate(names):
+        rows, order = _fold(rows, [*keys, *names[i:]], order), name
+    return _fold(rows, keys, order).select(*keys, *_state(F.col("part")))
 
 
 def _state(p: Column) -> list[Column]:
@@ -114,8 +112,6 @@ def apply_answer(state: dict, right: bool, time: float) -> dict:
     state["times_seen"] += 1
     state["introduced_at"] = time if state["introduced_at"] is None else state["introduced_at"]
     state["times_correct"] += int(right)
-    if state["last_studied_at"] is not None and time < state["last_studied_at"]:
-        return state  # a late answer is counted but does not move the schedule
     state["last_studied_at"] = time
     if right:
         state["streak"] += 1
@@ -135,8 +131,8 @@ NEW = dict(zip(FIELDS, [0, None, None, None, 0, 0, 0, None]))
 
 def _update(key, batches: Iterator[pd.DataFrame], group_state) -> Iterator[pd.DataFrame]:
     state = dict(zip(FIELDS, group_state.get)) if group_state.exists else dict(NEW)
-    answers = sorted((t, i, bool(c)) for b in batches for t, i, c in zip(b["time"], b["attempt_id"], b["correct"]))
-    for time, _, right in answers:
+    answers = sorted((i, t, bool(c)) for b in batches for t, i, c in zip(b["time"], b["attempt_id"], b["correct"]))
+    for _, time, right in answers:
         apply_answer(state, right, float(time))
     group_state.update(tuple(state[f] for f in FIELDS))
     yield pd.DataFrame([[key[0], key[1], *[state[f] for f in FIELDS]]], columns=["learner", "item_id", *FIELDS])
@@ -145,8 +141,9 @@ def _update(key, batches: Iterator[pd.DataFrame], group_state) -> Iterator[pd.Da
 def schedule_stream(attempts: DataFrame) -> DataFrame:
     """Changed states of a stream of answers, keyed by (learner, item).
 
-    attempts: (learner string, item_id string, time double, attempt_id long, correct boolean). Inside a micro-batch the
-    answers of a key are put in time order first; size the source's trigger (files or offsets per batch) to bound them.
+    attempts: (learner string, item_id string, time double, attempt_id long, correct boolean), a log whose ids grow from
+    batch to batch. Inside a micro-batch the answers of a key are put in id order first; size the source's
+    trigger (files or offsets per batch) to bound them.
     """
     kept = ", ".join(part.strip() for part in STATE_SCHEMA.split(",")[2:])
     return attempts.groupBy("learner", "item_id").applyInPandasWithState(
@@ -154,20 +151,69 @@ def schedule_stream(attempts: DataFrame) -> DataFrame:
     )
 
 
-def snapshot_sink(path: str, partitions: int = 64):
+COMMIT_SCHEMA = "bucket int, holder long, version long"
+
+
+def _commits(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (bucket, holder, version): which version's files hold each bucket, one small set of rows a version."""
+    try:
+        return spark.read.schema(COMMIT_SCHEMA).parquet(f"{path}/commits")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], COMMIT_SCHEMA)
+
+
+def _held(spark: SparkSession, path: str, holders: dict[int, int]) -> DataFrame:
+    """States in the files of the buckets named."""
+    files = [f"{path}/data/version={v}/bucket={b}" for b, v in sorted(holders.items())]
+    return spark.read.schema(STATE_SCHEMA).parquet(*files) if files else spark.createDataFrame([], STATE_SCHEMA)
+
+
+def _holders(commits: DataFrame, version: int) -> dict[int, int]:
+    rows = commits.filter(F.col("version") == version)
+    return {r.bucket: r.holder for r in rows.toLocalIterator()}  # a row a bucket
+
+
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """Newest committed state of every key."""
+    commits = _commits(spark, path)
+    version = commits.agg(F.max("version")).first()[0]
+    return _held(spark, path, {b: v for b, v in _holders(commits, version).items() if v is not None}) if version is not None else _held(spark, path, {})
+
+
+def snapshot_sink(path: str, buckets: int = 64):
     """``foreachBatch`` writer that keeps the latest state per key in a versioned snapshot.
 
-    Each batch reads the newest version, lets its own rows win and writes the next one; a
-    batch that is run again writes the same version again.
+    Keys are dealt to ``buckets`` by a hash; a batch rewrites only the buckets it touches, under
+    its own version, and commits a table of which version holds each bucket last. A batch that is run again
+    writes the same version again. It fails, and writes nothing, where the version before it is not
+    committed, where a first batch finds versions of another stream, or where the number of buckets has changed. Files that
+    the newest commit does not name may be deleted.
     """
+
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch.select("*", F.lit(batch_id).alias("version"))
-        fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-        earlier = f"{path}/v={batch_id - 1}"
-        if batch_id > 0 and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(earlier)):
-            old = spark.read.parquet(earlier).join(rows.select("learner", "item_id"), ["learner", "item_id"], "left_anti")
-            rows = rows.unionByName(old)
-        rows.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        commits = _commits(spark, path)
+        newest = commits.agg(F.max("version")).first()[0]
+        if newest is not None and newest > batch_id:
+            raise ValueError(f"{path} holds version {newest}, later than batch {batch_id}: it belongs to another stream")
+        holders = _holders(commits, batch_id - 1) if batch_id else dict.fromkeys(range(buckets))
+        if not holders:
+            raise ValueError(f"{path} lacks version {batch_id - 1}")
+        if len(holders) != buckets:
+            raise ValueError(f"{path} has {len(holders)} buckets, not {buckets}")
+        bucket = F.pmod(F.xxhash64("learner", "item_id"), F.lit(buckets)).cast("int").alias("bucket")
+        rows = batch.select("*", bucket).persist()
+        try:
+            touched = [r.bucket for r in rows.select("bucket").distinct().toLocalIterator()]  # at most ``buckets``
+            old = _held(spark, path, {b: holders[b] for b in touched if holders[b] is not None})
+            kept = old.join(rows.select("learner", "item_id"), ["learner", "item_id"], "left_anti").select("*", bucket)
+            rows.unionByName(kept).repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/data/version={batch_id}")
+        finally:
+            rows.unpersist()
+        now = {**holders, **dict.fromkeys(touched, batch_id)}
+        manifest = spark.createDataFrame(list(now.items()), "bucket int, holder long").coalesce(1)
+        manifest.write.mode("overwrite").parquet(f"{path}/commits/version={batch_id}")
 
     return write

@@ -293,7 +293,7 @@ def test_working(spark):
 # -- schedule -------------------------------------------------------------------------------------------------------------------
 def one_by_one(answers):
     state = dict(S.NEW)
-    for time, _, right in sorted(answers):
+    for _, time, right in sorted((i, t, r) for t, i, r in answers):
         S.apply_answer(state, right, float(time))
     return state
 
@@ -312,20 +312,58 @@ def test_fold_equals_one_by_one(spark):
             assert got[key][f] == want[f], (key, f)
 
 
+ANSWERS = "learner string, item_id string, time double, attempt_id long, correct boolean"
+
+
+def test_late_answers_count_where_they_arrive(spark):
+    df = spark.createDataFrame([("u", "i", 100.0, 1, True), ("u", "i", 300.0, 2, True), ("u", "i", 200.0, 3, False)], ANSWERS)
+    got = S.fold_schedule(df).first()
+    assert (got.level, got.due_at, got.streak) == (1, 260.0, 0)
+    assert {f: got[f] for f in S.FIELDS} == one_by_one([(100, 1, True), (300, 2, True), (200, 3, False)])
+
+
+def test_one_hot_pair_with_equal_times(spark):
+    rng = random.Random(4)
+    answers = [(7.0, 3 * i, rng.random() < 0.6) for i in range(6000)]
+    df = spark.createDataFrame([("u", "i", *a) for a in answers], ANSWERS)
+    got = S.fold_schedule(df, tile_bits=(6, 11)).collect()
+    assert len(got) == 1 and {f: got[0][f] for f in S.FIELDS} == one_by_one(answers)
+
+
 def test_stream_equals_fold(spark, tmp_path):
-    data = [("u", f"i{i % 3}", float(i * 50), i, i % 4 != 0) for i in range(40)]
-    schema = "learner string, item_id string, time double, attempt_id long, correct boolean"
-    for n, part in enumerate((data[:20], data[20:])):
-        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/p{n}")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
-    q = S.schedule_stream(stream).writeStream.outputMode("update").foreachBatch(S.snapshot_sink(f"{tmp_path}/snap")).option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+    rng = random.Random(9)
+    data = [("u", f"i{rng.randrange(5)}", float(rng.randint(0, 4000)), i, i % 4 != 0) for i in range(60)]
+    for n in range(3):
+        part = data[20 * n : 20 * n + 20]
+        rng.shuffle(part)
+        spark.createDataFrame(part, ANSWERS).coalesce(1).write.parquet(f"{tmp_path}/in/p{n}")
+    stream = spark.readStream.schema(ANSWERS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    q = S.schedule_stream(stream).writeStream.outputMode("update").foreachBatch(S.snapshot_sink(f"{tmp_path}/snap", 4)).option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
     q.awaitTermination(120)
-    latest = sorted(p.name for p in (tmp_path / "snap").iterdir())[-1]
-    got = {r.item_id: r for r in spark.read.parquet(f"{tmp_path}/snap/{latest}").collect()}
-    assert len(got) == 3
-    for item, r in got.items():
-        want = one_by_one([(d[2], d[3], d[4]) for d in data if d[1] == item])
-        assert {f: r[f] for f in S.FIELDS} == want
+    got = {r.item_id: r for r in S.read_snapshot(spark, f"{tmp_path}/snap").collect()}
+    want = {r.item_id: r for r in S.fold_schedule(spark.createDataFrame(data, ANSWERS)).collect()}
+    assert {k: {f: r[f] for f in S.FIELDS} for k, r in got.items()} == {k: {f: r[f] for f in S.FIELDS} for k, r in want.items()}
+
+
+def test_snapshot_keeps_or_fails(spark, tmp_path):
+    state = lambda item, level: ("u", item, level, 1.0, 1.0, 1.0, 1, 1, 1, None)
+    table = lambda *rows: spark.createDataFrame(list(rows), S.STATE_SCHEMA)
+    path = f"{tmp_path}/snap"
+    write = S.snapshot_sink(path, 16)
+    assert S.read_snapshot(spark, path).count() == 0
+    with pytest.raises(ValueError, match="lacks version 2"):
+        write(table(state("a", 1)), 3)
+    write(table(*[state(f"k{i}", 1) for i in range(40)]), 0)
+    for _ in range(2):  # run again after a failure
+        write(table(state("k3", 2), state("new", 1)), 1)
+    write(table(), 2)
+    levels = {r.item_id: r.level for r in S.read_snapshot(spark, path).collect()}
+    assert levels == {**{f"k{i}": 1 for i in range(40)}, "k3": 2, "new": 1}
+    assert len(list((tmp_path / "snap/data/version=1").glob("bucket=*"))) <= 2
+    with pytest.raises(ValueError, match="another stream"):
+        S.snapshot_sink(path, 16)(table(state("a", 1)), 0)
+    with pytest.raises(ValueError, match="buckets"):
+        S.snapshot_sink(path, 8)(table(state("a", 1)), 3)
 
 
 def test_next_item_tiers(spark):
