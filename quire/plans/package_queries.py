@@ -162,9 +162,10 @@ def uncovered_skills(t: Tables):
     return C.uncovered_skills(items, declared, reasons)
 
 
-@query("work_queue", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("work_queue", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%')")
 def work_queue(t: Tables):
-    return C.work_queue(t.customer, t.orders.select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"]).select("c_custkey")
+    done = t.orders.filter(F.col("o_orderpriority").startswith("1")).select(F.col("o_custkey").alias("c_custkey"))
+    return C.work_queue(t.customer, done, ["c_custkey"]).select("c_custkey")
 
 
 # -- packages: an order is a package, its lines are elements ----------------------------------------------
@@ -179,6 +180,17 @@ def exercise_bank(t: Tables):
     return P.exercise_bank(concepts, items)[1].select("concept_key", "code")
 
 
+@query(
+    "exercise_bank_items",
+    """SELECT s_suppkey AS concept_key, p_partkey AS id, 'Brand#' || CAST(s_suppkey % 30 AS STRING) AS skill FROM supplier JOIN part ON p_brand = 'Brand#' || CAST(s_suppkey % 30 AS STRING) WHERE ascii(right(p_brand, 1)) % 2 = s_suppkey % 4""",
+)
+def exercise_bank_items(t: Tables):
+    """The bank itself: all questions of a skill lie in one chapter, which is that of some of its concepts."""
+    concepts = t.supplier.select(F.col("s_suppkey").alias("concept_key"), (F.col("s_suppkey") % 4).alias("chapter_number"), F.concat(F.lit("Brand#"), (F.col("s_suppkey") % 30).cast("string")).alias("skill"))
+    items = t.part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("skill"), (F.ascii(F.right("p_brand", F.lit(1))) % 2).alias("chapter"))
+    return P.exercise_bank(concepts, items)[0].select("concept_key", "id", "skill")
+
+
 derive("blocks_before", "SELECT l_orderkey AS package_id, 's' || l_returnflag AS section, CAST(l_partkey AS STRING) AS content, CAST(l_linenumber AS STRING) AS key FROM lineitem WHERE l_shipdate < TIMESTAMP '1999-01-01'")
 derive("blocks_after", "SELECT l_orderkey AS package_id, 's' || l_returnflag AS section, CAST(l_partkey AS STRING) AS content, CAST(l_linenumber AS STRING) AS key FROM lineitem WHERE l_quantity > 5")
 
