@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.functions.ordered import Scan, ordered_scan, tile_of_integer
+from quire.functions.ordered import Scan, ordered_scan, salted_join, tile_of_integer
 from quire.operators.findings import broken_rules, rule
 
 # ---------------------------------------------------------------------------
@@ -106,6 +106,12 @@ def unwrap_grounded(value: Column) -> dict[str, Column]:
     }
 
 
+def _place(field: int, item: Column | int = 0, sub: Column | int = 0) -> Column:
+    """Where a claim stands: field, item of its list, part of the item; lists of any length keep their order."""
+    value = lambda v: (v if isinstance(v, Column) else F.lit(v)).cast("long")
+    return F.struct(value(field).alias("field"), value(item).alias("item"), value(sub).alias("sub"))
+
+
 def _claim(seq: Column, suffix: Column, path: Column, kind: str, text: Column, context: Column, origin: Column,
            ids: Column, grounded: Column, claim_kind: Column) -> Column:
     return F.struct(
@@ -140,7 +146,7 @@ def _field_claims(number: int, field: str, sub: str | None, kind: str, inherits:
         context_key = CONTEXT_KEY.get(field)
         context = F.lit(None) if context_key is None else _json(item, context_key)
         return _claim(
-            F.lit(number * 10**6) + i * 10 + F.lit(0),
+            _place(number, i),
             F.concat(F.lit(f"{field}."), i.cast("string"), tail),
             F.concat(F.lit(f"{field}["), i.cast("string"), F.lit("]"), tail),
             kind, text, context, origin, ids, parts["origin"], parts["kind"],
@@ -165,7 +171,7 @@ def chapter_claims(chapters: DataFrame, doc: str = "doc") -> DataFrame:
     origin, ids = citation_origin(summary["ids"], inherited)
     lists = [
         F.array(
-            _claim(F.lit(0), F.lit("chapter_summary"), F.lit("chapter_summary"), "chapter_summary", summary["text"],
+            _claim(_place(0), F.lit("chapter_summary"), F.lit("chapter_summary"), "chapter_summary", summary["text"],
                    F.lit(None), origin, ids, summary["origin"], summary["kind"])
         )
     ]
@@ -176,7 +182,7 @@ def chapter_claims(chapters: DataFrame, doc: str = "doc") -> DataFrame:
     whole = F.when(number == F.floor(number), F.floor(number).cast("long").cast("string")).otherwise(T.strip(time))
     lists.append(
         F.array(
-            _claim(F.lit(10**8), F.lit("estimated_study_time_minutes"), F.lit("estimated_study_time_minutes"),
+            _claim(_place(len(CHAPTER_FIELDS) + 1), F.lit("estimated_study_time_minutes"), F.lit("estimated_study_time_minutes"),
                    "estimated_study_time",
                    F.when(~T.blank(time), F.concat(F.lit("Estimated study time: "), F.coalesce(whole, T.strip(time)), F.lit(" minutes."))),
                    F.lit(None), F.lit("none"), F.array(), F.lit(None), F.lit(None))
@@ -221,21 +227,22 @@ def book_claims(books: DataFrame, doc: str = "doc") -> DataFrame:
     lists = []
     own, own_ids = citation_origin(F.col("d.source_chunk_ids"))
     for n, (field, kind) in enumerate(BOOK_TEXT_FIELDS):
-        lists.append(F.array(_claim(F.lit(n), F.lit(field), F.lit(field), kind, _nonblank(F.col(f"d.{field}")), none, own, own_ids, none, none)))
+        lists.append(F.array(_claim(_place(0, n), F.lit(field), F.lit(field), kind, _nonblank(F.col(f"d.{field}")), none, own, own_ids, none, none)))
     for n, (field, sub, kind, keys) in enumerate(BOOK_LIST_FIELDS, start=1):
         lists.append(_book_list(n, field, sub, kind, keys, F.col(f"d.{field}")))
+    plan_field = len(BOOK_LIST_FIELDS) + 1
     plan = F.coalesce("d.study_plan", F.array().cast("array<string>"))
 
     def week(item: Column, i: Column) -> Column:
         origin, ids = citation_origin(_ids(item))
         head = F.concat(F.lit("study_plan."), i.cast("string"))
         path = F.concat(F.lit("study_plan["), i.cast("string"), F.lit("]"))
-        focus = _claim(F.lit(10**7) + i * 1000, F.concat(head, F.lit(".focus")), F.concat(path, F.lit(".focus")),
+        focus = _claim(_place(plan_field, i), F.concat(head, F.lit(".focus")), F.concat(path, F.lit(".focus")),
                        "study_plan_focus", _nonblank(_json(item, "focus")), _json(item, "week"), origin, ids, none, none)
         acts = F.transform(
             F.coalesce(F.from_json(_json(item, "activities"), "array<string>"), F.array().cast("array<string>")),
             lambda a, j: _claim(
-                F.lit(10**7) + i * 1000 + j + 1,
+                _place(plan_field, i, j + 1),
                 F.concat(head, F.lit(".activities."), j.cast("string")),
                 F.concat(path, F.lit(".activities["), j.cast("string"), F.lit("]")),
                 "study_plan_activity",
@@ -248,11 +255,11 @@ def book_claims(books: DataFrame, doc: str = "doc") -> DataFrame:
     lists.append(F.flatten(F.transform(plan, week)))
     review = F.col("d.final_review")
     origin, ids = citation_origin(_ids(review))
-    lists.append(F.array(_claim(F.lit(10**8), F.lit("final_review.summary"), F.lit("final_review.summary"),
+    lists.append(F.array(_claim(_place(plan_field + 1), F.lit("final_review.summary"), F.lit("final_review.summary"),
                                 "final_review_summary", _nonblank(_json(review, "summary")), none, origin, ids, none, none)))
     questions = F.coalesce(F.from_json(_json(review, "questions"), "array<string>"), F.array().cast("array<string>"))
     lists.append(F.transform(questions, lambda q, i: _claim(
-        F.lit(10**8) + i + 1, F.concat(F.lit("final_review.questions."), i.cast("string")),
+        _place(plan_field + 1, i + 1), F.concat(F.lit("final_review.questions."), i.cast("string")),
         F.concat(F.lit("final_review.questions["), i.cast("string"), F.lit("]")), "final_review_question",
         F.when(_is_object(q), F.coalesce(*[_nonblank(_json(q, k)) for k in ("text", "question")])).otherwise(_nonblank(q)),
         none, *citation_origin(F.when(_is_object(q), _ids(q)).otherwise(_ids(review))), none, none)))
@@ -274,7 +281,7 @@ def _book_list(number: int, field: str, sub: str | None, kind: str, keys: list[s
         )
         origin, ids = citation_origin(F.when(_is_object(item), _ids(item)))
         tail = f".{sub}" if sub else ""
-        return _claim(F.lit(number * 10**5) + i, F.concat(F.lit(f"{field}."), i.cast("string"), F.lit(tail)),
+        return _claim(_place(number, i), F.concat(F.lit(f"{field}."), i.cast("string"), F.lit(tail)),
                       F.concat(F.lit(f"{field}["), i.cast("string"), F.lit(f"]{tail}")), kind, text,
                       _json(item, "term") if sub else F.lit(None), origin, ids, F.lit(None), F.lit(None))
 
@@ -323,18 +330,21 @@ def plan_batches(claims: DataFrame, size: int, doc: str = "doc", order: str = "o
     """Claims with their batch number: same chapter and same evidence, at most ``size`` each.
 
     Groups are numbered by their first claim. A group of any size is cut by a tiled
-    running count, and batches are numbered on their own small table.
+    running count; where its batches start is a running sum over one row per group, so
+    neither a large group nor many groups of one document meet in a task.
     """
     bundle = F.concat_ws("", F.coalesce(F.col("chapter_number").cast("string"), F.lit("book")), F.array_join("source_chunk_ids", "")).alias("bundle")
     rows = claims.withColumn("__bundle", bundle)
-    firsts = rows.groupBy(doc, "__bundle").agg(F.min(order).alias("__first"))
+    bundles = rows.groupBy(doc, "__bundle").agg(F.min(order).alias("__first"), F.count(F.lit(1)).alias("__claims"))
+    opened = bundles.withColumn("__batches", F.ceil(F.col("__claims") / F.lit(size)))
+    starts = ordered_scan(opened, [doc], ["__first"], tile_of_integer("__first"), {"__before": Scan("sum_before", F.col("__batches"))})
     placed = ordered_scan(rows, [doc, "__bundle"], [order], tile_of_integer(order), {"__n": Scan("sum", F.lit(1))})
-    placed = placed.withColumn("__slice", F.floor((F.col("__n") - 1) / F.lit(size)).cast("long")).drop("__n")
-    batches = placed.groupBy(doc, "__bundle", "__slice").agg(F.count(F.lit(1)).alias("batch_claims")).join(firsts, [doc, "__bundle"])
-    step = 1 << 20
-    tile = F.col("__first") * step + F.least(F.floor(F.col("__slice") / 1024), F.lit(step - 1))
-    numbered = ordered_scan(batches, [doc], ["__first", "__slice"], tile.cast("long"), {"batch_number": Scan("sum", F.lit(1))})
-    return placed.join(numbered.select(doc, "__bundle", "__slice", "batch_number", "batch_claims"), [doc, "__bundle", "__slice"]).drop("__bundle", "__slice")
+    known = salted_join(placed, starts.select(doc, "__bundle", "__before", "__claims"), [doc, "__bundle"], "inner", F.col(order))
+    part = F.floor((F.col("__n") - 1) / F.lit(size)).cast("long")
+    return known.select(
+        *claims.columns, (F.col("__before") + part + 1).alias("batch_number"),
+        F.least(F.lit(size).cast("long"), F.col("__claims") - part * size).alias("batch_claims"),
+    )
 
 
 def largest_bundle(batches: DataFrame, chunks: DataFrame, doc: str = "doc") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.functions.ordered import Scan, ordered_scan, read_once, tile_of_integer, top_n
+from quire.functions.ordered import Scan, ordered_scan, read_once, salted_join, tile_of_integer, top_n
 
 # ---------------------------------------------------------------------------
 # Fixed values
@@ -93,7 +93,7 @@ def match_concepts(
         ),
     )
     probes = ranked.select("sentence_id", *scope, F.explode(walked["take"]).alias("word"))
-    pairs = probes.join(postings, [*scope, "word"]).select("sentence_id", *scope, "key").distinct()
+    pairs = salted_join(probes, postings, [*scope, "word"], "inner", F.col("sentence_id")).select("sentence_id", *scope, "key").distinct()
     full = (
         pairs.join(ranked.select("sentence_id", "__ws"), "sentence_id")
         .join(candidates.select("key", *scope, F.col("vocab").alias("__cv")), ["key", *scope])

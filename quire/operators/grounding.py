@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.functions.ordered import first_per_key, read_once
+from quire.functions.ordered import first_per_key, read_once, salted_join
 from quire.operators.findings import union_all
 
 # ---------------------------------------------------------------------------
@@ -174,7 +174,7 @@ def locate_quotes(quotes: DataFrame, chunks: DataFrame, scope: list[str], order:
         .filter("__df > 0")
         .drop("__df")
     )
-    candidates = rarest.join(postings, [*scope, "pair"]).select("quote_id", *scope, "node_id")
+    candidates = salted_join(postings, rarest, [*scope, "pair"], "inner", F.col("node_id")).select("quote_id", *scope, "node_id")
     verified = (
         candidates.join(texts.select(*scope, "node_id", order, F.col("norm").alias("__t")), [*scope, "node_id"])
         .join(quotes.select("quote_id", F.col("norm").alias("__q")), "quote_id")

@@ -258,7 +258,9 @@ def stated_tolerance(n: Column) -> Column:
     whole = n == F.floor(n)
     digits = F.format_string("%.0f", n)
     zeros = F.length(F.regexp_extract(digits, r"(0*)$", 1))
-    decimals = F.length(F.regexp_extract(F.regexp_replace(F.format_string("%.6f", n), "0+$", ""), r"\.(\d+)$", 1))
+    shortest = n.cast("double").cast("string")  # 12.46, or 1.25E-5
+    exponent = F.coalesce(F.regexp_extract(shortest, r"E(-?\d+)$", 1).try_cast("int"), F.lit(0))
+    decimals = F.length(F.regexp_replace(F.regexp_extract(shortest, r"\.(\d+)", 1), "0+$", "")) - exponent
     return F.when(whole & (n == 0), 0.5 * 10).when(whole, F.greatest(F.lit(0.5), F.lit(0.5) * F.pow(F.lit(10.0), zeros))).otherwise(
         F.lit(0.5) * F.pow(F.lit(10.0), -decimals)
     )

@@ -308,12 +308,14 @@ def equation_chains(leaves: DataFrame, keep: list[str], text: str = "text") -> D
 
 
 def _side_values(sides: Column) -> Column:
-    """Exact (n, d) of integer, decimal, fraction and one-operator sides; null for others.
+    """Exact (n, d) of integer, decimal, fraction and one-operator sides; other sides are left out.
+
+    A side in one of these forms whose value passes 38 digits stays, with a null.
 
     Done in steps over the array, so that each text is matched once: clean, take the
     parts, make fractions, apply the operator.
     """
-    part = r"(-?\d{1,9})(?:\.(\d{1,6}))?(?:/(\d{1,9}))?"
+    part = r"(-?\d+)(?:\.(\d+))?(?:/(\d+))?"
     pattern = rf"^{part}(?:([-+*:]){part})?$"
 
     def clean(v: Column) -> Column:
@@ -324,11 +326,11 @@ def _side_values(sides: Column) -> Column:
 
     group = lambda v, i: F.regexp_extract(v, pattern, i)
     number = lambda v: v.try_cast("decimal(38,0)")
+    times = lambda x, y: F.try_multiply(x, y).cast("decimal(38,0)")
 
     def fraction(whole: Column, decimals: Column, under: Column) -> list[Column]:
         zeros = F.concat(F.lit("1"), F.repeat(F.lit("0"), F.length(decimals)))
-        bottom = number(F.when(under == "", F.lit("1")).otherwise(under)) * number(zeros)
-        return [number(F.concat(whole, decimals)), bottom.cast("decimal(38,0)")]
+        return [number(F.concat(whole, decimals)), times(number(F.when(under == "", F.lit("1")).otherwise(under)), number(zeros))]
 
     def parts(v: Column) -> Column:
         (a, b), (c, e) = fraction(group(v, 1), group(v, 2), group(v, 3)), fraction(group(v, 5), group(v, 6), group(v, 7))
@@ -336,21 +338,29 @@ def _side_values(sides: Column) -> Column:
 
     def value(p: Column) -> Column:
         a, b, op, c, e = (p[k] for k in "a b op c e".split())
-        n = F.when(op == "", a).when(op == "+", a * e + c * b).when(op == "-", a * e - c * b).when(op == "*", a * c).when(op == ":", a * e)
-        d = F.when(op == "", b).when(op == ":", b * c).otherwise(b * e)
-        return F.struct(n.cast("decimal(38,0)").alias("n"), d.cast("decimal(38,0)").alias("d"))
+        n = F.when(op == "", a).when(op == "+", F.try_add(times(a, e), times(c, b))).when(op == "-", F.try_subtract(times(a, e), times(c, b)))
+        n = n.when(op == "*", times(a, c)).when(op == ":", times(a, e))
+        d = F.when(op == "", b).when(op == ":", times(b, c)).otherwise(times(b, e))
+        return F.when(p.isNotNull(), F.struct(n.cast("decimal(38,0)").alias("n"), d.cast("decimal(38,0)").alias("d")))
 
     values = F.transform(F.transform(F.transform(sides, clean), parts), value)
-    return F.filter(values, lambda v: v["n"].isNotNull() & (v["d"] != 0))
+    return F.filter(values, lambda v: v.isNotNull() & F.coalesce(v["d"] != 0, F.lit(True)))
 
 
 def check_chains(chains: DataFrame) -> DataFrame:
-    """Verdict per chain: ``true``, ``false`` or ``unchecked`` (Q9). Fractions are compared by cross products."""
+    """Verdict per chain: ``true``, ``false`` or ``unchecked`` (Q9). Fractions are compared by cross products.
+
+    ``unread`` counts sides whose digits pass what can be held; a chain with one is never
+    ``true``, and ``false`` only where its other sides differ.
+    """
     rows = T.pinned(chains, chains.columns, {"__v": _side_values(F.split("chain", "="))})
-    first = F.col("__v")[0]
-    equal = F.forall("__v", lambda v: v["n"] * first["d"] == first["n"] * v["d"])
-    verdict = F.when(F.size("__v") < 2, "unchecked").when(equal, "true").otherwise("false")
-    return rows.withColumn("sides", F.size("__v")).withColumn("verdict", verdict).drop("__v")
+    held = F.filter("__v", lambda v: v["n"].isNotNull() & v["d"].isNotNull())
+    rows = T.pinned(rows, [*rows.columns], {"__h": held})
+    first = F.get("__h", F.lit(0))
+    same = lambda v: ((v["n"] == first["n"]) & (v["d"] == first["d"])) | (F.try_multiply(v["n"], first["d"]) == F.try_multiply(first["n"], v["d"]))
+    equal, unread = F.forall("__h", same), F.size("__v") - F.size("__h")
+    verdict = F.when(F.size("__h") < 2, "unchecked").when(~equal, "false").when((unread > 0) | equal.isNull(), "unchecked").otherwise("true")
+    return rows.withColumn("sides", F.size("__h")).withColumn("unread", unread).withColumn("verdict", verdict).drop("__v", "__h")
 
 
 # -- lesson rules (Q10-Q14) ---------------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.functions.ordered import Scan, first_per_key, ordered_scan, tile_of_integer, top_n
+from quire.functions.ordered import Scan, first_per_key, ordered_scan, salted_join, tile_of_integer, top_n
 
 # ---------------------------------------------------------------------------
 # Fixed values
@@ -85,15 +85,13 @@ def merge_scoped(results: DataFrame, k: int) -> DataFrame:
     return top_n(best, ["query_id"], [F.desc_nulls_last(F.round("score", SCORE_DIGITS)), F.asc("node_id")], k)
 
 
-MAX_LEVEL = 9
-
-
 def scope_ends(outline: DataFrame, doc: str = "doc") -> DataFrame:
     """Outline with, per section, its place ``n`` in the chapter and where its scope ends.
 
-    Ends hold for every request alike, so they come from two ordered scans of the outline:
-    forward for the place, backward for the next section of each level and the next that
-    is no flat descendant. Levels run from 0 to ``MAX_LEVEL``.
+    Ends hold for every request alike, so they come from ordered scans of the outline:
+    forward for the place, backward for the next that is no flat descendant, and a third
+    backward per level of the chapter, over the sections that are no deeper. Levels have
+    no limit; a section is repeated once for each level of its chapter from its own on.
     """
     keys = [doc, "chapter_number"]
     named = outline.filter(F.col("section").isNotNull())
@@ -102,21 +100,25 @@ def scope_ends(outline: DataFrame, doc: str = "doc") -> DataFrame:
     back = T.pinned(
         placed, placed.columns, {"__back": -F.col("n"), "__foreign": ~first_word.isin(FLAT_DESCENDANT_WORDS)}
     )
-    level = F.coalesce("level", F.lit(-1))
-    scans = {f"__u{v}": Scan("last_before", F.when(level <= v, F.col("n"))) for v in range(MAX_LEVEL + 1)}
-    # a section without a level ends level scopes only
-    scans |= {f"__s{v}": Scan("last_before", F.when(F.col("level") < v, F.col("n"))) for v in range(MAX_LEVEL + 1)}
-    scans |= {
+    scans = {
         "__next": Scan("last_before", F.col("n")),
         "__stranger": Scan("last_before", F.when(F.col("__foreign"), F.col("n"))),
     }
     seen = ordered_scan(back, keys, ["__back"], tile_of_integer("__back"), scans)
+    levels = placed.filter(F.col("level").isNotNull()).select(*keys, F.col("level").alias("__v")).distinct()
+    upto = salted_join(placed.select(*keys, "n", "level"), levels, keys, "inner", F.col("n"))
+    # a section without a level ends level scopes only
+    upto = upto.filter(F.col("level").isNull() | (F.col("level") <= F.col("__v"))).withColumn("__back", -F.col("n"))
+    ends = {
+        "__level": Scan("last_before", F.col("n")),
+        "__above": Scan("last_before", F.when(F.col("level") < F.col("__v"), F.col("n"))),
+    }
+    by_level = ordered_scan(upto, [*keys, "__v"], ["__back"], tile_of_integer("__back"), ends)
+    seen = seen.join(by_level.filter(F.col("level") == F.col("__v")).select(*keys, "n", "__level", "__above"), [*keys, "n"], "left")
     far = F.lit(2**62)
-    own = F.least(F.greatest("level", F.lit(0)), F.lit(MAX_LEVEL)) + 1
-    at = lambda p: F.when(F.col("level").isNotNull(), F.element_at(F.array(*[F.col(f"__{p}{v}") for v in range(MAX_LEVEL + 1)]), own))
     parent = T.any_contains(F.lower(F.trim("section")), FLAT_PARENT_PHRASES)
-    level_end = F.when(F.col("level").isNull(), F.col("n") + 1).otherwise(F.coalesce(at("u"), far))
-    flat_end = F.when(~parent, F.col("n") + 1).otherwise(F.least(F.coalesce(at("s"), far), F.coalesce("__stranger", far)))
+    level_end = F.when(F.col("level").isNull(), F.col("n") + 1).otherwise(F.coalesce("__level", far))
+    flat_end = F.when(~parent, F.col("n") + 1).otherwise(F.least(F.coalesce("__above", far), F.coalesce("__stranger", far)))
     end = F.when(level_end > F.coalesce("__next", far), level_end).otherwise(flat_end)
     last = placed.groupBy(*keys).agg(F.max("n").alias("__size"))
     return seen.join(last, keys).select(*outline.columns, "n", F.least(end, F.col("__size") + 1).alias("end"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.functions.ordered import Scan, ordered_scan, tile_of_integer, top_n
+from quire.functions.ordered import Scan, ordered_scan, salted_join, tile_of_integer, top_n
 from quire.operators.lines import line_table
 
 # ---------------------------------------------------------------------------
@@ -121,10 +121,10 @@ def contents_region(chunks: DataFrame, doc: str = "doc") -> DataFrame:
     listing = F.exists(T.lines(F.coalesce("text", F.lit(""))), lambda v: _has_page(v) | says(v))
     flags = chunks.select(doc, "ord", F.coalesce(says(F.col("text")), F.lit(False)).alias("says"), listing.alias("lists"))
     starts = flags.groupBy(doc).agg(F.min(F.when(F.col("says"), F.col("ord"))).alias("start"))
-    after = flags.join(starts.filter(F.col("start").isNotNull()), doc).filter(F.col("ord") >= F.col("start"))
+    after = salted_join(flags, starts.filter(F.col("start").isNotNull()), [doc], "inner", F.col("ord")).filter(F.col("ord") >= F.col("start"))
     bounds = after.groupBy(doc, "start").agg(F.min(F.when(~F.col("lists"), F.col("ord"))).alias("stop"))
     inside = (F.col("ord") >= F.col("start")) & (F.col("stop").isNull() | (F.col("ord") < F.col("stop")))
-    return chunks.join(bounds, doc).filter(inside).drop("start", "stop")
+    return salted_join(chunks, bounds, [doc], "inner", F.col("ord")).filter(inside).drop("start", "stop")
 
 
 def contents_outline(region: DataFrame, doc: str = "doc") -> DataFrame:

@@ -110,6 +110,41 @@ def test_chapter_claims_of_both_versions(spark):
     assert rows(L.claim_problems(claims), "claim_id", "code") == [("chapter_03.key_terms.0.meaning", "DUPLICATE_SOURCE_ID")]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_scope_ends_at_any_level(spark, seed):
+    """The next section that is no deeper, against a walk; levels far apart and beyond ten, and sections without one."""
+    draw = random.Random(seed)
+    rows_ = [("d", 1, i, f"Topic {i}", draw.choice([0, 1, 2, 10, 11, 40, None])) for i in range(40)]
+    df = spark.createDataFrame(rows_, "doc string, chapter_number int, position int, section string, level int")
+    got = {r.position: r.end for r in R.scope_ends(df).collect()}
+    assert len(got) == 40
+    for _, _, i, _, level in rows_:
+        if level is None:
+            assert got[i] == i + 2
+            continue
+        end = next((j for j in range(i + 1, 40) if rows_[j][4] is None or rows_[j][4] <= level), 40)
+        # a plain title without descendants keeps to itself
+        assert got[i] == (end + 1 if end > i + 1 else i + 2)
+
+
+def test_batches_of_one_document_with_a_large_bundle(spark):
+    """A third of the claims in one bundle, every other bundle small: batches by first claim, at most three claims each."""
+    draw = random.Random(4)
+    made = [("d", 7 * i, None if i % 5 == 0 else draw.randint(1, 40), ["a"] if i % 5 else ["b"]) for i in range(300)]
+    made = [(d, o, 1, ["a"]) if i % 3 == 0 else (d, o, c, x) for i, (d, o, c, x) in enumerate(made)]
+    df = spark.createDataFrame(made, "doc string, ord long, chapter_number int, source_chunk_ids array<string>")
+    got = {r.ord: (r.batch_number, r.batch_claims) for r in L.plan_batches(df, 3).collect()}
+    bundles = {}
+    for _, o, c, x in made:
+        bundles.setdefault((c, tuple(x)), []).append(o)
+    want, number = {}, 0
+    for orders in sorted(bundles.values(), key=min):
+        for k in range(0, len(orders), 3):
+            number += 1
+            want |= {o: (number, len(orders[k : k + 3])) for o in orders[k : k + 3]}
+    assert got == want
+
+
 def test_book_claims(spark):
     doc = {"book_overview": "O", "who_this_is_for": ["A", {"description": "B"}], "study_plan": [{"week": 1, "focus": "F", "activities": ["x"]}], "final_review": {"summary": "S", "questions": ["Q"]}}
     df = spark.createDataFrame([("d", json.dumps(doc))], "doc string, materials string")
@@ -194,6 +229,17 @@ def test_equations(spark):
     assert [v for k, v in by.items() if "times" in k] == ["false"] and [v for k, v in by.items() if "div" in k] == ["true"] and by["x = y"] == "unchecked"
 
 
+def test_equations_of_any_length(spark):
+    """Sides beyond 9 digits and 6 decimals are read; one beyond 38 digits is counted and never makes a chain true."""
+    long = "1" * 25
+    cases = {
+        "12345678901 = 12345678902": ("false", 0), "0.12345678 = 12345678/100000000": ("true", 0), f"{long} = {long}": ("true", 0), f"{long} + 1 = {long[:-1]}2": ("true", 0),
+        f"{'9' * 40} = 1 = 1": ("unchecked", 1), f"{'9' * 40} = 1 = 2": ("false", 1), f"{long} * {long} = 5 = 5": ("unchecked", 1), f"1/0 = 1 = 1": ("true", 0),
+    }
+    df = spark.createDataFrame([(c,) for c in cases], "chain string")
+    assert {r.chain: (r.verdict, r.unread) for r in Q.check_chains(df).collect()} == cases
+
+
 def test_check_health_needs_its_planted_rows(spark):
     base = spark.createDataFrame([("1", "procedure", "n", "clear words that explain it", ["a b c", "d e f"], ["e"], "wrong line read")], "id string, kind string, name string, explanation string, steps array<string>, examples array<string>, common_mistake string")
     bad = base.withColumn("explanation", F.lit(""))
@@ -284,6 +330,12 @@ def test_stated_numbers(spark):
     assert sorted(r.number for r in M.unsupported_numbers(said, allowed, ["k"]).collect()) == [77.0]  # 100 may stand for 80
 
 
+def test_tolerance_of_all_decimals(spark):
+    stated = {0.1: 0.05, 12.46: 0.005, 0.12345678: 0.5e-8, 1.25e-5: 0.5e-7, 1e-7: 0.5e-7, 12345678.5: 0.05, 300.0: 50.0, 7.0: 0.5, 0.0: 5.0}
+    df = spark.createDataFrame([(v,) for v in stated], "v double").select("v", M.stated_tolerance(F.col("v")).alias("t"))
+    assert {r.v: r.t for r in df.collect()} == pytest.approx(stated)
+
+
 def test_working(spark):
     df = spark.createDataFrame([("we do 3 / 6 and get 1 1/2", ["3/6"], ["1/4"]), ("it is 3/2 and 1/2 of it", ["3/6"], ["1/2"]), (r"\frac{3}{6} is it", ["3/6"], [])], "response string, working_tokens array<string>, question_values array<string>")
     got = M.check_working(df.withColumn("answer_num", F.lit(3)).withColumn("answer_den", F.lit(2)).withColumn("working_min", F.lit(1)))
