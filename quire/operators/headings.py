@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.functions.ordered import Scan, first_per_key, ordered_scan, read_once, tile_of_integer
+from quire.functions.ordered import Scan, first_per_key, ordered_scan, read_once, salted_join, tile_of_integer
 from quire.operators.lines import line_table, near
 
 # ---------------------------------------------------------------------------
@@ -108,12 +108,12 @@ def heading_candidates(chunks: DataFrame, id: str = "id", keep: list[str] | None
 def _first_passing(rows: DataFrame, keys: list[str], order: list[str], passes: Column) -> DataFrame:
     """Add ``__first``: order of the first row per key that passes every other test.
 
-    The per-key minimum is combined map-side; the join back is a plain equi join that
-    adaptive execution may split when one heading fills a third of the table.
+    The per-key minimum is combined map-side; the join back is salted, so a heading that
+    fills a third of the table spreads over tasks.
     """
     rank = F.struct(*order)
     firsts = rows.filter(passes).groupBy(*keys).agg(F.min(rank).alias("__first"))
-    return rows.join(firsts, keys, "left")
+    return salted_join(rows, firsts, keys, "left", rank)
 
 
 def outline_reduction(
@@ -430,7 +430,8 @@ def section_outline(
     base = read_once(base, *keys, *order)
     counts = base.groupBy(*keys, "__key").agg(F.count(F.lit(1)).alias("__repeats"))
     firsts = base.groupBy(*keys).agg(F.min(F.struct(*order)).alias("__chapter_first"))
-    base = base.join(counts, [*keys, "__key"]).join(firsts, keys)
+    place = F.struct(*order)
+    base = salted_join(salted_join(base, counts, [*keys, "__key"], "inner", place), firsts, keys, "inner", place)
     h, after, kind = F.col("heading"), F.col("__after"), F.col("candidate_type")
     low = F.lower(h)
     body = _has_body(after)
@@ -619,7 +620,7 @@ def topic_outline(
 ) -> DataFrame:
     """Topic outline with chapter-opening titles."""
     base = candidates.withColumn("heading", T.squash("heading")).withColumn("__key", F.lower("heading"))
-    base = base.join(chapter_source_chunks(chunks, doc), [doc, "chapter_number"], "left")
+    base = salted_join(base, chapter_source_chunks(chunks, doc), [doc, "chapter_number"], "left", F.struct(*order))
     if "is_front_matter" not in candidates.columns:
         base = base.join(chunks.select(doc, id, "is_front_matter"), [doc, id], "left")
     h, kind = F.col("heading"), F.col("candidate_type")
