@@ -15,8 +15,6 @@ from quire.llm.common import small_batches, stored
 from quire.llm.vocabulary import read_json
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A text whose cosine with every language's prototype is lower is like none of them; unrelated vectors come to about 0.03.
-MIN_LANGUAGE_SCORE = 0.05
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,11 +25,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents in one of the languages learned from the labelled rows; texts without letters and unlike any language go."""
+    """Keep documents in one of the languages learned from the labelled rows; texts without letters, or less like theirs than labelled texts of that length, go."""
     small_batches(spark)
     model = language_id.fit_languages(docs, ["doc_id"], "lang")
-    known = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)
-    return language_id.identify(docs, model, COLUMNS).filter(known).select(*COLUMNS)
+    return language_id.known_language(docs, model, language_id.fit_cutoffs(docs, model, "lang"), COLUMNS).select(*COLUMNS)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,14 @@ TRAIN_LIMIT = 2_000
 UNKNOWN = "und"
 #: Characters of a long text bundled at a time.
 PART = 1_000_000
+#: Labelled rows of a language and length class whose score may lie below the class's cutoff, at most.
+CUTOFF_SHARE = 0.002
+#: A class of as many labelled rows stands for itself.
+CLASS_ROWS = 100
+#: Chance that a text unlike all languages reaches the noise level.
+NOISE_CHANCE = 0.01
+#: Scores are counted in steps of 1 / SCORE_STEPS.
+SCORE_STEPS = 1_000
 
 
 def letter_vectors(seed: int = 11) -> np.ndarray:
@@ -63,9 +72,10 @@ class Bundler:
         self.rotated = [np.roll(self.letters, 2, 1), np.roll(self.letters, 1, 1)]
 
     def profiles(self, texts: list[str]) -> np.ndarray:
-        """A bundled vector for each text; zero for a text without letters. Long texts are bundled in parts whose n-grams overlap."""
+        """A bundled vector for each text; zero for a text without letters. Long texts are bundled in parts whose n-grams overlap. ``sizes``: their numbers of n-grams."""
         out = np.zeros((len(texts), DIMENSIONS), np.float32)
         parts = [(i, gram_codes(t)) for i, t in enumerate(texts)]
+        self.sizes = [len(g) for _, g in parts]
         chunks = [(i, g[k : k + PART]) for i, g in parts for k in range(0, len(g), PART)]
         start = 0
         while start < len(chunks):
@@ -140,23 +150,76 @@ def identify(df: DataFrame, model: Languages, keys: list[str], text: str = "text
     Ties go to the first name. Repeated rows give repeated rows, an empty table an empty one.
     Other columns are not read; key columns named like the results are refused. No shuffle.
     """
+    return measured(df, model, keys, text).drop("__length")
+
+
+def measured(df: DataFrame, model: Languages, keys: list[str], text: str = "text") -> DataFrame:
+    """The columns of ``identify`` and ``__length``, the length class: binary digits of the number of n-grams."""
 
     def make():
         bundler = Bundler()
 
         def work(texts: list[str]) -> list:
             vectors = bundler.profiles(texts)
+            length = [n.bit_length() for n in bundler.sizes]
             known = vectors.any(1) & bool(model.names)
             if not model.names:
-                return [[UNKNOWN] * len(texts), np.zeros(len(texts))]
+                return [[UNKNOWN] * len(texts), np.zeros(len(texts)), length]
             cosine = unit(vectors) @ model.prototypes.T
             best = cosine.argmax(1)
             score = np.where(known, np.clip(cosine[np.arange(len(texts)), best], 0, 1), 0).astype(np.float64)
-            return [[model.names[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], score]
+            return [[model.names[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], score, length]
 
         return work
 
-    return map_texts(df, keys, text, {"lang_pred": "string", "score": "double"}, make)
+    return map_texts(df, keys, text, {"lang_pred": "string", "score": "double", "__length": "int"}, make)
+
+
+def noise_level(languages: int) -> float:
+    """Score that the largest of so many cosines with unrelated vectors reaches with NOISE_CHANCE."""
+    return NormalDist().inv_cdf(1 - NOISE_CHANCE / max(1, languages)) / DIMENSIONS**0.5
+
+
+def fit_cutoffs(df: DataFrame, model: Languages, label: str, text: str = "text") -> dict[str, list[float]]:
+    """Least score of each language by length class, from all labelled rows that are taken for their own language.
+
+    Short texts score lower, so each class has its own low quantile, and the noise level as
+    its floor. A class of fewer than CLASS_ROWS rows tells little: its cutoff lies halfway
+    between the noise level and the lower of its own quantile and that of the nearest larger
+    class. A class without rows takes the cutoff of the next shorter one.
+    Score counts reach the driver: SCORE_STEPS rows a language and class at most.
+    """
+    rows = measured(df.filter(F.col(label).isNotNull()).select(F.col(label).alias("__label"), text), model, ["__label"], text)
+    step = F.floor(F.col("score") * SCORE_STEPS).cast("int").alias("step")
+    counts = rows.filter(F.col("__label") == F.col("lang_pred")).groupBy("lang_pred", F.col("__length").alias("length"), step).count()
+    held: dict[tuple[str, int], dict[int, int]] = {}
+    for row in counts.toLocalIterator():
+        held.setdefault((row.lang_pred, row.length), {})[row.step] = row["count"]
+    return {name: cutoffs_of({k[1]: c for k, c in held.items() if k[0] == name}, noise_level(len(model.names))) for name in model.names}
+
+
+def cutoffs_of(held: dict[int, dict[int, int]], floor: float) -> list[float]:
+    """Cutoff of every length class of one language from its score counts."""
+    lows = {}
+    for length, found in held.items():
+        below = np.cumsum([found[at] for at in sorted(found)])
+        lows[length] = sorted(found)[int(np.argmax(below > CUTOFF_SHARE * below[-1]))] / SCORE_STEPS
+    dense = [n for n, found in held.items() if sum(found.values()) >= CLASS_ROWS]
+    out = [floor]
+    for length in range(1, 33):
+        low = lows.get(length)
+        if low is not None and length not in dense:
+            near = [lows[min(dense, key=lambda n: (abs(n - length), n))]] if dense else []
+            low = (floor + min(low, *near)) / 2 if near else (floor + low) / 2
+        out.append(out[-1] if low is None else max(floor, low))
+    return out
+
+
+def known_language(df: DataFrame, model: Languages, cutoffs: dict[str, list[float]], keys: list[str], text: str = "text") -> DataFrame:
+    """Rows of ``identify`` whose score reaches the cutoff of their language and length class."""
+    rows = measured(df, model, keys, text)
+    least = F.coalesce(*[F.when(F.col("lang_pred") == n, F.element_at(F.array(*map(F.lit, c)), F.col("__length") + 1)) for n, c in cutoffs.items()], F.lit(2.0))
+    return rows.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).drop("__length")
 
 
 def fold(key: str, parts: int) -> Column:

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quire.llm import language_id, quality_classifier, quality_rules, url_filter
 from quire.llm.queries import LISTED_TERMS, QUERIES
 
@@ -125,6 +126,33 @@ def test_languages_of_messy_rows(spark, messy):
     assert {(r.lang_pred, r.score) for r in language_id.identify(messy, nothing, ["doc_id"]).collect()} == {("und", 0.0)}
 
 
+def test_language_stage_drops_what_was_never_learned(spark):
+    """Unlearned languages and letter noise go; short clean texts and nearly all labelled documents stay."""
+    rng = np.random.default_rng(5)
+    strange = [
+        "Tämä on suomenkielinen lause, jossa kerrotaan lyhyesti säästä ja siitä, miten ihmiset viettävät kesäpäiviä järven rannalla.",
+        "Bu cümle Türkçe yazılmıştır ve insanların yaz günlerini göl kıyısında arkadaşlarıyla nasıl geçirdiklerini kısaca anlatır.",
+        "Ez a mondat magyarul íródott, és röviden elmeséli, hogyan töltik az emberek a nyári napokat a tó partján a barátaikkal.",
+        "Это предложение написано по-русски и кратко рассказывает о том, как люди проводят летние дни на берегу озера.", "12 !",
+    ]
+    for first, last in ((97, 123), (0x3B1, 0x3CA), (0x430, 0x450)):
+        for words in (5, 30, 300):
+            strange += [" ".join("".join(map(chr, rng.integers(first, last, rng.integers(4, 10)))) for _ in range(words)) for _ in range(20)]
+    clean = ["Von.", "That it.", "Pachque çaneux et.", "Des enberge die enver.", "Thnt th anrendat oneses thea ingshly with."]
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    size, base = docs.count(), 1 << 40
+    more = spark.createDataFrame([(base + i, t, None, "s", len(t)) for i, t in enumerate([*clean, *strange])], docs.schema)
+    kept = [r.doc_id for r in corpus_pipeline.language(spark, docs.unionByName(more), FOLDER).select("doc_id").collect()]
+    assert {k - base for k in kept if k >= base} == set(range(len(clean)))
+    assert sum(k < base for k in kept) >= 0.995 * size
+
+
+def test_cutoffs_of_small_classes():
+    """One very repetitive long text does not set the cutoff of its class; a large class keeps all but CUTOFF_SHARE."""
+    cut = language_id.cutoffs_of({4: {160: 1}, 9: {50: 1, 400: 999}, 16: {996: 1}}, 0.09)
+    assert np.allclose([cut[k] for k in (0, 3, 4, 5, 9, 10, 16, 32)], [0.09, 0.09, 0.125, 0.125, 0.4, 0.4, 0.245, 0.245])
+
+
 def test_quality_held_out(spark):
     marks = spark.read.parquet(f"{FOLDER}/labels.parquet")
     rows = QUERIES["op8_quality_classifier"](spark, FOLDER).join(marks, "doc_id").filter("held_out").collect()
