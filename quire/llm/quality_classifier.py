@@ -37,17 +37,13 @@ class Compressor:
     prior: float = 0.5
 
 
-def build_dictionary(samples: list[bytes]) -> bytes:
-    """Pieces of the samples, in turn from each, up to the size limit."""
-    out, size, step = [], 0, 0
-    while size < DICTIONARY_BYTES:
-        taken = [s[step : step + 256] for s in samples if len(s) > step]
-        if not taken:
-            break
-        out += taken
-        size += sum(map(len, taken))
-        step += 256
-    return b"".join(out)[:DICTIONARY_BYTES]
+def build_dictionary(samples: list[bytes], budget: int = DICTIONARY_BYTES) -> bytes:
+    """The start of every sample: equal shares of the budget, and what shorter samples leave goes to the longer ones."""
+    taken = [0] * len(samples)
+    for k, i in enumerate(sorted(range(len(samples)), key=lambda i: len(samples[i]))):
+        taken[i] = min(len(samples[i]), budget // (len(samples) - k))
+        budget -= taken[i]
+    return b"".join(s[:n] for s, n in zip(samples, taken))
 
 
 class Sizer:
@@ -93,7 +89,7 @@ def fit_quality(documents: DataFrame, labels: DataFrame, key: str, text: str = "
     """Learn from ``labels`` (key, quality 0 or 1); rows with a null in either teach nothing, a row labelled both ways counts as bad.
 
     A bounded sample: 2 * ``rows`` labelled texts of each class by smallest seeded hash, half
-    for the dictionaries and half for the curve, whose texts are scored whole. Without
+    for the dictionaries, which hold a share of every one, and half for the curve, whose texts are scored whole. Without
     texts of both classes every score is the share of good labels, or 0.5 without labels.
     """
     marks = labels.filter(F.col(key).isNotNull() & F.col("quality").isin(0, 1)).groupBy(F.col(key).alias("__id")).agg(F.min("quality").alias("quality"))
@@ -103,17 +99,15 @@ def fit_quality(documents: DataFrame, labels: DataFrame, key: str, text: str = "
     place = F.lit(1) + F.floor(F.pmod(F.xxhash64(F.lit("piece"), "__id"), F.lit(1 << 20)) / float(1 << 20) * F.greatest(F.lit(1), F.length("__text") - SAMPLE_CHARS)).cast("int")
     texts = documents.select(F.col(key).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(drawn), "__id")  # 4 * rows ids at most
     first = F.col("__rank") % 2 == 1
-    pieces = texts.filter(first).select("quality", "__id", F.substring("__text", place, F.lit(SAMPLE_CHARS)).alias("piece")).dropDuplicates(["__id"]).toPandas()  # bounded rows and lengths
-    pieces = pieces.sort_values("__id", ignore_index=True)
+    pieces = texts.filter(first).select("quality", "__id", "__rank", F.substring("__text", place, F.lit(SAMPLE_CHARS)).alias("piece")).dropDuplicates(["__id"]).toPandas()  # bounded rows and lengths
+    pieces = pieces.sort_values("__rank", ignore_index=True)
     good, bad = ([p.encode() for p in pieces["piece"][pieces["quality"] == q]] for q in (1, 0))
     counts = {r.quality: r["count"] for r in marks.groupBy("quality").count().toLocalIterator()}
     prior = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
     if not good or not bad:
         return Compressor(b"", b"", (), prior)
-    size = min(len(good), len(bad))  # as much text from either class
-    model = Compressor(build_dictionary(good[: max(size, 64)]), build_dictionary(bad[: max(size, 64)]))
-    limit = min(len(model.good), len(model.bad))
-    model = Compressor(model.good[:limit], model.bad[:limit])
+    budget = min(DICTIONARY_BYTES, sum(map(len, good)), sum(map(len, bad)))  # as much text from either class
+    model = Compressor(build_dictionary(good, budget), build_dictionary(bad, budget))
     others = raw_features(texts.filter(~first), model, ["quality", "__id"], "__text").dropDuplicates(["__id"]).toPandas().sort_values("__id")  # numbers of 2 * rows texts at most
     y = others["quality"].to_numpy()
     if len(set(y)) < 2:

@@ -160,6 +160,17 @@ def test_quality_held_out(spark):
     assert np.mean([r.predicted for r in rows if r.quality == 1]) > 0.97
 
 
+def test_dictionaries_hold_every_sampled_text(spark):
+    """Also the texts of the largest ids, and where one class has fewer texts."""
+    rows = [(i, f"<{i:05d}> " + ("good" if i % 4 else "bad") + " words of no weight " * 20) for i in range(1600)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 4 > 0)) for i, _ in rows], "doc_id long, quality int")
+    model = quality_classifier.fit_quality(docs, labels, "doc_id", rows=600)
+    held = {q: {int(x) for x in re.findall(rb"<(\d{5})>", c)} for q, c in ((1, model.good), (0, model.bad))}
+    assert len(held[1]) == 600 and len(held[0]) == 200 and all((i % 4 > 0) == q for q in held for i in held[q])
+    assert len(model.good) == len(model.bad) <= quality_classifier.DICTIONARY_BYTES
+    assert quality_classifier.build_dictionary([b"aaaaaa", b"b", b"cccccc"], 9) == b"aaaabcccc" and quality_classifier.build_dictionary([]) == b""
+
+
 def test_quality_of_messy_rows(spark, messy):
     labels = spark.createDataFrame([(5, 1), (6, 0), (7, None), (None, 1), (6, 1)], "doc_id long, quality int")
     for marks in (labels, labels.limit(0), labels.filter("quality = 1")):
