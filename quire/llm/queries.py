@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe_codec, language_id, near_duplicates, packing, quality_classifier, quality_rules, sharding, token_counts, url_filter, vector_search
+from quire.llm import bpe_codec, language_id, lexical_search, near_duplicates, packing, quality_classifier, quality_rules, sharding, token_counts, url_filter, vector_search, whitening
 from quire.llm.common import small_batches, stored
 from quire.llm.vocabulary import read_json, read_ranks
 
@@ -143,3 +143,32 @@ FROM classed d LEFT JOIN nodes k ON d.c = k.c LEFT JOIN roots r ON k.id = r.id""
 @query
 def op10_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return vector_search.nearest(table(spark, folder, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 50 == 0)
+
+
+@query
+def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    white = whitening.whiten(table(spark, folder, "embeddings"), "vec_id", "embedding")
+    each = F.posexplode(F.arrays_zip("whitened", "explained")).alias("place", "it")
+    rows = white.select("vec_id", "n", F.col("deviation").cast("long").alias("deviation"), each, "identity_error")
+    return rows.select("vec_id", (F.col("place") + 1).cast("int").alias("component"), "n", "deviation", "it.whitened", "it.explained", "identity_error")
+
+
+@query
+def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.rank_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark")).select("item_id", "rank", "doc_id", "score")
+
+
+ORACLES["op13_lexical_search"] = r"""
+WITH termed AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+sums AS (SELECT count(*) FILTER (len(t) > 0) AS nd, CAST(sum(len(t)) AS BIGINT) AS l FROM termed),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+spread AS (SELECT r, len(t) AS n, unnest(t) AS term FROM termed),
+times AS (SELECT r, n, term, count(*) AS tf FROM spread WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+holders AS (SELECT term, count(*) AS df FROM times GROUP BY term),
+parts AS (
+  SELECT r, term, CAST(floor(1000 * ln((2 * nd + 2) / (2 * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nd) // l))) AS part
+  FROM times JOIN holders USING (term), sums),
+scored AS (SELECT item_id, r, CAST(sum(part) AS BIGINT) AS score FROM parts JOIN asked USING (term) GROUP BY ALL HAVING sum(part) > 0),
+ranked AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS k FROM scored JOIN termed USING (r))
+SELECT item_id, CAST(k AS INTEGER) AS rank, doc_id, score FROM ranked WHERE k <= 50"""
