@@ -114,8 +114,8 @@ def node_sets(nodes: DataFrame, documents: DataFrame, key: str, text: str) -> Da
 
 
 def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of sorted sets, as a matrix; hashes are taken COLUMNS at a time."""
-    out = np.zeros((len(left), len(right)), np.float32)
+    """Sizes of the intersections of sorted sets, as a matrix of integers; hashes are taken COLUMNS at a time."""
+    out = np.zeros((len(left), len(right)), np.int64)
     if len(left) * len(right) <= 4:
         for i, x in enumerate(left):
             for j, y in enumerate(right):
@@ -136,7 +136,7 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
             flags = np.zeros((len(side), COLUMNS), np.float32)
             flags[rows[a:b], at[a:b] - k] = 1
             made.append(flags)
-        out += made[0] @ made[1].T
+        out += (made[0] @ made[1].T).astype(np.int64)  # COLUMNS at most, exact
     return out
 
 

@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, each over its whole table, and SQL where it can say the same."""
+"""Registered queries of the thirteen operators, each over its whole table, and SQL where it can say the same."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe_codec, language_id, lexical_search, near_duplicates, packing, quality_classifier, quality_rules, sharding, token_counts, url_filter, vector_search, whitening
+from quire.llm import bpe_codec, jaccard_join, language_id, lexical_search, near_duplicates, packing, quality_classifier, quality_rules, sharding, token_counts, url_filter, vector_search, whitening
 from quire.llm.common import small_batches, stored
 from quire.llm.vocabulary import read_json, read_ranks
 
@@ -153,6 +153,15 @@ def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("vec_id", (F.col("place") + 1).cast("int").alias("component"), "n", "deviation", "it.whitened", "it.explained", "identity_error")
 
 
+@query
+def op12_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.jaccard_classes(table(spark, folder, "documents"), "doc_id")
+
+
+# The links of op9's statement at 80 percent, without its last column.
+ORACLES["op12_jaccard_join"] = ORACLES["op9_near_duplicates"].replace("85 *", "80 *").replace(", coalesce(r.root, d.doc_id) = d.doc_id AS kept", "")
+
+
 @query
 def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
     return lexical_search.rank_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark")).select("item_id", "rank", "doc_id", "score")
