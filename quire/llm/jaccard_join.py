@@ -9,7 +9,9 @@ left to verify, of which fewer pass the higher the level.
 
 Shingles with more than FREQUENT holders are never paired. A set steps over them by taking
 a level above their number in its prefix, so a linked partner also meets it elsewhere. Sets
-mostly made of such shingles (large families of near copies) can't; among themselves they are
+with too many of them for that meet the others as before; among themselves they are joined anew,
+whole sets now, in the order of rising holders. What can't step over its frequent shingles
+even then is mostly made of them (large families of near copies): such sets are
 first confirmed against the smallest holder of a shingle, and only those still apart are
 compared, in blocks of full sets.
 
@@ -55,14 +57,14 @@ def needed(n_a, l_a, n_b, l_b, percent: int = PERCENT):
     return np.maximum(o_a, o_b) - np.maximum(o_a - l_a, o_b - l_b)
 
 
-def best_level(n: int, place: np.ndarray, holders: np.ndarray, percent: int = PERCENT) -> tuple[int, int]:
+def best_level(n: int, place: np.ndarray, holders: np.ndarray, percent: int = PERCENT, most: int = FREQUENT) -> tuple[int, int]:
     """Level of a set and the frequent shingles in its prefix, from the places (ascending, from 0) and holders of its shared shingles.
 
     Only levels above the number of frequent shingles in their prefix count; where there is
     none, the highest level is taken, and the set must meet others by frequent shingles too.
     """
     top, base = levels(n, percent), n - overlap(n, percent)
-    frequent = holders > FREQUENT
+    frequent = holders > most
     ends = np.searchsorted(place, base + np.arange(1, top + 1))  # shared shingles in the prefix of each level
     hot = np.r_[0, np.cumsum(frequent)][ends]
     met = np.r_[0, np.cumsum(np.where(frequent, 0, holders - 1))][ends]
@@ -81,24 +83,29 @@ def _prefixes(percent: int):
     return work
 
 
-def _levelled(percent: int):
-    """Rows (node, n, shared) to (node, n, level, hot, token, frequent): the level of every node and the shared shingles of its prefix."""
+def _levelled(percent: int, most: int, by_holders: bool = False):
+    """Rows (node, n, shared) to (node, n, level, hot, token, frequent): the level of every node and the shared shingles of its prefix.
+
+    ``shared`` holds (place, token, holders) of a set's shared shingles; ``by_holders`` orders
+    the whole set by holders instead, shingles of its own first.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ends = batch.column(2).offsets.to_numpy() if isinstance(batch.column(2), pa.ListArray) else None
+            ends = batch.column(2).offsets.to_numpy()
+            ends = ends - ends[0]
             rows = batch.column(2).flatten()
             places, tokens, holders = (rows.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-            ends = ends - ends[0]
             node, size = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             out: list[list[np.ndarray]] = [[] for _ in range(6)]
             for i, n in enumerate(size.tolist()):
-                order = np.argsort(places[ends[i] : ends[i + 1]], kind="stable") + ends[i]
-                place, held = places[order], holders[order]
-                level, hot = best_level(n, place, held, percent)
+                own = slice(ends[i], ends[i + 1])
+                order = (np.lexsort((tokens[own], holders[own])) if by_holders else np.argsort(places[own], kind="stable")) + ends[i]
+                place = n - len(order) + np.arange(len(order)) if by_holders else places[order]
+                level, hot = best_level(n, place, holders[order], percent, most)
                 keep = order[place < n - overlap(n, percent) + level]
                 k = len(keep)
-                for column, value in zip(out, (np.full(k, node[i]), np.full(k, n), np.full(k, level), np.full(k, hot), tokens[keep], holders[keep] > FREQUENT), strict=True):
+                for column, value in zip(out, (np.full(k, node[i]), np.full(k, n), np.full(k, level), np.full(k, hot), tokens[keep], holders[keep] > most), strict=True):
                     column.append(value)
             made = [np.concatenate(c) if c else np.zeros(0) for c in out]
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_())
@@ -107,6 +114,21 @@ def _levelled(percent: int):
     return run
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, set) to (node, n, token)."""
+    for batch in batches:
+        for node, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            held = np.frombuffer(data.as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), node)), pa.array(np.full(len(held), len(held))), pa.array(held)], names=["node", "n", "token"])
+
+
+def postings_of(rows: DataFrame, percent: int, most: int, by_holders: bool = False) -> DataFrame:
+    """Levels and postings from rows (node, n, place, token): a shuffle that counts holders, one that brings them back, one by node."""
+    holders = rows.groupBy("token").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1")
+    shared = rows.join(holders, "token").groupBy("node", "n").agg(F.collect_list(F.struct("place", "token", "holders")).alias("shared"))  # a set's own shingles
+    return shared.mapInArrow(_levelled(percent, most, by_holders), "node long, n long, level int, hot int, token long, frequent boolean")
+
+
 def _close_in_size(percent: int):
     return percent * F.greatest("na", "nb") <= 100 * F.least("na", "nb")
 
@@ -137,7 +159,7 @@ def best_partners(pairs: DataFrame) -> DataFrame:
     return top.select(F.least("a", -F.col("top.less")).alias("a"), F.greatest("a", -F.col("top.less")).alias("b")).distinct()
 
 
-def jaccard_classes(df: DataFrame, key: str, text: str = "text", percent: int = PERCENT) -> DataFrame:
+def jaccard_classes(df: DataFrame, key: str, text: str = "text", percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
     """One row for each row of ``df``: key, ``n_shingles`` (long) and ``component_id``, the smallest key that links can reach, its own included.
 
     Two texts link when 100 * intersection >= percent * union of their sets of five-word
@@ -151,19 +173,19 @@ def jaccard_classes(df: DataFrame, key: str, text: str = "text", percent: int =
     keyed_texts(df, [key], text, ["n_shingles", "component_id", "node", "doc", "prefix"])
     features = stored(map_texts(df, [key], text, {"n_shingles": "long", "node": "long", "prefix": "array<long>"}, lambda: _prefixes(percent)))
     filled = features.filter("node IS NOT NULL")
-    nodes = stored(filled.groupBy("node").agg(F.min(key).alias("doc"), F.min("n_shingles").alias("n")))
-    alike = filled.groupBy("node").agg(F.first("prefix").alias("prefix"))
-    rows = alike.select("node", F.posexplode("prefix").alias("place", "token"))
-    holders = rows.groupBy("token").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1")
-    shared = rows.join(holders, "token").groupBy("node").agg(F.collect_list(F.struct("place", "token", "holders")).alias("shared"))  # a set's own shingles
-    levelled = shared.join(nodes, "node").select("node", "n", "shared")
-    postings = stored(levelled.mapInArrow(_levelled(percent), "node long, n long, level int, hot int, token long, frequent boolean"))
+    nodes = stored(filled.groupBy("node").agg(F.min(key).alias("doc")))
+    alike = filled.groupBy("node").agg(F.first("prefix").alias("prefix"), F.first("n_shingles").alias("n"))
+    rows = alike.select("node", "n", F.posexplode("prefix").alias("place", "token"))
+    postings = stored(postings_of(rows, percent, frequent))
+    bound = stored(postings.filter("hot >= level").select("node").distinct())
 
     met = stored(candidates(postings, percent))
-    stars = stored(pivots(postings))
-    pairs = met.select("a", "b").unionByName(stars.select("a", "b"))
-    named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    named = met.select(F.col("a").alias("node")).union(met.select("b")).union(bound).distinct()
     sets = stored(node_sets(named.join(nodes, "node").select("node", "doc"), df, key, text))
+    whole = sets.join(bound, "node", "left_semi").select("node", "set").mapInArrow(_tokens, "node long, n long, token long")
+    postings = stored(postings_of(whole.withColumn("place", F.lit(0)), percent, frequent, by_holders=True))
+    met = stored(met.unionByName(candidates(postings, percent)).groupBy("a", "b").agg(F.max("shared").alias("shared")))
+    stars = stored(pivots(postings))
     first = stored(star_links(best_partners(met).unionByName(best_partners(stars)).distinct(), sets, percent))
     roots = stored(components(first))
     root = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))

@@ -132,7 +132,8 @@ class Slice:
         ends, falling = np.cumsum(np.bincount(group.ravel(), minlength=len(kinds))[order]), most[order]
         at = done = 0
         while at < len(order) and falling[at] >= best.least():
-            upto = min(int(np.searchsorted(ends, done + SCORED_TOGETHER)) + 1, len(order))
+            # groups until k documents are there, and more as long as they are few
+            upto = min(max(int(np.searchsorted(ends, done + best.k)) + 1, int(np.searchsorted(ends, done + SCORED_TOGETHER, "right"))), len(order))
             upto = at + max(1, int((falling[at:upto] >= best.least()).sum()))
             docs = ranked[done : ends[upto - 1]]
             scores = (w * saturation(tf[docs], self.m[low + docs][:, None])).sum(1)

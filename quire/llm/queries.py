@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import bpe_codec, jaccard_join, language_id, lexical_search, near_duplicates, packing, quality_classifier, quality_rules, sharding, token_counts, url_filter, vector_search, whitening
-from quire.llm.common import small_batches, stored
+from quire.llm.common import small_batches
 from quire.llm.vocabulary import read_json, read_ranks
 
 MULTI = "byte_bpe_multi_50k.tiktoken"
@@ -90,7 +90,7 @@ def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    narrow = stored(table(spark, folder, "documents").select("doc_id", "source", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32")))
+    narrow = table(spark, folder, "documents").select("doc_id", "source", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
     out = sharding.stratified_shards(narrow, "source", ["doc_id", "text_crc32", "size"])
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 

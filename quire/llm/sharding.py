@@ -1,13 +1,14 @@
 """Operator 5: shards by proportional stratified interleaving, in DataFrame operations alone.
 
 Rows of a source are shuffled by a seeded hash and ranked; a row's place in the corpus is
-its fractional rank (rank - 1/2) / rows of the source. Sorting by it interleaves the
+its fractional rank (rank - 1 + u) / rows of the source, where u in [0, 1) is hashed from the
+source, so that small sources spread over all shards. Sorting by it interleaves the
 sources in proportion, and cutting the sequence into equal runs gives shards that each
 hold the mixture. The law kept is ``rows``: shard sizes are at most one row apart.
 
 Neither ranking goes through one task: a rank is the rank inside a tile of the order
 (hash range, or range of the fraction) plus the rows of earlier tiles, and the tables of
-tile counts are small.
+tile counts are small. A tile that many equal rows share is cut by their row numbers.
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import stored
 
-#: Rows of a tile on average; the number of tiles follows the table.
+#: Rows of a tile on average; the number of tiles follows the table. A tile of more than WIDE times as many is cut.
 TILE_ROWS = 32_768
+WIDE = 4
 
 
 def _ranked(df: DataFrame, keys: list[str], tile: str, order: list, name: str) -> DataFrame:
@@ -37,21 +39,27 @@ def stratified_shards(df: DataFrame, source: str, tie: list[str], shards: int =
     """Adds ``shard`` (int, from 0) and ``slot`` (long, gapless from 0 in each shard) to every row.
 
     ``tie`` names columns that tell rows apart; rows equal in all of them are
-    interchangeable. A null source is a stratum of its own. Repeated rows are rows of their
+    interchangeable, however many. A null source is a stratum of its own. Repeated rows are rows of their
     own. An empty table gives an empty one. Other columns are carried along, so pass only
     the ones needed; columns named ``shard`` or ``slot`` are refused.
     """
     clash = sorted(set(df.columns) & {"shard", "slot"})
     if clash:
         raise ValueError(f"columns named like results: {clash}")
-    rows = df.count()
+    held = stored(df.withColumn("__hash", F.xxhash64(F.lit(seed), *tie)).withColumn("__row", F.monotonically_increasing_id()))
+    rows = held.count()
     tiles = max(1, -(-rows // tile_rows))
-    hashed = df.withColumn("__hash", F.xxhash64(F.lit(seed), *tie))
     # the hash without its sign bit, in equal ranges
-    tiled = hashed.withColumn("__tile", F.floor(F.shiftrightunsigned("__hash", 33).cast("double") / float(2**31) * tiles).cast("long")).withColumn("__order", F.shiftrightunsigned("__hash", 1))
+    range_of = F.floor(F.shiftrightunsigned("__hash", 33).cast("double") / float(2**31) * tiles).cast("long")
+    tiled = held.withColumn("__range", range_of).withColumn("__order", F.shiftrightunsigned("__hash", 1))
+    wide = tiled.groupBy(source, "__range").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > WIDE * tile_rows)
+    wide = wide.select(F.col(source).alias("__w_source"), F.col("__range").alias("__w_range"), F.ceil(F.col("__n") / tile_rows).cast("long").alias("__parts"))
+    cut = tiled.join(wide, F.col(source).eqNullSafe(F.col("__w_source")) & (F.col("__range") == F.col("__w_range")), "left")
+    tiled = cut.withColumn("__tile", F.struct("__range", F.coalesce(F.pmod("__row", "__parts"), F.lit(0).cast("long")).alias("__part"))).drop("__w_source", "__w_range", "__parts")
     ranked = _ranked(tiled, [source], "__tile", ["__order", *tie], "__rank")
-    sizes = df.groupBy(source).agg(F.count(F.lit(1)).alias("__size")).withColumnRenamed(source, "__source")
-    placed = ranked.join(sizes, F.col(source).eqNullSafe(F.col("__source"))).withColumn("__fraction", (2 * F.col("__rank") - 1) / (2.0 * F.col("__size")))
+    sizes = held.groupBy(source).agg(F.count(F.lit(1)).alias("__size")).withColumnRenamed(source, "__source")
+    phase = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit("phase"), F.col(source)), 11) / float(2**53)
+    placed = ranked.join(sizes, F.col(source).eqNullSafe(F.col("__source"))).withColumn("__fraction", (F.col("__rank") - 1 + phase) / F.col("__size"))
     spread = stored(placed.select(*df.columns, "__rank", "__fraction")).withColumn("__tile", F.floor(F.col("__fraction") * tiles).cast("long")).withColumn("__one", F.lit(0))
     order = ["__fraction", F.col(source).asc_nulls_first(), "__rank"]
     cut = _ranked(spread, ["__one"], "__tile", order, "__position")

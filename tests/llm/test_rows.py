@@ -38,14 +38,31 @@ def test_shards_hold_the_mixture(spark):
 def test_shard_order_by_brute_force(spark):
     df = spark.createDataFrame([(i, "a" if i % 4 else "b") for i in range(203)], "id long, source string")
     hashes = {r.id: (r.h % (1 << 64)) >> 1 for r in df.select("id", F.xxhash64(F.lit(7), "id").alias("h")).collect()}
+    phases = spark.createDataFrame([("a",), ("b",)], "source string").select("source", F.xxhash64(F.lit(7), F.lit("phase"), "source").alias("h"))
+    phase = {r.source: ((r.h % (1 << 64)) >> 11) / 2.0**53 for r in phases.collect()}
     order = []
     for s in ("a", "b"):
         own = sorted((hashes[i], i) for i in range(203) if ("a" if i % 4 else "b") == s)
-        order += [((2 * k + 1) / (2.0 * len(own)), s, k, i) for k, (_, i) in enumerate(own)]
+        order += [((k + phase[s]) / len(own), s, k, i) for k, (_, i) in enumerate(own)]
     want = {i: p * 8 // 203 for p, (_, _, _, i) in enumerate(sorted(order))}
     assert {r.id: r.shard for r in sharding.stratified_shards(df, "source", ["id"], tile_rows=16).collect()} == want
 
 
+def test_small_sources_reach_every_shard(spark):
+    """Half of the rows in sources of one row: each shard gets its share of them, and no tile of the second ranking is much above the mean."""
+    df = spark.range(40_000).select("id", F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("s"), "id")).alias("source"))
+    out = sharding.stratified_shards(df, "source", ["id"], tile_rows=500)
+    small = [r["count"] for r in out.filter("source <> 'hot'").groupBy("shard").count().collect()]
+    assert len(small) == 8 and min(small) > 2200 and max(small) < 2800
+    hot = [r["count"] for r in out.filter("source = 'hot'").groupBy("shard").count().collect()]
+    assert min(hot) > 2200 and max(hot) < 2800
+
+
+def test_one_row_repeated_often(spark):
+    df = spark.range(6000).select(F.when(F.col("id") < 5000, 1).otherwise(F.col("id")).alias("id"), F.lit("s").alias("source"))
+    check_shards(sharding.stratified_shards(df, "source", ["id"], tile_rows=100).collect(), 8)
+
+
 def test_sharding_query_and_messy_rows(spark, messy):
     rows = QUERIES["op5_sharding"](spark, FOLDER).collect()
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
@@ -191,7 +208,7 @@ def test_oracles(spark):
     from tests.oracle_check import norm
 
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     for name, sql in ORACLES.items():
         df = QUERIES[name](spark, FOLDER)

@@ -8,9 +8,11 @@ import numpy as np
 import public_tokenizers as public
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quire.llm import bpe_codec, packing, token_counts
+from quire.llm.queries import QUERIES
 from quire.llm.vocabulary import read_json, read_ranks
 
 RANKS = read_ranks(public.path("byte_bpe_multi_50k.tiktoken"), public.PATTERN)
@@ -47,7 +49,21 @@ def test_counts_and_packing_ids_equal_tokenizers():
     texts = strange_texts()
     ids = [library.encode(t, add_special_tokens=False).ids for t in texts]
     assert token_counts.Counter(JSON).counts(texts) == [len(x) for x in ids]
-    assert [packing.encoder(JSON).encode(t, allowed_special="all") for t in texts] == ids
+    encoder = packing.Encoder(JSON)
+    assert [encoder.encode(t).tolist() for t in texts] == ids
+
+
+def test_packing_encodes_texts_of_any_length():
+    """Runs of white space on which the library's pattern runs out of stack, at the start, inside, before a special string and at the end."""
+    library, encoder = Tokenizer.from_file(public.path("byte_bpe_50k.json")), packing.Encoder(JSON)
+    run = 5000
+    short = [" " * run, "a" + "\n" * run + "b", " \t" * run + "word" + "\u2003" * run, "x" + " " * run + "<|endoftext|>" + " " * run + "'s", "\n " * run + "\n!", "a" * 50_000]
+    for text in short:
+        assert encoder.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+    for text in ("one" + " " * 2_000_000 + "two", "\n" * 2_000_000, "z" * 2_000_000 + " \n" * 1_000_000):
+        ids = encoder.encode(text)
+        assert b"".join(JSON.tokens[i] for i in ids.tolist()) == text.encode()
+        assert len(ids) == token_counts.Counter(JSON).counts([text])[0]
 
 
 def test_codec_and_counts_of_messy_rows(spark, messy):
@@ -92,3 +108,39 @@ def test_packed_messy_rows(spark, messy):
         own = sorted((r.offset, r.length) for r in rows if r.sequence_id == s)
         assert [o for o, _ in own] == list(np.cumsum([0, *[n for _, n in own]])[:-1]) and sum(n for _, n in own) <= 1024
     assert packing.pack_documents(messy.limit(0), JSON, "doc_id").count() == 0
+
+
+def check_packed(rows, texts: dict) -> None:
+    library = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in rows:
+        pieces[r.doc_id].append(r)
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for k, text in texts.items():
+        ids, at = np.array([*library.encode(text or "", add_special_tokens=False).ids, 0], "<u4"), 0
+        for r in sorted(pieces.pop(k), key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids)
+    assert not pieces
+    for own in sequences.values():
+        own.sort()
+        assert [o for o, _ in own] == list(np.cumsum([0, *[n for _, n in own]])[:-1]) and sum(n for _, n in own) <= 1024
+
+
+def test_packing_query(spark):
+    folder = "/root/testdata/sf0.001"
+    rows = QUERIES["op7_packing"](spark, folder).collect()
+    check_packed(rows, {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()})
+    used = len({r.sequence_id for r in rows})
+    assert sum(r.length for r in rows) > 0.97 * 1024 * used
+
+
+def test_a_document_repeated_often_is_spread(spark):
+    """Copies of one row go to many groups, each of bounded size."""
+    df = spark.range(6000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("the same words again and again " * 90).alias("text"))
+    rows = packing.pack_documents(df.repartition(4), JSON, "doc_id")
+    groups = [r["count"] for r in rows.groupBy(F.expr("sequence_id >> 32").alias("g")).count().collect()]
+    assert len(groups) > 5 and max(groups) < 2 * packing.GROUP_RESTS
+    total = rows.agg(F.sum("length"), F.max("doc_tokens"), F.countDistinct("sequence_id")).first()
+    assert total[0] == 6000 * total[1] and total[0] > 0.99 * 1024 * total[2]
