@@ -49,21 +49,25 @@ def tile_of_integer(column: Column | str, width: int = TILE_WIDTH) -> Column:
     return F.floor(column / F.lit(width)).cast("long")
 
 
-def tile_of_time(column: Column | str, seconds: int = 60) -> Column:
-    """Tile of an event time: the rows one group gets in ``seconds``."""
-    column = F.col(column) if isinstance(column, str) else column
-    return F.floor(F.unix_micros(column.cast("timestamp")) / F.lit(seconds * 1_000_000)).cast("long")
+def tiled_by_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Tiles that are contiguous in (keys, order) and hold about equally many rows, however a key's or a value's rows mass."""
+    return df.repartitionByRange(*keys, *order).withColumn(TILE, F.spark_partition_id().cast("long"))
 
 
 def ordered_scan(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    tile: Column,
+    tile: Column | None,
     scans: dict[str, Scan],
 ) -> DataFrame:
-    """Add the scan columns; ``tile`` must not decrease along ``order``."""
-    tiled = read_once(df.withColumn(TILE, tile), *keys, TILE)
+    """Add the scan columns; ``tile`` must not decrease along ``order``.
+
+    Without a tile the rows are cut into ranges of (keys, order) by row count, with borders from
+    Spark's sample of the rows: right for any type of order and for values that many rows
+    share, as long as ``order`` as a whole tells a key's rows apart. It costs one more shuffle.
+    """
+    tiled = read_once(df.withColumn(TILE, tile) if tile is not None else tiled_by_rows(df, keys, order), *keys, TILE)
     by_order = Window.partitionBy(*keys, TILE).orderBy(*order)
     upto, before = (
         by_order.rowsBetween(Window.unboundedPreceding, 0),

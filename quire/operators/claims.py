@@ -28,6 +28,8 @@ CHAPTER_FIELDS = [
 CONTEXT_KEY = {
     "key_terms": "term", "core_lessons": "title", "worked_examples": "title", "practice_questions": "question",
 }
+# where a book's chapters may stand, first wins
+CHAPTER_ROOTS = ["$.learning_materials.chapters", "$.learning_materials.chapter_packages", "$.chapter_packages"]
 BOOK_TEXT_FIELDS = [("book_overview", "book_overview"), ("summary", "book_summary"), ("overview", "book_overview")]
 BOOK_LIST_FIELDS = [
     ("who_this_is_for", None, "audience_item", ["text", "description"]),
@@ -162,10 +164,12 @@ def _field_claims(number: int, field: str, sub: str | None, kind: str, inherits:
 def chapter_claims(chapters: DataFrame, doc: str = "doc") -> DataFrame:
     """One row per claim of chapter documents (G1).
 
-    chapters: (doc, chapter_index, document JSON). Every list field of a chapter is
+    chapters: (doc, chapter_index, document JSON, and where the chapters stand as ``root``, if not under
+    ``learning_materials.chapters``). Every list field of a chapter is
     turned into claims inside its own row and exploded once: no shuffle.
     """
-    parsed = chapters.select(doc, "chapter_index", F.from_json("document", CHAPTER_SCHEMA).alias("d"))
+    root = F.col("root") if "root" in chapters.columns else F.lit(CHAPTER_ROOTS[0])
+    parsed = chapters.select(doc, "chapter_index", root.alias("root"), F.from_json("document", CHAPTER_SCHEMA).alias("d"))
     inherited = F.col("d.source_chunk_ids")
     summary = unwrap_grounded(F.col("d.chapter_summary"))
     origin, ids = citation_origin(summary["ids"], inherited)
@@ -190,11 +194,11 @@ def chapter_claims(chapters: DataFrame, doc: str = "doc") -> DataFrame:
     )
     number = T.int_or_null("d.chapter_number")
     rows = parsed.select(
-        doc, "chapter_index", number.alias("chapter_number"), F.col("d.chapter_title").alias("chapter_title"),
+        doc, "root", "chapter_index", number.alias("chapter_number"), F.col("d.chapter_title").alias("chapter_title"),
         F.explode(F.flatten(F.array(*lists))).alias("c"),
     ).filter(F.col("c").isNotNull() & ~T.blank("c.claim_text"))
     prefix = F.format_string("chapter_%02d.", F.coalesce("chapter_number", F.col("chapter_index") + 1).cast("int"))
-    path = F.concat(F.lit("$.learning_materials.chapters["), F.col("chapter_index").cast("string"), F.lit("]."), F.col("c.path"))
+    path = F.concat(F.col("root"), F.lit("["), F.col("chapter_index").cast("string"), F.lit("]."), F.col("c.path"))
     return _finish(rows.withColumn("claim_id", F.concat(prefix, F.col("c.suffix"))).withColumn("json_path", path), doc, "chapter")
 
 
@@ -220,6 +224,34 @@ def _finish(rows: DataFrame, doc: str, scope: str) -> DataFrame:
     )
 
 
+def book_chapters(books: DataFrame, doc: str = "doc") -> DataFrame:
+    """(doc, chapter_index, document, root) of whole book documents: the first of the three places that holds a list, empty or not (G1).
+
+    books: (doc, book JSON).
+    """
+    lists = [_json(F.col("book"), r.removeprefix("$.")) for r in CHAPTER_ROOTS]
+    found = F.coalesce(*[F.when(F.startswith(v, F.lit("[")), F.struct(F.lit(r).alias("root"), v.alias("chapters"))) for r, v in zip(CHAPTER_ROOTS, lists)])
+    rows = books.select(doc, found.alias("f")).select(doc, "f.root", F.posexplode(F.from_json("f.chapters", "array<string>")).alias("chapter_index", "document"))
+    return rows.filter(_is_object(F.col("document"))).select(doc, "chapter_index", "document", "root")
+
+
+def whole_book_claims(books: DataFrame, doc: str = "doc") -> DataFrame:
+    """Claims of whole book documents: those of the book itself and those of its chapters (G1). books: (doc, book JSON)."""
+    materials = books.select(doc, _json(F.col("book"), "learning_materials").alias("materials")).filter(_is_object(F.col("materials")))
+    return book_claims(materials, doc).unionByName(chapter_claims(book_chapters(books, doc), doc))
+
+
+def book_problems(books: DataFrame, doc: str = "doc") -> DataFrame:
+    """(doc, code) of books without a generation object, without materials or chapters, or with a chapter that is no object (G1)."""
+    at = lambda path: F.coalesce(_json(F.col("book"), path), F.lit(""))
+    held = F.startswith(at("learning_materials"), F.lit("{")) | F.startswith(at("chapter_packages"), F.lit("["))
+    lists = [F.when(F.startswith(at(r.removeprefix("$.")), F.lit("[")), F.from_json(at(r.removeprefix("$.")), "array<string>")) for r in CHAPTER_ROOTS]
+    odd = F.exists(F.coalesce(*lists, F.array().cast("array<string>")), lambda c: ~F.coalesce(_is_object(c), F.lit(False)))
+    codes = [(~F.startswith(at("generation"), F.lit("{")), "NO_GENERATION"), (~held, "NO_MATERIALS"), (odd, "CHAPTER_NOT_AN_OBJECT")]
+    found = F.filter(F.array(*[F.when(c, F.lit(n)) for c, n in codes]), lambda c: c.isNotNull())
+    return books.select(doc, F.explode(found).alias("code"))
+
+
 def book_claims(books: DataFrame, doc: str = "doc") -> DataFrame:
     """One row per book-level claim (G1). books: (doc, materials JSON)."""
     parsed = books.select(doc, F.from_json("materials", BOOK_SCHEMA).alias("d"))

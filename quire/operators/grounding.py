@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.functions.ordered import first_per_key, read_once, salted_join
 from quire.operators.findings import union_all
+from quire.operators.patterns import find_patterns
 
 # ---------------------------------------------------------------------------
 # Fixed values
@@ -150,9 +151,11 @@ def _pairs(w: Column) -> Column:
 def locate_quotes(quotes: DataFrame, chunks: DataFrame, scope: list[str], order: str = "ord") -> DataFrame:
     """First chunk (by ``order``) of the scope that contains each quote (G7, G8, Q13 at corpus size).
 
-    quotes: (quote_id, norm, *scope), norm of at least four words; chunks: (node_id, norm,
-    order, *scope), both in the same normal form. No pair of a quote and a chunk is formed
-    unless they share the quote's rarest inner word pair:
+    quotes: (quote_id, norm, *scope), of any length; chunks: (node_id, norm,
+    order, *scope), both in the same normal form. Quotes of one to three words have no inner word pair
+    and are found by their rarest inner word or a piece of a word (``find_patterns``); an empty one is
+    nowhere. Of longer ones no pair of a quote and a chunk is formed unless they share the
+    quote's rarest inner word pair:
 
     1. equal texts are kept once, with their first place, so copies cost nothing more;
     2. word pairs of the chunks are kept only where some quote has them;
@@ -162,6 +165,8 @@ def locate_quotes(quotes: DataFrame, chunks: DataFrame, scope: list[str], order:
     """
     hashed = chunks.select(*scope, order, "node_id", "norm").withColumn("__h", F.xxhash64("norm"))
     texts = read_once(first_per_key(hashed, [*scope, "__h", "norm"], [order]), "node_id")
+    pairs_inside = F.size(F.split("norm", " ")) >= 4
+    short, quotes = quotes.filter(~pairs_inside), quotes.filter(pairs_inside)
     grams = quotes.select("quote_id", *scope, "norm", F.explode(_inner_pairs(F.col("norm"))).alias("pair"))
     needed = grams.select(*scope, "pair").distinct()
     postings = texts.select(*scope, "node_id", F.explode(_all_pairs(F.col("norm"))).alias("pair")).join(needed, [*scope, "pair"], "left_semi")
@@ -179,8 +184,12 @@ def locate_quotes(quotes: DataFrame, chunks: DataFrame, scope: list[str], order:
         candidates.join(texts.select(*scope, "node_id", order, F.col("norm").alias("__t")), [*scope, "node_id"])
         .join(quotes.select("quote_id", F.col("norm").alias("__q")), "quote_id")
         .filter(F.contains("__t", F.col("__q")))
+        .select("quote_id", "node_id", order)
     )
-    return verified.groupBy("quote_id").agg(F.min_by("node_id", order).alias("node_id"), F.min(order).alias(order))
+    places = texts.select(*scope, F.col("node_id").alias("text_id"), "norm", order)
+    brief = find_patterns(short.select(F.col("quote_id").alias("pattern_id"), "norm", *scope), places.drop(order), scope)
+    brief = brief.join(places.drop("norm"), ["text_id", *scope]).select(F.col("pattern_id").alias("quote_id"), F.col("text_id").alias("node_id"), order)
+    return verified.unionByName(brief).groupBy("quote_id").agg(F.min_by("node_id", order).alias("node_id"), F.min(order).alias(order))
 
 
 def cover_claims(claims: DataFrame, chunks: DataFrame, scope: list[str], order: str = "ord") -> tuple[DataFrame, DataFrame]:

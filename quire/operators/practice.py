@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions import rationals
 from quire.functions import text as T
 from quire.functions.ordered import Scan, ordered_scan, read_once, tile_of_integer, top_n
 from quire.operators.quality import sentence_count
@@ -37,7 +38,7 @@ def gcd(a: Column, b: Column) -> Column:
 
 
 def parse_number(text: Column) -> Column:
-    """Exact (num, den) of a number in shown working: integer, a/b, w a/b or decimal up to 18 digits; null when unreadable.
+    """Exact (num, den) of a number in shown working: integer, a/b, w a/b or decimal of up to 18 digits; null when unreadable or longer.
 
     A leading minus of a mixed number covers the fraction too.
     """
@@ -280,15 +281,17 @@ def allowed_numbers(points: DataFrame, items: DataFrame, key: str = "item_id") -
     """
     v = F.col("value")
     numbers = lambda c: F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"\d+(?:\.\d+)?"), F.lit(0)), lambda s: s.cast("double"))
-    value = points.select(key, v.cast("double").alias("number"))
+    placed = points.select(key, "i", v.cast("double").alias("number"))
+    value = placed.drop("i")
     per = value.groupBy(key).agg(F.sum("number").alias("total"), F.max("number").alias("hi"), F.min("number").alias("lo"))
     ratio = F.when(F.col("lo") != 0, F.round(F.col("hi") / F.col("lo"), 1))
     derived = per.select(key, F.explode(F.array("total", F.col("hi") - F.col("lo"), ratio)).alias("number")).filter("number IS NOT NULL")
     labels = points.join(items.select(key), key, "left_semi").select(key, F.explode(numbers(F.col("label"))).alias("number"))
     titles = items.join(per.select(key), key, "left_semi").select(key, F.explode(numbers(F.col("title"))).alias("number"))
-    pies = value.join(items.filter("chart_type = 'pie'").select(key), key, "left_semi")
-    largest = Window.partitionBy(key).orderBy(F.desc("number")).rowsBetween(Window.unboundedPreceding, 0)
-    sums = pies.select(key, F.sum("number").over(largest).alias("number"), F.count(F.lit(1)).over(largest).alias("__k")).filter("__k > 1").drop("__k")
+    pies = placed.join(items.filter("chart_type = 'pie'").select(key), key, "left_semi")
+    # running sums from the largest value down; equal values are told apart by their place
+    walked = ordered_scan(pies.withColumn("__down", -F.col("number")), [key], ["__down", "i"], None, {"__sum": Scan("sum", F.col("number")), "__k": Scan("sum", F.lit(1))})
+    sums = walked.filter("__k > 1").select(key, F.col("__sum").alias("number"))
     known = value.unionByName(derived).join(items.select(key), key, "left_semi")
     return known.unionByName(labels).unionByName(titles).unionByName(sums).distinct()
 
@@ -303,9 +306,8 @@ def unsupported_numbers(said: DataFrame, allowed: DataFrame, keys: list[str]) ->
     s = said.select(*keys, "number").distinct().withColumn("__a", F.lit(None).cast("double"))
     a = allowed.select(*keys, "number").distinct().withColumn("__a", F.col("number"))
     merged = s.unionByName(a).withColumn("__kind", F.col("__a").isNull().cast("int")).withColumn("__neg", -F.col("number"))
-    width = 1024.0
-    left = ordered_scan(merged, keys, ["number", "__kind"], F.floor(F.col("number") / width).cast("long"), {"__below": Scan("last", F.col("__a"))})
-    both = ordered_scan(left, keys, ["__neg", "__kind"], F.floor(F.col("__neg") / width).cast("long"), {"__above": Scan("last", F.col("__a"))})
+    left = ordered_scan(merged, keys, ["number", "__kind"], None, {"__below": Scan("last", F.col("__a"))})
+    both = ordered_scan(left, keys, ["__neg", "__kind"], None, {"__above": Scan("last", F.col("__a"))})
     n = F.col("number")
     distance = F.least(F.coalesce(n - F.col("__below"), F.lit(float("inf"))), F.coalesce(F.col("__above") - n, F.lit(float("inf"))))
     counting = (n <= COUNTING_LIMIT) & ~(distance < 1e-9)
@@ -315,33 +317,43 @@ def unsupported_numbers(said: DataFrame, allowed: DataFrame, keys: list[str]) ->
 # -- working and coverage (L11, L12) ----------------------------------------------------------
 
 
-def _token_value(token: Column) -> Column:
-    return parse_number(token)
-
-
 def check_working(responses: DataFrame) -> DataFrame:
-    """Answer value present and enough working shown (L11). Row-local over a response and its item.
+    """Answer value present and enough working shown (L11). Row-local over a response and its item; numbers of any length.
 
-    responses: (keep..., response, answer_num, answer_den, working_tokens, working_min, question_values).
+    responses: (keep..., response, answer_num, answer_den, working_tokens, working_min, question_values). Rows with a number of
+    thirteen digits or more in a row, or six decimals, go to an Arrow batch of exact fractions; all others stay with Spark's decimals.
     """
     plain = F.regexp_replace(F.coalesce("response", F.lit("")), r"\\[dt]?frac\s*\{\s*(-?\d+)\s*\}\s*\{\s*(\d+)\s*\}", "$1/$2")
     raw = F.regexp_extract_all(plain, F.lit(NUMBER_TOKEN), F.lit(0))
     tidy = F.transform(raw, lambda v: F.regexp_replace(F.regexp_replace(v, r"\s*/\s*", "/"), r"\s+", " "))
     literals = F.filter(tidy, lambda v: ~v.rlike(r"/0+$"))
+    answer = F.concat_ws("/", F.col("answer_num").cast("string"), F.col("answer_den").cast("string"))
+    rows = responses.withColumn("__lit", literals).withColumn("__answer", answer)
+    held = F.concat("__lit", F.coalesce("working_tokens", F.array().cast("array<string>")), F.coalesce("question_values", F.array().cast("array<string>")), F.array("__answer"))
+    long = F.exists(held, lambda v: F.coalesce(F.replace(v, F.lit(","), F.lit("")).rlike(r"\d{13}|\.\d{7}"), F.lit(False)))
+    flagged = T.pinned(rows, rows.columns, {"__long": long})
+    judged = _short_working(flagged.filter("NOT __long")).unionByName(_long_working(flagged.filter("__long")))
+    worked = F.size("working_hits") >= F.coalesce("working_min", F.lit(1))
+    done = judged.withColumn("working_shown", worked).withColumn("correct", F.col("answer_shown") & F.col("working_shown"))
+    return done.select(*responses.columns, "answer_shown", "working_hits", "working_shown", "correct")
+
+
+def _short_working(rows: DataFrame) -> DataFrame:
     same = lambda x, y: F.coalesce(x["n"] * y["d"] == y["n"] * x["d"], F.lit(False))
-    rows = responses.withColumn("__lit", literals)
-    rows = rows.withColumn("__val", F.transform("__lit", _token_value)).withColumn("__q", F.transform("question_values", _token_value))
+    rows = rows.withColumn("__val", F.transform("__lit", parse_number)).withColumn("__q", F.transform("question_values", parse_number))
     answer = F.struct(_dec(F.col("answer_num")).alias("n"), _dec(F.col("answer_den")).alias("d"))
     has = lambda arr, v: F.exists(arr, lambda x: same(x, v))
     hits = F.filter(
         "working_tokens",
-        lambda t: F.array_contains("__lit", t) | (has("__val", _token_value(t)) & ~has("__q", _token_value(t))),
+        lambda t: F.array_contains("__lit", t) | (has("__val", parse_number(t)) & ~has("__q", parse_number(t))),
     )
-    shown = has("__val", answer)
-    worked = F.size(hits) >= F.coalesce("working_min", F.lit(1))
-    return rows.withColumn("answer_shown", shown).withColumn("working_hits", hits).withColumn("working_shown", worked).withColumn(
-        "correct", F.col("answer_shown") & F.col("working_shown")
-    ).drop("__lit", "__val", "__q")
+    return rows.withColumn("answer_shown", has("__val", answer)).withColumn("working_hits", hits).drop("__val", "__q")
+
+
+def _long_working(rows: DataFrame) -> DataFrame:
+    judge = F.pandas_udf(rationals.working, "answer_shown boolean, working_hits array<string>")
+    judged = rows.withColumn("__j", judge("__lit", F.coalesce("working_tokens", F.array().cast("array<string>")), "question_values", "__answer"))
+    return judged.select(*rows.columns, "__j.answer_shown", "__j.working_hits")
 
 
 def description_coverage(attempts: DataFrame, facts: DataFrame, judged: DataFrame) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions import json_tree
 from quire.functions import text as T
 from quire.functions.ordered import Scan, first_per_key, ordered_scan, read_once, salted_join, tile_of_integer, top_n
 from quire.operators.findings import finding, rule_findings, union_all
+from quire.operators.patterns import find_patterns
 
 # ---------------------------------------------------------------------------
 # Fixed values
@@ -19,7 +21,6 @@ MIN_SENTENCES, MIN_WORDS = 3, 80
 GAP_CONTEXT = 18
 TEMPLATE_REUSE = 5
 CITATION_ARTIFACT = r"\s*:contentReference\[[^\]]*\]\{[^}]*\}"
-STIMULUS_FIELDS = ["input", "mistake", "misconception"]
 EQUATION_BREAK = r"\\qquad|\\quad|\\\\|\\newline|;|\n"
 ALIGN_ENVIRONMENT = r"\\(?:begin|end)\{(?:aligned|align\*?|gather\*?|array)\}(?:\{[^}]*\})?"
 FORM_BAND = r"(?i)Form:\s*2\s*(.{0,80}?)(?=\s+1\s)"
@@ -77,6 +78,11 @@ def strip_citation_artifacts(text: Column | str) -> Column:
     return T.strip(F.regexp_replace(text, CITATION_ARTIFACT, ""))
 
 
+def strip_document_artifacts(leaves: DataFrame) -> DataFrame:
+    """Leaves with the markers removed from every string of a document; other scalars stay."""
+    return leaves.withColumn("value", F.when(F.col("kind") == "STRING", strip_citation_artifacts("value")).otherwise(F.col("value")))
+
+
 # -- readability (Q1, Q2) --------------------------------------------------------
 
 
@@ -291,7 +297,7 @@ def findings_by_check(findings: DataFrame) -> DataFrame:
 # -- equations (Q9) -------------------------------------------------------------------
 
 def equation_chains(leaves: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """Distinct ``a = b`` chains in the math spans of asserted fields (Q9)."""
+    """Distinct ``a = b`` chains in the math spans of each text (Q9)."""
     spans = F.transform(
         F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"(?s)\$\$(.+?)\$\$|\$(.+?)\$"), F.lit(0)),
         lambda s: F.regexp_replace(s, r"^\$+|\$+$", ""),
@@ -307,6 +313,11 @@ def equation_chains(leaves: DataFrame, keep: list[str], text: str = "text") -> D
     return leaves.select(*keep, F.explode(chains).alias("chain"))
 
 
+def document_chains(leaves: DataFrame, keep: list[str]) -> DataFrame:
+    """Distinct chains of each document, from its leaves; fields that quote a problem or a mistake are left out (Q9)."""
+    return equation_chains(json_tree.asserted(leaves), keep, "value").distinct()
+
+
 def _side_values(sides: Column) -> Column:
     """Exact (n, d) of integer, decimal, fraction and one-operator sides; other sides are left out.
 
@@ -458,18 +469,16 @@ def foreign_traits(factors: DataFrame, traits: DataFrame) -> DataFrame:
 def guide_pages(pages: DataFrame, aliases: DataFrame, rubric_only: bool = False, fallback: int = 4) -> DataFrame:
     """Guide pages per task in reading order, the mention page last or left out (Q13).
 
-    pages: (page, text); aliases: (task_type, alias), a small table: each page row looks the aliases up in one
-    packed row instead of pairing with them. Tasks without a hit get the first scoring pages.
+    pages: (page, text); aliases: (task_type, alias), any number of them. Tasks without a hit get the first scoring pages.
     """
-    packed = aliases.agg(F.collect_list(F.struct("task_type", F.lower(T.squash("alias")).alias("alias"))).alias("__a"))
     flat = pages.withColumn("__t", T.match_text("text"))
-    hits = flat.crossJoin(F.broadcast(packed)).select(
-        "page", F.explode(F.array_distinct(F.transform(F.filter("__a", lambda a: F.contains(F.col("__t"), a["alias"])), lambda a: a["task_type"]))).alias("task_type")
-    )
+    named = aliases.select("task_type", F.lower(T.squash("alias")).alias("norm")).distinct()
+    found = find_patterns(named.withColumn("pattern_id", F.struct("task_type", "norm")), flat.select(F.col("page").alias("text_id"), F.col("__t").alias("norm")))
+    hits = found.select(F.col("text_id").alias("page"), F.col("pattern_id.task_type").alias("task_type")).distinct()
     if rubric_only:
         hits = hits.filter(F.col("page") != GENERIC_MENTION_PAGE)
     matched = hits.select("task_type").distinct()
-    scoring = flat.filter(F.contains("__t", F.lit("scoring"))).select("page").orderBy("page").limit(fallback)
+    scoring = flat.filter(F.contains("__t", F.lit("scoring"))).select("page").orderBy("page").limit(fallback)  # ``fallback`` rows
     missing = aliases.select("task_type").distinct().join(matched, "task_type", "left_anti")
     rest = missing.crossJoin(F.broadcast(scoring)).withColumn("matched", F.lit(False))
     return hits.withColumn("matched", F.lit(True)).select("task_type", "page", "matched").unionByName(

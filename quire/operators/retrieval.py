@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.functions.ordered import Scan, first_per_key, ordered_scan, salted_join, tile_of_integer, top_n
+from quire.operators.nearest import SCORE_DIGITS, exact_top_k
 
 # ---------------------------------------------------------------------------
 # Fixed values
@@ -18,7 +19,6 @@ FLAT_DESCENDANT_WORDS = [
     "add", "ask", "break", "choose", "define", "describe", "design", "evaluate", "give", "include", "iterate",
     "keep", "organize", "provide", "separate", "specify", "test", "use", "version", "write",
 ]
-SCORE_DIGITS = 12
 # ---------------------------------------------------------------------------
 
 
@@ -30,53 +30,14 @@ def metadata_filter(nodes: DataFrame, **wanted) -> DataFrame:
     return nodes
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity in double; null for a zero vector."""
-    as_double = lambda v: F.transform(v, lambda x: x.cast("double"))
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    a, b = as_double(a), as_double(b)
-    return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
-
-
-QUERY_PACKS = 16
-SALTS = 32
-
-
-def similarity_top_k(
-    nodes: DataFrame,
-    queries: DataFrame,
-    k: int = 5,
-    scope: list[str] | None = None,
-    packs: int = QUERY_PACKS,
-) -> DataFrame:
+def similarity_top_k(nodes: DataFrame, queries: DataFrame, k: int = 5, scope: list[str] | None = None) -> DataFrame:
     """Top ``k`` nodes per query, metadata filter first.
 
-    nodes: (node_id, embedding, *scope); queries: (query_id, query_vector, *scope).
-    Queries are packed into ``packs`` arrays per scope; each node meets each pack of its
-    scope in an equi join, keeps one row per query, and every partition is cut to k rows
-    per query before the shuffle. Exact: each node is scored against each query of its
-    scope. Raise ``packs`` with the number of queries. The nodes that meet a pack spread
-    over ``SALTS`` tasks, each with a copy of the pack.
+    nodes: (node_id, embedding, *scope); queries: (query_id, query_vector, *scope). Exact: blocks of vectors are
+    left out only where the triangle inequality rules them out.
     """
     scope = scope or []
-    pack = F.pmod(F.xxhash64("query_id"), F.lit(packs)).cast("int")
-    packed = queries.groupBy(*scope, pack.alias("__pack")).agg(
-        F.collect_list(F.struct("query_id", "query_vector")).alias("__queries")
-    ).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = nodes.withColumn("__salt", F.pmod(F.xxhash64("node_id"), F.lit(SALTS)).cast("int"))
-    fanned = salted.withColumn("__pack", F.explode(F.sequence(F.lit(0), F.lit(packs - 1))))
-    scored = (
-        fanned.join(packed, [*scope, "__pack", "__salt"])
-        .select("node_id", *scope, "embedding", F.explode("__queries").alias("q"))
-        .select(
-            F.col("q.query_id").alias("query_id"),
-            "node_id",
-            *scope,
-            cosine(F.col("embedding"), F.col("q.query_vector")).alias("score"),
-        )
-    )
-    ranked = [F.desc_nulls_last(F.round("score", SCORE_DIGITS)), F.asc("node_id")]
-    return top_n(scored, ["query_id"], ranked, k)
+    return exact_top_k(nodes, queries, k, scope).select("query_id", "node_id", *scope, "score", "rank")
 
 
 def merge_scoped(results: DataFrame, k: int) -> DataFrame:

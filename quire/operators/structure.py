@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.functions.ordered import Scan, ordered_scan, salted_join, tile_of_integer, top_n
 from quire.operators.lines import line_table
+from quire.operators.patterns import find_patterns
 
 # ---------------------------------------------------------------------------
 # Fixed values
@@ -572,11 +573,13 @@ def trim_boundaries(chunks: DataFrame, sections: DataFrame, min_cleaned_length:
 def page_offset(contents: DataFrame, page_lines: DataFrame, doc: str = "doc") -> DataFrame:
     """Printed minus actual page per document, from the first contents entry found as a heading.
 
-    ``contents``: (doc, position, title, printed), the entries of a contents page, so few per
-    document; ``page_lines``: (doc, page, line_no, line).
+    ``contents``: (doc, position, title, printed); ``page_lines``: (doc, page, line_no, line).
+    A blank title is in no line.
     """
-    heads = page_lines.filter(F.startswith("line", F.lit("#")))
-    hit = contents.join(heads, doc).filter(F.contains(F.lower("line"), F.lower(F.trim("title"))))
+    heads = page_lines.filter(F.startswith("line", F.lit("#"))).select(F.struct("page", "line_no").alias("text_id"), F.lower("line").alias("norm"), doc).distinct()
+    heads = heads.withColumn("text_id", F.struct("text_id.*", "norm"))
+    titles = contents.select(F.struct("position", "title", "printed").alias("pattern_id"), F.lower(F.trim("title")).alias("norm"), doc).distinct()
+    hit = find_patterns(titles, heads, [doc]).select(doc, "pattern_id.position", "pattern_id.printed", "text_id.page", "text_id.line_no")
     return hit.groupBy(doc).agg(
         F.min_by(F.col("printed") - F.col("page"), F.struct("position", "page", "line_no")).alias("offset")
     )
@@ -672,7 +675,7 @@ def lesson_marker(text: Column | str) -> Column:
 
 
 def marker_runs(
-    rows: DataFrame, keys: list[str], order: list[str], tile: Column, marker: str = "marker", opened: list[str] | None = None
+    rows: DataFrame, keys: list[str], order: list[str], tile: Column | None, marker: str = "marker", opened: list[str] | None = None
 ) -> DataFrame:
     """A marker unlike the current one opens the next run (D19); rows before any marker have run 0.
 

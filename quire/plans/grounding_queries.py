@@ -21,17 +21,15 @@ derive("chapter_docs", "SELECT source AS doc, doc_id AS chapter_index, lang, tex
 
 
 def _chapter_json(t: Tables):
-    line = lambda n: F.split_part("text", F.lit("\n"), F.lit(n))
-    d = t.chapter_docs
-    grounded = F.struct(line(1).alias("text"), F.lit("definition").alias("claim_kind"), F.lit("source_grounded").alias("origin"), F.array(F.lit("c1"), F.lit("c2")).alias("source_chunk_ids"))
-    plain = F.struct(line(2).alias("meaning"), F.col("lang").alias("term"))
+    d, lines = t.chapter_docs, F.split("text", "\n")
+    grounded = lambda l: F.struct(l.alias("text"), F.lit("definition").alias("claim_kind"), F.lit("source_grounded").alias("origin"), F.array(F.lit("c1"), F.lit("c2")).alias("source_chunk_ids"))
     doc = F.struct(
-        F.col("chapter_index").alias("chapter_number"), F.col("lang").alias("chapter_title"), line(1).alias("chapter_summary"),
+        F.col("chapter_index").alias("chapter_number"), F.col("lang").alias("chapter_title"), F.col("text").alias("chapter_summary"),
         F.when(F.col("n_chars") % 2 == 0, F.array(F.lit("c9"))).alias("source_chunk_ids"),
-        F.array(line(1), line(2)).alias("learning_objectives"),
-        F.array(F.struct(grounded.alias("meaning"), F.col("lang").alias("term"))).alias("key_terms"),
-        F.array(plain).alias("practice_questions"),
-        F.array(F.struct(line(3).alias("explanation"), F.array(F.lit("c3")).alias("source_chunk_ids"))).alias("core_lessons"),
+        lines.alias("learning_objectives"),
+        F.transform(lines, lambda l: F.struct(grounded(l).alias("meaning"), F.col("lang").alias("term"))).alias("key_terms"),
+        F.transform(lines, lambda l: F.struct(l.alias("meaning"), F.col("lang").alias("term"))).alias("practice_questions"),
+        F.transform(lines, lambda l: F.struct(l.alias("explanation"), F.array(F.lit("c3")).alias("source_chunk_ids"))).alias("core_lessons"),
         F.col("n_chars").alias("estimated_study_time_minutes"),
     )
     return d.select("doc", "chapter_index", F.to_json(doc).alias("document"))
@@ -40,12 +38,14 @@ def _chapter_json(t: Tables):
 derive(
     "flat_claims",
     "SELECT 1 AS unused",
-    """WITH l AS (SELECT *, split_part(text, chr(10), 1) AS l1, split_part(text, chr(10), 2) AS l2, split_part(text, chr(10), 3) AS l3, CASE WHEN n_chars % 2 = 0 THEN 'inherited_chapter' ELSE 'none' END AS inh,
-         'chapter_' || CASE WHEN chapter_index < 10 THEN '0' ELSE '' END || CAST(chapter_index AS STRING) || '.' AS p FROM chapter_docs)
-       SELECT * FROM (SELECT doc, p || 'chapter_summary' AS claim_id, 'chapter_summary' AS claim_type, l1 AS claim_text, inh AS citation_origin FROM l
-       UNION ALL SELECT doc, p || 'learning_objectives.0', 'learning_objective', l1, inh FROM l UNION ALL SELECT doc, p || 'learning_objectives.1', 'learning_objective', l2, inh FROM l
-       UNION ALL SELECT doc, p || 'key_terms.0.meaning', 'key_term_definition', l1, 'local' FROM l UNION ALL SELECT doc, p || 'core_lessons.0.explanation', 'core_lesson_explanation', l3, 'local' FROM l
-       UNION ALL SELECT doc, p || 'estimated_study_time_minutes', 'estimated_study_time', 'Estimated study time: ' || CAST(n_chars AS STRING) || ' minutes.', 'none' FROM l) WHERE trim(claim_text, ' ' || chr(10)) <> ''""",
+    """WITH c AS (SELECT *, string_split(text, chr(10)) AS ls, CASE WHEN n_chars % 2 = 0 THEN 'inherited_chapter' ELSE 'none' END AS inh,
+         'chapter_' || CASE WHEN chapter_index < 10 THEN '0' ELSE '' END || CAST(chapter_index AS STRING) || '.' AS p FROM chapter_docs),
+       l AS (SELECT c.doc, c.inh, c.p, CAST(u.i AS STRING) AS i, c.ls[u.i + 1] AS l FROM c, UNNEST(range(len(c.ls))) AS u(i))
+       SELECT * FROM (SELECT doc, p || 'chapter_summary' AS claim_id, 'chapter_summary' AS claim_type, text AS claim_text, inh AS citation_origin FROM c
+       UNION ALL SELECT doc, p || 'learning_objectives.' || i, 'learning_objective', l, inh FROM l
+       UNION ALL SELECT doc, p || 'key_terms.' || i || '.meaning', 'key_term_definition', l, 'local' FROM l
+       UNION ALL SELECT doc, p || 'core_lessons.' || i || '.explanation', 'core_lesson_explanation', l, 'local' FROM l
+       UNION ALL SELECT doc, p || 'estimated_study_time_minutes', 'estimated_study_time', 'Estimated study time: ' || CAST(n_chars AS STRING) || ' minutes.', 'none' FROM c) WHERE trim(claim_text, ' ' || chr(10)) <> ''""",
 )
 
 
@@ -63,6 +63,49 @@ def claim_summary(t: Tables):
     return L.claim_summary(L.chapter_claims(_chapter_json(t)))
 
 
+# Whole books: every line of a text in the book's own lists, its plan and a chapter; chapters stand in three places.
+derive(
+    "book_rows",
+    "SELECT doc_id, text, lang, CAST(doc_id % 4 AS INT) AS form, split(text, chr(10)) AS l FROM documents",
+    "SELECT doc_id, text, lang, CAST(doc_id % 4 AS INT) AS form, string_split(text, chr(10)) AS l FROM documents",
+)
+
+
+def _books(t: Tables):
+    lines, form = F.col("l"), F.col("form")
+    chapters = F.array(F.struct(F.lit(7).alias("chapter_number"), F.col("lang").alias("chapter_title"), lines.alias("learning_objectives")))
+    shown = lambda on: F.when(on, chapters)
+    materials = F.struct(
+        F.col("text").alias("summary"), F.transform(lines, lambda x: F.struct(x.alias("description"))).alias("who_this_is_for"),
+        F.array(F.struct(F.lit(1).alias("week"), F.col("lang").alias("focus"), lines.alias("activities"))).alias("study_plan"),
+        F.struct(F.array(F.lit("s1")).alias("source_chunk_ids"), F.col("text").alias("summary"), F.transform(lines, lambda x: F.struct(x.alias("question"))).alias("questions")).alias("final_review"),
+        shown(form == 0).alias("chapters"), shown(form.isin(0, 1)).alias("chapter_packages"),
+    )
+    book = F.struct(F.when(form != 3, materials).alias("learning_materials"), shown(form.isin(0, 1, 2)).alias("chapter_packages"), F.when(F.col("doc_id") % 5 != 0, F.struct(F.lit(1).alias("v"))).alias("generation"))
+    return t.book_rows.select(F.col("doc_id").alias("doc"), F.to_json(book).alias("book"))
+
+
+@query(
+    "book_claims",
+    """WITH b AS (SELECT doc_id, text, lang, form, l FROM book_rows WHERE form <> 3), x AS (SELECT b.*, CAST(u.i AS STRING) AS i, b.l[u.i + 1] AS x FROM b, UNNEST(range(len(b.l))) AS u(i)),
+       r AS (SELECT *, CASE form WHEN 0 THEN '$.learning_materials.chapters' WHEN 1 THEN '$.learning_materials.chapter_packages' ELSE '$.chapter_packages' END AS root FROM x)
+       SELECT * FROM (SELECT doc_id AS doc, 'book.summary' AS claim_id, '$.learning_materials.summary' AS json_path, text AS claim_text, 'none' AS citation_origin FROM b
+       UNION ALL SELECT doc_id, 'book.who_this_is_for.' || i, '$.learning_materials.who_this_is_for[' || i || ']', x, 'none' FROM x
+       UNION ALL SELECT doc_id, 'book.study_plan.0.focus', '$.learning_materials.study_plan[0].focus', lang, 'none' FROM b
+       UNION ALL SELECT doc_id, 'book.study_plan.0.activities.' || i, '$.learning_materials.study_plan[0].activities[' || i || ']', x, 'none' FROM x
+       UNION ALL SELECT doc_id, 'book.final_review.summary', '$.learning_materials.final_review.summary', text, 'local' FROM b
+       UNION ALL SELECT doc_id, 'book.final_review.questions.' || i, '$.learning_materials.final_review.questions[' || i || ']', x, 'none' FROM x
+       UNION ALL SELECT doc_id, 'chapter_07.learning_objectives.' || i, root || '[0].learning_objectives[' || i || ']', x, 'none' FROM r) WHERE trim(claim_text, ' ' || chr(10)) <> ''""",
+)
+def book_claims(t: Tables):
+    return L.whole_book_claims(_books(t)).select("doc", "claim_id", "json_path", "claim_text", "citation_origin")
+
+
+@query("book_problems", "SELECT doc_id AS doc, 'NO_GENERATION' AS code FROM documents WHERE doc_id % 5 = 0 UNION ALL SELECT doc_id, 'NO_MATERIALS' FROM documents WHERE doc_id % 4 = 3")
+def book_problems(t: Tables):
+    return L.book_problems(_books(t))
+
+
 # -- claims read off order lines ------------------------------------------------------------------------
 derive(
     "cited_lines",
@@ -131,12 +174,12 @@ def span_cover(t: Tables):
 
 @query(
     "quote_locations",
-    rf"""WITH d AS (SELECT doc_id, lower({flat('text')}) AS f FROM documents), q AS (SELECT * FROM passage_sentences WHERE len(string_split(q, ' ')) >= 4)
+    rf"""WITH d AS (SELECT doc_id, lower({flat('text')}) AS f FROM documents), q AS (SELECT * FROM passage_sentences WHERE q <> '')
        SELECT q.item_id, q.i, min(d.doc_id) AS doc_id FROM q JOIN d ON contains(d.f, q.q) GROUP BY q.item_id, q.i""",
 )
 def quote_locations(t: Tables):
     parts = t.benchmark.select("item_id", F.posexplode(G.sentences(T.squash("text"))).alias("i", "s"))
-    quotes = parts.select(F.struct("item_id", (F.col("i") + 1).alias("i")).alias("quote_id"), T.match_text("s").alias("norm")).filter(T.word_count("norm") >= 4)
+    quotes = parts.select(F.struct("item_id", (F.col("i") + 1).alias("i")).alias("quote_id"), T.match_text("s").alias("norm"))
     chunks = t.chunks.select(F.col("id").alias("node_id"), "ord", T.match_text("text").alias("norm"))
     found = G.locate_quotes(quotes, chunks, [])
     return found.select("quote_id.item_id", F.col("quote_id.i").cast("long").alias("i"), F.col("ord").alias("doc_id"))
@@ -301,7 +344,7 @@ def version_findings(t: Tables):
 
 
 # -- lessons: a conversation as a lesson, its turns as source chunks -----------------------------------------
-derive("turns", "SELECT conv_id AS lesson_id, turn AS i, CASE WHEN conv_id % 12 = 3 AND turn = 2 THEN 't1' ELSE 't' || CAST(turn AS STRING) END AS node_id, CASE WHEN turn = 4 THEN ' ' ELSE substr(text, 1, 320) END AS text_preview, role FROM conversations")
+derive("turns", "SELECT conv_id AS lesson_id, turn AS i, CASE WHEN conv_id % 12 = 3 AND turn = 2 THEN 't1' ELSE 't' || CAST(turn AS STRING) END AS node_id, CASE WHEN turn = 4 THEN ' ' ELSE text END AS text_preview, role FROM conversations")
 
 
 @query(
@@ -537,7 +580,7 @@ def recommendation_rules(t: Tables):
     return K.recommendation_problems(o).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 
-derive("noisy_concepts", "SELECT doc_id AS concept_id, CASE WHEN doc_id % 3 = 0 THEN 'Pronunciation of ' || lang ELSE lang END AS title, CASE WHEN doc_id % 4 = 0 THEN split_part(text, chr(10), 1) || ' / /t/' ELSE split_part(text, chr(10), 1) END AS quote, CASE WHEN doc_id % 5 = 0 THEN 'essay with a time limit' WHEN doc_id % 5 = 1 THEN 'partial credit' ELSE '' END AS description FROM documents")
+derive("noisy_concepts", "SELECT doc_id AS concept_id, CASE WHEN doc_id % 3 = 0 THEN 'Pronunciation of ' || lang ELSE lang END AS title, CASE WHEN doc_id % 4 = 0 THEN text || ' / /t/' ELSE text END AS quote, CASE WHEN doc_id % 5 = 0 THEN 'essay with a time limit' WHEN doc_id % 5 = 1 THEN 'partial credit' ELSE '' END AS description FROM documents")
 
 
 @query(
@@ -552,23 +595,24 @@ def source_noise(t: Tables):
 derive(
     "inventory",
     """SELECT CAST(n_chars % 90 AS INT) AS chapter_number, doc_id AS i, 'c' || CAST(doc_id AS STRING) AS node_id, text, CASE WHEN doc_id % 6 = 0 THEN 'chapter_x' ELSE NULL END AS wrong_id, CASE WHEN doc_id % 5 = 0 THEN 'topic' ELSE 'definition' END AS concept_type,
-       CASE WHEN doc_id % 8 = 0 THEN ' ' ELSE lang END AS title, CASE WHEN doc_id % 7 = 0 THEN 'c-1' ELSE 'c' || CAST(doc_id AS STRING) END AS source_id, split_part(text, chr(10), 1) AS quote FROM documents""",
+       CASE WHEN doc_id % 8 = 0 THEN ' ' ELSE lang END AS title, CASE WHEN doc_id % 7 = 0 THEN 'c-1' ELSE 'c' || CAST(doc_id AS STRING) END AS source_id FROM documents""",
 )
 
 
 @query(
     "inventory_rules",
-    rf"""WITH v AS (SELECT *, {flat('quote')} AS nq, {flat('text')} AS nt FROM inventory), w AS (SELECT *, CASE WHEN nq = '' THEN 0 ELSE len(string_split(nq, ' ')) END AS n FROM v)
-       SELECT code, count(*) AS n FROM (SELECT 'WRONG_CONCEPT_ID' AS code FROM w WHERE i % 6 = 0 UNION ALL SELECT 'INVALID_CONCEPT_TYPE' FROM w WHERE i % 5 = 0 UNION ALL SELECT 'BLANK_TITLE' FROM w WHERE i % 8 = 0 UNION ALL SELECT 'SOURCE_ID_OUTSIDE_CHAPTER' FROM w WHERE i % 7 = 0
-         UNION ALL SELECT 'CONCEPT_COUNT' FROM w GROUP BY chapter_number HAVING count(*) NOT BETWEEN 4 AND 15 UNION ALL SELECT 'EVIDENCE_SPAN_NODE_NOT_CITED' FROM w WHERE i % 7 = 0 AND nq <> '' UNION ALL SELECT 'EVIDENCE_SPAN_QUOTE_TOO_SHORT' FROM w WHERE n < 4
-         UNION ALL SELECT 'EVIDENCE_SPAN_QUOTE_TOO_LONG' FROM w WHERE n > 80) GROUP BY code""",
+    rf"""WITH v AS (SELECT i.*, {flat('u.l')} AS nq, u.k AS k FROM (SELECT *, string_split(text, chr(10)) AS ls FROM inventory) i, LATERAL (SELECT unnest(i.ls) AS l, generate_subscripts(i.ls, 1) AS k) u),
+       w AS (SELECT *, CASE WHEN nq = '' THEN 0 ELSE len(string_split(nq, ' ')) END AS n, row_number() OVER (PARTITION BY i, nq ORDER BY k) AS seen FROM v)
+       SELECT code, count(*) AS n FROM (SELECT 'WRONG_CONCEPT_ID' AS code FROM inventory WHERE i % 6 = 0 UNION ALL SELECT 'INVALID_CONCEPT_TYPE' FROM inventory WHERE i % 5 = 0 UNION ALL SELECT 'BLANK_TITLE' FROM inventory WHERE i % 8 = 0 UNION ALL SELECT 'SOURCE_ID_OUTSIDE_CHAPTER' FROM inventory WHERE i % 7 = 0
+         UNION ALL SELECT 'CONCEPT_COUNT' FROM inventory GROUP BY chapter_number HAVING count(*) NOT BETWEEN 4 AND 15 UNION ALL SELECT 'EVIDENCE_SPAN_NODE_NOT_CITED' FROM w WHERE i % 7 = 0 AND nq <> '' UNION ALL SELECT 'EVIDENCE_SPAN_QUOTE_TOO_SHORT' FROM w WHERE n < 4
+         UNION ALL SELECT 'DUPLICATE_EVIDENCE_SPAN' FROM w WHERE nq <> '' AND seen > 1 UNION ALL SELECT 'EVIDENCE_SPAN_QUOTE_TOO_LONG' FROM w WHERE n > 80) GROUP BY code""",
 )
 def inventory_rules(t: Tables):
     i = t.inventory
     right = F.format_string("chapter_%02d.concept_%02d", F.col("chapter_number"), F.col("i").cast("int"))
     concepts = i.select(
         "chapter_number", "i", F.coalesce("wrong_id", right).alias("concept_id"), F.lit("HIGH").alias("importance"), "concept_type", F.lit("CLEAR").alias("source_condition"), "title", F.lit("d").alias("description"),
-        F.array("source_id").alias("source_chunk_ids"), F.array(F.struct("node_id", "quote")).alias("evidence_spans"),
+        F.array("source_id").alias("source_chunk_ids"), F.transform(F.split("text", "\n"), lambda l: F.struct("node_id", l.alias("quote"))).alias("evidence_spans"),
     )
     return A.inventory_problems(concepts, i.select("chapter_number", "node_id", "text")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from quire.functions import json_tree
 from quire.operators import concepts as C
 from quire.operators import contract as K
 from quire.operators import packages as P
@@ -20,7 +21,7 @@ def vocab_sql(source: str, keys: str, text: str) -> str:
           SELECT {keys}, unnest(regexp_extract_all(regexp_replace(lower({text}), '\$[^$]*\$', ' ', 'g'), '[a-z]{{3,}}')) AS w FROM {source}) WHERE NOT list_contains({_STOP}, w)))) WHERE NOT list_contains({_STOP}, w3)"""
 
 
-derive("goals", "SELECT doc_id AS sentence_id, source AS book, split_part(text, chr(10), 1) AS goal FROM documents")
+derive("goals", "SELECT doc_id * 100000 + i AS sentence_id, source AS book, l AS goal FROM text_rows")
 derive("bank_skills", "SELECT 'k' || CAST(item_id AS STRING) AS key, item_id, text FROM benchmark")
 derive("goal_words", "SELECT 1 AS unused", vocab_sql("goals", "sentence_id", "goal"))
 derive("skill_words", "SELECT 1 AS unused", vocab_sql("bank_skills", "key", "text"))
@@ -105,7 +106,7 @@ def required_forms(t: Tables):
     return C.required_form(items)
 
 
-derive("term_rows", "SELECT source AS book, doc_id AS ord, split_part(text, ' ', 1) || '  ' AS term, split_part(text, chr(10), 1) AS meaning, CAST(doc_id % 9 AS INT) AS chapter_number, lang FROM documents")
+derive("term_rows", "SELECT source AS book, doc_id * 100000 + i AS ord, l || '  ' AS term, l AS meaning, CAST(doc_id % 9 AS INT) AS chapter_number, lang FROM text_rows")
 
 
 _TERMS = r"""k AS (SELECT *, trim(regexp_replace(term, '[ \n]+', ' ', 'g')) AS tt FROM term_rows), g AS (SELECT book, lower(tt) AS f, count(*) AS n, min(ord) AS seen, arg_min(tt, ord) AS term FROM k WHERE tt <> '' GROUP BY book, lower(tt)),
@@ -290,6 +291,20 @@ def element_paths(t: Tables):
     return K.unresolved_elements(leaf(1), leaf(0))
 
 
+# the same packages with keys in reverse and with keys in order
+derive(
+    "packages_json",
+    """SELECT doc_id, concat('{"title" : ', to_json(named_struct('x', lang)), ', "content_hash": "old", "blocks":[ ', array_join(transform(split(text, chr(10)), (l, i) -> to_json(named_struct('text', l, 'position', i, 'more', named_struct('z', null, 'a', array(n_chars, doc_id))), map('ignoreNullFields', 'false'))), ' , '),
+       ' ],"a\\\\"key":', CAST(doc_id AS STRING), ', "A": true}') AS json FROM documents""",
+    """SELECT doc_id, '{"A":true,"a\\"key":' || doc_id || ',"blocks":[' || array_to_string(list_transform(string_split(text, chr(10)), lambda l, i: '{"more":{"a":[' || n_chars || ',' || doc_id || '],"z":null},"position":' || (i - 1) || ',"text":' || to_json(l) || '}'), ',') || '],"title":{"x":' || to_json(lang) || '}}' AS json FROM documents""",
+)
+
+
+@query("package_digests", "SELECT doc_id, sha256(json) AS digest FROM packages_json")
+def package_digests(t: Tables):
+    return t.packages_json.select("doc_id", json_tree.canonical_digest("json", ["content_hash"]).alias("digest"))
+
+
 @query("content_fingerprints", "SELECT count(DISTINCT (p_name, p_brand, p_type, p_size)) AS prints FROM part")
 def content_fingerprints(t: Tables):
     return t.part.select(P.content_hash(["p_name", "p_brand", "p_type", "p_size"]).alias("h")).agg(F.count_distinct("h").alias("prints"))
@@ -297,12 +312,28 @@ def content_fingerprints(t: Tables):
 
 @query(
     "append_only_merge",
-    """WITH s AS (SELECT DISTINCT source, lower(lang) AS f FROM documents WHERE n_chars > 400), i AS (SELECT source, lower(split_part(text, ' ', 1)) AS f, min(doc_id) AS d FROM documents GROUP BY source, lower(split_part(text, ' ', 1)))
-       SELECT source, CAST(count(*) AS BIGINT) AS added, false AS refused FROM i WHERE (source, trim(f, ' ' || chr(10))) NOT IN (SELECT source, f FROM s) GROUP BY source""",
+    """WITH s AS (SELECT DISTINCT source, lower(lang) AS f FROM documents WHERE n_chars > 400), i AS (SELECT source, lower(trim(regexp_replace(l, '[ \\n]+', ' ', 'g'))) AS f, arg_min(l, doc_id * 100000 + i) AS name, min(doc_id * 100000 + i) AS ord FROM text_rows GROUP BY source, f)
+       SELECT source, name, ord, true AS added FROM i WHERE (source, f) NOT IN (SELECT source, f FROM s) UNION ALL SELECT source, lang, doc_id, false FROM documents WHERE n_chars > 400""",
 )
 def append_only_merge(t: Tables):
+    """The merged rows: stored names and, behind them, the new lines."""
     stored = t.documents.filter(F.col("n_chars") > 400).select("source", F.col("lang").alias("name"), F.col("doc_id").alias("ord"))
-    incoming = t.documents.select("source", F.split_part("text", F.lit(" "), F.lit(1)).alias("name"), F.col("doc_id").alias("ord"))
+    incoming = t.text_rows.select("source", F.col("l").alias("name"), (F.col("doc_id") * 100000 + F.col("i")).alias("ord"))
+    return P.append_only_merge(stored, incoming, ["source"], "name", "ord")[0].select("source", "name", "ord", "added")
+
+
+@query(
+    "append_only_report",
+    """WITH s AS (SELECT DISTINCT source, lower(lang) AS f FROM documents WHERE n_chars > 400), i AS (SELECT DISTINCT source, CASE WHEN source IN (SELECT min(source) FROM documents) THEN lower(lang) ELSE lower(trim(regexp_replace(l, '[ \\n]+', ' ', 'g'))) END AS f FROM text_rows),
+       n AS (SELECT source, count(*) AS added FROM i WHERE (source, f) NOT IN (SELECT source, f FROM s) GROUP BY source)
+       SELECT b.source, coalesce(n.added, 0) AS added, n.added IS NULL AS refused FROM (SELECT DISTINCT source FROM documents) b LEFT JOIN n USING (source)""",
+)
+def append_only_report(t: Tables):
+    """Added names a source; the first source offers its languages again."""
+    stored = t.documents.filter(F.col("n_chars") > 400).select("source", F.col("lang").alias("name"), F.col("doc_id").alias("ord"))
+    first = t.documents.agg(F.min("source").alias("__first"))
+    rows = t.text_rows.join(F.broadcast(first), F.col("source") == F.col("__first"), "left")  # one row
+    incoming = rows.select("source", F.when(F.col("__first").isNotNull(), F.col("lang")).otherwise(F.col("l")).alias("name"), (F.col("doc_id") * 100000 + F.col("i")).alias("ord"))
     return P.append_only_merge(stored, incoming, ["source"], "name", "ord")[1]
 
 
@@ -317,13 +348,15 @@ def catalog_counts(t: Tables):
 derive("teaching_docs", "SELECT doc_id, text, lang, n_chars FROM documents")
 
 
-@query(
-    "teaching_blocks",
-    """WITH d AS (SELECT doc_id, CASE WHEN text = '' THEN [''] ELSE string_split(text, chr(10)) END AS l FROM teaching_docs WHERE n_chars % 10 <> 0) SELECT doc_id, count(*) AS blocks, CAST(max(p) AS BIGINT) AS last_position FROM (
-         SELECT doc_id, 0 AS p FROM d UNION ALL SELECT doc_id, 1 FROM d UNION ALL SELECT doc_id, 2 FROM d UNION ALL SELECT doc_id, 2 + i FROM d, UNNEST(range(1, len(l) + 1)) AS u(i) UNION ALL SELECT doc_id, 2 + len(l) + j FROM d, UNNEST(range(1, 6)) AS u(j)) GROUP BY doc_id""",
-)
-def teaching_blocks(t: Tables):
-    """Lines of a text as its techniques, one picture-free document each; some lack their goals and are refused."""
+_BLOCKS = """WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM teaching_docs WHERE n_chars % 10 <> 0),
+       b AS (SELECT doc_id, 0 AS s, 0 AS i, 'core_method' AS section, 'method' AS type, 'core_method' AS key, 'x' AS content FROM d UNION ALL SELECT doc_id, 1, 0, 'overview', 'overview', 'overview', 'x' FROM d UNION ALL SELECT doc_id, 2, 0, 'learning_goals', 'goals', 'learning_goals', 'x' FROM d
+         UNION ALL SELECT doc_id, 3, u.i, 'techniques', 'concept_explanation', 'techniques.' || u.i, l[u.i + 1] FROM d, UNNEST(range(len(l))) AS u(i) UNION ALL SELECT doc_id, 4, 0, 'worked_examples', 'worked_example', 'worked_examples.0', 'a' FROM d
+         UNION ALL SELECT doc_id, 6, 0, 'common_mistakes', 'common_mistake', 'common_mistakes.0', 'a' FROM d UNION ALL SELECT doc_id, 7, 0, 'practice_plan', 'practice_plan', 'practice_plan', 'x' FROM d UNION ALL SELECT doc_id, 8, 0, 'mastery_checklist', 'checklist', 'mastery_checklist', 'x' FROM d
+         UNION ALL SELECT doc_id, 9, 0, 'strategy_notes', 'strategy_notes', 'strategy_notes', 'x' FROM d)"""
+
+
+def _sections(t: Tables):
+    """Lines of a text as its techniques; some documents lack their goals and are refused."""
     d = t.teaching_docs
     lines = F.split("text", "\n")
     none = F.lit(None).cast("array<string>")
@@ -331,9 +364,39 @@ def teaching_blocks(t: Tables):
     items = lambda s, arr: F.struct(F.lit(s).alias("section"), arr.alias("items"), F.lit("").alias("content"))
     one = F.array(F.lit("a"))
     parts = [whole("core_method"), whole("overview"), items("techniques", lines), items("worked_examples", one), items("common_mistakes", one), whole("practice_plan"), whole("mastery_checklist"), whole("strategy_notes")]
-    sections = d.select("doc_id", F.explode(F.when(F.col("n_chars") % 10 == 0, F.array(*parts)).otherwise(F.array(*parts, whole("learning_goals")))).alias("s")).select("doc_id", "s.*")
-    blocks, _ = P.teaching_blocks(sections, ["doc_id"])
-    return blocks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("blocks"), F.max("position").alias("last_position"))
+    return d.select("doc_id", F.explode(F.when(F.col("n_chars") % 10 == 0, F.array(*parts)).otherwise(F.array(*parts, whole("learning_goals")))).alias("s")).select("doc_id", "s.*")
+
+
+@query("teaching_blocks", _BLOCKS + " SELECT doc_id, section, type, key, content, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s, i) - 1 AS BIGINT) AS position FROM b")
+def teaching_blocks(t: Tables):
+    return P.teaching_blocks(_sections(t), ["doc_id"])[0].select("doc_id", "section", "type", "key", "content", F.col("position").cast("long").alias("position"))
+
+
+@query("teaching_refusals", "SELECT doc_id, 'learning_goals' AS missing FROM teaching_docs WHERE n_chars % 10 = 0")
+def teaching_refusals(t: Tables):
+    return P.teaching_blocks(_sections(t), ["doc_id"])[1].select("doc_id", F.array_join("missing", ",").alias("missing"))
+
+
+_PICTURES = "p AS (SELECT doc_id, 'picture.' || u.i AS key, CASE WHEN u.i % 5 = 4 THEN 'nowhere' ELSE 'techniques.' || (u.i // 2) END AS appears_after, 'pic ' || l[u.i + 1] AS content, u.i AS ord FROM d, UNNEST(range(len(l))) AS u(i))"
+
+
+def _pictures(t: Tables):
+    """A picture for every line, behind the technique of half its number; every fifth names no block."""
+    rows = t.teaching_docs.filter(F.col("n_chars") % 10 != 0).select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "l"))
+    after = F.when(F.col("ord") % 5 == 4, "nowhere").otherwise(F.concat(F.lit("techniques."), F.floor(F.col("ord") / 2).cast("string")))
+    return rows.select("doc_id", F.concat(F.lit("picture."), F.col("ord").cast("string")).alias("key"), after.alias("appears_after"), F.concat(F.lit("pic "), "l").alias("content"), "ord")
+
+
+@query(
+    "teaching_pictures",
+    f"""{_BLOCKS}, {_PICTURES}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s, i) AS place FROM b),
+       w AS (SELECT doc_id, section, type, key, content, place, -1 AS ord FROM o UNION ALL SELECT p.doc_id, o.section, 'illustration', p.key, p.content, o.place, p.ord FROM p JOIN o ON o.doc_id = p.doc_id AND o.key = p.appears_after)
+       SELECT doc_id, section, type, key, content, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY place, ord) - 1 AS BIGINT) AS position FROM w""",
+)
+def teaching_pictures(t: Tables):
+    blocks, _ = P.teaching_blocks(_sections(t), ["doc_id"])
+    done, _ = P.insert_after(blocks, _pictures(t), ["doc_id"])
+    return done.select("doc_id", "section", "type", "key", "content", F.col("position").cast("long").alias("position"))
 
 
 # -- store --------------------------------------------------------------------------------------------------

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import practice as P
 from quire.plans.registry import Tables, derive, query
+from quire.sources.scratch import shared_path
 from quire.streaming import schedule as S
 
 
@@ -183,6 +184,20 @@ def practice_schedule(t: Tables):
     return s.select("learner", "item_id", "level", F.round("due_at", 3).alias("due_at"), "times_seen", "times_correct", "streak", F.round("mastered_at", 3).alias("mastered_at"))
 
 
+@query("practice_schedule_stream", "SELECT learner, item_id, level, round(due_at, 3) AS due_at, times_seen, times_correct, streak, round(mastered_at, 3) AS mastered_at FROM schedule")
+def practice_schedule_stream(t: Tables):
+    """The same states from a stream: two runs over the log, the second taking up the keyed state of the first."""
+    a = t.attempts.select("learner", "item_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("time"), "attempt_id", "correct")
+    log, point, states = (shared_path(t.spark, n) for n in ("attempt-log", "stream-point", "states"))
+    middle = a.agg(F.percentile_approx("attempt_id", 0.5)).first()[0] or 0
+    for part in (F.col("attempt_id") <= middle, F.col("attempt_id") > middle):
+        a.filter(part).write.mode("append").parquet(log)
+        stream = t.spark.readStream.schema(a.schema).parquet(log)
+        S.schedule_stream(stream).writeStream.outputMode("update").option("checkpointLocation", point).foreachBatch(S.snapshot_sink(states)).trigger(availableNow=True).start().awaitTermination()
+    s = S.read_snapshot(t.spark, states)
+    return s.select("learner", "item_id", "level", F.round("due_at", 3).alias("due_at"), "times_seen", "times_correct", "streak", F.round("mastered_at", 3).alias("mastered_at"))
+
+
 def _queue(t: Tables):
     states = _states(t)
     bank = t.attempts.select("item_id").distinct().withColumn("position", F.substring("item_id", 2, 9).cast("int") + 1)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import retrieval as R
 from quire.plans.registry import Tables, derive, query
+from quire.plans.structure_queries import ranked
 
 _COS = "list_cosine_similarity(CAST(n.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
 derive("vectors", "SELECT vec_id, embedding, label FROM embeddings")
@@ -125,7 +126,7 @@ def scope_coverage_titles(t: Tables):
 @query(
     "document_order",
     """WITH o AS (SELECT doc, chapter_number, section, max(position) AS sp FROM (SELECT source AS doc, CAST(n_chars % 9 AS INT) AS chapter_number, 'Part ' || CAST(n_chars % 6 AS STRING) AS section, n_chars % 50 AS position FROM documents) GROUP BY doc, chapter_number, section)
-       SELECT p.id, p.doc, o.sp AS section_position, p.chapter_number FROM placed p LEFT JOIN o ON o.doc = p.doc AND o.chapter_number = p.chapter_number AND o.section = p.section""",
+       SELECT p.id, p.doc, o.sp AS section_position, p.chapter_number, CAST(row_number() OVER (PARTITION BY p.doc ORDER BY p.chapter_number NULLS LAST, o.sp NULLS LAST, p.page_start NULLS LAST, p.page_end NULLS LAST, p.id) AS BIGINT) AS rank FROM placed p LEFT JOIN o ON o.doc = p.doc AND o.chapter_number = p.chapter_number AND o.section = p.section""",
 )
 def document_order(t: Tables):
     outline = t.documents.select(
@@ -134,7 +135,7 @@ def document_order(t: Tables):
     )
     nodes = t.placed.drop("text").withColumn("node_id", F.col("id"))
     ordered = R.document_order(nodes, outline).orderBy(*R.order_columns())
-    return ordered.select("id", "doc", "section_position", "chapter_number")
+    return ranked(ordered, ["doc"]).select("id", "doc", "section_position", "chapter_number", F.col("rank").cast("long").alias("rank"))
 
 
 # citations with planted faults: unknown, repeated and blank
@@ -224,10 +225,20 @@ def referenced_rows(t: Tables):
     )
 
 
-@query("compact_chapters")
+_SHORT = r"""CASE WHEN len(trim(regexp_replace({c}, '[ \n]+', ' ', 'g'))) <= {n} THEN trim(regexp_replace({c}, '[ \n]+', ' ', 'g')) ELSE rtrim(substr(trim(regexp_replace({c}, '[ \n]+', ' ', 'g')), 1, {n} - 3)) || '...' END"""
+
+
+@query(
+    "compact_chapters",
+    rf"""WITH r AS (SELECT source AS book, doc_id AS chapter_number, to_json({{'chapter_number': doc_id, 'chapter_title': lang, 'chapter_summary': {_SHORT.format(c='text', n=800)},
+           'key_terms': list_transform(string_split(text, chr(10))[1:8], lambda l: {{'term': l, 'meaning': {_SHORT.format(c='l', n=160)}}}), 'source_chunk_ids': [CAST(doc_id AS STRING)]}}) AS line FROM documents),
+       s AS (SELECT *, coalesce(sum(len(line) + 1) OVER (PARTITION BY book ORDER BY chapter_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM r)
+       SELECT book, chapter_number, substr(CAST(line AS VARCHAR), 1, CAST(5000 - used AS BIGINT)) AS line FROM s WHERE used < 5000""",
+)
 def compact_chapters(t: Tables):
+    """Lines of a text as its key terms; the operator keeps eight and cuts a book to its budget."""
     rows = t.documents.select(
         F.col("source").alias("book"), F.col("doc_id").alias("chapter_number"), F.col("lang").alias("chapter_title"), F.col("text").alias("chapter_summary"),
-        F.array(F.struct(F.split_part("text", F.lit(" "), F.lit(1)).alias("term"), F.col("text").alias("meaning"))).alias("key_terms"), F.array(F.col("doc_id").cast("string")).alias("source_chunk_ids"),
+        F.transform(F.split("text", "\n"), lambda l: F.struct(l.alias("term"), l.alias("meaning"))).alias("key_terms"), F.array(F.col("doc_id").cast("string")).alias("source_chunk_ids"),
     )
     return R.compact_chapters(rows, ["book"], 5000).select("book", "chapter_number", "line")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.functions.ordered import tile_of_integer, tile_of_time
+from quire.functions.ordered import position_in_group, tile_of_integer
 from quire.operators import headings as H
 from quire.operators import structure as S
 from quire.plans.registry import ORACLES, Tables, derive, query
@@ -452,9 +452,8 @@ derive(
 )
 
 
-@query(
-    "boundary_trim",
-    r"""WITH n AS (SELECT *, lead(section) OVER (PARTITION BY doc, chapter_number ORDER BY doc_id) AS nxt FROM bounded),
+# what a chunk keeps: its section's heading to the next section's, unless too little would stay
+_TRIMMED = r"""WITH n AS (SELECT *, lead(section) OVER (PARTITION BY doc, chapter_number ORDER BY doc_id) AS nxt FROM bounded),
        a AS (SELECT *, lead || head || body || CASE WHEN nxt IS NULL THEN '' ELSE chr(10) || nxt || chr(10) || 'tail' END AS text, CASE WHEN head <> '' THEN len(lead) + 2 END AS hat FROM n),
        b AS (SELECT *, substr(text, hat + 1) AS cut FROM a),
        c AS (SELECT *, CASE WHEN hat > 0 THEN CASE WHEN trim(cut, ' ' || chr(10)) = '' THEN 'trim_skipped_empty_text' WHEN len(cut) < 200 AND len(text) > 500 THEN 'trim_skipped_below_min_cleaned_length'
@@ -462,10 +461,12 @@ derive(
        d AS (SELECT *, CASE WHEN w1 = 'ok' THEN cut ELSE text END AS t1 FROM c),
        e AS (SELECT *, CASE WHEN nxt IS NOT NULL THEN rtrim(substr(t1, 1, len(t1) - len(nxt) - 6), ' ' || chr(10)) END AS kept FROM d),
        g AS (SELECT *, CASE WHEN nxt IS NOT NULL THEN CASE WHEN trim(kept, ' ' || chr(10)) = '' THEN 'trim_skipped_empty_text' WHEN len(kept) < 200 AND len(t1) > 500 THEN 'trim_skipped_below_min_cleaned_length'
-           WHEN len(kept) < len(t1) * 0.1 AND len(kept) < 300 THEN 'trim_skipped_removed_more_than_90_percent' ELSE 'ok' END END AS w2 FROM e)
-       SELECT id, len(CASE WHEN w2 = 'ok' THEN kept ELSE t1 END) AS chars, len(text) - len(t1) AS prefix, len(t1) - len(CASE WHEN w2 = 'ok' THEN kept ELSE t1 END) AS suffix,
-       coalesce(w2 = 'ok', false) AS end_found, concat_ws(';', CASE WHEN head = '' THEN 'start_heading_not_found:' || section END, CASE WHEN w1 <> 'ok' THEN w1 END, CASE WHEN w2 <> 'ok' THEN w2 END) AS warnings FROM g""",
-)
+           WHEN len(kept) < len(t1) * 0.1 AND len(kept) < 300 THEN 'trim_skipped_removed_more_than_90_percent' ELSE 'ok' END END AS w2 FROM e),
+       z AS (SELECT *, len(CASE WHEN w2 = 'ok' THEN kept ELSE t1 END) AS chars, len(text) - len(t1) AS prefix, len(t1) - len(CASE WHEN w2 = 'ok' THEN kept ELSE t1 END) AS suffix, coalesce(w2 = 'ok', false) AS end_found,
+         list_filter([CASE WHEN head = '' THEN 'start_heading_not_found:' || section END, CASE WHEN w1 <> 'ok' THEN w1 END, CASE WHEN w2 <> 'ok' THEN w2 END], lambda w: w IS NOT NULL) AS warned FROM g)"""
+
+
+@query("boundary_trim", _TRIMMED + " SELECT id, chars, prefix, suffix, end_found, array_to_string(warned, ';') AS warnings FROM z")
 def boundary_trim(t: Tables):
     return _trimmed(t).select(
         "id", F.length("text").cast("long").alias("chars"), F.col("boundary_cleanup.prefix_trimmed_chars").cast("long").alias("prefix"),
@@ -488,12 +489,26 @@ def _trimmed(t: Tables):
 
 @query(
     "cleanup_counts",
-    """SELECT doc, chapter, count(*) AS chunks FROM bounded GROUP BY doc, chapter""",
+    _TRIMMED
+    + """ SELECT doc, chapter, count(*) FILTER (prefix + suffix > 0) AS chunks_cleaned, count(*) FILTER (prefix > 0) AS prefix_trims, count(*) FILTER (suffix > 0) AS suffix_trims, count(*) FILTER (len(warned) > 0) AS warnings
+       FROM z GROUP BY doc, chapter""",
 )
 def cleanup_counts(t: Tables):
-    nodes = C.flat_nodes(_trimmed(t))
-    counted = S.cleanup_counts(_trimmed(t))
-    return nodes.groupBy("doc", "chapter").agg(F.count(F.lit(1)).alias("chunks")).join(counted.select("doc", "chapter"), ["doc", "chapter"])
+    return S.cleanup_counts(_trimmed(t))
+
+
+@query(
+    "flat_nodes",
+    _TRIMMED
+    + """ SELECT id AS node_id, chars, page_start, prefix + suffix > 0 AS applied, prefix, suffix, section AS start_heading, head <> '' AS start_heading_found, nxt AS end_heading, end_found AS end_heading_found, len(warned) AS warning_count FROM z""",
+)
+def flat_nodes(t: Tables):
+    n, c = C.flat_nodes(_trimmed(t)), "boundary_cleanup_"
+    return n.select(
+        "node_id", F.length("text").cast("long").alias("chars"), "page_start", F.col(c + "applied").alias("applied"), F.col(c + "prefix_trimmed_chars").cast("long").alias("prefix"),
+        F.col(c + "suffix_trimmed_chars").cast("long").alias("suffix"), *[F.col(c + x).alias(x) for x in ("start_heading", "start_heading_found", "end_heading", "end_heading_found")],
+        F.col(c + "warning_count").cast("long").alias("warning_count"),
+    )
 
 
 @query(
@@ -519,8 +534,13 @@ def pages_by_chapter(t: Tables):
 
 
 # a contents page of one entry per language
-derive("contents_entries", "SELECT source AS doc, min(doc_id) AS position, min(split_part(text, ' ', 1)) AS title, CAST(min(n_chars) % 500 AS INT) AS printed FROM documents GROUP BY source, lang")
-derive("page_heads", "SELECT source AS doc, CAST(floor(doc_id / 3) AS INT) + 1 AS page, doc_id AS line_no, CASE WHEN doc_id % 2 = 0 THEN '# ' ELSE '' END || split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) AS line FROM documents")
+derive(
+    "text_rows",
+    "SELECT doc_id, source, lang, n_chars, i, l FROM (SELECT doc_id, source, lang, n_chars, posexplode(split(text, chr(10))) AS (i, l) FROM documents)",
+    "SELECT doc_id, source, lang, n_chars, CAST(u.i AS INT) AS i, s.ls[u.i + 1] AS l FROM (SELECT *, string_split(text, chr(10)) AS ls FROM documents) s, UNNEST(range(len(s.ls))) AS u(i)",
+)
+derive("contents_entries", "SELECT source AS doc, min(doc_id) AS position, min(l) AS title, CAST(min(n_chars) % 500 AS INT) AS printed FROM text_rows WHERE trim(l) <> '' GROUP BY source, lang")
+derive("page_heads", "SELECT source AS doc, CAST(floor(doc_id / 3) AS INT) + 1 AS page, doc_id * 100000 + i AS line_no, CASE WHEN doc_id % 2 = 0 THEN '# ' ELSE '' END || l AS line FROM text_rows")
 
 
 @query(
@@ -540,13 +560,19 @@ def assignment_counts(t: Tables):
     return S.assignment_counts(t.placed.drop("text"))
 
 
+def ranked(ordered, keys: list[str]):
+    """Place of each row of a sorted table inside its group."""
+    marked = ordered.withColumn("__m", F.monotonically_increasing_id())  # rises along the sort
+    return position_in_group(marked, keys, ["__m"], None, "rank").drop("__m")
+
+
 @query(
     "chapter_natural_order",
-    r"""SELECT id, chapter_number, CAST(regexp_extract(id, '(\d+)', 1) AS BIGINT) AS n FROM placed WHERE NOT is_front_matter AND chapter_number IS NOT NULL""",
+    r"""SELECT id, chapter_number, CAST(row_number() OVER (PARTITION BY doc ORDER BY chapter_number, coalesce(page_start, 0), coalesce(page_end, 0), CAST(regexp_extract(id, '(\d+)', 1) AS BIGINT)) AS BIGINT) AS rank
+        FROM placed WHERE NOT is_front_matter AND chapter_number IS NOT NULL""",
 )
 def chapter_natural_order(t: Tables):
-    ordered = S.chapter_order(t.placed.drop("text"))
-    return ordered.select("id", "chapter_number", F.substring(F.element_at(T.natural_key("id"), 2), 11, 40).cast("long").alias("n"))
+    return ranked(S.chapter_order(t.placed.drop("text")), ["doc"]).select("id", "chapter_number", F.col("rank").cast("long").alias("rank"))
 
 
 @query(
@@ -588,17 +614,17 @@ def lesson_chapters(t: Tables):
 )
 def marker_runs(t: Tables):
     rows = t.events.select("user_id", "event_id", "ts", F.when(F.col("event_type").isin("signup", "purchase"), F.col("event_type")).alias("marker"))
-    runs = S.marker_runs(rows, ["user_id"], ["ts", "event_id"], tile_of_time("ts", 3600))
+    runs = S.marker_runs(rows, ["user_id"], ["ts", "event_id"], None)
     return runs.groupBy("user_id", F.col("run").cast("long").alias("run")).agg(F.count(F.lit(1)).alias("events"))
 
 
 # -- sources on tables ------------------------------------------------------------------------------------
-derive("marked_texts", "SELECT doc_id, '<!-- page 1 -->' || split_part(text, chr(10), 1) || '<!-- page  2 -->' || split_part(text, chr(10), 2) AS text FROM documents")
+derive("marked_texts", "SELECT doc_id, array_join(transform(split(text, chr(10)), (l, i) -> '<!-- page ' || CASE WHEN i % 2 = 1 THEN ' ' ELSE '' END || CAST(i + 1 AS STRING) || ' -->' || l), '') AS text FROM documents")
 
 
 @query(
     "marked_pages",
-    "SELECT doc_id, 1 AS page, 'b:p1' AS node_id, split_part(text, chr(10), 1) AS text FROM documents UNION ALL SELECT doc_id, 2, 'b:p2', split_part(text, chr(10), 2) FROM documents",
+    "SELECT doc_id, i + 1 AS page, 'b:p' || CAST(i + 1 AS STRING) AS node_id, l AS text FROM text_rows",
 )
 def marked_pages(t: Tables):
     return C.page_chunks(C.marked_pages(t.marked_texts, ["doc_id"]), "b").drop("ord")
@@ -630,15 +656,28 @@ def chunk_documents(t: Tables):
     return rows.groupBy("file").agg(F.count(F.lit(1)).alias("chunks"), F.min("row_id").alias("first_id"), F.sum(F.length("text")).alias("chars"))
 
 
-@query(
-    "derive_chunks",
-    """WITH k AS (SELECT source, doc_id, trim(text, ' ' || chr(10)) = '' AS blank FROM documents), bad AS (SELECT DISTINCT source FROM k WHERE blank UNION SELECT source FROM documents GROUP BY source HAVING min(doc_id) % 4 = 1)
-       SELECT source AS material_id, count(*) AS chunks FROM documents WHERE source NOT IN (SELECT source FROM bad) GROUP BY source""",
-)
-def derive_chunks(t: Tables):
+_DERIVED = """WITH k AS (SELECT source, doc_id, trim(text, ' ' || chr(10)) = '' AS blank FROM documents), bad AS (SELECT DISTINCT source FROM k WHERE blank UNION SELECT source FROM documents GROUP BY source HAVING min(doc_id) % 4 = 1) """
+
+
+def _derived(t: Tables):
     chunks = t.documents.select(F.col("source").alias("material_id"), F.col("doc_id").alias("i"), F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("node_id"), "text")
     materials = t.documents.groupBy(F.col("source").alias("material_id")).agg(
         F.max("source").alias("source_pdf"), F.when(F.min("doc_id") % 4 == 1, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))).alias("chapter_numbers")
     )
-    clean, _ = C.derive_chunks(materials, chunks)
-    return clean.groupBy("material_id").agg(F.count(F.lit(1)).alias("chunks"))
+    return C.derive_chunks(materials, chunks)
+
+
+@query(
+    "derive_chunks",
+    _DERIVED + "SELECT node_id, source_pdf, chapter_number, text, material_id FROM (SELECT 'c' || CAST(doc_id AS STRING) AS node_id, source AS source_pdf, 1 AS chapter_number, text, source AS material_id FROM documents WHERE source NOT IN (SELECT source FROM bad))",
+)
+def derive_chunks(t: Tables):
+    return _derived(t)[0]
+
+
+@query(
+    "derive_refusals",
+    _DERIVED + "SELECT source AS material_id, 'BLANK_TEXT' AS code, 'c' || CAST(doc_id AS STRING) AS detail FROM k WHERE blank UNION ALL SELECT source, 'AMBIGUOUS_CHAPTER', '' FROM documents GROUP BY source HAVING min(doc_id) % 4 = 1",
+)
+def derive_refusals(t: Tables):
+    return _derived(t)[1]

@@ -129,14 +129,17 @@ def citation_artifacts(t: Tables):
     return t.cited.select("doc_id", F.sha2(Q.strip_citation_artifacts("text"), 256).alias("h"))
 
 
-# -- teaching contract: documents as skills, their first word the thing taught ------------------
+# -- teaching contract: documents as skills named by their first word; every line is part of an explanation, an example, a step or a mistake ------------------
 derive(
     "skills",
     """SELECT CAST(doc_id AS STRING) AS id, CASE WHEN doc_id % 3 = 0 THEN 'procedure' ELSE 'item' END AS kind, split_part(text, ' ', 1) AS name, doc_id AS ord,
-       split_part(text, chr(10), 1) AS explanation, split_part(text, chr(10), 2) AS example, split_part(text, chr(10), 3) AS step, split_part(text, ' ', 2) AS mistake, source
-       FROM documents""",
+       array_join(filter(l, (x, i) -> i % 4 = 0), ' ') AS explanation, filter(l, (x, i) -> i % 4 = 1) AS examples, filter(l, (x, i) -> i % 4 = 2) AS steps,
+       array_join(filter(l, (x, i) -> i % 4 = 3), ' ') AS mistake FROM (SELECT *, filter(split(text, chr(10)), x -> x <> '') AS l FROM documents)""",
+    """SELECT CAST(doc_id AS STRING) AS id, CASE WHEN doc_id % 3 = 0 THEN 'procedure' ELSE 'item' END AS kind, split_part(text, ' ', 1) AS name, doc_id AS ord,
+       array_to_string(list_filter(l, lambda x, i: i % 4 = 1), ' ') AS explanation, list_filter(l, lambda x, i: i % 4 = 2) AS examples, list_filter(l, lambda x, i: i % 4 = 3) AS steps,
+       array_to_string(list_filter(l, lambda x, i: i % 4 = 0), ' ') AS mistake FROM (SELECT *, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS l FROM documents)""",
 )
-derive("lessons", "SELECT source AS id, CASE WHEN CAST(min(doc_id) AS BIGINT) % 3 = 0 THEN 'too short' ELSE max(split_part(text, chr(10), 1)) END AS about, CAST(min(doc_id) AS BIGINT) % 4 AS k FROM documents GROUP BY source")
+derive("lessons", "SELECT source AS id, CASE WHEN CAST(min(doc_id) AS BIGINT) % 3 = 0 THEN 'too short' ELSE max(text) END AS about, CAST(min(doc_id) AS BIGINT) % 4 AS k FROM documents GROUP BY source")
 _W = r"len(list_filter(regexp_split_to_array(coalesce({c}, ''), '[ \n]+'), lambda x: x <> ''))"
 
 
@@ -149,14 +152,14 @@ derive(
     "SELECT 1 AS unused",
     rf"""SELECT * FROM (
        SELECT 'skill_teaching' AS "check", 'reject' AS severity, id AS key, 'NO_EXPLANATION' AS code FROM skills WHERE {_wc('explanation')} < 4
-       UNION ALL SELECT 'skill_teaching', 'reject', id, 'NO_EXAMPLE' FROM skills WHERE example = ''
-       UNION ALL SELECT 'skill_teaching', 'reject', id, 'NO_STEPS' FROM skills WHERE kind = 'procedure' AND step = ''
+       UNION ALL SELECT 'skill_teaching', 'reject', id, 'NO_EXAMPLE' FROM skills WHERE len(examples) = 0
+       UNION ALL SELECT 'skill_teaching', 'reject', id, 'NO_STEPS' FROM skills WHERE kind = 'procedure' AND len(steps) < 2
        UNION ALL SELECT 'skill_teaching', 'warn', id, 'NO_MISTAKE' FROM skills WHERE {_wc('mistake')} < CASE WHEN kind = 'procedure' THEN 3 ELSE 1 END
        UNION ALL SELECT 'circular_definition', 'reject', id, 'CIRCULAR' FROM (SELECT *, lower(trim(name)) AS n, regexp_extract_all(lower(explanation), '[a-z'']+') AS w FROM skills)
          WHERE len(n) >= 3 AND list_contains(w, n) AND len(list_filter(w, lambda x: x <> n AND NOT starts_with(x, substr(n, 1, greatest(4, len(n) - 2))))) < 4
        UNION ALL SELECT 'example_uses_the_thing', 'reject', id, 'NOT_USED' FROM skills
-         WHERE kind = 'item' AND trim(name) <> '' AND (example = '' OR NOT contains(lower(example), substr(lower(trim(name)), 1, greatest(4, len(name) - 2))))
-       UNION ALL SELECT 'worked_example_shows_work', 'warn', id, 'TERSE_STEPS' FROM skills WHERE kind = 'procedure' AND step <> '' AND {_wc('step')} < 3
+         WHERE kind = 'item' AND trim(name) <> '' AND len(list_filter(examples, lambda e: contains(lower(e), substr(lower(trim(name)), 1, greatest(4, len(name) - 2))))) = 0
+       UNION ALL SELECT 'worked_example_shows_work', 'warn', id, 'TERSE_STEPS' FROM skills WHERE kind = 'procedure' AND len(steps) > 0 AND len(list_filter(steps, lambda s: {_wc('s')} >= 3)) = 0
        UNION ALL SELECT 'lesson_priming', 'reject', id, 'NO_ABOUT' FROM lessons WHERE {_wc('about')} < 4
        UNION ALL SELECT 'lesson_priming', 'reject', id, 'NO_OUTCOMES' FROM lessons WHERE k = 1
        UNION ALL SELECT 'lesson_priming', 'warn', id, 'NO_PITFALLS' FROM lessons WHERE k = 2)""",
@@ -164,12 +167,7 @@ derive(
 
 
 def _skills(t: Tables):
-    one = lambda c: F.when(F.col(c) != "", F.array(c)).otherwise(F.array().cast("array<string>"))
-    return t.skills.select(
-        "id", "kind", "name", "ord", "explanation", one("example").alias("examples"),
-        F.when(F.col("step") != "", F.array("step", "step")).otherwise(F.array().cast("array<string>")).alias("steps"),
-        F.col("mistake").alias("common_mistake"),
-    )
+    return t.skills.withColumnRenamed("mistake", "common_mistake")
 
 
 def _lessons(t: Tables):
@@ -290,21 +288,25 @@ def worked_example_rules(t: Tables):
     return Q.worked_example_findings(examples, lessons, policy).groupBy("key", "code").agg(F.count(F.lit(1)).alias("n"))
 
 
-derive("methods", """SELECT CAST(doc_id AS STRING) AS lesson_id, split_part(text, ' ', 1) AS a, split_part(text, ' ', 2) AS b, split_part(text, ' ', 3) AS c, doc_id % 3 AS k FROM documents""")
+derive(
+    "methods",
+    "SELECT CAST(doc_id AS STRING) AS lesson_id, filter(split(text, chr(10)), x -> trim(x) <> '') AS steps, doc_id % 3 AS k FROM documents",
+    "SELECT CAST(doc_id AS STRING) AS lesson_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS steps, doc_id % 3 AS k FROM documents",
+)
 
 
 @query(
     "method_banners",
-    """WITH m AS (SELECT lesson_id, k, list_transform([a, b, c], lambda x: lower(trim(x, ' ' || chr(10)))) AS s FROM methods),
-       t AS (SELECT lesson_id, s, list_filter(CASE k WHEN 0 THEN [s[1], s[2]] WHEN 1 THEN s ELSE [s[1], 'other'] END, lambda x: replace(x, '$', '') <> '') AS toks0, list_transform(toks0, lambda x: replace(x, '$', '')) AS toks FROM m)
-       SELECT lesson_id AS key, CAST(len(toks) AS STRING) || '/3' AS detail FROM t
-       WHERE len(toks) > 0 AND len(list_filter(toks, lambda x: NOT list_contains(s, x))) = 0 AND len(toks) <> 3""",
+    """WITH m AS (SELECT lesson_id, k, list_transform(steps, lambda x: lower(trim(x, ' ' || chr(10)))) AS s FROM methods WHERE len(steps) >= 2),
+       t AS (SELECT lesson_id, s, list_filter(list_transform(CASE k WHEN 0 THEN s[1:len(s) - 1] WHEN 1 THEN s ELSE [s[1], 'other'] END, lambda x: trim(replace(x, '$', ''))), lambda x: x <> '') AS toks,
+              CASE k WHEN 0 THEN len(s) > 2 ELSE true END AS arrowed FROM m)
+       SELECT lesson_id AS key, CAST(len(toks) AS STRING) || '/' || CAST(len(s) AS STRING) AS detail FROM t
+       WHERE arrowed AND len(toks) > 0 AND len(list_filter(toks, lambda x: NOT list_contains(s, x))) = 0 AND len(toks) <> len(s)""",
 )
 def method_banners(t: Tables):
-    a, b, c = F.col("a"), F.col("b"), F.col("c")
-    arrow = lambda *p: F.concat_ws(" → ", *p)
-    name = F.when(F.col("k") == 0, arrow(a, b)).when(F.col("k") == 1, arrow(a, b, c)).otherwise(arrow(a, F.lit("other")))
-    rows = t.methods.select("lesson_id", name.alias("name"), F.lit(None).cast("string").alias("formula"), F.array(a, b, c).alias("steps"))
+    steps, k = F.col("steps"), F.col("k")
+    listed = F.when(k == 0, F.slice(steps, F.lit(1), F.greatest(F.size(steps) - 1, F.lit(0)))).when(k == 1, steps).otherwise(F.concat(F.slice(steps, 1, 1), F.array(F.lit("other"))))
+    rows = t.methods.select("lesson_id", F.array_join(listed, " → ").alias("name"), F.lit(None).cast("string").alias("formula"), "steps")
     return Q.banner_findings(rows).select("key", "detail")
 
 
@@ -332,8 +334,12 @@ def foreign_traits(t: Tables):
     return Q.foreign_traits(t.exam_lessons.withColumnRenamed("factor", "name"), Q.guide_traits(t.guides))
 
 
-# one task per language, named by the first words of its first text: a table as small as the list of tasks is
-derive("aliases", "SELECT 'task-' || lang AS task_type, min(split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2)) AS alias FROM documents GROUP BY lang")
+# a task per benchmark item, known by the item's whole text, and one per language, known by the shortest of its lines' words
+derive(
+    "aliases",
+    "SELECT 'task-' || CAST(item_id AS STRING) AS task_type, text AS alias FROM benchmark UNION ALL SELECT 'lang-' || lang, min(w) FROM (SELECT lang, explode(split(text, '[ \\\\n]+')) AS w FROM documents) WHERE w <> '' GROUP BY lang",
+    "SELECT 'task-' || CAST(item_id AS STRING) AS task_type, text AS alias FROM benchmark UNION ALL SELECT 'lang-' || lang, min(w) FROM (SELECT lang, unnest(regexp_split_to_array(text, '[ \\n]+')) AS w FROM documents) WHERE w <> '' GROUP BY lang",
+)
 derive("guide_book", "SELECT CAST(doc_id AS INT) AS page, CASE WHEN doc_id % 50 = 7 THEN 'Scoring ' || text ELSE text END AS text FROM documents")
 
 
@@ -373,8 +379,13 @@ def checkable_assertions(t: Tables):
 derive(
     "questions",
     """SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'single' ELSE 'multiple' END AS mode, source AS topic, lang AS title, text AS passage, split_part(text, chr(10), 1) AS question,
-       CASE WHEN doc_id % 31 = 0 THEN '' ELSE 'gist' END AS skill, split_part(text, ' ', 1) AS o1, split_part(text, ' ', 2) AS o2, split_part(text, ' ', 3) AS o3, split_part(text, ' ', 4) AS o4, split_part(text, ' ', 5) AS o5,
-       CASE WHEN doc_id % 5 = 0 THEN 'E' ELSE 'B' END AS k1, CASE WHEN doc_id % 3 = 0 THEN 'B' ELSE 'C' END AS k2 FROM documents""",
+       CASE WHEN doc_id % 31 = 0 THEN '' ELSE 'gist' END AS skill, array_join(filter(l, (x, i) -> i % 5 = 0), ' ') AS o1, array_join(filter(l, (x, i) -> i % 5 = 1), ' ') AS o2, array_join(filter(l, (x, i) -> i % 5 = 2), ' ') AS o3,
+       array_join(filter(l, (x, i) -> i % 5 = 3), ' ') AS o4, array_join(filter(l, (x, i) -> i % 5 = 4), ' ') AS o5,
+       CASE WHEN doc_id % 5 = 0 THEN 'E' ELSE 'B' END AS k1, CASE WHEN doc_id % 3 = 0 THEN 'B' ELSE 'C' END AS k2 FROM (SELECT *, split(text, ' ') AS l FROM documents)""",
+    """SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'single' ELSE 'multiple' END AS mode, source AS topic, lang AS title, text AS passage, split_part(text, chr(10), 1) AS question,
+       CASE WHEN doc_id % 31 = 0 THEN '' ELSE 'gist' END AS skill, array_to_string(list_filter(l, lambda x, i: i % 5 = 1), ' ') AS o1, array_to_string(list_filter(l, lambda x, i: i % 5 = 2), ' ') AS o2,
+       array_to_string(list_filter(l, lambda x, i: i % 5 = 3), ' ') AS o3, array_to_string(list_filter(l, lambda x, i: i % 5 = 4), ' ') AS o4, array_to_string(list_filter(l, lambda x, i: i % 5 = 0), ' ') AS o5,
+       CASE WHEN doc_id % 5 = 0 THEN 'E' ELSE 'B' END AS k1, CASE WHEN doc_id % 3 = 0 THEN 'B' ELSE 'C' END AS k2 FROM (SELECT *, string_split(text, ' ') AS l FROM documents)""",
 )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import types as Ty
 
 from quire.functions import text as T
 from quire.operators.findings import union_all
+from quire.sources.ranges import RANGE_BYTES, scan_elements
 
 # ---------------------------------------------------------------------------
 # Fixed values
@@ -44,13 +45,18 @@ def row_id(order: list[str] = LOOKUP_ID_ORDER) -> Column:
     return F.coalesce(*[F.when(~T.blank(c), T.strip(c)) for c in order])
 
 
-def scan_chunks(spark: SparkSession, path: str, id_order: list[str] = LOOKUP_ID_ORDER) -> DataFrame:
-    """Chunk rows of JSON files, an array or a wrapper object each.
+def scan_chunks(spark: SparkSession, path: str, id_order: list[str] = LOOKUP_ID_ORDER, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Chunk rows of JSON files, an array or a wrapper object each (S1), read by byte ranges: a large file is many tasks.
 
-    A file is one JSON document, so it is one row until it is exploded; corpora come as many files. ``ord`` is the
-    place in the file. A file that does not parse gives no rows here and one in ``scan_problems``.
+    ``ord`` is the place in the file. A file whose brackets or strings are not closed gives no rows; ``scan_problems``
+    lists such files where whole documents are at hand.
     """
-    return explode_chunks(_files(spark, path), id_order)
+    return _chunk_rows(scan_elements(spark, path, range_bytes), id_order)
+
+
+def _chunk_rows(raw: DataFrame, id_order: list[str]) -> DataFrame:
+    rows = raw.select("file", F.col("ord").cast("long").alias("ord"), F.from_json("raw", CHUNK).alias("c")).select("file", "ord", "c.*")
+    return rows.withColumn("row_id", row_id(id_order))
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -67,9 +73,7 @@ def _collection(document: Column) -> Column:
 
 def explode_chunks(files: DataFrame, id_order: list[str] = LOOKUP_ID_ORDER) -> DataFrame:
     """files: (file, document)."""
-    raw = files.select("file", F.posexplode(_collection(F.col("document"))).alias("ord", "raw"))
-    rows = raw.select("file", F.col("ord").cast("long").alias("ord"), F.from_json("raw", CHUNK).alias("c")).select("file", "ord", "c.*")
-    return rows.withColumn("row_id", row_id(id_order))
+    return _chunk_rows(files.select("file", F.posexplode(_collection(F.col("document"))).alias("ord", "raw")), id_order)
 
 
 def scan_problems(files: DataFrame) -> DataFrame:
@@ -82,10 +86,10 @@ def scan_problems(files: DataFrame) -> DataFrame:
     return empty.unionByName(odd)
 
 
-def page_table(spark: SparkSession, path: str, slug: str) -> DataFrame:
-    """One chunk per ``{page, markdown}`` entry."""
-    pages = F.from_json("document", "array<struct<page:int,markdown:string,text:string>>")
-    rows = _files(spark, path).select("file", F.explode(pages).alias("p")).select("file", "p.*")
+def page_table(spark: SparkSession, path: str, slug: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """One chunk per ``{page, markdown}`` entry of JSON array files, read by byte ranges."""
+    entry = F.from_json("raw", "struct<page:int,markdown:string,text:string>").alias("p")
+    rows = scan_elements(spark, path, range_bytes).select("file", entry).select("file", "p.*")
     return page_chunks(rows.select("file", "page", F.coalesce(F.when(F.col("markdown") != "", F.col("markdown")), "text", F.lit("")).alias("text")), slug)
 
 
