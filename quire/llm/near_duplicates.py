@@ -5,16 +5,19 @@ BITS bits each are kept. Two sets of Jaccard similarity s differ in about (1 - s
 places. The signature is cut into CHUNKS chunks; if two signatures differ in fewer than
 2 * CHUNKS places, some chunk differs in at most one (pigeonhole). So every chunk is
 written once for each of its places, with that place left out: two chunks with at most one
-error share such a key, and every pair within MAX_DISTANCE meets. Links are confirmed on
-full sets.
-
-At similarity 0.85 a pair exceeds MAX_DISTANCE with a chance of about 4e-6.
-
-Equal sets are one node from the start. Nodes that share a key, or are linked so through
-others, form a family. In a large family every key's nodes are first confirmed against the
-key's smallest node, a star that is linear in their number and joins most of them. What
-is still apart is compared on full sets in pairs of blocks, each a task of bounded size,
-and a task gives out only as many links as join what it found.
+error share such a key, and every pair within MAX_DISTANCE meets. Pairs that meet and lie near
+are confirmed on full sets; nothing further apart is.
+
+Meeting pairs are let through up to NEAR places, a little beyond what is guaranteed. At similarity
+0.85 a pair exceeds MAX_DISTANCE with a chance of 8e-6, shares no key with one of about 7e-9, and
+exceeds NEAR with one of 1e-7: that is the link that can be lost.
+
+Equal sets are one node from the start. Each key's nodes are first held against the key's
+smallest node, a star that is linear in their number; each node is confirmed against the one it shares
+most keys with, which joins most copies. Where a key still holds nodes of different components, their
+signatures are compared in pairs of blocks, each a task of bounded size. Components that come within
+the distance form a family, whose full sets are compared in pairs of blocks; a task gives out only as
+many links as join what it found. Texts that share keys but are further apart cost no full set.
 """
 
 from __future__ import annotations
@@ -36,12 +39,14 @@ BITS = 16
 CHUNKS = 10
 #: Differing places within which every pair of signatures is found.
 MAX_DISTANCE = 2 * CHUNKS - 1
+#: Differing places up to which pairs that meet are confirmed.
+NEAR = 22
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Nodes of a block in which full sets are compared, hashes held as columns at a time, tasks that small families share.
+#: Nodes of a block in which signatures or full sets are compared, hashes held as columns at a time, rows of small groups that share a task.
 BLOCK = 512
 COLUMNS = 4096
-SMALL_TASKS = 256
+TASK_ROWS = 16_384
 _FACTORS = np.random.default_rng(5).integers(0, 2**64, (2, HASHES), np.uint64) | np.uint64(1)
 _PLACE = np.random.default_rng(6).integers(0, 2**64, SHINGLE, np.uint64) | np.uint64(1)
 
@@ -92,7 +97,8 @@ def _features(texts: list[str]) -> list:
     held = [i for i, s in enumerate(sets) if len(s)]
     marks = np.array([signature(sets[i]) for i in held], np.uint64).reshape(-1, HASHES)
     keys = dict(zip(held, chunk_keys(marks).astype(np.int64).tolist(), strict=True))
-    return [[len(s) for s in sets], [node_of(s) for s in sets], [keys.get(i) for i in range(len(sets))]]
+    signs = dict(zip(held, [m.astype("<u2").tobytes() for m in marks], strict=True))
+    return [[len(s) for s in sets], [node_of(s) for s in sets], [keys.get(i) for i in range(len(sets))], [signs.get(i) for i in range(len(sets))]]
 
 
 def node_of(hashes: np.ndarray) -> int | None:
@@ -175,6 +181,68 @@ def block_links(percent: int):
     return run
 
 
+def distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Places in which the signatures of two lists differ, as a matrix."""
+    out = np.zeros((len(left), len(right)), np.int16)
+    for place in range(left.shape[1]):
+        out += left[:, place, None] != right[None, :, place]
+    return out
+
+
+def _signs(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, HASHES)
+
+
+def close_pairs(pairs: DataFrame, signs: DataFrame) -> DataFrame:
+    """Those pairs (a, b) of nodes whose signatures lie within NEAR places."""
+    both = pairs.join(signs.select(F.col("node").alias("a"), F.col("sign").alias("sa")), "a").join(signs.select(F.col("node").alias("b"), F.col("sign").alias("sb")), "b")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            apart = (_signs(batch.column(2)) != _signs(batch.column(3))).sum(1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(apart <= NEAR))
+
+    return both.select("a", "b", "sa", "sb").mapInArrow(near, "a long, b long")
+
+
+def _block_pairs(rows: pa.Table) -> pa.Table:
+    """For the rows (key, side, root, sign) of a task: pairs of roots with nodes of one key within NEAR places, as few as join them."""
+    key, side, root = (rows.column(n).to_numpy() for n in ("key", "side", "root"))
+    sign, out = _signs(rows.column("sign")), ([], [])
+    order = np.argsort(key, kind="stable")
+    for group in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+        one = group[side[group] == 0]
+        two = group[side[group] == 1] if (side[group] == 1).any() else one
+        near = (distances(sign[one], sign[two]) <= NEAR) & (root[one][:, None] != root[two])
+        parent: dict[int, int] = {}
+        for i, j in zip(*np.nonzero(near), strict=True):
+            x, y = int(root[one[i]]), int(root[two[j]])
+            if _joined(parent, x, y):
+                out[0].append(x)
+                out[1].append(y)
+    return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+
+
+def roots_near(rooted: DataFrame, signs: DataFrame) -> DataFrame:
+    """Links (a, b) of different roots with nodes that share a key and lie within NEAR places, enough to join all such roots; from rows (key, node, root).
+
+    A key is cut into blocks of about BLOCK nodes by hash. Tasks are pairs of blocks; small keys share tasks, of which
+    there are as many as their rows ask for.
+    """
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("n")).filter("least <> most")
+    blocks = mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    held = stored(rooted.join(blocks, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")))
+    tasks = max(1, -(-held.filter("parts = 1").count() // TASK_ROWS))
+    # a row goes to the tasks that pair its block with each block of its key
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    dealt = held.select("key", "node", "root", "parts", "part", other)
+    low, high = F.least("part", "other"), F.greatest("part", "other")
+    task = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("key"), F.lit(tasks))).otherwise(F.xxhash64("key", low, high))
+    dealt = dealt.select("key", "node", "root", task.alias("task"), (F.col("part") > F.col("other")).cast("int").alias("side"))
+    met = dealt.join(signs, "node").select("key", "root", "side", "sign", "task")
+    return met.groupBy("task").applyInArrow(_block_pairs, "a long, b long").distinct()
+
+
 def star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) of nodes whose full sets are similar enough."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
@@ -215,7 +283,7 @@ def family_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     other = labels.select("family", F.col("major").alias("major2"), F.col("block").alias("block2"))
     # pairs of blocks, not of documents: few a family
     deals = labels.join(other, "family").filter((F.col("block") <= F.col("block2")) & (F.col("major").isNull() | F.col("major2").isNull() | (F.col("major") != F.col("major2"))))
-    bins = F.lit(SMALL_TASKS)
+    bins = F.lit(max(1, -(-members.count() // TASK_ROWS)))
     task = F.when(whole, F.pmod(F.xxhash64("family"), bins)).otherwise(F.xxhash64("family", "block", "block2"))
     deals = deals.select("family", "block", "block2", task.alias("task"))
     one = deals.select("family", "block", "task", F.lit(0).alias("side"))
@@ -235,24 +303,25 @@ def near_duplicates(df: DataFrame, key: str, text: str = "text", percent: int =
     empty table gives an empty one. Other columns are not read; keys named like results are
     refused. Nodes are 64-bit hashes of whole sets.
     """
-    keyed_texts(df, [key], text, ["n_shingles", "component_id", "kept", "node", "doc", "chunks"])
-    features = stored(map_texts(df, [key], text, {"n_shingles": "long", "node": "long", "chunks": "array<long>"}, lambda: _features))
+    keyed_texts(df, [key], text, ["n_shingles", "component_id", "kept", "node", "doc", "chunks", "sign"])
+    features = stored(map_texts(df, [key], text, {"n_shingles": "long", "node": "long", "chunks": "array<long>", "sign": "binary"}, lambda: _features))
     filled = features.filter("node IS NOT NULL")
     nodes = stored(filled.groupBy("node").agg(F.min(key).alias("doc")))
-    alike = filled.groupBy("node").agg(F.first("chunks").alias("chunks"))
-    rows = stored(alike.select(F.explode("chunks").alias("key"), "node"))
+    alike = filled.groupBy("node").agg(F.first(F.struct("chunks", "sign")).alias("f"))
+    alike = stored(alike.select("node", "f.*"))
+    signs, rows = alike.select("node", "sign"), stored(alike.select(F.explode("chunks").alias("key"), "node"))
     pivots = rows.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot <> last").select("key", "pivot")
-    stars = stored(rows.join(pivots, "key").filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
-
-    families = stored(components(stars).withColumnRenamed("root", "family"))
-    sets = stored(node_sets(families.join(nodes, "node").select("node", "doc"), df, key, text))
-    sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
-    large = families.join(sizes.filter(F.col("size") > BLOCK), "family").select(F.col("node").alias("a"))
-    first = stored(star_links(stars.join(large, "a"), sets, percent))
-    roots = components(first)
-    members = stored(families.join(roots, "node", "left").select("family", "node", F.coalesce("root", "node").alias("root")))
-    rest = stored(family_links(members, sets, percent))
-    roots = components(first.unionByName(rest))
+    shared = stored(rows.join(pivots, "key"))
+    met = shared.filter("node <> pivot").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("keys"))
+    best = met.groupBy("node").agg(F.max_by("pivot", F.struct("keys", "pivot")).alias("pivot"))
+    stars = stored(close_pairs(best.select(F.col("pivot").alias("a"), F.col("node").alias("b")), signs))
+
+    sets = stored(node_sets(shared.select("node").distinct().join(nodes, "node").select("node", "doc"), df, key, text))
+    first = stored(star_links(stars, sets, percent))
+    rooted = stored(shared.select("key", "node").join(components(first), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    families = components(roots_near(rooted, signs)).select(F.col("node").alias("root"), F.col("root").alias("family"))
+    members = stored(rooted.select("node", "root").distinct().join(families, "root").select("family", "node", "root"))
+    roots = components(first.unionByName(stored(family_links(members, sets, percent))))
     named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("doc").alias("component_id"))
     ids = stored(named.join(smallest, "root").select("node", "component_id"))

@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import keyed_texts, map_texts, slices, smallest_hashes
+from quire.llm.common import keyed_texts, map_texts, slices
 
 NGRAM = 3
 BUCKETS = 1 << 14
 #: Score below which a document is dropped; a clean text scores near or above 0.
 THRESHOLD = -0.3
-#: Trusted documents at most, by smallest seeded hash: bounds the broadcast of their ids.
-TRUSTED_LIMIT = 20_000
+#: Trusted ids up to which they are broadcast (about 32 MB); more of them meet the documents in a shuffle join.
+BROADCAST_IDS = 2_000_000
 SMOOTHING = 1.0
 SYMBOLS = "#*$%&|<>"
 _SPACE = " \t\n\v\f\r"
@@ -62,16 +62,16 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
     return len(words), chars, sum(map(text.count, SYMBOLS)), repeated, covered
 
 
-def trusted_ids(documents: DataFrame, labels: DataFrame, limit: int = TRUSTED_LIMIT) -> DataFrame:
-    """doc_id of documents labelled good: at most ``limit``, by smallest seeded hash."""
-    good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id", F.lit(1).alias("__all")).distinct()
-    return smallest_hashes(good, "__all", ["doc_id"], limit).select("doc_id")
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """doc_id of every document labelled good."""
+    return labels.filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
 
 
-def fit_ratio(documents: DataFrame, trusted: DataFrame, text: str = "text") -> np.ndarray:
-    """Log ratio of each bucket. Counts cover all documents; a task sends one row a bucket at most."""
+def fit_ratio(documents: DataFrame, trusted: DataFrame, text: str = "text", broadcast_ids: int = BROADCAST_IDS) -> np.ndarray:
+    """Log ratio of each bucket. Both counts cover all their documents; a task sends one row a bucket at most."""
     flags = trusted.select("doc_id", F.lit(True).alias("__trusted"))
-    joined = documents.select("doc_id", F.col(text)).join(F.broadcast(flags), "doc_id", "left")  # TRUSTED_LIMIT rows at most
+    flags = F.broadcast(flags) if flags.count() <= broadcast_ids else flags.hint("shuffle_merge")
+    joined = documents.select("doc_id", F.col(text)).join(flags, "doc_id", "left")
     source = keyed_texts(joined.select(F.coalesce("__trusted", F.lit(False)).alias("trusted"), text), ["trusted"], text, [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -47,7 +47,7 @@ def op1_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
-    trusted = quality_rules.trusted_ids(documents, table(spark, folder, "labels"))
+    trusted = quality_rules.trusted_ids(table(spark, folder, "labels"))
     return quality_rules.apply_rules(documents, quality_rules.fit_ratio(documents, trusted), ["doc_id"])
 
 

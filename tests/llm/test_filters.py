@@ -38,7 +38,7 @@ def test_rules_of_messy_rows(spark, messy):
     rows = quality_rules.apply_rules(messy.drop("kept"), np.zeros(quality_rules.BUCKETS), ["doc_id"]).collect()
     assert len(rows) == 12 and all(r.base_failed and not r.kept for r in rows if r.doc_id in (0, 1, 2))
     labels = spark.createDataFrame([(5, 1, 0), (None, 1, 0), (9, None, None)], "doc_id long, quality int, toxic int")
-    trusted = quality_rules.trusted_ids(messy, labels)
+    trusted = quality_rules.trusted_ids(labels)
     ratio = quality_rules.fit_ratio(messy, trusted)
     assert [r.doc_id for r in trusted.collect()] == [5] and np.isfinite(ratio).all() and ratio.any()
     assert not quality_rules.fit_ratio(messy.limit(0), trusted.limit(0)).any()
@@ -55,7 +55,8 @@ def test_ratio_counts_every_document(spark):
         counts[0] += held * (r.doc_id in good)
         counts[1] += held
     share = np.log((counts + 1) / (counts.sum(1, keepdims=True) + quality_rules.BUCKETS))
-    assert np.allclose(quality_rules.fit_ratio(documents, quality_rules.trusted_ids(documents, labels)), share[0] - share[1])
+    for most in (quality_rules.BROADCAST_IDS, 0):  # ids broadcast, ids shuffled
+        assert np.allclose(quality_rules.fit_ratio(documents, quality_rules.trusted_ids(labels), broadcast_ids=most), share[0] - share[1])
 
 
 def test_junk_goes_and_clean_stays(spark):

@@ -115,6 +115,30 @@ def test_near_duplicates_by_brute_force(spark, monkeypatch, block):
     assert all(r.kept == (r.doc_id == r.component_id) for r in rows)
 
 
+def test_signatures_are_held_against_each_other():
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 4, (30, near_duplicates.HASHES)).astype("<u2")
+    b = rng.integers(0, 4, (20, near_duplicates.HASHES)).astype("<u2")
+    assert (near_duplicates.distances(a, b) == (a[:, None] != b[None]).sum(2)).all()
+
+
+def test_templated_texts_read_no_full_set(spark, monkeypatch):
+    """Texts that share a template (similarity about 0.3) share keys, but hardly any lies near another: no family of them arises."""
+    seen = {}
+    for name in ("roots_near", "close_pairs", "family_links"):
+        made = getattr(near_duplicates, name)
+        monkeypatch.setattr(near_duplicates, name, lambda *a, made=made, name=name: seen.setdefault(name, made(*a)))
+    rng = random.Random(2)
+    body = [f"t{i}" for i in range(90)]
+    texts = [" ".join([f"x{rng.random()}" for _ in range(50)] + body + [f"y{rng.random()}" for _ in range(50)]) for _ in range(1500)]
+    texts += [texts[7], texts[7] + " end", texts[9].replace("t5 ", "t6 ")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = near_duplicates.near_duplicates(df, "doc_id").collect()
+    assert {r.doc_id: r.component_id for r in rows if not r.kept} == {1500: 7, 1501: 7, 1502: 9}
+    assert seen["close_pairs"].count() <= 3 and seen["roots_near"].count() < 50
+    assert near_duplicates.components(seen["roots_near"]).groupBy("root").count().agg(F.max("count")).first()[0] < 10
+
+
 def test_near_duplicates_of_messy_rows(spark, messy):
     rows = near_duplicates.near_duplicates(messy.drop("kept"), "doc_id").collect()
     assert len(rows) == 12 and {r.component_id for r in rows if r.doc_id in (6, 7)} == {6} and sum(r.kept for r in rows if r.component_id == 6) == 3
