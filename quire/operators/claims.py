@@ -388,15 +388,15 @@ def largest_bundle(batches: DataFrame, chunks: DataFrame, doc: str = "doc") -> D
     return sized.groupBy(doc, "batch_number").agg(F.sum("chars").alias("chars")).groupBy(doc).agg(F.max("chars").alias("largest_bundle_chars"))
 
 
-def severity_floor(claim_id: Column, text: Column, context: Column, claim_type: Column) -> Column:
-    """HIGH for listed claims and risky wording, else null."""
+def severity_floor(claim_id: Column, text: Column, context: Column, claim_type: Column, high_risk: list[str] = HIGH_RISK_IDS) -> Column:
+    """HIGH for listed claims and risky wording, else null (G15). ``high_risk`` names claims of the book at hand."""
     words = F.concat_ws(" ", text, context, claim_type)
     risky = words.rlike(rf"(?iu){T.WORD_BEFORE}(?:{HIGH_RISK_WORDS}){T.WORD_AFTER}")
-    return F.when(claim_id.isin(HIGH_RISK_IDS) | risky, F.lit("HIGH"))
+    return F.when(claim_id.isin(high_risk) | risky, F.lit("HIGH"))
 
 
-def apply_severity_floor(results: DataFrame) -> DataFrame:
-    floor = severity_floor(F.col("claim_id"), F.col("claim_text"), F.coalesce("context", F.lit("{}")), F.col("claim_type"))
+def apply_severity_floor(results: DataFrame, high_risk: list[str] = HIGH_RISK_IDS) -> DataFrame:
+    floor = severity_floor(F.col("claim_id"), F.col("claim_text"), F.coalesce("context", F.lit("{}")), F.col("claim_type"), high_risk)
     raised = floor.isNotNull() & (F.col("model_severity") != "HIGH")
     return results.withColumn("severity", F.coalesce(floor, F.col("model_severity"))).withColumn(
         "severity_floor_applied", F.coalesce(raised, F.lit(False))

@@ -90,22 +90,21 @@ def blocks_of(rows: DataFrame, keys: list[str], width: int) -> DataFrame:
     return rows.select(*block, "__v").groupBy(*block).applyInArrow(sums, schema)
 
 
-def block_pairs(queries: DataFrame, blocks: DataFrame, keys: list[str], width: int) -> DataFrame:
+def block_pairs(queries: DataFrame, blocks: DataFrame, keys: list[str], width: int, sizes: tuple[int, int]) -> DataFrame:
     """(query columns, __pivot, __part) of the blocks that a query must read.
 
     queries: (query_id, __q, *keys, best, seen_pivot, seen_part). Without ``best`` (null) that is the block of the nearest
     centre among those that meet the query in one task; with it, every block but the seen one that may hold a score
-    of ``best`` or more.
+    of ``best`` or more. ``sizes`` counts the queries and the blocks: each side is dealt to as many packs as they ask for, and
+    all packs of a scope meet.
     """
     columns = queries.columns
     schema = Ty.StructType([*queries.schema, *Ty._parse_datatype_string("__pivot int, __part int, gap double")])
-    packed_queries = _dealt(queries, keys, QUERY_ROWS, F.xxhash64("query_id"), "__qp").withColumnRenamed("__parts", "__qs")
-    packed_blocks = _dealt(blocks, keys, CENTRES, F.xxhash64("__pivot", "__part"), "__bp").withColumnRenamed("__parts", "__bs")
-    sizes = packed_queries.select(*keys, "__qs").distinct().join(packed_blocks.select(*[F.col(k).alias(f"__s_{k}") for k in keys], "__bs").distinct(), _same(keys, "__s_")).drop(*[f"__s_{k}" for k in keys])
-    sizes = sizes.select(*[F.col(k).alias(f"__z_{k}") for k in keys], F.col("__qs").alias("__zq"), F.col("__bs").alias("__zb"))
-    spread = lambda rows, name, count: rows.join(sizes, _same(keys, "__z_")).withColumn(name, F.explode(F.sequence(F.lit(0), F.col(count) - 1)))
-    left = spread(packed_queries, "__bp", "__zb").select(*queries.columns, "__qp", "__bp")
-    right = spread(packed_blocks, "__qp", "__zq").select(*blocks.columns, "__qp", "__bp")
+    query_packs, block_packs = (max(1, -(-n // size)) for n, size in zip(sizes, (QUERY_ROWS, CENTRES)))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    pack = lambda by, n: F.pmod(by, F.lit(n)).cast("int")
+    left = queries.select(*columns, pack(F.xxhash64("query_id"), query_packs).alias("__qp"), all_of(block_packs).alias("__bp"))
+    right = blocks.select(*blocks.columns, all_of(query_packs).alias("__qp"), pack(F.xxhash64("__pivot", "__part"), block_packs).alias("__bp"))
 
     def meet(q: pa.Table, b: pa.Table) -> pa.Table:
         rows, found, gaps = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
@@ -181,11 +180,12 @@ def exact_top_k(nodes: DataFrame, queries: DataFrame, k: int, keys: list[str]) -
     blocks = written(blocks_of(rows, keys, width), "blocks")
     none = lambda kind: F.lit(None).cast(kind)
     start = asked.filter(fit).select("query_id", *keys, "__q", none("double").alias("best"), none("int").alias("seen_pivot"), none("int").alias("seen_part"))
-    nearest = top_n(block_pairs(start, blocks, keys, width), ["query_id"], [F.asc("gap"), F.asc("__pivot"), F.asc("__part")], 1)
+    sizes = start.count(), blocks.count()
+    nearest = top_n(block_pairs(start, blocks, keys, width, sizes), ["query_id"], [F.asc("gap"), F.asc("__pivot"), F.asc("__part")], 1)
     nearest = written(nearest.select("query_id", *keys, "__q", F.col("__pivot"), F.col("__part")), "nearest")
     near = written(block_scores(nearest, rows, keys, width, k), "near")
     least = top_n(near, ["query_id"], ranked, k).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
     least = least.select(F.col("query_id").alias("__id"), F.when(F.col("n") >= k, F.col("least")).otherwise(F.lit(-1.0)).alias("best"))
     again = nearest.join(least, F.col("query_id") == F.col("__id")).select("query_id", *keys, "__q", "best", F.col("__pivot").alias("seen_pivot"), F.col("__part").alias("seen_part"))
-    far = block_scores(block_pairs(again, blocks, keys, width), rows, keys, width, k)
+    far = block_scores(block_pairs(again, blocks, keys, width, sizes), rows, keys, width, k)
     return top_n(near.unionByName(far).unionByName(unscored), ["query_id"], ranked, k)

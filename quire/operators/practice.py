@@ -29,12 +29,14 @@ def _dec(value: Column) -> Column:
 
 
 def gcd(a: Column, b: Column) -> Column:
-    """Greatest common divisor by Euclid's steps; 90 of them settle any 18-digit pair."""
-    start = F.struct(F.abs(a).cast("decimal(38,0)").alias("a"), F.abs(b).cast("decimal(38,0)").alias("b"))
-    step = lambda s, _: F.when(s["b"] == 0, s).otherwise(
-        F.struct(s["b"].alias("a"), (s["a"] % s["b"]).cast("decimal(38,0)").alias("b"))
-    )
-    return F.aggregate(F.sequence(F.lit(1), F.lit(90)), start, step)["a"]
+    """Greatest common divisor by Euclid's steps: five for each digit of the smaller number settle any pair."""
+    def settled(kind: str) -> Column:
+        x, y = F.abs(a).cast("decimal(38,0)").try_cast(kind), F.abs(b).cast("decimal(38,0)").try_cast(kind)
+        steps = 5 * F.length(F.least(x, y).cast("string")) + 2
+        step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % s["b"]).cast(kind).alias("b")))
+        return F.aggregate(F.sequence(F.lit(1), steps), F.struct(x.alias("a"), y.alias("b")), step)["a"].cast("decimal(38,0)")
+
+    return F.coalesce(settled("bigint"), settled("decimal(38,0)"))
 
 
 def parse_number(text: Column) -> Column:

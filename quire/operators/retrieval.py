@@ -19,6 +19,7 @@ FLAT_DESCENDANT_WORDS = [
     "add", "ask", "break", "choose", "define", "describe", "design", "evaluate", "give", "include", "iterate",
     "keep", "organize", "provide", "separate", "specify", "test", "use", "version", "write",
 ]
+FALLBACK_CANDIDATES, FALLBACK_CHUNKS = 10, 5
 # ---------------------------------------------------------------------------
 
 
@@ -232,6 +233,35 @@ def scope_consistency(rows: DataFrame, lesson_fields: DataFrame) -> DataFrame:
     return joined.select("lesson_id", "source_pdf", F.when(code.isNull(), chosen).alias("chapter_number"), code.alias("code"))
 
 
+def fallback_retrieval(
+    requests: DataFrame, sources: DataFrame, nodes: DataFrame, chunks: DataFrame, candidates: int = FALLBACK_CANDIDATES, n: int = FALLBACK_CHUNKS
+) -> DataFrame:
+    """New chunks for questions that a lesson's own chunks do not answer, as one plan.
+
+    requests: (request_id, query_vector, resolved_chapter, filter_chapter); sources: (request_id, place, node_id, source_pdf,
+    chapter_number), the lesson's chunks as it and the chunk file (place ``clean``) know them; nodes: (node_id, embedding,
+    source_pdf, chapter_number); chunks: (node_id, text). A lesson must name one document and one chapter;
+    that chapter's nearest ``candidates`` are read in order until ``n`` new ones are taken, and their texts are looked up.
+    Returns (request_id, position, node_id, score, text, code): a row a chunk, or one row of position 0 with the first fault.
+    """
+    lessons = requests.select(F.col("request_id").alias("lesson_id"), "resolved_chapter", "filter_chapter")
+    scope = scope_consistency(sources.withColumnRenamed("request_id", "lesson_id"), lessons).withColumnRenamed("lesson_id", "request_id")
+    good = scope.filter("code IS NULL").select("request_id", "source_pdf", "chapter_number")
+    asked = requests.join(good, "request_id").select(F.col("request_id").alias("query_id"), "query_vector", "chapter_number")
+    number = T.int_or_null("chapter_number")
+    near = similarity_top_k(nodes.select("node_id", "embedding", number.alias("chapter_number")), asked, candidates, ["chapter_number"])
+    named = near.join(nodes.select("node_id", "source_pdf"), "node_id").select(F.col("query_id").alias("request_id"), "rank", F.col("node_id").cast("string").alias("node_id"), "source_pdf", "chapter_number", "score")
+    expected = good.select("request_id", F.col("source_pdf").alias("want_pdf"), F.col("chapter_number").alias("want_chapter"))
+    used = sources.select("request_id", F.col("node_id").cast("string").alias("node_id")).distinct()
+    chosen = fallback_candidates(named.drop("score"), used, expected, n)
+    taken = chosen.filter("position > 0")
+    texts = lookup_by_id(taken.select("request_id", F.col("position").alias("ord"), "node_id"), chunks.select(F.col("node_id").cast("string").alias("node_id"), "text"))
+    scores = named.groupBy("request_id", "node_id").agg(F.max("score").alias("score"))
+    found = texts.join(scores, ["request_id", "node_id"]).select("request_id", F.col("ord").alias("position"), "node_id", "score", "text", "code")
+    fault = lambda df, node: df.select("request_id", F.lit(0).alias("position"), node.cast("string").alias("node_id"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("text"), "code")
+    return found.unionByName(fault(chosen.filter("position = 0"), F.col("node_id"))).unionByName(fault(scope.filter("code IS NOT NULL"), F.lit(None)))
+
+
 def pack_context(
     chunks: DataFrame, keys: list[str], order: list[str], max_chars: int, tile: Column | None = None
 ) -> DataFrame:

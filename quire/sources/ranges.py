@@ -190,6 +190,8 @@ class RangeReader(DataSourceReader):
 
 
 def _step(spark: SparkSession, step: str, ranges: list[Range]) -> DataFrame:
+    if not ranges:
+        return spark.createDataFrame([], "file string, at long, value string")
     spark.dataSource.register(RangeSource)
     fields = [[r.path, r.start, r.end, r.size, r.state, r.depth, r.first, r.last, r.level, r.ord] for r in ranges]
     return spark.read.format(FORMAT).option("step", step).option("ranges", json.dumps(fields)).load()

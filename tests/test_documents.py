@@ -1,5 +1,6 @@
 """Leaves of nested JSON and byte-range scans, against plain Python."""
 
+import hashlib
 import json
 import random
 
@@ -8,7 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import json_tree
+from quire.operators import claims as L
 from quire.operators import quality as Q
+from quire.operators import retrieval as R8
 from quire.sources import chunks as Ch
 from quire.sources import ranges as R
 from quire.sources.scratch import write_json_arrays
@@ -155,3 +158,71 @@ def test_written_arrays_are_json(spark, tmp_path):
     assert sorted(x["id"] for part in held for x in part) == list(range(1000))
     assert R.scan_elements(spark, f"{tmp_path}/none").count() == 0
     assert np.unique([r.ord for r in R.scan_elements(spark, f"{tmp_path}/out", 500).collect()]).tolist() == list(range(max(map(len, held))))
+
+
+# -- canonical text, whole books, fallback retrieval -----------------------------------------------------------------------
+
+
+def scrambled(value, rng: random.Random):
+    """The same value with the keys of its objects in another order."""
+    if isinstance(value, dict):
+        items = list(value.items())
+        rng.shuffle(items)
+        return {k: scrambled(v, rng) for k, v in items}
+    return [scrambled(v, rng) for v in value] if isinstance(value, list) else value
+
+
+def test_canonical_text_equals_sorted_compact_json(spark):
+    rng = random.Random(9)
+    values = [nested(rng, 5) for _ in range(60)] + [{"t": "\x0b\x1f\x00\n\t\"\\u000B \\", "b": {"z": 1, "a": [3, 2, {"y": 0, "x": 0}]}, "ä": "é中😀", "content_hash": "old"}, {"content_hash": 1}, {}]
+    rows = [(i, json.dumps(scrambled(v, rng), indent=i % 3 or None, ensure_ascii=i % 2 == 0)) for i, v in enumerate(values)] + [(900, None), (901, "{no")]
+    df = spark.createDataFrame(rows, "id long, json string")
+    plain = lambda v: json.dumps(v, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    got = {r.id: r.c for r in df.select("id", json_tree.canonical("json").alias("c")).collect()}
+    assert got == {i: plain(v) for i, v in enumerate(values)} | {900: None, 901: None}
+    objects = df.filter("id >= 60")
+    less = {r.id: r.c for r in objects.select("id", json_tree.canonical("json", ["content_hash"]).alias("c")).collect()}
+    assert less == {60: plain({k: v for k, v in values[60].items() if k != "content_hash"}), 61: "{}", 62: "{}", 900: None, 901: None}
+    one = objects.filter("id = 60").select(json_tree.canonical_digest("json").alias("d")).first().d
+    assert one == hashlib.sha256(plain(values[60]).encode()).hexdigest()
+
+
+def test_chapters_stand_in_three_places(spark):
+    chapter = lambda n: {"chapter_number": n, "learning_objectives": [f"o{n}"]}
+    books = {
+        "a": {"generation": {}, "learning_materials": {"summary": "S", "chapters": [chapter(1)], "chapter_packages": [chapter(2)]}, "chapter_packages": [chapter(3)]},
+        "b": {"generation": {}, "learning_materials": {"chapters": "none", "chapter_packages": [chapter(2), chapter(4)]}, "chapter_packages": [chapter(3)]},
+        "c": {"learning_materials": {}, "chapter_packages": [chapter(3), "odd"]}, "d": {"generation": {}}, "e": {"generation": 1, "learning_materials": {"chapters": []}, "chapter_packages": [chapter(5)]},
+        "f": {"generation": {}, "chapter_packages": [chapter(6)]},
+    }
+    df = spark.createDataFrame([(k, json.dumps(v)) for k, v in books.items()], "doc string, book string")
+    got = sorted((r.doc, r.claim_id, r.json_path) for r in L.whole_book_claims(df).collect())
+    path = lambda root, i: f"$.{root}[{i}].learning_objectives[0]"
+    assert got == [
+        ("a", "book.summary", "$.learning_materials.summary"), ("a", "chapter_01.learning_objectives.0", path("learning_materials.chapters", 0)),
+        ("b", "chapter_02.learning_objectives.0", path("learning_materials.chapter_packages", 0)), ("b", "chapter_04.learning_objectives.0", path("learning_materials.chapter_packages", 1)),
+        ("c", "chapter_03.learning_objectives.0", path("chapter_packages", 0)), ("f", "chapter_06.learning_objectives.0", path("chapter_packages", 0)),
+    ]
+    assert sorted((r.doc, r.code) for r in L.book_problems(df).collect()) == [("c", "CHAPTER_NOT_AN_OBJECT"), ("c", "NO_GENERATION"), ("d", "NO_MATERIALS"), ("e", "NO_GENERATION")]
+
+
+def fallback(spark, nodes, sources, chunks):
+    requests = spark.createDataFrame([("r", [1.0, 0.0], None, None)], "request_id string, query_vector array<double>, resolved_chapter int, filter_chapter int")
+    n = spark.createDataFrame(nodes, "node_id string, embedding array<double>, source_pdf string, chapter_number int")
+    s = spark.createDataFrame(sources, "request_id string, place string, node_id string, source_pdf string, chapter_number int")
+    c = spark.createDataFrame(chunks, "node_id string, text string")
+    return [(r.position, r.node_id, r.text, r.code) for r in sorted(R8.fallback_retrieval(requests, s, n, c).collect(), key=lambda r: r.position)]
+
+
+def test_fallback_takes_new_chunks_in_order(spark):
+    at = lambda a: [1.0 - a, a]
+    nodes = [(f"n{i}", at(i / 50), "a.pdf", 6) for i in range(12)] + [("x", at(0.0), "a.pdf", 5)]
+    chunks = [(f"n{i}", " " if i == 3 else f"t{i}") for i in range(12) if i != 5]
+    own = [("r", "source", "n0", "a.pdf", 6), ("r", "clean", "n0", "a.pdf", 6), ("r", "source", "n2", "a.pdf", 6)]
+    assert fallback(spark, nodes, own, chunks) == [(1, "n1", "t1", None), (2, "n3", " ", "blank_text"), (3, "n4", "t4", None), (4, "n5", None, "missing"), (5, "n6", "t6", None)]
+    other = [(i, v, "b.pdf" if i == "n4" else p, c) for i, v, p, c in nodes]
+    assert fallback(spark, other, own, chunks) == [(0, "n4", None, "wrong_document")]
+    late = [(i, v, "b.pdf" if i == "n7" else p, c) for i, v, p, c in nodes]
+    assert [r[0] for r in fallback(spark, late, own, chunks)] == [1, 2, 3, 4, 5]
+    assert fallback(spark, nodes, [*own, ("r", "source", "n9", "b.pdf", 6)], chunks) == [(0, None, None, "no_single_document")]
+    assert fallback(spark, nodes, [*own, ("r", "clean", "n9", "a.pdf", 7)], chunks) == [(0, None, None, "several_chapters")]

@@ -37,7 +37,7 @@ def test_top_k_equals_brute_force(spark, monkeypatch, scope):
         monkeypatch.setattr(N, name, size)
     rng = np.random.default_rng(4)
     nodes = {i: (rng.integers(-2, 3, 6).astype(float).tolist(), f"s{i % 3}") for i in range(220)}
-    nodes |= {300 + i: (nodes[i][0], "s0") for i in range(30)} | {400: ([0.0] * 6, "s0"), 401: (None, "s1"), 402: ([1.0, None, 0, 0, 0, 0], "s0"), 403: ([1.0], "s0"), 404: ([1e200] * 6, "s0"), 405: ([1e-200] * 6, "s1"), 406: ([2.0] * 6, "lonely")}
+    nodes |= {300 + i: (nodes[i][0], "s0") for i in range(30)} | {400: ([0.0] * 6, "s0"), 401: (None, "s1"), 402: ([1.0, None, 0.0, 0.0, 0.0, 0.0], "s0"), 403: ([1.0], "s0"), 404: ([1e200] * 6, "s0"), 405: ([1e-200] * 6, "s1"), 406: ([2.0] * 6, "lonely")}
     queries = {i: (rng.integers(-2, 3, 6).astype(float).tolist(), f"s{i % 4}") for i in range(25)} | {50: ([0.0] * 6, "s0"), 51: (None, "s1"), 52: ([1.0] * 6, "lonely"), 53: ([float("nan")] * 6, "s0")}
     n = spark.createDataFrame([(k, v, s) for k, (v, s) in nodes.items()], "node_id long, embedding array<double>, scope string")
     q = spark.createDataFrame([(k, v, s) for k, (v, s) in queries.items()], "query_id long, query_vector array<double>, scope string")
