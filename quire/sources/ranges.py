@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as Ty
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-#: Bytes of a range, of a look back for a key, and of a step past a range's end.
+#: Bytes of a range, of a range that grows with its files, of a look back for a key, and of a step past a range's end.
 RANGE_BYTES = 64 << 20
+GROWN_BYTES = 8 << 20
 LOOK_BACK = 64
 READ_ON = 1 << 16
 OUTSIDE, INSIDE, ESCAPED = 0, 1, 2
@@ -183,7 +184,8 @@ class RangeReader(DataSourceReader):
         self.step, self.ranges = options["step"], json.loads(options["ranges"])
 
     def partitions(self) -> list[InputPartition]:
-        return [Range(*fields) for fields in self.ranges]
+        ranges, self.ranges = self.ranges, []  # the reader goes to every task: it takes its own range only
+        return [Range(*fields) for fields in ranges]
 
     def read(self, partition: Range) -> Iterator[tuple]:
         yield from _STEPS[self.step](partition)
@@ -197,6 +199,11 @@ def _step(spark: SparkSession, step: str, ranges: list[Range]) -> DataFrame:
     return spark.read.format(FORMAT).option("step", step).option("ranges", json.dumps(fields)).load()
 
 
+def _range_bytes(total: int, least: int, tasks: int) -> int:
+    """At least ``least``, and up to ``GROWN_BYTES`` where files are so large that each of ``tasks`` still has a range to read."""
+    return max(least, min(GROWN_BYTES, total // max(tasks, 1)))
+
+
 def byte_ranges(files: list[tuple[str, int]], range_bytes: int = RANGE_BYTES) -> list[Range]:
     return [Range(path, a, min(a + range_bytes, size), size) for path, size in files for a in range(0, size, range_bytes)]
 
@@ -265,15 +272,17 @@ def scan_elements(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES
 
     Files are listed by Spark and read by range through pyarrow's file systems (local, HDFS, object
     stores). A file that ends inside a string or brackets gives no rows; an element that is
-    no JSON does not spoil the others. Blank elements are left out.
+    no JSON does not spoil the others. Blank elements are left out. ``range_bytes`` is the least size of a range:
+    large inputs are read in larger ones, a few for every core.
     """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length").collect()  # names and sizes, no content
-    ranges = byte_ranges(sorted((r.path if "://" in r.path else r.path.replace("file:", "file://"), r.length) for r in listed), range_bytes)
+    size = _range_bytes(sum(r.length for r in listed), range_bytes, 4 * spark.sparkContext.defaultParallelism)
+    ranges = byte_ranges(sorted((r.path if "://" in r.path else r.path.replace("file:", "file://"), r.length) for r in listed), size)
     sums: dict = {}
-    for row in _step(spark, "sums", ranges).toLocalIterator():  # three small rows a range
+    for row in _step(spark, "sums", ranges).collect():  # three small rows a range, all ranges in one job
         state, end, change = json.loads(row.value)
         sums.setdefault((row.file, row.at), {})[state] = (end, change)
     ranges, broken = _with_states(ranges, sums)
-    events = {(row.file, row.at): json.loads(row.value) for row in _step(spark, "events", [r for r in ranges if r.path not in broken]).toLocalIterator()}
+    events = {(row.file, row.at): json.loads(row.value) for row in _step(spark, "events", [r for r in ranges if r.path not in broken]).collect()}
     held = _located([r for r in ranges if r.path not in broken], events)
     return _step(spark, "elements", held).selectExpr("file", "at AS ord", "value AS raw")

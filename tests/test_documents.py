@@ -150,6 +150,25 @@ def test_one_file_gives_many_tasks_with_equal_rows(spark, tmp_path):
     assert sorted(map(str, got.select(same).collect())) == sorted(map(str, whole.select(same).collect())) and got.count() == 400
 
 
+def test_ranges_are_read_in_one_job_a_step(spark, tmp_path):
+    """A scan of many ranges is a few jobs, whatever their number, and the task's reader does not carry all ranges."""
+    (tmp_path / "big.json").write_text(json.dumps([{"node_id": f"n{i}", "text": "x" * 50} for i in range(2000)]))
+    spark.sparkContext.setJobGroup("ranges", "")
+    rows = R.scan_elements(spark, str(tmp_path), 1 << 10)
+    spark.sparkContext.setJobGroup("", "")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("ranges")) < 10
+    assert rows.count() == 2000 and rows.rdd.getNumPartitions() > 10
+    reader = R.RangeReader({"step": "sums", "ranges": "[[\"f\", 0, 1, 1], [\"f\", 1, 2, 2]]"})
+    assert len(reader.partitions()) == 2 and not reader.ranges
+
+
+def test_ranges_grow_with_their_files():
+    assert R._range_bytes(1 << 20, 4096, 16) == 1 << 16
+    assert R._range_bytes(1000, 4096, 16) == 4096
+    assert R._range_bytes(1 << 40, 4096, 16) == R.GROWN_BYTES
+    assert R._range_bytes(1 << 40, 64 << 20, 16) == 64 << 20
+
+
 def test_written_arrays_are_json(spark, tmp_path):
     df = spark.range(1000).select(F.to_json(F.struct("id", F.lit('a"\n,]').alias("t"))))
     write_json_arrays(df.repartition(7), f"{tmp_path}/out")
