@@ -180,3 +180,14 @@ def test_working_with_long_tokens(spark):
     df = spark.createDataFrame(rows, "response string, answer_num string, answer_den string, working_tokens array<string>, working_min int, question_values array<string>")
     got = [(r.answer_shown, r.working_shown) for r in M.check_working(df).collect()]
     assert got == [(True, True), (True, True), (False, False), (True, False)]
+
+
+def test_page_offset_carries_no_text_in_ids(spark, monkeypatch):
+    """A word's row holds its line's place, not the line; lines that share a place are all tried."""
+    seen = {}
+    found = S.find_patterns
+    monkeypatch.setattr(S, "find_patterns", lambda p, t, scope: seen.setdefault("hit", found(p, seen.setdefault("texts", t), scope)))
+    contents = spark.createDataFrame([("d", 1, "Two words here", 9)], "doc string, position long, title string, printed int")
+    lines = spark.createDataFrame([("d", 3, 1, "# other line"), ("d", 3, 1, "# two words here"), ("d", 5, 2, "# two words here")], "doc string, page int, line_no int, line string")
+    assert S.page_offset(contents, lines).first()["offset"] == 6
+    assert "norm" not in seen["texts"].schema["text_id"].dataType.names
