@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.functions.ordered import first_per_key, salted_join
+from quire.functions.ordered import first_per_key, read_once, salted_join
 from quire.operators import audits as A
 from quire.operators import claims as L
 from quire.operators import concepts as C
@@ -477,3 +477,22 @@ def test_append_only_merge_loses_nothing(spark):
     assert P.lost_elements(stored, merged, ["p"], "name").count() == 0
     none = P.append_only_merge(stored, stored, ["p"], "name", "ord")[1].first()
     assert none.refused and none.added == 0
+
+
+def test_read_once_reads_its_input_once(spark):
+    """Two uses of other columns read one exchange; no part of the filter goes below it."""
+    df = read_once(spark.range(100).select("id", F.concat(F.lit("v"), F.col("id") % 7).alias("v"), (F.col("id") % 3).alias("w")), "id")
+    both = df.groupBy("id").agg(F.max("v").alias("m")).join(df.select("id", "w").hint("merge"), "id")
+    assert both.count() == 100
+    both.collect()
+    plan = both._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ReusedExchange" in plan
+
+
+def test_bank_of_one_skill_is_spread(spark):
+    """Each pair once, in order, from a join that deals a skill's concepts over tasks."""
+    concepts = spark.createDataFrame([(i, 1, " a ") for i in range(40)], "concept_key long, chapter_number int, skill string")
+    items = spark.createDataFrame([(i, "a", 1) for i in range(12)], "id long, skill string, chapter int")
+    bank, refused = P.exercise_bank(concepts, items)
+    assert [(r.concept_key, r.id) for r in bank.collect()] == sorted(((c, i) for c in range(40) for i in range(12)), key=lambda r: (r[0], str(r[1])))
+    assert refused.count() == 0 and all(w in bank._jdf.queryExecution().optimizedPlan().toString() for w in ("__salt", "RepartitionByExpression"))
