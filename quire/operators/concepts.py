@@ -99,13 +99,17 @@ def match_concepts(
         .join(candidates.select("key", *scope, F.col("vocab").alias("__cv")), ["key", *scope])
         .join(sentences.select("sentence_id", F.size("vocab").alias("__sn")), "sentence_id")
     )
-    shared = F.filter("__ws", lambda s: F.array_contains("__cv", s["w"]))
-    scored = full.select(
+    # words in common by hash first, then their entries; found once a pair, for four columns and the threshold read them
+    full = full.withColumn("__hit", F.array_intersect(F.transform("__ws", lambda s: s["w"]), "__cv"))
+    shared = F.filter("__ws", lambda s: F.array_contains("__hit", s["w"]))
+    sizes = {"__sn": F.col("__sn"), "__cn": F.size("__cv")}
+    found = T.pinned(T.pinned(full, ["sentence_id", *scope, "key", "__ws"], {**sizes, "__hit": F.col("__hit")}), ["sentence_id", *scope, "key"], {"__sn": F.col("__sn"), "__cn": F.col("__cn"), "__shared": shared})
+    scored = found.select(
         "sentence_id", *scope, "key",
-        F.aggregate(shared, F.lit(0.0), lambda a, s: a + F.lit(1.0) / s["n"]).alias("score"),
-        F.array_sort(F.transform(shared, lambda s: s["w"])).alias("matched_on"),
-        (F.size(shared) / F.col("__sn")).alias("of_sentence"),
-        (F.size(shared) / F.size("__cv")).alias("of_candidate"),
+        F.aggregate("__shared", F.lit(0.0), lambda a, s: a + F.lit(1.0) / s["n"]).alias("score"),
+        F.array_sort(F.transform("__shared", lambda s: s["w"])).alias("matched_on"),
+        (F.size("__shared") / F.col("__sn")).alias("of_sentence"),
+        (F.size("__shared") / F.col("__cn")).alias("of_candidate"),
     )
     rounded = [F.round(c, RANK_DIGITS).alias(c) for c in ("score", "of_sentence", "of_candidate")]
     return scored.select("sentence_id", *scope, "key", "matched_on", *rounded).filter(F.col("score") >= threshold)
