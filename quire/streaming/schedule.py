@@ -129,25 +129,42 @@ FIELDS = ["level", "due_at", "introduced_at", "last_studied_at", "times_seen", "
 NEW = dict(zip(FIELDS, [0, None, None, None, 0, 0, 0, None]))
 
 
-def _update(key, batches: Iterator[pd.DataFrame], group_state) -> Iterator[pd.DataFrame]:
-    state = dict(zip(FIELDS, group_state.get)) if group_state.exists else dict(NEW)
-    answers = sorted((i, t, bool(c)) for b in batches for t, i, c in zip(b["time"], b["attempt_id"], b["correct"]))
-    for _, time, right in answers:
-        apply_answer(state, right, float(time))
-    group_state.update(tuple(state[f] for f in FIELDS))
-    yield pd.DataFrame([[key[0], key[1], *[state[f] for f in FIELDS]]], columns=["learner", "item_id", *FIELDS])
+GROUPED = ", ".join(f"{name} array<{kind}>" for name, kind in (part.split() for part in STATE_SCHEMA.split(", "))) + ", groups int"
 
 
-def schedule_stream(attempts: DataFrame) -> DataFrame:
+def _update(key, batches: Iterator[pd.DataFrame], group_state) -> Iterator[pd.DataFrame]:
+    """One group of pairs: its answers in id order, each applied to the state of its own pair."""
+    groups, held = key[1], {}
+    if group_state.exists:
+        *columns, kept = group_state.get
+        if kept != groups:
+            raise ValueError(f"the stream keeps its states in {kept} groups, not {groups}")
+        held = {(learner, item): state for learner, item, *state in zip(*columns)}
+    answers: dict = {}
+    for b in batches:
+        for learner, item, time, i, c in zip(b["learner"], b["item_id"], b["time"], b["attempt_id"], b["correct"]):
+            answers.setdefault((learner, item), []).append((i, time, bool(c)))
+    for pair, found in answers.items():
+        state = dict(zip(FIELDS, held[pair])) if pair in held else dict(NEW)
+        for _, time, right in sorted(found):
+            apply_answer(state, right, float(time))
+        held[pair] = [state[f] for f in FIELDS]
+    group_state.update((*map(list, zip(*[(*pair, *state) for pair, state in held.items()])), groups))
+    yield pd.DataFrame([[*pair, *held[pair]] for pair in answers], columns=["learner", "item_id", *FIELDS])
+
+
+def schedule_stream(attempts: DataFrame, groups: int = 4096) -> DataFrame:
     """Changed states of a stream of answers, keyed by (learner, item).
 
     attempts: (learner string, item_id string, time double, attempt_id long, correct boolean), a log whose ids grow from
     batch to batch. Inside a micro-batch the answers of a key are put in id order first; size the source's
-    trigger (files or offsets per batch) to bound them.
+    trigger (files or offsets per batch) to bound them. Keys are dealt to ``groups`` by a hash and a group's states are kept
+    together, for a call of Python per key costs far more than a key's answers; a batch rewrites the groups it touches. A
+    checkpoint holds to its number of groups.
     """
-    kept = ", ".join(part.strip() for part in STATE_SCHEMA.split(",")[2:])
-    return attempts.groupBy("learner", "item_id").applyInPandasWithState(
-        _update, outputStructType=STATE_SCHEMA, stateStructType=kept, outputMode="update", timeoutConf="NoTimeout"
+    group = F.pmod(F.xxhash64("learner", "item_id"), F.lit(groups)).cast("int").alias("group")
+    return attempts.select("*", group, F.lit(groups).alias("groups")).groupBy("group", "groups").applyInPandasWithState(
+        _update, outputStructType=STATE_SCHEMA, stateStructType=GROUPED, outputMode="update", timeoutConf="NoTimeout"
     )
 
 

@@ -397,6 +397,22 @@ def test_stream_equals_fold(spark, tmp_path):
     assert {k: {f: r[f] for f in S.FIELDS} for k, r in got.items()} == {k: {f: r[f] for f in S.FIELDS} for k, r in want.items()}
 
 
+def test_stream_calls_python_once_a_group(spark, tmp_path):
+    """Two batches over 300 pairs and a hot one keep at most as many state rows as there are groups; every pair has its own state."""
+    rng = random.Random(6)
+    data = [(f"u{i % 300}" if i % 2 else "hot", f"i{i % 3 if i % 2 else 0}", float(rng.randint(0, 4000)), i, rng.random() < 0.7) for i in range(1800)]
+    for part in (data[:900], data[900:]):
+        spark.createDataFrame(part, ANSWERS).repartition(2).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(ANSWERS).parquet(f"{tmp_path}/in")
+        run = S.schedule_stream(stream, 8).writeStream.outputMode("update").foreachBatch(S.snapshot_sink(f"{tmp_path}/snap", 4))
+        q = run.option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 8
+    got = {(r.learner, r.item_id): {f: r[f] for f in S.FIELDS} for r in S.read_snapshot(spark, f"{tmp_path}/snap").collect()}
+    pairs = {d[:2] for d in data}
+    assert got == {p: one_by_one([d[2:] for d in data if d[:2] == p]) for p in pairs}
+
+
 def test_snapshot_keeps_or_fails(spark, tmp_path):
     state = lambda item, level: ("u", item, level, 1.0, 1.0, 1.0, 1, 1, 1, None)
     table = lambda *rows: spark.createDataFrame(list(rows), S.STATE_SCHEMA)
