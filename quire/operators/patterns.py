@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.sources.scratch import written
+
 
 def _words(norm: str) -> Column:
     return F.split(norm, " ")
@@ -53,11 +55,13 @@ def find_patterns(patterns: DataFrame, texts: DataFrame, scope: list[str] | None
     A word that many texts hold is a skewed join key, which adaptive execution splits.
     """
     scope = scope or []
-    asked = patterns.filter(F.length("norm") > 0).select("pattern_id", "norm", *scope)
+    # seven uses, two of them jobs of their own: without the write each would work out the patterns anew
+    asked = written(patterns.filter(F.length("norm") > 0).select("pattern_id", "norm", *scope), "patterns")
     held = texts.filter(F.col("norm").isNotNull()).select("text_id", "norm", *scope)
     postings = held.select("text_id", *scope, F.explode(F.array_distinct(_words("norm"))).alias("word"))
-    frequency = postings.groupBy(*scope, "word").agg(F.count(F.lit(1)).alias("frequency"))
-    led = pattern_words(asked, frequency, scope)
-    met = postings.join(led, [*scope, "word"]).select("pattern_id", "text_id", *scope).distinct()
+    frequency = written(postings.groupBy(*scope, "word").agg(F.count(F.lit(1)).alias("frequency")), "words")  # three uses
+    # written, so that their sizes are known when the joins are planned: few words or pairs are broadcast and no text moves
+    led = written(pattern_words(asked, frequency, scope), "led")
+    met = written(postings.join(led, [*scope, "word"]).select("pattern_id", "text_id", *scope).distinct(), "met")
     both = met.join(held.withColumnRenamed("norm", "__t"), ["text_id", *scope]).join(asked.withColumnRenamed("norm", "__p"), ["pattern_id", *scope])
     return both.filter(F.contains("__t", F.col("__p"))).select("pattern_id", "text_id", *scope)

@@ -10,6 +10,7 @@ from quire.functions import text as T
 from quire.functions.ordered import Scan, first_per_key, ordered_scan, read_once, salted_join, tile_of_integer, top_n
 from quire.operators.findings import finding, rule_findings, union_all
 from quire.operators.patterns import find_patterns
+from quire.sources.scratch import written
 
 # ---------------------------------------------------------------------------
 # Fixed values
@@ -472,14 +473,14 @@ def guide_pages(pages: DataFrame, aliases: DataFrame, rubric_only: bool = False,
     pages: (page, text); aliases: (task_type, alias), any number of them. Tasks without a hit get the first scoring pages.
     """
     flat = pages.withColumn("__t", T.match_text("text"))
-    named = aliases.select("task_type", F.lower(T.squash("alias")).alias("norm")).distinct()
+    named = written(aliases.select("task_type", F.lower(T.squash("alias")).alias("norm")).distinct(), "aliases")
     found = find_patterns(named.withColumn("pattern_id", F.struct("task_type", "norm")), flat.select(F.col("page").alias("text_id"), F.col("__t").alias("norm")))
     hits = found.select(F.col("text_id").alias("page"), F.col("pattern_id.task_type").alias("task_type")).distinct()
     if rubric_only:
         hits = hits.filter(F.col("page") != GENERIC_MENTION_PAGE)
     matched = hits.select("task_type").distinct()
     scoring = flat.filter(F.contains("__t", F.lit("scoring"))).select("page").orderBy("page").limit(fallback)  # ``fallback`` rows
-    missing = aliases.select("task_type").distinct().join(matched, "task_type", "left_anti")
+    missing = named.select("task_type").distinct().join(matched, "task_type", "left_anti")
     rest = missing.crossJoin(F.broadcast(scoring)).withColumn("matched", F.lit(False))
     return hits.withColumn("matched", F.lit(True)).select("task_type", "page", "matched").unionByName(
         rest.select("task_type", "page", "matched")

@@ -191,3 +191,19 @@ def test_page_offset_carries_no_text_in_ids(spark, monkeypatch):
     lines = spark.createDataFrame([("d", 3, 1, "# other line"), ("d", 3, 1, "# two words here"), ("d", 5, 2, "# two words here")], "doc string, page int, line_no int, line string")
     assert S.page_offset(contents, lines).first()["offset"] == 6
     assert "norm" not in seen["texts"].schema["text_id"].dataType.names
+
+
+def test_patterns_are_worked_out_once(spark):
+    """Every use of the aliases reads one written copy: the costly step behind them runs once a row."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(v):
+        calls.add(1)
+        return v
+
+    pages = spark.createDataFrame([(1, "write an Essay now"), (2, "scoring of tasks"), (3, "re-tell the lecture")], "page int, text string")
+    aliases = spark.createDataFrame([("essay", "essay"), ("retell", "tell the  lecture"), ("none", "absent words here"), ("void", None)], "task_type string, alias string").coalesce(1)
+    hits = Q.guide_pages(pages, aliases.withColumn("alias", counted.asNondeterministic()("alias")))
+    assert {(r.task_type, r.page, r.matched) for r in hits.collect()} == {("essay", 1, True), ("retell", 3, True), ("none", 2, False), ("void", 2, False)}
+    assert calls.value == 4
