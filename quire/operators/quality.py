@@ -299,18 +299,20 @@ def findings_by_check(findings: DataFrame) -> DataFrame:
 
 def equation_chains(leaves: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """Distinct ``a = b`` chains in the math spans of each text (Q9)."""
+    where = lambda v, sign, change: F.when(F.contains(v, F.lit(sign)), change(v)).otherwise(v)  # most spans need no pattern
     spans = F.transform(
         F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"(?s)\$\$(.+?)\$\$|\$(.+?)\$"), F.lit(0)),
         lambda s: F.regexp_replace(s, r"^\$+|\$+$", ""),
     )
     clean = F.transform(
         F.filter(spans, lambda s: F.contains(s, F.lit("="))),
-        lambda s: F.regexp_replace(F.replace(F.regexp_replace(s, ALIGN_ENVIRONMENT, " "), F.lit("&"), F.lit("")), r"(?<=\d),(?=\d{3}(?!\d))", ""),
+        lambda s: F.replace(where(s, "\\", lambda v: F.regexp_replace(v, ALIGN_ENVIRONMENT, " ")), F.lit("&"), F.lit("")),
     )
+    clean = F.transform(clean, lambda s: where(s, ",", lambda v: F.regexp_replace(v, r"(?<=\d),(?=\d{3}(?!\d))", "")))
     signs = lambda p: F.regexp_count(p, F.lit("="))
     parts = F.flatten(F.transform(clean, lambda s: F.split(s, EQUATION_BREAK)))
     split = F.flatten(F.transform(parts, lambda p: F.when(F.contains(p, F.lit(",")) & (signs(p) > 1), F.split(p, ",")).otherwise(F.array(p))))
-    chains = F.array_distinct(F.transform(F.filter(split, lambda p: signs(p) >= 1), T.squash))
+    chains = F.array_distinct(F.transform(F.filter(split, lambda p: F.contains(p, F.lit("="))), T.squash))
     return leaves.select(*keep, F.explode(chains).alias("chain"))
 
 
@@ -324,19 +326,19 @@ def _side_values(sides: Column) -> Column:
 
     A side in one of these forms whose value passes 38 digits stays, with a null.
 
-    Done in steps over the array, so that each text is matched once: clean, take the
-    parts, make fractions, apply the operator.
+    Done in steps over the array, so that each text is matched once: clean, split into the
+    pattern's groups, make fractions, apply the operator.
     """
     part = r"(-?\d+)(?:\.(\d+))?(?:/(\d+))?"
     pattern = rf"^{part}(?:([-+*:]){part})?$"
 
     def clean(v: Column) -> Column:
-        v = F.regexp_replace(v, r"(\d)\s*(?=\\[dt]?frac)", "$1_")  # a mixed number is not read
-        v = F.regexp_replace(v, r"\\[dt]?frac\{(-?\d+)\}\{(\d+)\}", "$1/$2")
-        v = F.regexp_replace(F.regexp_replace(v, r"\\times|×|\\cdot", "*"), r"\\div|÷", ":")
+        plain = F.regexp_replace(v, r"(\d)\s*(?=\\[dt]?frac)", "$1_")  # a mixed number is not read
+        v = F.when(F.contains(v, F.lit("frac")), F.regexp_replace(plain, r"\\[dt]?frac\{(-?\d+)\}\{(\d+)\}", "$1/$2")).otherwise(v)
+        for sign, op in (("\\times", "*"), ("×", "*"), ("\\cdot", "*"), ("\\div", ":"), ("÷", ":")):
+            v = F.replace(v, F.lit(sign), F.lit(op))
         return F.regexp_replace(v, r"(?U)\s|\{,\}|,|\.$", "")
 
-    group = lambda v, i: F.regexp_extract(v, pattern, i)
     number = lambda v: v.try_cast("decimal(38,0)")
     times = lambda x, y: F.try_multiply(x, y).cast("decimal(38,0)")
 
@@ -344,9 +346,13 @@ def _side_values(sides: Column) -> Column:
         zeros = F.concat(F.lit("1"), F.repeat(F.lit("0"), F.length(decimals)))
         return [number(F.concat(whole, decimals)), times(number(F.when(under == "", F.lit("1")).otherwise(under)), number(zeros))]
 
-    def parts(v: Column) -> Column:
-        (a, b), (c, e) = fraction(group(v, 1), group(v, 2), group(v, 3)), fraction(group(v, 5), group(v, 6), group(v, 7))
-        return F.when(v.rlike(pattern), F.struct(a.alias("a"), b.alias("b"), group(v, 4).alias("op"), c.alias("c"), e.alias("e")))
+    def groups(v: Column) -> Column:
+        return F.when(v.rlike(pattern), F.split(F.regexp_replace(v, pattern, "$1|$2|$3|$4|$5|$6|$7"), r"\|"))
+
+    def parts(g: Column) -> Column:
+        (a, b), (c, e) = fraction(g[0], g[1], g[2]), fraction(g[4], g[5], g[6])
+        c, e = (F.when(g[3] != "", x) for x in (c, e))  # no second number: casting its empty text would throw and catch inside
+        return F.when(g.isNotNull(), F.struct(a.alias("a"), b.alias("b"), g[3].alias("op"), c.alias("c"), e.alias("e")))
 
     def value(p: Column) -> Column:
         a, b, op, c, e = (p[k] for k in "a b op c e".split())
@@ -355,7 +361,7 @@ def _side_values(sides: Column) -> Column:
         d = F.when(op == "", b).when(op == ":", times(b, c)).otherwise(times(b, e))
         return F.when(p.isNotNull(), F.struct(n.cast("decimal(38,0)").alias("n"), d.cast("decimal(38,0)").alias("d")))
 
-    values = F.transform(F.transform(F.transform(sides, clean), parts), value)
+    values = F.transform(F.transform(F.transform(F.transform(sides, clean), groups), parts), value)
     return F.filter(values, lambda v: v.isNotNull() & F.coalesce(v["d"] != 0, F.lit(True)))
 
 

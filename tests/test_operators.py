@@ -229,6 +229,15 @@ def test_equations(spark):
     assert [v for k, v in by.items() if "times" in k] == ["false"] and [v for k, v in by.items() if "div" in k] == ["true"] and by["x = y"] == "unchecked"
 
 
+def test_side_is_matched_once(spark):
+    df = spark.createDataFrame([(r"$\frac{1}{2} = 0.5 = 2/4$ $3 \div 2 = 1.5$ $1 - 2/3 = 1/2$ $x|y = 1|2$ $5. = 5 \cdot 1$",)], "text string")
+    checked = Q.check_chains(Q.equation_chains(df, []))
+    assert {r.chain: (r.verdict, r.sides) for r in checked.collect()} == {
+        r"\frac{1}{2} = 0.5 = 2/4": ("true", 3), r"3 \div 2 = 1.5": ("true", 2), "1 - 2/3 = 1/2": ("false", 2), "x|y = 1|2": ("unchecked", 0), r"5. = 5 \cdot 1": ("unchecked", 1),
+    }
+    assert checked._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") == 0
+
+
 def test_equations_of_any_length(spark):
     """Sides beyond 9 digits and 6 decimals are read; one beyond 38 digits is counted and never makes a chain true."""
     long = "1" * 25
