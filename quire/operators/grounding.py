@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.functions.ordered import first_per_key, read_once, salted_join
+from quire.functions.ordered import first_per_key, salted_join
 from quire.operators.findings import union_all
 from quire.operators.patterns import find_patterns
+from quire.sources.scratch import written
 
 # ---------------------------------------------------------------------------
 # Fixed values
@@ -164,7 +165,7 @@ def locate_quotes(quotes: DataFrame, chunks: DataFrame, scope: list[str], order:
     A quote one of whose pairs is nowhere in the scope is nowhere itself.
     """
     hashed = chunks.select(*scope, order, "node_id", "norm").withColumn("__h", F.xxhash64("norm"))
-    texts = read_once(first_per_key(hashed, [*scope, "__h", "norm"], [order]), "node_id")
+    texts = written(first_per_key(hashed, [*scope, "__h", "norm"], [order]), "texts")  # several uses, some in jobs of their own
     pairs_inside = F.size(F.split("norm", " ")) >= 4
     short, quotes = quotes.filter(~pairs_inside), quotes.filter(pairs_inside)
     grams = quotes.select("quote_id", *scope, "norm", F.explode(_inner_pairs(F.col("norm"))).alias("pair"))
