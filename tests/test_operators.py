@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.functions.ordered import first_per_key, read_once, salted_join
+from quire.functions.ordered import Scan, first_per_key, ordered_scan, read_once, salted_join, tile_of_integer
 from quire.operators import audits as A
 from quire.operators import claims as L
 from quire.operators import concepts as C
@@ -494,6 +494,43 @@ def test_blocks_with_pictures(spark):
     assert rows(done.orderBy("position"), "key") == [("a",), ("pic1",), ("pic2",), ("b",)] and rows(refused, "key") == [("lost",)]
 
 
+def _shuffles(spark, make):
+    """(rows, exchanges) of a table made and read without broadcasts; an exchange that is read again counts once."""
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = make()
+        got = df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        return got, len(re.findall(r"(?m)^\W*Exchange (?:hash|range)", plan))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_ordered_scan_shuffles_its_rows_once(spark):
+    """Keys that may be null: the rows meet their summary where they lie, the summary alone moves (by group, by group and tile)."""
+    made = [(g, h, o, f"t{o}") for g in (None, 1, 2) for h in (None, "a") for o in range(7)]
+    df = spark.createDataFrame(made, "g long, h string, o long, text string")
+    scans = {"n": Scan("sum", F.lit(1)), "prev": Scan("prev", F.col("text")), "all": Scan("bits", F.call_function("shiftleft", F.lit(1), F.col("o").cast("int")))}
+    got, exchanges = _shuffles(spark, lambda: ordered_scan(df, ["g", "h"], ["o"], tile_of_integer("o", 3), scans))
+    assert {(r.g, r.h, r.o): (r.text, r.n, r.prev, r["all"]) for r in got} == {(g, h, o): (t, o + 1, f"t{o - 1}" if o else None, 127) for g, h, o, t in made}
+    assert len(got) == len(made) and exchanges == 3
+
+
+def test_teaching_blocks_refuse_without_moving_the_texts_again(spark):
+    """Document 2 lacks its goals; rows that name no document are refused with none. The texts move once, their summary twice."""
+    whole = ["core_method", "overview", "learning_goals", "practice_plan", "mastery_checklist"]
+    items = ["techniques", "worked_examples", "common_mistakes"]
+    made = [(d, s, None, "x") for d in (1, 2) for s in whole if (d, s) != (2, "learning_goals")]
+    made += [(d, s, [f"{s}{i}" for i in range(3)], "") for d in (1, 2) for s in items] + [(2, "learning_goals", None, " "), (None, "overview", None, "y")]
+    df = spark.createDataFrame(made, "doc int, section string, items array<string>, content string")
+    got, exchanges = _shuffles(spark, lambda: P.teaching_blocks(df, ["doc"])[0])
+    want = ["core_method", "overview", "learning_goals", *[f"{s}.{i}" for s in items for i in range(3)], "practice_plan", "mastery_checklist"]
+    assert [r.key for r in sorted((r for r in got if r.doc == 1), key=lambda r: r.position)] == want
+    assert [(r.doc, r.key, r.content, r.position) for r in got if r.doc != 1] == [(None, "overview", "y", 0)] and exchanges == 3
+    assert {r.doc: r.missing for r in P.teaching_blocks(df, ["doc"])[1].collect()}[2] == ["learning_goals"]
+
+
 def test_append_only_merge_loses_nothing(spark):
     stored = spark.createDataFrame([(1, "Add Up", 0)], "p int, name string, ord int")
     incoming = spark.createDataFrame([(1, " add  up", 1), (1, "New", 2), (1, "new ", 3), (2, "N", 4)], "p int, name string, ord int")
