@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,21 +93,25 @@ def _is_object(value: Column) -> Column:
 
 
 def _nonblank(value: Column) -> Column:
-    return F.when(~T.blank(value), value)
+    return T.bound(value, lambda v: F.when(~T.blank(v), v))
 
 
-def unwrap_grounded(value: Column) -> dict[str, Column]:
-    """Text, origin, kind and ids of a field that is a plain string or a grounded object (G1).
+def unwrap_grounded(value: Column, use: Callable[[dict[str, Column]], Column]) -> Column:
+    """``use`` of the text, origin, kind and ids of a field that is a plain string or a grounded object (G1).
 
-    Values are raw JSON text, so both document versions pass through one path.
+    Values are raw JSON text, so both document versions pass through one path; each is read once.
     """
-    grounded = F.coalesce(_is_object(value) & _json(value, "origin").isin(GROUNDED_ORIGINS), F.lit(False))
-    return {
-        "text": F.when(grounded, _nonblank(_json(value, "text"))).when(~_is_object(value), _nonblank(value)),
-        "origin": F.when(grounded, _json(value, "origin")),
-        "kind": F.when(grounded, _json(value, "claim_kind")),
-        "ids": F.when(grounded, _ids(value)),
-    }
+    def parts(v: Column, origin: Column) -> Column:
+        grounded = origin.isNotNull()
+        return F.struct(
+            F.when(grounded, _nonblank(_json(v, "text"))).when(~_is_object(v), _nonblank(v)).alias("text"), origin.alias("origin"),
+            F.when(grounded, _json(v, "claim_kind")).alias("kind"), F.when(grounded, _ids(v)).alias("ids"),
+        )
+
+    known = lambda o: F.when(o.isin(GROUNDED_ORIGINS), o)
+    named = lambda v: T.bound(F.when(_is_object(v), _json(v, "origin")), known)
+    unwrapped = T.bound(value, lambda v: T.bound(named(v), lambda origin: parts(v, origin)))
+    return T.bound(unwrapped, lambda p: use({n: p[n] for n in ("text", "origin", "kind", "ids")}))
 
 
 def _place(field: int, item: Column | int = 0, sub: Column | int = 0) -> Column:
@@ -134,31 +140,36 @@ def citation_origin(local: Column, inherited: Column | None = None) -> tuple[Col
 
 def _field_claims(number: int, field: str, sub: str | None, kind: str, inherits: bool, keys: list[str],
                   items: Column, inherited: Column) -> Column:
-    def one(item: Column, i: Column) -> Column:
-        value = item if sub is None else _json(item, sub)
-        parts = unwrap_grounded(value)
+    tail = F.lit("") if sub is None else F.lit(f".{sub}")
+    context_key = CONTEXT_KEY.get(field)
+
+    def claim(item: Column, i: Column, is_object: Column, parts: dict[str, Column]) -> Column:
         text = parts["text"]
         if keys:
             named = F.coalesce(*[_nonblank(_json(item, k)) for k in keys])
-            text = F.when(_is_object(item), named).otherwise(_nonblank(item))
-        container = F.when(_is_object(item), _ids(item))
-        local = F.when(parts["origin"].isNotNull() & parts["ids"].isNotNull(), parts["ids"]).otherwise(container)
-        origin, ids = citation_origin(local, inherited if inherits else None)
-        tail = F.lit("") if sub is None else F.lit(f".{sub}")
-        context_key = CONTEXT_KEY.get(field)
+            text = F.when(is_object, named).otherwise(_nonblank(item))
         context = F.lit(None) if context_key is None else _json(item, context_key)
-        return _claim(
-            _place(number, i),
-            F.concat(F.lit(f"{field}."), i.cast("string"), tail),
-            F.concat(F.lit(f"{field}["), i.cast("string"), F.lit("]"), tail),
-            kind, text, context, origin, ids, parts["origin"], parts["kind"],
-        )
+        local = F.coalesce(parts["ids"], F.when(is_object, _ids(item)))
+
+        def cited(found: Column) -> Column:
+            origin, ids = citation_origin(found, inherited if inherits else None)
+            return _claim(
+                _place(number, i),
+                F.concat(F.lit(f"{field}."), i.cast("string"), tail),
+                F.concat(F.lit(f"{field}["), i.cast("string"), F.lit("]"), tail),
+                kind, text, context, origin, ids, parts["origin"], parts["kind"],
+            )
+
+        return T.bound(local, cited)
 
-    items = F.coalesce(items, F.array().cast("array<string>"))
-    rows = F.transform(items, one)
-    if sub is not None:
-        rows = F.zip_with(rows, items, lambda r, item: F.when(_is_object(item), r))
-    return rows
+    def one(item: Column, i: Column) -> Column:
+        def of(is_object: Column) -> Column:
+            made = unwrap_grounded(item if sub is None else _json(item, sub), lambda parts: claim(item, i, is_object, parts))
+            return made if sub is None else F.when(is_object, made)
+
+        return T.bound(_is_object(item), of)
+
+    return F.transform(F.coalesce(items, F.array().cast("array<string>")), one)
 
 
 def chapter_claims(chapters: DataFrame, doc: str = "doc") -> DataFrame:
@@ -171,14 +182,13 @@ def chapter_claims(chapters: DataFrame, doc: str = "doc") -> DataFrame:
     root = F.col("root") if "root" in chapters.columns else F.lit(CHAPTER_ROOTS[0])
     parsed = chapters.select(doc, "chapter_index", root.alias("root"), F.from_json("document", CHAPTER_SCHEMA).alias("d"))
     inherited = F.col("d.source_chunk_ids")
-    summary = unwrap_grounded(F.col("d.chapter_summary"))
-    origin, ids = citation_origin(summary["ids"], inherited)
-    lists = [
-        F.array(
-            _claim(_place(0), F.lit("chapter_summary"), F.lit("chapter_summary"), "chapter_summary", summary["text"],
-                   F.lit(None), origin, ids, summary["origin"], summary["kind"])
-        )
-    ]
+
+    def summary(parts: dict[str, Column]) -> Column:
+        origin, ids = citation_origin(parts["ids"], inherited)
+        return _claim(_place(0), F.lit("chapter_summary"), F.lit("chapter_summary"), "chapter_summary", parts["text"],
+                      F.lit(None), origin, ids, parts["origin"], parts["kind"])
+
+    lists = [F.array(unwrap_grounded(F.col("d.chapter_summary"), summary))]
     for number, (field, sub, kind, inherits, keys) in enumerate(CHAPTER_FIELDS, start=1):
         lists.append(_field_claims(number, field, sub, kind, inherits, keys, F.col(f"d.{field}"), inherited))
     time = F.col("d.estimated_study_time_minutes")
@@ -204,7 +214,7 @@ def chapter_claims(chapters: DataFrame, doc: str = "doc") -> DataFrame:
 
 def _finish(rows: DataFrame, doc: str, scope: str) -> DataFrame:
     clean = F.transform("c.source_chunk_ids", lambda v: T.strip(v))
-    empty = F.size(clean) == 0
+    empty = F.size("c.source_chunk_ids") == 0
     return rows.select(
         doc,
         "claim_id",

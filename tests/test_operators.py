@@ -110,6 +110,42 @@ def test_chapter_claims_of_both_versions(spark):
     assert rows(L.claim_problems(claims), "claim_id", "code") == [("chapter_03.key_terms.0.meaning", "DUPLICATE_SOURCE_ID")]
 
 
+def test_chapter_claims_read_each_part_of_an_item_once(spark):
+    """An expression inside a list's lambda is worked out at every mention: an item's object, ids, title and text parts stand there once."""
+    df = spark.createDataFrame([("d", 0, "{}")], "doc string, chapter_index int, document string")
+    plan = L.chapter_claims(df)._jdf.queryExecution().optimizedPlan().toString()
+    fields = L.CHAPTER_FIELDS
+    reads = 4 + sum(5 + (f[1] is not None) + (f[0] in L.CONTEXT_KEY) + len(f[4]) for f in fields)  # origin, text, kind, ids, the item's own ids
+    assert plan.count("get_json_object") == reads
+
+
+def test_chapter_claims_of_odd_items(spark):
+    """Items that are null, blank, no objects, broken or of an unknown origin; ids of the text before those of its item."""
+    meaning = lambda origin, **more: {"text": "M", "origin": origin, **more}
+    doc = {
+        "chapter_number": 1, "source_chunk_ids": ["c1"], "chapter_summary": meaning("source_grounded", source_chunk_ids=["s"]),
+        "learning_objectives": [None, "\u00a0\u2003\x1c", "{broken", {"text": " ", "description": "D"}, 5, meaning("other")],
+        "key_terms": [
+            None, "plain", {"meaning": meaning("source_grounded"), "source_chunk_ids": ["i"]}, {"meaning": meaning("other", source_chunk_ids=["x"])},
+            {"meaning": meaning("pedagogical_generation", source_chunk_ids=["t"]), "source_chunk_ids": ["i"]}, {"term": "none"}, {"meaning": "P", "source_chunk_ids": None},
+        ],
+    }
+    df = spark.createDataFrame([("d", 0, json.dumps(doc)), ("e", 0, None)], "doc string, chapter_index int, document string")
+    got = {r.claim_id.removeprefix("chapter_01."): (r.claim_text, r.citation_origin, r.source_chunk_ids, r.grounded_origin) for r in L.chapter_claims(df).collect()}
+    assert got == {
+        "chapter_summary": ("M", "local", ["s"], "source_grounded"), "learning_objectives.3": ("D", "inherited_chapter", ["c1"], None),
+        "learning_objectives.4": ("5", "inherited_chapter", ["c1"], None), "learning_objectives.5": ("M", "inherited_chapter", ["c1"], None),
+        "key_terms.2.meaning": ("M", "local", ["i"], "source_grounded"), "key_terms.4.meaning": ("M", "local", ["t"], "pedagogical_generation"),
+        "key_terms.6.meaning": ("P", "none", [], None),
+    }
+
+
+def test_blank_is_what_strip_leaves_empty(spark):
+    made = [(a + chr(c) + b,) for c in range(0x10000) if not 0xD800 <= c < 0xE000 for a, b in (("", ""), (" \n", "\x1c"))]
+    df = spark.createDataFrame([*made, ("",), ("\r\n \x85",), ("\U0001d7ce",), (None,)], "t string")
+    assert df.filter(T.blank("t") != F.coalesce(T.strip("t") == "", F.lit(True))).count() == 0
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_scope_ends_at_any_level(spark, seed):
     """The next section that is no deeper, against a walk; levels far apart and beyond ten, and sections without one."""
