@@ -204,6 +204,26 @@ def test_vectors_of_messy_rows(spark):
     assert vector_search.nearest(df.filter("vec_id IN (0, 1)"), "vec_id", "embedding", F.col("vec_id") == 0).count() == 1
 
 
+def test_queries_that_read_all_lists_are_sent_once_a_pack(spark, monkeypatch):
+    """A query that reads all lists is written once, not once a list; the result is exact then."""
+    monkeypatch.setattr(vector_search, "LIST_ROWS", 8)
+    monkeypatch.setattr(vector_search, "fit_ratio", lambda *a: 1e3)
+    monkeypatch.setattr(vector_search, "PACK_ROWS", 300, raising=False)
+    made, kept = [], vector_search.stored
+    monkeypatch.setattr(vector_search, "stored", lambda df: made.append(kept(df)) or made[-1])
+    vectors = {int(i): [float(v) for v in x] for i, x in enumerate(np.random.default_rng(3).normal(size=(1500, 24)).astype(np.float32))}
+    df = spark.createDataFrame([*vectors.items(), *[(i, vectors[i]) for i in range(0, 400, 50)]], "vec_id long, embedding array<float>")
+    got = defaultdict(list)
+    for r in vector_search.nearest(df, "vec_id", "embedding", F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert got == brute_nearest(vectors, 5)
+    assert max(t.groupBy("id").count().agg(F.max("count")).first()[0] for t in made) <= 2 * vector_search.COPIES
+
+
+def test_packs_of_lists():
+    assert vector_search.packs_of({0: 3, 1: 4, 2: 4, 5: 30, 7: 1, 8: 9}, 10) == {0: (0, 1), 1: (0, 1), 2: (1, 1), 5: (2, 3), 7: (5, 1), 8: (5, 1)}
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     repeated = docs.unionByName(docs.limit(3))
