@@ -33,15 +33,18 @@ REVIEW_COVERS = {4: [1, 2, 3], 8: [1, 2, 3, 5, 6, 7], 9: [1, 2, 3, 5, 6, 7]}
 
 def stem(word: Column) -> Column:
     """Rough stem: plural, then -ing, then a final e (K1)."""
+    return _final_e(_ing(_plural(word)))
+
+
+def _plural(word: Column) -> Column:
     n = F.length(word)
     cut = lambda w, k: F.substring(w, F.lit(1), F.length(w) - k)
-    plural = (
+    return (
         F.when(F.endswith(word, F.lit("ies")) & (n > 4), F.concat(cut(word, 3), F.lit("y")))
         .when(F.endswith(word, F.lit("es")) & (n > 4) & ~F.endswith(word, F.lit("ses")), cut(word, 2))
         .when(F.endswith(word, F.lit("s")) & ~F.endswith(word, F.lit("ss")) & (n > 3), cut(word, 1))
         .otherwise(word)
     )
-    return _final_e(_ing(plural))
 
 
 def _ing(w: Column) -> Column:
@@ -58,7 +61,10 @@ def vocabulary(text: Column | str) -> Column:
     bare = F.regexp_replace(F.lower(F.coalesce(column, F.lit(""))), r"\$[^$]*\$", " ")
     tokens = F.array_distinct(F.regexp_extract_all(bare, F.lit("[a-z]{3,}"), F.lit(0)))
     stop = F.array(*[F.lit(w) for w in EVERYDAY_WORDS])
-    return F.array_distinct(F.array_except(F.transform(F.array_except(tokens, stop), stem), stop))
+    # a step a pass, for a step reads its word several times; these words are plain letters, so their ends decide without patterns
+    cut = lambda end, n: lambda w: F.when(F.endswith(w, F.lit(end)) & (F.length(w) >= 3 + n), F.substring(w, F.lit(1), F.length(w) - n)).otherwise(w)
+    stems = F.transform(F.transform(F.transform(F.array_except(tokens, stop), _plural), cut("ing", 3)), cut("e", 1))
+    return F.array_distinct(F.array_except(stems, stop))
 
 
 def match_concepts(
@@ -95,12 +101,12 @@ def match_concepts(
     probes = ranked.select("sentence_id", *scope, F.explode(walked["take"]).alias("word"))
     pairs = salted_join(probes, postings, [*scope, "word"], "inner", F.col("sentence_id")).select("sentence_id", *scope, "key").distinct()
     full = (
-        pairs.join(ranked.select("sentence_id", "__ws"), "sentence_id")
+        pairs.join(ranked.select("sentence_id", "__ws", F.transform("__ws", lambda s: s["w"]).alias("__w")), "sentence_id")
         .join(candidates.select("key", *scope, F.col("vocab").alias("__cv")), ["key", *scope])
         .join(sentences.select("sentence_id", F.size("vocab").alias("__sn")), "sentence_id")
     )
     # words in common by hash first, then their entries; found once a pair, for four columns and the threshold read them
-    full = full.withColumn("__hit", F.array_intersect(F.transform("__ws", lambda s: s["w"]), "__cv"))
+    full = full.withColumn("__hit", F.array_intersect("__w", "__cv"))
     shared = F.filter("__ws", lambda s: F.array_contains("__hit", s["w"]))
     sizes = {"__sn": F.col("__sn"), "__cn": F.size("__cv")}
     found = T.pinned(T.pinned(full, ["sentence_id", *scope, "key", "__ws"], {**sizes, "__hit": F.col("__hit")}), ["sentence_id", *scope, "key"], {"__sn": F.col("__sn"), "__cn": F.col("__cn"), "__shared": shared})
@@ -118,15 +124,15 @@ def match_concepts(
 def assign_concepts(candidates: DataFrame, matches: DataFrame, scope: list[str] | None = None, order: str = "ord") -> DataFrame:
     """Each candidate to its one best sentence; equal bests leave it unassigned (K3).
 
-    matches carry ``order``, the sentence's place. Best and ties are two map-side combined aggregates.
+    matches carry ``order``, the sentence's place, and are read once: two map-side combined aggregates, of a candidate's
+    equal ranks and of its ranks.
     """
     scope = scope or []
     rank = F.struct("score", "of_sentence", "of_candidate")
-    best = matches.groupBy(*scope, "key").agg(F.max(rank).alias("__best"))
-    top = matches.join(best, [*scope, "key"]).filter(rank == F.col("__best"))
-    picked = top.groupBy(*scope, "key").agg(
+    ranks = matches.groupBy(*scope, "key", "score", "of_sentence", "of_candidate").agg(
         F.count(F.lit(1)).alias("ties"), F.min_by(F.struct("sentence_id", "score"), order).alias("__s")
     )
+    picked = ranks.groupBy(*scope, "key").agg(F.max_by(F.struct("ties", "__s"), rank).alias("__b")).select(*scope, "key", "__b.ties", "__b.__s")
     return candidates.select(*scope, "key").join(picked, [*scope, "key"], "left").select(
         *scope, "key",
         F.when(F.col("ties") == 1, F.col("__s.sentence_id")).alias("sentence_id"),

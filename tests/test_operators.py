@@ -317,6 +317,27 @@ def test_match_concepts_equals_brute_force(spark, seed):
 
 
 # -- marking ------------------------------------------------------------------------------------------------------------
+def test_assignment_reads_the_matches_once(spark):
+    """Best, ties and a key without a match, from one reading of the matches."""
+    rows = [(1, "a", 2.0, 0.5, 0.5), (2, "a", 2.0, 0.5, 0.4), (3, "b", 1.0, 0.5, 0.5), (4, "b", 1.0, 0.5, 0.5), (5, "b", 1.0, 0.4, 0.9), (6, None, 9.0, 0.5, 0.5)]
+    reads = spark.sparkContext.accumulator(0)
+    counted = spark.createDataFrame(rows, "sentence_id long, key string, score double, of_sentence double, of_candidate double").mapInPandas(
+        lambda parts: (reads.add(len(p)) or p for p in parts), "sentence_id long, key string, score double, of_sentence double, of_candidate double"
+    )
+    keys = spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "key string")
+    got = C.assign_concepts(keys, counted.withColumn("ord", F.col("sentence_id"))).collect()
+    assert {(r.key, r.sentence_id, r.score, r.ties) for r in got} == {("a", 1, 2.0, 1), ("b", None, None, 2), ("c", None, None, 0), (None, None, None, 0)}
+    assert reads.value == len(rows)
+
+
+def test_vocabulary_stems_like_the_patterns(spark):
+    words = "sing thing being string bring ring sixties ties dies boxes cases class gas canes see there tree ages rings lining bees ingle oxeye y ee"
+    got = spark.createDataFrame([(words.upper(),)], "t string").select(C.vocabulary("t").alias("v"), F.transform(F.split(F.lit(words), " "), C.stem).alias("w")).first()
+    stop = set(C.EVERYDAY_WORDS)
+    want = [s for w, s in zip(words.split(), got.w) if len(w) >= 3 and w not in stop and s not in stop]
+    assert got.v == list(dict.fromkeys(want))
+
+
 def test_number_marks_match_exact_fractions(spark):
     cases = [("1/2", 1, 2), ("2/4", 1, 2), ("-1 1/2", -3, 2), ("0.50", 1, 2), ("4,900", 4900, 1), ("1,000/2,000", 1, 2), ("−3/4", -3, 4), (" 8 ", 8, 1), ("3/0", 3, 1),
              ("x", 1, 1), ("", 1, 1), ("0/5", 0, 1), ("6/1", 6, 1), ("2 3/6", 5, 2), ("-0.25", -1, 4), ("1 / 3", 1, 3)]
