@@ -8,6 +8,7 @@ from quire.operators import contract as K
 from quire.operators import packages as P
 from quire.plans.registry import Tables, derive, query
 from quire.sources import store as S
+from quire.sources.scratch import written
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in C.EVERYDAY_WORDS) + "]"
 _STEM1 = """CASE WHEN w LIKE '%ies' AND len(w) > 4 THEN substr(w, 1, len(w) - 3) || 'y' WHEN w LIKE '%es' AND len(w) > 4 AND NOT w LIKE '%ses' THEN substr(w, 1, len(w) - 2)
@@ -69,6 +70,7 @@ def concept_assign(t: Tables):
 )
 def concept_proposals(t: Tables):
     _, skills, matches = _matching(t)
+    matches = written(matches.drop("matched_on"), "matches")  # found once, for assignments and proposals alike
     assigned = C.assign_concepts(skills, matches.withColumn("ord", F.col("sentence_id")))
     forms = C.required_form(t.bank_skills.select(F.col("key").alias("skill"), F.lit("number").alias("answer_kind"), F.lit(1).alias("answer_den"), F.lit(True).alias("answer_is_reduced")))
     checklist = t.goals.filter(F.col("sentence_id") % 2 == 0).select("sentence_id")
