@@ -14,6 +14,7 @@ from quire.functions.ordered import Scan, first_per_key, ordered_scan, read_once
 from quire.operators import audits as A
 from quire.operators import claims as L
 from quire.operators import concepts as C
+from quire.plans import catalog
 from quire.operators import contract as K
 from quire.operators import grounding as G
 from quire.operators import packages as P
@@ -330,6 +331,21 @@ def test_assignment_reads_the_matches_once(spark):
     assert reads.value == len(rows)
 
 
+def test_proposals_find_the_matches_once(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, "alpha gamma\nbeta delta", "en", "book", 22), (2, "kappa\nother", "en", "book", 11)], "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "alpha lambda"), (2, "beta kappa")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    reads, made = spark.sparkContext.accumulator(0), C.match_concepts
+
+    def counted(*a):
+        found = made(*a)
+        return found.mapInPandas(lambda parts: (reads.add(len(p)) or p for p in parts), found.schema)
+
+    monkeypatch.setattr(C, "match_concepts", counted)
+    rows = catalog.QUERIES["concept_proposals"](spark, str(tmp_path)).collect()
+    assert len(rows) == 4 and sorted(r.bank for r in rows if r.bank) == ["k1", "k2"]
+    assert reads.value == 3
+
+
 def test_vocabulary_stems_like_the_patterns(spark):
     words = "sing thing being string bring ring sixties ties dies boxes cases class gas canes see there tree ages rings lining bees ingle oxeye y ee"
     got = spark.createDataFrame([(words.upper(),)], "t string").select(C.vocabulary("t").alias("v"), F.transform(F.split(F.lit(words), " "), C.stem).alias("w")).first()
